@@ -3,3 +3,4 @@ from .registry import ORACLE, QUERIES  # noqa: F401
 from . import scoring  # noqa: F401
 from . import prepare  # noqa: F401
 from . import senses  # noqa: F401
+from . import io  # noqa: F401
