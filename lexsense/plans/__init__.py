@@ -4,3 +4,4 @@ from . import scoring  # noqa: F401
 from . import prepare  # noqa: F401
 from . import senses  # noqa: F401
 from . import io  # noqa: F401
+from . import sweeps  # noqa: F401

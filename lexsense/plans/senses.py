@@ -14,6 +14,11 @@ from ..oracle import r6 as q6, with_views
 from ..session import table
 from .registry import query, r6
 
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
 # ---------------------------------------------------------------- WiC: R2, V1, W1, W2, A12, E9
 
 _WIC = {
@@ -163,8 +168,8 @@ def a5_contingency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a6_a8_partition_scores", with_views(
-    f'select target, {q6(chr(34) + "PUR" + chr(34))} as "PUR", {q6(chr(34) + "RI" + chr(34))} as "RI", '
-    f'{q6(chr(34) + "ARI" + chr(34))} as "ARI" from ps', "v_usages",
+    f'select target, {q6(_q("PUR"))} as "PUR", {q6(_q("RI"))} as "RI", '
+    f'{q6(_q("ARI"))} as "ARI" from ps', "v_usages",
     extra={k: _U[k] for k in ("u", "firsts", "lab", "labelled", "cont", "s", "sa", "sb", "ps")}))
 def a6_a8_partition_scores(spark: SparkSession, sf: str) -> DataFrame:
     u, _, firsts = _usage_parts(spark, sf)
@@ -193,7 +198,7 @@ def a9_centroids(spark: SparkSession, sf: str) -> DataFrame:
                     F.transform("centroid", lambda x: F.round(x, 6) + F.lit(0.0)).alias("centroid"))
 
 
-@query("a10_apd", with_views(f'select target, {q6(chr(34) + "APD" + chr(34))} as "APD" from apd', "v_usages",
+@query("a10_apd", with_views(f'select target, {q6(_q("APD"))} as "APD" from apd', "v_usages",
                              extra={k: _U[k] for k in ("u", "firsts", "apd")}))
 def a10_apd(spark: SparkSession, sf: str) -> DataFrame:
     _, vectors, firsts = _usage_parts(spark, sf)
@@ -201,7 +206,7 @@ def a10_apd(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("target", r6("APD").alias("APD"))
 
 
-@query("a11_apdp", with_views(f'select target, {q6(chr(34) + "APDP" + chr(34))} as "APDP" from apdp', "v_usages",
+@query("a11_apdp", with_views(f'select target, {q6(_q("APDP"))} as "APDP" from apdp', "v_usages",
                               extra={k: _U[k] for k in ("u", "firsts", "lab", "labelled", "dims", "cent", "apdp")}))
 def a11_apdp(spark: SparkSession, sf: str) -> DataFrame:
     u, vectors, firsts = _usage_parts(spark, sf)
