@@ -17,8 +17,8 @@ _BIG = 2147483647
 def parse_span(indexes, example) -> tuple[Column, Column]:
     """P5: "s:e" -> (start, end); on any failure start = first part, end = length(example)."""
     parts = F.split(_c(indexes), ":")
-    s_try = F.element_at(parts, 1).try_cast("int")
-    e_try = F.element_at(parts, 2).try_cast("int")
+    s_try = F.try_element_at(parts, F.lit(1)).try_cast("int")
+    e_try = F.try_element_at(parts, F.lit(2)).try_cast("int")
     ok = (F.size(parts) == 2) & s_try.isNotNull() & e_try.isNotNull()
     start = F.when(ok, s_try).otherwise(F.element_at(parts, 1).cast("int"))
     end = F.when(ok, e_try).otherwise(F.length(_c(example)))

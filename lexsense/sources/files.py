@@ -82,7 +82,7 @@ def read_tsv_lines(spark: SparkSession, path: str, names, per_file: bool = True)
     lines = text_lines(spark, path, per_file=per_file)
     parts = F.split("value", "\t")
     n = len(names)
-    fields = [F.element_at(parts, i + 1).alias(nm) for i, nm in enumerate(names)]
+    fields = [F.try_element_at(parts, F.lit(i + 1)).alias(nm) for i, nm in enumerate(names)]
     df = lines.select("file", "line_no", F.size(parts).alias("_k"), *fields)
     ok = df.where(F.col("_k") <= n).drop("_k")
     bad = df.where(F.col("_k") > n).select("file", "line_no", F.col("_k").alias("n_fields"))
