@@ -7,11 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..oracle import PUNCT_CLASS, WS_CLASS
-
-# Java regex spelling of the same fixed classes (Java wants \x{..} too, so they are shared).
-_WS = WS_CLASS
-_PUNCT = PUNCT_CLASS
+# Python's str.isspace() set in Java regex: Unicode White_Space (the (?U) flag) plus \x1C-\x1F.
+_WS = r"[\s\x{1C}-\x{1F}]"
+# string.punctuation (fixed values: the 32 ASCII punctuation characters).
+_PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _c(c) -> Column:
@@ -20,17 +19,17 @@ def _c(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Python ``" ".join(s.split())``: runs of any whitespace -> one space, ends stripped."""
-    return F.trim(F.regexp_replace(_c(c), _WS + "+", " "))
+    return F.trim(F.regexp_replace(_c(c), f"(?U){_WS}+", " "))
 
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: all whitespace off both ends (Spark ``trim`` only drops spaces)."""
-    return F.regexp_replace(_c(c), f"^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(_c(c), f"(?U)^{_WS}+|{_WS}+$", "")
 
 
 def normalise(c) -> Column:
     """Lower case, delete ASCII punctuation, collapse whitespace."""
-    return collapse_ws(F.regexp_replace(F.lower(_c(c)), _PUNCT, ""))
+    return collapse_ws(F.translate(F.lower(_c(c)), _PUNCT_CHARS, ""))
 
 
 def tokens(c) -> Column:
@@ -40,9 +39,8 @@ def tokens(c) -> Column:
 
 
 def py_split(c) -> Column:
-    """Python ``str.split()`` on raw text: any whitespace, no empty tokens."""
-    s = collapse_ws(c)
-    return tokens(s)
+    """Python ``str.split()`` on raw text: any whitespace, no empty tokens (one regex pass)."""
+    return F.filter(F.split(_c(c), f"(?U){_WS}+"), lambda t: t != "")
 
 
 def capitalise_first(c) -> Column:

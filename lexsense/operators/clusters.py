@@ -61,16 +61,17 @@ def _blocked(points: DataFrame, by, block: int) -> DataFrame:
     return points.join(sizes, list(by)).withColumn("_blk", F.pmod(F.xxhash64("id"), nb)).drop("_m")
 
 
-def _block_pairs(points: DataFrame, by, block: int) -> DataFrame:
-    """Pairs of blocks (i <= j) of the same group, each carrying its block's ids and vectors.
-
-    A group of m points becomes (m/B)(m/B+1)/2 block pairs, each a bounded task; a hot group is
-    spread over many tasks instead of one."""
+def _packed(points: DataFrame, by, block: int, cols=("id", "v")) -> DataFrame:
+    """Points packed per (group, block): one row holding the block's lists (at most ~block long)."""
     b = _blocked(points, by, block)
-    packed = b.groupBy(*by, "_blk").agg(
-        F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    left = packed.select(*by, F.col("_blk").alias("bi"), F.col("ids").alias("ids_i"), F.col("vs").alias("vs_i"))
-    right = packed.select(*by, F.col("_blk").alias("bj"), F.col("ids").alias("ids_j"), F.col("vs").alias("vs_j"))
+    return b.groupBy(*by, "_blk").agg(*[F.collect_list(c).alias(f"{c}s") for c in cols])
+
+
+def _block_pairs(packed: DataFrame, by, cols=("id", "v")) -> DataFrame:
+    """Pairs of blocks (i <= j) of the same group. A group of m points becomes
+    (m/B)(m/B+1)/2 block pairs, each a bounded task; a hot group is spread over many tasks."""
+    left = packed.select(*by, F.col("_blk").alias("bi"), *[F.col(f"{c}s").alias(f"{c}s_i") for c in cols])
+    right = packed.select(*by, F.col("_blk").alias("bj"), *[F.col(f"{c}s").alias(f"{c}s_j") for c in cols])
     return left.join(right, list(by)).where(F.col("bi") <= F.col("bj"))
 
 
@@ -82,59 +83,83 @@ def _distance_tile(vi, vj):
     return 1.0 - a @ b.T
 
 
-def _near_edges(tiles: DataFrame, by, eps: float) -> DataFrame:
-    """(by, i, j, d) for i != j with cosine distance d <= eps, both directions."""
+def _schema(df: DataFrame, by, extra: str) -> str:
+    return ", ".join([f"{k} {t}" for k, t in df.select(*by).dtypes] + [extra])
+
+
+def _core_distance(tiles: DataFrame, by) -> DataFrame:
+    """(by, id, core): distance to the nearest other point (k = 2 with the point itself counted),
+    as the min over the tiles a point takes part in."""
     by = list(by)
-    schema = ", ".join([f"{k} {t}" for k, t in tiles.select(*by).dtypes] + ["i long", "j long", "d double"])
 
     def run(it):
         for pdf in it:
             out = []
             for r in pdf.itertuples(index=False):
                 d = _distance_tile(r.vs_i, r.vs_j)
-                ii, jj = np.nonzero(d <= eps)
                 ids_i, ids_j = np.asarray(r.ids_i), np.asarray(r.ids_j)
-                a, b, dd = ids_i[ii], ids_j[jj], d[ii, jj]
-                keep = a != b
-                a, b, dd = a[keep], b[keep], dd[keep]
-                if r.bi != r.bj:  # the mirrored tile is not computed; emit both directions
-                    a, b, dd = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dd, dd])
-                frame = pd.DataFrame({"i": a.astype(np.int64), "j": b.astype(np.int64), "d": dd})
+                d = np.where(ids_i[:, None] == ids_j[None, :], np.inf, d)
+                parts = [pd.DataFrame({"id": ids_i.astype(np.int64), "core": d.min(axis=1)})]
+                if r.bi != r.bj:
+                    parts.append(pd.DataFrame({"id": ids_j.astype(np.int64), "core": d.min(axis=0)}))
+                frame = pd.concat(parts, ignore_index=True)
                 for k in by:
                     frame[k] = getattr(r, k)
-                out.append(frame[[*by, "i", "j", "d"]])
+                out.append(frame[[*by, "id", "core"]])
             if out:
                 yield pd.concat(out, ignore_index=True)
-    return tiles.mapInPandas(run, schema)
+    part = tiles.mapInPandas(run, _schema(tiles, by, "id long, core double"))
+    return part.groupBy(*by, "id").agg(F.min("core").alias("core"))
 
 
-def _core_distance(tiles: DataFrame, by) -> DataFrame:
-    """(by, id, core): distance to the nearest other point (k = 2 with the point itself counted)."""
+def _find(parent: dict, x):
+    root = x
+    while parent[root] != root:
+        root = parent[root]
+    while parent[x] != root:
+        parent[x], x = root, parent[x]
+    return root
+
+
+def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
+    """Mutual-reachability edges of each tile, resolved into components inside the tile
+    (union-find); emits (by, id, root) with root = smallest id of the node's tile component.
+    Only star edges leave a task, never the pairwise distances."""
     by = list(by)
-    schema = ", ".join([f"{k} {t}" for k, t in tiles.select(*by).dtypes] + ["id long", "core double"])
 
     def run(it):
         for pdf in it:
             out = []
             for r in pdf.itertuples(index=False):
                 d = _distance_tile(r.vs_i, r.vs_j)
-                ids_i, ids_j = np.asarray(r.ids_i), np.asarray(r.ids_j)
-                d = np.where(ids_i[:, None] == ids_j[None, :], np.inf, d)
-                parts = [pd.DataFrame({"id": ids_i.astype(np.int64), "core": d.min(axis=1)})]
-                if r.bi != r.bj:
-                    parts.append(pd.DataFrame({"id": ids_j.astype(np.int64), "core": d.min(axis=0)}))
-                frame = pd.concat(parts, ignore_index=True)
+                ids_i, ids_j = np.asarray(r.ids_i, dtype=np.int64), np.asarray(r.ids_j, dtype=np.int64)
+                ci, cj = np.asarray(r.cores_i, dtype=np.float64), np.asarray(r.cores_j, dtype=np.float64)
+                ok = np.maximum(d, np.maximum(ci[:, None], cj[None, :])) <= eps
+                ok &= ids_i[:, None] != ids_j[None, :]
+                ii, jj = np.nonzero(ok)
+                if len(ii) == 0:
+                    continue
+                parent: dict = {}
+                for a, b in zip(ids_i[ii].tolist(), ids_j[jj].tolist()):
+                    parent.setdefault(a, a)
+                    parent.setdefault(b, b)
+                    ra, rb = _find(parent, a), _find(parent, b)
+                    if ra != rb:
+                        lo, hi = (ra, rb) if ra < rb else (rb, ra)
+                        parent[hi] = lo
+                nodes = np.fromiter(parent.keys(), dtype=np.int64, count=len(parent))
+                roots = np.fromiter((_find(parent, x) for x in nodes.tolist()), dtype=np.int64, count=len(nodes))
+                frame = pd.DataFrame({"id": nodes, "root": roots})
                 for k in by:
                     frame[k] = getattr(r, k)
-                out.append(frame[[*by, "id", "core"]])
+                out.append(frame[[*by, "id", "root"]])
             if out:
                 yield pd.concat(out, ignore_index=True)
-    part = tiles.mapInPandas(run, schema)
-    return part.groupBy(*by, "id").agg(F.min("core").alias("core"))
+    return tiles.mapInPandas(run, _schema(tiles, by, "id long, root long"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, by, max_rounds: int = 100,
-                         checkpoint_every: int = 2) -> DataFrame:
+                         checkpoint_every: int = 1) -> DataFrame:
     """Min-label propagation with pointer jumping: every node ends with the smallest id of its
     component. The driver loop only counts changed labels; lineage is cut with a reliable
     checkpoint to ``spark.checkpoint.dir`` every few rounds."""
@@ -166,21 +191,24 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK
     """V3: DBSCAN* over cosine distance per group (the flat cut of the HDBSCAN hierarchy at
     ``eps`` with min_samples = 2, self counted).
 
-    core(p) = distance to the nearest other point; an edge joins p and q when
+    core(p) = distance to the nearest other point; p and q are linked when
     max(d(p, q), core(p), core(q)) <= eps; labels are connected components (label = min id of
-    the component); points with no edge are noise (-1). Distances are computed in bounded
-    block-pair tiles and only edges within ``eps`` leave a task.
+    the component); points with no link are noise (-1).
+
+    Groups are hashed into blocks of ~``block`` points; distances are computed in block-pair
+    tiles inside bounded tasks (first pass: core distances; second pass: links, resolved by
+    union-find inside the tile). Only (node, tile root) star edges leave a task, and the global
+    label propagation only has to stitch tiles together.
     """
     by = list(by)
     pts = points.select(*by, F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
-    tiles = _block_pairs(pts, by, block)
-    core = _core_distance(tiles, by)
-    near = _near_edges(tiles, by, eps)
-    ci = core.select(*by, F.col("id").alias("i"), F.col("core").alias("ci"))
-    cj = core.select(*by, F.col("id").alias("j"), F.col("core").alias("cj"))
-    edges = near.join(ci, by + ["i"]).join(cj, by + ["j"]) \
-        .where(F.greatest("d", "ci", "cj") <= eps).select(*by, "i", "j")
-    members = edges.select(*by, F.col("i").alias("id")).distinct()
+    core = _core_distance(_block_pairs(_packed(pts, by, block), by), by)
+    with_core = pts.join(core, by + ["id"])
+    tiles = _block_pairs(_packed(with_core, by, block, ("id", "v", "core")), by, ("id", "v", "core"))
+    stars = _local_stars(tiles, by, eps)
+    edges = stars.select(*by, F.col("id").alias("i"), F.col("root").alias("j")).unionByName(
+        stars.select(*by, F.col("root").alias("i"), F.col("id").alias("j"))).where(F.col("i") != F.col("j"))
+    members = stars.select(*by, "id").distinct()
     comp = connected_components(edges, members, by)
     out = pts.select(*by, "id").join(comp, by + ["id"], "left") \
         .select(*by, F.col("id").alias(id_col), F.coalesce("l", F.lit(-1)).cast("long").alias("label"))

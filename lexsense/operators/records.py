@@ -172,19 +172,26 @@ def running_offsets(df: DataFrame, order: str, size: str, out: str = "offset",
 def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "doc_id",
          text: str = "text") -> DataFrame:
     """Texts (whitespace tokens + end mark) laid end to end in ``order`` and cut into blocks of
-    ``n`` tokens; the incomplete last block is dropped. One row per block with its text."""
+    ``n`` tokens; the incomplete last block is dropped. One row per block with its text.
+
+    Each text emits one slice per block it touches (rows ~ texts + blocks, not tokens); a block
+    then concatenates at most ``n`` tokens of slices in text order."""
     toks = docs.select(order, F.concat(X.py_split(text), F.array(F.lit(end_mark))).alias("toks"))
     toks = toks.withColumn("cnt", F.size("toks"))
     off = running_offsets(toks, order, "cnt", total="total")
-    ex = off.select(order, "offset", "total", F.posexplode("toks").alias("i", "tok"))
-    ex = ex.select(((F.col("offset") + F.col("i")) / n).cast("long").alias("block"),
-                   ((F.col("offset") + F.col("i")) % n).alias("k"), order, "tok", "total")
-    full = ex.where(F.col("block") < (F.col("total") / n).cast("long"))
-    return full.groupBy("block").agg(
-        F.count("*").alias("n_tokens"),
+    first = F.floor(F.col("offset") / n)
+    last = F.floor((F.col("offset") + F.col("cnt") - 1) / n)
+    ex = off.select(order, "offset", "cnt", "toks", "total", F.explode(F.sequence(first, last)).alias("block"))
+    ex = ex.where(F.col("block") < F.floor(F.col("total") / n))
+    lo = F.greatest(F.col("offset"), F.col("block") * n)
+    hi = F.least(F.col("offset") + F.col("cnt"), (F.col("block") + 1) * n)
+    pieces = ex.select("block", order, F.slice("toks", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))
+                       .alias("piece"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"])
+    return pieces.groupBy("block").agg(
+        F.sum(F.size("piece")).cast("long").alias("n_tokens"),
         F.min(order).alias("first_doc"), F.max(order).alias("last_doc"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "tok"))), lambda x: x["tok"]), " ")
-        .alias("text"))
+        F.array_join(F.flatten(ordered), " ").alias("text"))
 
 
 # ---------------------------------------------------------------- E7 generation input and answers
