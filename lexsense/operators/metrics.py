@@ -35,38 +35,52 @@ def prepare(pairs: DataFrame, gold: str = "gloss", pred: str = "answer",
         "row_id", normalise(gold).alias("g"), normalise(pred).alias("p"),
     ).select("row_id", "g", "p", tokens("g").alias("g_tokens"), tokens("p").alias("p_tokens"))
     df = df.withColumn("lg", F.size("g_tokens")).withColumn("lp", F.size("p_tokens"))
-    return df.repartition(partitions, "row_id") if partitions else df.repartition("row_id")
+    # An explicit count keeps AQE from coalescing this exchange: the work after it (grams,
+    # alignments, LCS) is compute-heavy per row, so it wants all the partitions it can get.
+    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "row_id")
 
 
 # ---------------------------------------------------------------- BLEU, NIST, sacreBLEU
 
 
 def ngram_stats(prep: DataFrame) -> DataFrame:
-    """Per row: clipped matches m1..m5, prediction totals tp1..tp5 and NIST information sums s1..s5."""
+    """Per row: clipped matches m1..m5, prediction totals tp1..tp5 and NIST information sums s1..s5.
+
+    NIST weighs a matched gram g by log2(cg(prefix g) / cg(g)). Instead of joining every gram to
+    its prefix, each gram count row contributes twice to one more aggregation keyed by
+    (row_id, level, key): its own counts under (n, gram), and its clipped match under
+    (n - 1, prefix). Then sum over matched g of min * log2 cg(prefix) = sum over prefixes q of
+    log2 cg(q) * (clipped matches of q's children). All steps group by row_id first, so the
+    row_id partitioning of ``prep`` serves them all: no join and no further exchange."""
     counts = gram_counts(prep, NIST_MAX_N)
-    gold = counts.where(F.col("cg") > 0).select(
-        "row_id", F.col("n").alias("pn"), F.col("gram").alias("pg"), F.col("cg").alias("pc"))
-    matched = counts.where((F.col("cg") > 0) & (F.col("cp") > 0))
-    # info(gram) = log2(count(prefix) / count(gram)) over the gold side; the unigram prefix count
-    # (the gold length) is added per row below, so here a missing prefix contributes log2(1) = 0.
-    info = matched.join(
-        gold,
-        (matched.row_id == gold.row_id) & (gold.pn == matched.n - 1) & (gold.pg == matched.prefix),
-        "left",
-    ).select(
-        matched.row_id, "n", "cg", "cp",
-        (F.least("cg", "cp") * (F.log2(F.coalesce(F.col("pc"), F.lit(1))) - F.log2("cg"))).alias("w"),
+    matched = (F.col("cg") > 0) & (F.col("cp") > 0)
+    child = F.when(matched & (F.col("n") > 1), F.least("cg", "cp")).otherwise(F.lit(0)).cast("long")
+    roles = F.array(
+        F.struct(F.col("n").alias("lvl"), F.col("gram").alias("key"), F.col("cg").alias("cg"),
+                 F.col("cp").alias("cp"), F.lit(0).cast("long").alias("kids")),
+        F.struct((F.col("n") - 1).alias("lvl"), F.col("prefix").alias("key"), F.lit(0).cast("long").alias("cg"),
+                 F.lit(0).cast("long").alias("cp"), child.alias("kids")),
     )
-    per_row_m = counts.groupBy("row_id").agg(
-        *[F.sum(F.when(F.col("n") == k, F.least("cg", "cp")).otherwise(0)).alias(f"m{k}")
-          for k in range(1, NIST_MAX_N + 1)],
-        *[F.sum(F.when(F.col("n") == k, F.col("cp")).otherwise(0)).alias(f"tp{k}")
-          for k in range(1, NIST_MAX_N + 1)],
-    )
-    per_row_s = info.groupBy("row_id").agg(
-        *[F.sum(F.when(F.col("n") == k, F.col("w")).otherwise(0.0)).alias(f"s{k}")
-          for k in range(1, NIST_MAX_N + 1)])
-    return per_row_m.join(per_row_s, "row_id", "left")
+    contrib = counts.select("row_id", F.explode(roles).alias("r")).select("row_id", "r.*").where(F.col("lvl") >= 1)
+    keyed = contrib.groupBy("row_id", "lvl", "key").agg(
+        F.sum("cg").alias("cg"), F.sum("cp").alias("cp"), F.sum("kids").alias("kids"))
+    mm = F.least("cg", "cp")
+    own = F.when((F.col("cg") > 0) & (F.col("cp") > 0), mm * F.log2("cg")).otherwise(F.lit(0.0))
+    via = F.when(F.col("kids") > 0, F.col("kids") * F.log2("cg")).otherwise(F.lit(0.0))
+    aggs = []
+    for k in range(1, NIST_MAX_N + 1):
+        at = F.col("lvl") == k
+        aggs.append(F.sum(F.when(at, mm).otherwise(0)).alias(f"m{k}"))
+        aggs.append(F.sum(F.when(at, F.col("cp")).otherwise(0)).alias(f"tp{k}"))
+        aggs.append(F.sum(F.when(at, own).otherwise(0.0)).alias(f"_own{k}"))
+        aggs.append(F.sum(F.when(at, via).otherwise(0.0)).alias(f"_via{k}"))
+    per_row = keyed.groupBy("row_id").agg(*aggs)
+    # s_k: info of matched order-k grams; the unigram prefix count (gold length) is added later
+    s_cols = [(-F.col("_own1")).alias("s1")] + [
+        (F.col(f"_via{k - 1}") - F.col(f"_own{k}")).alias(f"s{k}") for k in range(2, NIST_MAX_N + 1)]
+    return per_row.select("row_id", *[f"m{k}" for k in range(1, NIST_MAX_N + 1)],
+                          *[f"tp{k}" for k in range(1, NIST_MAX_N + 1)], *s_cols)
 
 
 def _z(c: str) -> Column:
@@ -122,9 +136,8 @@ def nist_column(lg: Column, lp: Column) -> Column:
 
 def _token_rows(prep: DataFrame) -> DataFrame:
     """(row_id, side, pos, word): one row per token of either side (pos 0-based)."""
-    g = F.transform("g_tokens", lambda t, i: F.struct(F.lit("g").alias("side"), i.alias("pos"), t.alias("word")))
-    p = F.transform("p_tokens", lambda t, i: F.struct(F.lit("p").alias("side"), i.alias("pos"), t.alias("word")))
-    return prep.select("row_id", F.explode(F.concat(g, p)).alias("x")).select("row_id", "x.side", "x.pos", "x.word")
+    from .ngrams import _sides
+    return _sides(prep).select("row_id", "side", F.posexplode("toks").alias("pos", "word"))
 
 
 def _align(toks: DataFrame, key: str) -> DataFrame:
@@ -217,17 +230,20 @@ def rouge_l_column(g="g", p="p") -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def _soft_f1_udf(gv: pd.Series, gc: pd.Series, pv: pd.Series, pc: pd.Series) -> pd.Series:
+def _soft_f1_udf(gv: pd.Series, gc: pd.Series, pv: pd.Series, pc: pd.Series, dim: pd.Series) -> pd.Series:
+    """Per row: flattened gold / prediction token vectors (+ occurrence counts) -> soft F1."""
     out = np.zeros(len(gv), dtype=np.float64)
     for i in range(len(gv)):
-        if gv[i] is None or pv[i] is None or len(gv[i]) == 0 or len(pv[i]) == 0:
+        g, p = gv.iat[i], pv.iat[i]
+        if g is None or p is None or len(g) == 0 or len(p) == 0:
             continue
-        G = np.stack(gv[i]).astype(np.float64)
-        P = np.stack(pv[i]).astype(np.float64)
+        d = int(dim.iat[i])
+        G = np.asarray(g, dtype=np.float64).reshape(-1, d)
+        P = np.asarray(p, dtype=np.float64).reshape(-1, d)
         G /= np.linalg.norm(G, axis=1, keepdims=True)
         P /= np.linalg.norm(P, axis=1, keepdims=True)
-        wg = np.asarray(gc[i], dtype=np.float64)
-        wp = np.asarray(pc[i], dtype=np.float64)
+        wg = np.asarray(gc.iat[i], dtype=np.float64)
+        wp = np.asarray(pc.iat[i], dtype=np.float64)
         best_p = np.full(len(P), -np.inf)
         best_g = np.full(len(G), -np.inf)
         for s in range(0, len(P), 1024):  # blocks keep the similarity tile bounded
@@ -245,18 +261,20 @@ def soft_match(prep: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Token occurrences are pre-aggregated to (row, side, token, count) inside the row_id partitions,
     then looked up in the (token, embedding) table (AQE broadcasts it when its measured size is
-    small and splits skewed tokens otherwise) and regrouped per row for a blocked numpy max.
-    """
+    small and splits skewed tokens otherwise) and regrouped per row -- one row's distinct tokens,
+    flattened to one float array per side -- for a blocked numpy max."""
     toks = _token_rows(prep).groupBy("row_id", "side", "word").agg(F.count("*").alias("cnt"))
     vec = vectors.select(F.col("token").alias("word"), "embedding")
     j = toks.join(vec, "word")
+    is_g, is_p = F.col("side") == "g", F.col("side") == "p"
     per = j.groupBy("row_id").agg(
-        F.collect_list(F.when(F.col("side") == "g", F.col("embedding"))).alias("gv"),
-        F.collect_list(F.when(F.col("side") == "g", F.col("cnt"))).alias("gc"),
-        F.collect_list(F.when(F.col("side") == "p", F.col("embedding"))).alias("pv"),
-        F.collect_list(F.when(F.col("side") == "p", F.col("cnt"))).alias("pc"),
+        F.flatten(F.collect_list(F.when(is_g, F.col("embedding")))).alias("gv"),
+        F.collect_list(F.when(is_g, F.col("cnt"))).alias("gc"),
+        F.flatten(F.collect_list(F.when(is_p, F.col("embedding")))).alias("pv"),
+        F.collect_list(F.when(is_p, F.col("cnt"))).alias("pc"),
+        F.max(F.size("embedding")).alias("dim"),
     )
-    out = per.select("row_id", _soft_f1_udf("gv", "gc", "pv", "pc").alias("bertscore"))
+    out = per.select("row_id", _soft_f1_udf("gv", "gc", "pv", "pc", "dim").alias("bertscore"))
     return prep.select("row_id").join(out, "row_id", "left").select(
         "row_id", F.coalesce("bertscore", F.lit(0.0)).alias("bertscore"))
 

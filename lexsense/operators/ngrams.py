@@ -1,8 +1,7 @@
 """Set-oriented n-gram tables shared by BLEU, NIST and sacreBLEU.
 
 One row per (row_id, n, gram) with the gold count ``cg`` and prediction count ``cp``. Grams are
-built per row with array functions (linear in the text length: each gram is a slice of the token
-array) and exploded once; counting is a hash aggregate keyed by ``row_id`` first, so when the input
+generated per row (linear in the text length: each gram is a slice of the token array); counting is a hash aggregate keyed by ``row_id`` first, so when the input
 is hash-partitioned on ``row_id`` no further exchange is needed.
 """
 from __future__ import annotations
@@ -11,25 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _grams(toks: Column, side: str, max_n: int) -> Column:
-    """array<struct<side,n,gram>> of all 1..max_n-grams of a token array (joined by one space)."""
-    size = F.size(toks)
-
-    def order(n):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            F.lit(side).alias("side"), n.alias("n"),
-            F.array_join(F.slice(toks, i, n), " ").alias("gram")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), order))
+def _sides(prepared: DataFrame) -> DataFrame:
+    """(row_id, side, toks): the gold and the prediction token arrays as two rows."""
+    return prepared.select("row_id", F.explode(F.array(
+        F.struct(F.lit("g").alias("side"), F.col("g_tokens").alias("toks")),
+        F.struct(F.lit("p").alias("side"), F.col("p_tokens").alias("toks")))).alias("s")).select(
+        "row_id", "s.side", "s.toks")
 
 
 def gram_counts(prepared: DataFrame, max_n: int = 5) -> DataFrame:
-    """(row_id, n, gram, prefix, cg, cp) from a frame with row_id, g_tokens, p_tokens."""
-    both = F.concat(_grams(F.col("g_tokens"), "g", max_n), _grams(F.col("p_tokens"), "p", max_n))
-    ex = prepared.select("row_id", F.explode(both).alias("x")).select(
-        "row_id", F.col("x.side").alias("side"), F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
-    return ex.groupBy("row_id", "n", "gram").agg(
+    """(row_id, n, gram, prefix, cg, cp) from a frame with row_id, g_tokens, p_tokens.
+
+    Built with generators only (position, then order) and ``slice``/``array_join``, so the whole
+    chain runs in one code-generated stage; each gram is a slice, so the work is linear in the
+    text length."""
+    pos = _sides(prepared).select("row_id", "side", "toks", F.posexplode("toks").alias("pos", "_tok"))
+    grams = pos.select("row_id", "side", "toks", "pos",
+                       F.explode(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("toks") - F.col("pos")))).alias("n"))
+    grams = grams.select("row_id", "side", "n",
+                         F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ").alias("gram"))
+    return grams.groupBy("row_id", "n", "gram").agg(
         F.sum(F.when(F.col("side") == "g", 1).otherwise(0)).cast("long").alias("cg"),
         F.sum(F.when(F.col("side") == "p", 1).otherwise(0)).cast("long").alias("cp"),
     ).withColumn("prefix", F.expr("case when n > 1 then substring_index(gram, ' ', n - 1) end"))
