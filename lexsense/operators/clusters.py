@@ -159,14 +159,14 @@ def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, by, max_rounds: int = 100,
-                         checkpoint_every: int = 1) -> DataFrame:
+                         checkpoint_every: int = 1, init: DataFrame | None = None) -> DataFrame:
     """Min-label propagation with pointer jumping: every node ends with the smallest id of its
-    component. The driver loop only counts changed labels; lineage is cut with a reliable
-    checkpoint to ``spark.checkpoint.dir`` every few rounds."""
+    component. ``init`` may give starting labels (by, id, l). The driver loop only counts
+    changed labels; lineage is cut with a reliable checkpoint to ``spark.checkpoint.dir``."""
     by = list(by)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    lab = nodes.select(*by, "id", F.col("id").alias("l"))
+    lab = init if init is not None else nodes.select(*by, "id", F.col("id").alias("l"))
     e = edges.select(*by, "i", "j").checkpoint(eager=True)  # computed once, read every round
     for rnd in range(max_rounds):
         # smallest label among the neighbours
@@ -206,10 +206,16 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK
     with_core = pts.join(core, by + ["id"])
     tiles = _block_pairs(_packed(with_core, by, block, ("id", "v", "core")), by, ("id", "v", "core"))
     stars = _local_stars(tiles, by, eps)
-    edges = stars.select(*by, F.col("id").alias("i"), F.col("root").alias("j")).unionByName(
-        stars.select(*by, F.col("root").alias("i"), F.col("id").alias("j"))).where(F.col("i") != F.col("j"))
-    members = stars.select(*by, "id").distinct()
-    comp = connected_components(edges, members, by)
+    # Tile components are final unless some node sits in two tile components with different
+    # roots; one aggregation decides whether the propagation loop is needed at all.
+    stars = stars.checkpoint(eager=True)
+    first = stars.groupBy(*by, "id").agg(F.min("root").alias("l"), F.countDistinct("root").alias("_k"))
+    if first.where(F.col("_k") > 1).limit(1).count() == 0:
+        comp = first.select(*by, "id", "l")
+    else:
+        edges = stars.select(*by, F.col("id").alias("i"), F.col("root").alias("j")).unionByName(
+            stars.select(*by, F.col("root").alias("i"), F.col("id").alias("j"))).where(F.col("i") != F.col("j"))
+        comp = connected_components(edges, None, by, init=first.select(*by, "id", "l"))
     out = pts.select(*by, "id").join(comp, by + ["id"], "left") \
         .select(*by, F.col("id").alias(id_col), F.coalesce("l", F.lit(-1)).cast("long").alias("label"))
     return out
