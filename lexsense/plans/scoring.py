@@ -50,3 +50,46 @@ _metric_query("e8_score_definitions", ALL)
 def a2_summarise_definitions(spark: SparkSession, sf: str) -> DataFrame:
     s = summarise_definitions(scored(spark, sf, ALL), by=("model", "dataset"), metrics=ALL)
     return s.select("model", "dataset", "n_rows", *[r6(m).alias(m) for m in ALL])
+
+
+# ---------------------------------------------------------------- M5 with the stem stage
+
+def _suffix_stem(word):
+    """A supplied (word, stem) table for the stem stage: a plain suffix rule stands in for the
+    stemmer the reference calls (the stage takes any such table)."""
+    return F.when(F.length(word) > 4, F.regexp_replace(word, "(ing|ed|es|s)$", "")).otherwise(word)
+
+
+_STEM_SQL = {
+    "st": "select distinct word, case when length(word) > 4 then regexp_replace(word, '(ing|ed|es|s)$', '') "
+          "else word end as stem from tp",
+    "un": "select t.row_id, t.side, t.pos, coalesce(st.stem, t.word) as stem from tp t left join st on st.word = t.word "
+          "where not exists (select 1 from mt where mt.row_id = t.row_id and "
+          "((t.side = 'p' and mt.pp = t.pos) or (t.side = 'g' and mt.gp = t.pos)))",
+    "rk2": "select *, row_number() over (partition by row_id, side, stem order by pos desc) as rk from un",
+    "mts": "select p.row_id, p.pos as pp, g.pos as gp from rk2 p join rk2 g on p.row_id = g.row_id and p.stem = g.stem "
+           "and p.rk = g.rk where p.side = 'p' and g.side = 'g'",
+    "allm": "select * from mt union all select * from mts",
+    "mt2": "select row_id, pp, gp, case when lag(pp) over (partition by row_id order by pp) = pp - 1 "
+           "and lag(gp) over (partition by row_id order by pp) = gp - 1 then 0 else 1 end as st from allm",
+}
+
+
+def _stem_sql() -> str:
+    from ..oracle import DG_CTES, r6 as q6, with_views
+    ctes = {k: DG_CTES[k] for k in ("prep", "tk", "sides", "tp", "rk", "mt")}
+    ctes.update({k: v for k, v in _STEM_SQL.items()})
+    ctes["me"] = DG_CTES["me"]
+    body = f"select tk.row_id, tk.g as gloss, tk.p as answer, {q6('me.meteor')} as meteor from tk join me on me.row_id = tk.row_id"
+    return with_views(body, "v_pairs", extra=ctes)
+
+
+@query("m5_meteor_stems", _stem_sql())
+def m5_meteor_stems(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = fx.pairs(spark, sf)
+    prep = M.prepare(pairs)
+    words = M._token_rows(prep).select("word").distinct()
+    stems = words.select("word", _suffix_stem(F.col("word")).alias("stem"))
+    m = M.meteor(prep, stems)
+    return prep.select("row_id", F.col("g").alias("gloss"), F.col("p").alias("answer")).join(m, "row_id").select(
+        "row_id", "gloss", "answer", r6("meteor").alias("meteor"))

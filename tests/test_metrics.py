@@ -111,3 +111,15 @@ def test_scores_do_not_depend_on_partitioning(spark):
     a = _score(spark, rows, partitions=1)
     b = _score(spark, rows, partitions=7)
     assert a == b
+
+
+def test_meteor_stem_stage(spark):
+    df = spark.createDataFrame([(0, "the dogs were running home", "a dog runs home")], "row_id long, gloss string, answer string")
+    prep = M.prepare(df)
+    stems = spark.createDataFrame([("dogs", "dog"), ("running", "run"), ("runs", "run")], "word string, stem string")
+    exact = M.meteor(prep).first().meteor
+    staged = M.meteor(prep, stems).first().meteor
+    # exact: only "home" matches; with stems dog/dogs and runs/running match too
+    P, R = 3 / 4, 3 / 5
+    assert staged == pytest.approx((1 - 0.5 * (2 / 3) ** 3) * P * R / (0.9 * P + 0.1 * R))
+    assert exact == pytest.approx((1 - 0.5 * 1.0) * (1 / 4) * (1 / 5) / (0.9 / 4 + 0.1 / 5))
