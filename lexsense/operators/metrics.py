@@ -30,15 +30,21 @@ NIST_MAX_N = 5
 
 def prepare(pairs: DataFrame, gold: str = "gloss", pred: str = "answer",
             partitions: int | None = None) -> DataFrame:
-    """(row_id, g, p, g_tokens, p_tokens, lg, lp), hash-partitioned on row_id."""
-    df = pairs.select(
-        "row_id", normalise(gold).alias("g"), normalise(pred).alias("p"),
-    ).select("row_id", "g", "p", tokens("g").alias("g_tokens"), tokens("p").alias("p_tokens"))
-    df = df.withColumn("lg", F.size("g_tokens")).withColumn("lp", F.size("p_tokens"))
+    """(row_id, g, p, g_tokens, p_tokens, lg, lp), hash-partitioned on row_id.
+
+    Only (row_id, g_tokens, p_tokens) cross the exchange; the normalised texts are the tokens
+    joined by one space and the lengths their sizes, both derived after it. Every metric branch
+    therefore reads an identical exchange, which Spark shuffles once and reuses."""
+    # the explicit not-null filter equals what joins on row_id would infer and push below the
+    # exchange in some branches only, so all branches keep an identical (reusable) exchange
+    df = pairs.where(F.col("row_id").isNotNull()).select(
+        "row_id", tokens(normalise(gold)).alias("g_tokens"), tokens(normalise(pred)).alias("p_tokens"))
     # An explicit count keeps AQE from coalescing this exchange: the work after it (grams,
     # alignments, LCS) is compute-heavy per row, so it wants all the partitions it can get.
     n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "row_id")
+    df = df.repartition(n, "row_id")
+    return df.select("row_id", F.array_join("g_tokens", " ").alias("g"), F.array_join("p_tokens", " ").alias("p"),
+                     "g_tokens", "p_tokens", F.size("g_tokens").alias("lg"), F.size("p_tokens").alias("lp"))
 
 
 # ---------------------------------------------------------------- BLEU, NIST, sacreBLEU
@@ -141,12 +147,16 @@ def _token_rows(prep: DataFrame) -> DataFrame:
 
 
 def _align(toks: DataFrame, key: str) -> DataFrame:
-    """Match the k-th-from-last p token with the k-th-from-last g token of equal ``key``."""
+    """Match the k-th-from-last p token with the k-th-from-last g token of equal ``key``.
+
+    Both sides are ranked from the end per (row, side, key); a match is a (row, key, rank) that
+    both sides have, found with one aggregation (keyed by row_id first, so no exchange)."""
     w = Window.partitionBy("row_id", "side", key).orderBy(F.col("pos").desc())
     r = toks.withColumn("rk", F.row_number().over(w))
-    p = r.where(F.col("side") == "p").select("row_id", key, "rk", F.col("pos").alias("p_pos"))
-    g = r.where(F.col("side") == "g").select("row_id", key, "rk", F.col("pos").alias("g_pos"))
-    return p.join(g, ["row_id", key, "rk"]).select("row_id", "p_pos", "g_pos")
+    m = r.groupBy("row_id", key, "rk").agg(
+        F.max(F.when(F.col("side") == "p", F.col("pos"))).alias("p_pos"),
+        F.max(F.when(F.col("side") == "g", F.col("pos"))).alias("g_pos"))
+    return m.where(F.col("p_pos").isNotNull() & F.col("g_pos").isNotNull()).select("row_id", "p_pos", "g_pos")
 
 
 def meteor(prep: DataFrame, stems: DataFrame | None = None) -> DataFrame:
@@ -299,7 +309,10 @@ NGRAM_METRICS = ("nltk_bleu", "nist", "sacrebleu")
 
 def score_rows(prep: DataFrame, metrics=METRICS, vectors: DataFrame | None = None,
                stems: DataFrame | None = None) -> DataFrame:
-    """(row_id, g, p, <metric>...) for the chosen metrics over prepared pairs."""
+    """(row_id, g, p, <metric>...) for the chosen metrics over prepared pairs.
+
+    Every branch reads the same (row_id, g_tokens, p_tokens) exchange (texts and lengths are
+    derived after it), so Spark reuses one shuffle of the input for all of them."""
     metrics = [m for m in METRICS if m in metrics]
     if "bertscore" in metrics and vectors is None:
         raise ValueError("bertscore needs a (token, embedding) table")
