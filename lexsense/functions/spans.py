@@ -20,8 +20,8 @@ def parse_span(indexes, example) -> tuple[Column, Column]:
     s_try = F.try_element_at(parts, F.lit(1)).try_cast("int")
     e_try = F.try_element_at(parts, F.lit(2)).try_cast("int")
     ok = (F.size(parts) == 2) & s_try.isNotNull() & e_try.isNotNull()
-    start = F.when(ok, s_try).otherwise(F.element_at(parts, 1).cast("int"))
-    end = F.when(ok, e_try).otherwise(F.length(_c(example)))
+    start = F.when(ok, s_try).otherwise(F.element_at(parts, 1).cast("int")).cast("long")
+    end = F.when(ok, e_try).otherwise(F.length(_c(example))).cast("long")
     return start, end
 
 
@@ -48,8 +48,8 @@ def token_span(text, index) -> tuple[Column, Column]:
     """Whitespace token ``index`` of ``text`` -> (start, end) measured on the single-space join."""
     toks = py_split(text)
     i = _c(index)
-    before = F.length(F.array_join(F.slice(toks, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)
-    return before, before + F.length(F.element_at(toks, i + 1))
+    before = (F.length(F.array_join(F.slice(toks, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)).cast("long")
+    return before, before + F.length(F.element_at(toks, i + 1)).cast("long")
 
 
 def dialog(target, example, gloss=None) -> Column:

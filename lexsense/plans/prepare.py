@@ -204,7 +204,8 @@ _E4_CTES = {
     "p": "select *, string_split(indexes_target_token, ':') as parts from j",
     "q": "select *, (len(parts) = 2 and try_cast(parts[1] as int) is not null and try_cast(parts[2] as int) is not null) as ok "
          "from p",
-    "sp": "select *, cast(parts[1] as int) as s, case when ok then cast(parts[2] as int) else length(example) end as e from q",
+    "sp": "select *, cast(parts[1] as bigint) as s, case when ok then cast(parts[2] as bigint) else length(example) end as e "
+          "from q",
     "qt": f"select *, {q_quote('example', 's', 'e')} as quoted from sp",
     "wd": "select * from qt, (values (null::int), (25), (50), (75), (100)) v(width)",
 }
@@ -360,7 +361,7 @@ def p14_render_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w6_pack", with_views(
-    "select gpos // 512 as block, count(*) as n_tokens, min(doc_id) as first_doc, max(doc_id) as last_doc, "
+    "select cast(gpos // 512 as bigint) as block, count(*) as n_tokens, min(doc_id) as first_doc, max(doc_id) as last_doc, "
     "string_agg(tok, ' ' order by gpos) as text from x where gpos // 512 < total // 512 group by 1",
     extra={
         "d": f"select doc_id, list_append({q_split('text')}, '</s>') as toks from documents",

@@ -117,7 +117,8 @@ _BOX = {
     f'select "Metric", {q6("q1")} as q1, {q6("median")} as median, {q6("q3")} as q3, '
     f'{q6("min(case when inside then " + _q("Value") + " end)")} as whisker_lo, '
     f'{q6("max(case when inside then " + _q("Value") + " end)")} as whisker_hi, '
-    'sum(case when inside then 0 else 1 end) as n_outliers, count(*) as n from bx group by "Metric", q1, median, q3',
+    'cast(sum(case when inside then 0 else 1 end) as bigint) as n_outliers, count(*) as n from bx '
+    'group by "Metric", q1, median, q3',
     "v_results", extra={**_RES, **_BOX}))
 def a14_e12_summarise_wsi(spark: SparkSession, sf: str) -> DataFrame:
     b = SU.box_summary(_melted(spark, sf), ["Metric"], "Value")
