@@ -18,3 +18,15 @@ def spearman(df: DataFrame, by, x: str, y: str, out: str = "spearman") -> DataFr
     by = list(by)
     r = average_rank(average_rank(df, by, x, "_rx"), by, y, "_ry")
     return r.groupBy(*by).agg(F.corr("_rx", "_ry").alias(out))
+
+
+def spearman_columns(ranked_x: str, ys_ranked) -> list:
+    """Aggregate expressions: Pearson of average ranks, one per (rank column, output name)."""
+    return [F.corr(ranked_x, r).alias(out) for r, out in ys_ranked]
+
+
+def with_ranks(df: DataFrame, by, cols) -> DataFrame:
+    """Average ranks of several columns within ``by`` (one window each)."""
+    for c in cols:
+        df = average_rank(df, by, c, f"_r_{c}")
+    return df

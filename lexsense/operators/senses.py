@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import answered
 from . import clusters as C
 from . import vectors as V
-from .ranks import spearman
+from .ranks import spearman, spearman_columns, with_ranks
 
 
 def keep_first(usages: DataFrame, keys, order: str = "line_no") -> DataFrame:
@@ -68,25 +68,19 @@ def limit_gold(gold: DataFrame, targets: DataFrame) -> DataFrame:
 
 def run_record(scores: DataFrame, gold: DataFrame, run_keys=()) -> DataFrame:
     """E10 + E11 record per run: ARI, RI, PUR means over gold lemmas (A3), Spearman of APD and
-    APDP with the graded change (A13), cluster counts as arrays in gold order (R4)."""
+    APDP with the graded change (A13), cluster counts as arrays in gold order (R4).
+
+    Ranks are windows over one run's lemmas; everything else is a single aggregation per run, so
+    the record needs no join at all."""
     run_keys = list(run_keys)
     g = gold.select("lemma", "change_graded", "line_no")
     j = scores.withColumnRenamed("target", "lemma").join(g, "lemma")
-    means = j.groupBy(*run_keys).agg(
+    j = with_ranks(j, run_keys, ["change_graded", "APD", "APDP"])
+    agg = j.groupBy(*run_keys) if run_keys else j.groupBy()
+    return agg.agg(
         F.avg("ARI").alias("ARI"), F.avg("RI").alias("RI"), F.avg("PUR").alias("PUR"),
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "n_cluster"))), lambda x: x["n_cluster"])
         .alias("n_cluster"),
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "n_true_cluster"))), lambda x: x["n_true_cluster"])
-        .alias("n_true_cluster"))
-    apd = spearman(j, run_keys, "change_graded", "APD", "APD")
-    apdp = spearman(j, run_keys, "change_graded", "APDP", "APDP")
-    if run_keys:
-        return means.join(apd, run_keys).join(apdp, run_keys)
-    return _one_row_join(means, apd, apdp)
-
-
-def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    out = dfs[0].withColumn("_k", F.lit(1))
-    for d in dfs[1:]:
-        out = out.join(d.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+        .alias("n_true_cluster"),
+        *spearman_columns("_r_change_graded", [("_r_APD", "APD"), ("_r_APDP", "APDP")]))

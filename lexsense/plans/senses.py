@@ -9,7 +9,7 @@ from ..operators import clusters as C
 from ..operators import pairs as PR
 from ..operators import senses as SE
 from ..operators import vectors as V
-from ..operators.ranks import average_rank, spearman
+from ..operators.ranks import average_rank, spearman_columns, with_ranks
 from ..oracle import r6 as q6, with_views
 from ..session import table
 from .registry import query, r6
@@ -262,9 +262,9 @@ def a13_spearman(spark: SparkSession, sf: str) -> DataFrame:
     s = _scores(spark, sf)
     g = _gold(spark, sf, s.select("target"))
     j = s.join(g.withColumnRenamed("lemma", "target"), "target")
-    a = spearman(j, [], "change_graded", "APD", "APD")
-    b = spearman(j, [], "change_graded", "APDP", "APDP")
-    return SE._one_row_join(a, b).select(r6("APD").alias("APD"), r6("APDP").alias("APDP"))
+    r = with_ranks(j, [], ["change_graded", "APD", "APDP"])
+    out = r.groupBy().agg(*spearman_columns("_r_change_graded", [("_r_APD", "APD"), ("_r_APDP", "APDP")]))
+    return out.select(r6("APD").alias("APD"), r6("APDP").alias("APDP"))
 
 
 # ---------------------------------------------------------------- V3 density clustering
