@@ -1,0 +1,6 @@
+"""Structured Streaming: intentionally empty.
+
+The reference has no unbounded input, event time, watermark or stateful operator; its "stream"
+of work is the list of runs without outputs, which is the batch anti join
+``lexsense.operators.runs.pending_runs`` (J12 / E13).
+"""
