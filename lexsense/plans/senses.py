@@ -289,3 +289,39 @@ def v3_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(
         F.concat(F.lit("t"), (F.col("vec_id") % 8).cast("string")).alias("target"), F.col("vec_id").alias("id"), "embedding")
     return C.density_clusters(e, ["target"], eps=0.7).select("target", "id", "label")
+
+
+# ---------------------------------------------------------------- E10 + E11 with clustering (V3 labels)
+
+_CLUSTER_CTES = {
+    "fu": "select target, line_no as id, list_transform(embedding, lambda x: x::double) as v from firsts",
+    "d": "select a.target, a.id as i, b.id as j, case when a.id = b.id then 0 else 1 - list_cosine_similarity(a.v, b.v) end "
+         "as dist from fu a join fu b on a.target = b.target",
+    "core": "select i, dist as cd from (select *, row_number() over (partition by target, i order by dist, j) as rn from d) x "
+            "where rn = 2",
+    "e": "select d.i, d.j from d join core x on x.i = d.i join core y on y.i = d.j where greatest(d.dist, x.cd, y.cd) <= 0.7",
+    "r(i, j)": "select i, j from e union select r.i, e.j from r join e on e.i = r.j",
+    "lab0": "select i, min(j) as l from r group by i",
+    "lab": "select f.target, f.gloss, coalesce(lab0.l, -1) as label from firsts f left join lab0 on lab0.i = f.line_no",
+}
+
+
+def _clustered_sql() -> str:
+    from ..oracle import VIEWS
+    parts = [f"v_usages as ({VIEWS['v_usages']}\n)", f"v_gold as ({VIEWS['v_gold']}\n)",
+             f"u as ({_U['u']})", f"firsts as ({_U['firsts']})"]
+    parts += [f"{k} as ({v})" for k, v in _CLUSTER_CTES.items()]
+    parts += [f"{k} as ({v})" for k, v in _U.items() if k not in ("u", "firsts", "lab")]
+    parts += [f"{k} as ({v})" for k, v in _GOLD.items()]
+    return "with recursive " + ",\n".join(parts) + "\n" + _RUN_BODY
+
+
+@query("e10_e11_with_clusters", _clustered_sql())
+def e10_e11_with_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """E10 + E11 as the reference runs them: the de-duplicated glosses of each target are
+    clustered (V3), labels are spread to every usage (J8), then scored."""
+    u, vectors, _ = _usage_parts(spark, sf)
+    _, _, scores = SE.sense_scores(u, vectors, ["target"], labels=None, eps=0.7)
+    rec = SE.run_record(scores, _gold(spark, sf, scores.select("target")))
+    return rec.select(r6("ARI").alias("ARI"), r6("RI").alias("RI"), r6("PUR").alias("PUR"),
+                      "n_cluster", "n_true_cluster", r6("APD").alias("APD"), r6("APDP").alias("APDP"))
