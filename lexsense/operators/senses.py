@@ -5,13 +5,13 @@ keys and the target are columns of one DataFrame, so a single job covers a whole
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import answered
 from . import clusters as C
 from . import vectors as V
-from .ranks import spearman, spearman_columns, with_ranks
+from .ranks import spearman_columns, with_ranks
 
 
 def keep_first(usages: DataFrame, keys, order: str = "line_no") -> DataFrame:

@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..functions import spans as S
 from ..functions import text as X
 from ..operators import records as R
-from ..oracle import PUNCT_CLASS, WS_CLASS, r6 as sql_r6, sql_normalise, sql_tokens, with_views
+from ..oracle import WS_CLASS, r6 as sql_r6, sql_normalise, sql_tokens, with_views
 from ..session import table
 from .registry import query, r6
 

@@ -17,9 +17,10 @@ from .senses import _WIC, _wic
 DATASET_NAMES = {"wordnet_test": "WordNet", "oxford_test": "Oxford"}
 DATASET_OTHER = "CoDWoe"
 SWEEP_DATASETS = ("oxford_test", "en-codwoe_test", "wordnet_test")
-# Generator display names; the fixture's brands stand in for the model ids.
-MODEL_NAMES = {"Brand#1": "Flan-T5", "Brand#2": "Llama2Dict."}
-MODEL_OTHER = "Llama3Dict."
+# Generator display names (a parameter of the summaries); the fixture's brands stand in for the
+# model ids, and the labels are neutral placeholders.
+MODEL_NAMES = {"Brand#1": "gen-A", "Brand#2": "gen-B"}
+MODEL_OTHER = "gen-C"
 KEPT_MODELS = ("Brand#1", "Brand#2", "Brand#3")
 ENCODER = "STANDARD"
 
@@ -73,7 +74,7 @@ def e12_summarise_sweep(spark: SparkSession, sf: str, metric: str = "nltk_bleu")
 
 _RES = {
     "rr": "select case when suffix = '' then 150 else cast(suffix as bigint) end as suffix, filter_, "
-          "case ft_model_name when 'Brand#1' then 'Flan-T5' when 'Brand#2' then 'Llama2Dict.' else 'Llama3Dict.' end "
+          "case ft_model_name when 'Brand#1' then 'gen-A' when 'Brand#2' then 'gen-B' else 'gen-C' end "
           "as ft_model_name, model, \"ARI\", \"PUR\", \"RI\", \"APD\", \"APDP\" from v_results",
     "kept": "select * from v_results where ft_model_name in ('Brand#1', 'Brand#2', 'Brand#3') and model = 'STANDARD'",
     "melted": "select case when suffix = '' then 150 else cast(suffix as bigint) end as suffix, filter_, ft_model_name, "
