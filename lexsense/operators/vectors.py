@@ -60,16 +60,24 @@ def centroids(df: DataFrame, keys, vec: str = "embedding", out: str = "centroid"
 def mean_shift(usages: DataFrame, by, period: str = "grouping", vec: str = "embedding",
                first: int = 1, second: int = 2) -> DataFrame:
     """A10 (APD): mean cosine distance over all cross-period pairs, in closed form
-    ``1 - mean(u1) . mean(u2)`` of the unit vectors: linear, no pair is formed. Null if a period is
+    ``1 - (sum u1) . (sum u2) / (n1 n2)`` of the unit vectors: linear, no pair is formed.
+
+    Per (group, dimension) the two periods' component sums are partial + final aggregates (a hot
+    group is combined map-side); a second aggregation takes the dot product. Null if a period is
     empty (the reference gives NaN)."""
     by = list(by)
-    u = usages.select(*by, period, unit(vec).alias("_u"))
-    c = centroids(u, by + [period], "_u", "_c")
-    a = c.where(F.col(period) == first).select(*by, F.col("_c").alias("_a"))
-    b = c.where(F.col(period) == second).select(*by, F.col("_c").alias("_b"))
-    keys = usages.select(*by).distinct()
-    j = keys.join(a, by, "left").join(b, by, "left")
-    return j.select(*by, (F.lit(1.0) - dot("_a", "_b")).alias("APD"))
+    ex = usages.select(*by, period, F.posexplode(unit(vec)).alias("_d", "_x"))
+    p1, p2 = F.col(period) == first, F.col(period) == second
+    per_d = ex.groupBy(*by, "_d").agg(
+        F.sum(F.when(p1, F.col("_x")).otherwise(0.0)).alias("_s1"),
+        F.sum(F.when(p2, F.col("_x")).otherwise(0.0)).alias("_s2"),
+        F.sum(F.when(p1, 1).otherwise(0)).alias("_n1"),
+        F.sum(F.when(p2, 1).otherwise(0)).alias("_n2"))
+    out = per_d.groupBy(*by).agg(F.sum(F.col("_s1") * F.col("_s2")).alias("_dot"),
+                                 F.max("_n1").alias("_n1"), F.max("_n2").alias("_n2"))
+    apd = F.when((F.col("_n1") > 0) & (F.col("_n2") > 0),
+                 F.lit(1.0) - F.col("_dot") / (F.col("_n1").cast("double") * F.col("_n2")))
+    return out.select(*by, apd.alias("APD"))
 
 
 def centroid_shift(usages: DataFrame, by, label: str = "label", period: str = "grouping",
