@@ -344,9 +344,12 @@ def score_definitions(pairs: DataFrame, metrics=METRICS, vectors: DataFrame | No
     """Every prediction row with its normalised gold / answer and one column per metric.
 
     ``pairs`` holds row_id, gloss, answer and the ``keep`` columns (answers already zipped to
-    their inputs by ``line_no``, see ``sources.zip_lines``).
+    their inputs by ``line_no``, see ``sources.zip_lines``). ``vectors`` is a (token, embedding)
+    table or a function building one from the prepared pairs.
     """
     prep = prepare(pairs)
+    if callable(vectors):  # a table built from the prepared tokens shares their exchange
+        vectors = vectors(prep)
     scored = score_rows(prep, metrics, vectors, stems)
     keep = [k for k in keep if k in pairs.columns]
     if not keep:

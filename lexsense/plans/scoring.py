@@ -13,15 +13,17 @@ from .registry import query, r6
 ALL = list(M.METRICS)
 
 
-def _vectors(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
-    prep = pairs.select(M.normalise("gloss").alias("g"), M.normalise("answer").alias("p"))
-    toks = prep.select(F.explode(F.concat(M.tokens("g"), M.tokens("p"))).alias("token"))
-    return fx.token_vectors(spark, sf, toks)
+def _vectors(spark: SparkSession, sf: str):
+    """Token vectors for M7, built from the prepared (normalised) tokens of the pairs."""
+    def build(prep: DataFrame) -> DataFrame:
+        toks = prep.select(F.explode(F.concat("g_tokens", "p_tokens")).alias("token"))
+        return fx.token_vectors(spark, sf, toks)
+    return build
 
 
 def scored(spark: SparkSession, sf: str, metrics=ALL) -> DataFrame:
     pairs = fx.pairs(spark, sf)
-    vec = _vectors(spark, sf, pairs) if "bertscore" in metrics else None
+    vec = _vectors(spark, sf) if "bertscore" in metrics else None
     return M.score_definitions(pairs, metrics, vectors=vec)
 
 
