@@ -23,6 +23,8 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lexsense-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from lexsense.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
