@@ -295,13 +295,34 @@ def exact_match_column(g="g", p="p") -> Column:
     return (F.col(g) == F.col(p)).cast("double")
 
 
-# Metric name -> function (prepared pairs, options) -> (row_id, value)
+def _ngram_metric(name: str):
+    def run(prep: DataFrame, **kw) -> DataFrame:
+        cols = {"nltk_bleu": bleu_column, "nist": nist_column, "sacrebleu": sacrebleu_column}
+        j = prep.select("row_id", "lg", "lp").join(ngram_stats(prep), "row_id", "left")
+        return j.select("row_id", cols[name]("cast(lg as double)", "cast(lp as double)").alias(name))
+    return run
+
+
+# Metric name -> function (prepared pairs, options) -> (row_id, value), chosen by name as
+# the reference's evaluator registry is; ``score_rows`` computes several at once and shares work.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "rougeL": lambda prep, **kw: prep.select("row_id", rouge_l_column().alias("rougeL")),
-    "exact_match": lambda prep, **kw: prep.select("row_id", exact_match_column().alias("exact_match")),
+    "nltk_bleu": _ngram_metric("nltk_bleu"),
+    "nist": _ngram_metric("nist"),
+    "sacrebleu": _ngram_metric("sacrebleu"),
     "meteor": lambda prep, stems=None, **kw: meteor(prep, stems),
     "bertscore": lambda prep, vectors=None, **kw: soft_match(prep, vectors),
+    "exact_match": lambda prep, **kw: prep.select("row_id", exact_match_column().alias("exact_match")),
 }
+
+
+def metric_table(prep: DataFrame, name: str, **options) -> DataFrame:
+    """One metric by name: (row_id, <name>)."""
+    if name not in REGISTRY:
+        raise KeyError(f"unknown metric {name!r}; known: {sorted(REGISTRY)}")
+    return REGISTRY[name](prep, **options)
+
+
 NGRAM_METRICS = ("nltk_bleu", "nist", "sacrebleu")
 
 

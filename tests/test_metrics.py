@@ -123,3 +123,14 @@ def test_meteor_stem_stage(spark):
     P, R = 3 / 4, 3 / 5
     assert staged == pytest.approx((1 - 0.5 * (2 / 3) ** 3) * P * R / (0.9 * P + 0.1 * R))
     assert exact == pytest.approx((1 - 0.5 * 1.0) * (1 / 4) * (1 / 5) / (0.9 / 4 + 0.1 / 5))
+
+
+def test_registry_matches_joint_scoring(spark):
+    df = spark.createDataFrame([(i, g, p) for i, (g, p, *_) in enumerate(HAND)], "row_id long, gloss string, answer string")
+    prep = M.prepare(df)
+    joint = {r.row_id: r for r in M.score_rows(prep, NAMES).collect()}
+    for name in NAMES:
+        single = {r.row_id: r[name] for r in M.metric_table(prep, name).collect()}
+        assert single == pytest.approx({k: v[name] for k, v in joint.items()})
+    with pytest.raises(KeyError):
+        M.metric_table(prep, "bleurt")
