@@ -77,9 +77,10 @@ def read_dictionary_csv(spark: SparkSession, path: str, schema: T.StructType = D
 
 def read_tsv_lines(spark: SparkSession, path: str, names, per_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """Headerless TSV, quoting off. Returns (rows, rejected): a line with more fields than
-    names is rejected (pandas warns and skips it); a shorter line is null-filled and kept. Line
-    numbers are physical, counted before any line is dropped."""
-    lines = text_lines(spark, path, per_file=per_file)
+    names is rejected (pandas warns and skips it); a shorter line is null-filled and kept; a
+    blank line is skipped. Line numbers are physical, counted before any line is dropped."""
+    # pandas skips blank lines (skip_blank_lines); numbering stays physical
+    lines = text_lines(spark, path, per_file=per_file).where(F.col("value") != "")
     parts = F.split("value", "\t")
     n = len(names)
     fields = [F.try_element_at(parts, F.lit(i + 1)).alias(nm) for i, nm in enumerate(names)]

@@ -42,9 +42,11 @@ def test_tsv_lines_bad_and_short(spark, tmpdir_path):
         fh.write("a%1\tx\ty\tgloss one\tz\tw\n")
         fh.write("b%2\tx\ty\tgloss two\tz\tw\textra\n")   # too many fields: rejected
         fh.write("c%3\tx\ty\n")                           # too few: kept, null-filled
+        fh.write("\n")                                    # blank: skipped
+        fh.write("d%4\tx\ty\tgloss four\tz\tw\n")
     ok, bad = IO.read_tsv_lines(spark, p, IO.SENSE_LINE)
     got = sorted((r.line_no, r.sense, r.gloss) for r in ok.collect())
-    assert got == [(0, "a%1", "gloss one"), (2, "c%3", None)]
+    assert got == [(0, "a%1", "gloss one"), (2, "c%3", None), (4, "d%4", "gloss four")]
     assert [(r.line_no, r.n_fields) for r in bad.collect()] == [(1, 7)]
 
 
