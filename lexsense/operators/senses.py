@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import answered
+from ..functions.text import answered, strip_pos
 from . import clusters as C
 from . import vectors as V
 from .ranks import spearman_columns, with_ranks
@@ -62,8 +62,9 @@ def sense_scores(usages: DataFrame, vectors: DataFrame, keys=("target",), labels
 
 
 def limit_gold(gold: DataFrame, targets: DataFrame) -> DataFrame:
-    """Gold lemmas (``_nn`` / ``_vb`` stripped upstream) limited to known targets."""
-    return gold.join(targets.select(F.col("target").alias("lemma")).distinct(), "lemma", "left_semi")
+    """Gold lemmas, part-of-speech suffixes stripped (P9), limited to known targets."""
+    g = gold.withColumn("lemma", strip_pos("lemma"))
+    return g.join(targets.select(F.col("target").alias("lemma")).distinct(), "lemma", "left_semi")
 
 
 def run_record(scores: DataFrame, gold: DataFrame, run_keys=()) -> DataFrame:
