@@ -61,9 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_READERS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the driver's parquet tables. The reader (file listing, footer schema) is kept per
+    SparkContext and path: a plan, not data, so repeated queries skip re-listing read-only input."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _READERS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _READERS[key] = df
+    return df
 
 
 _SHIPPED: set[str] = set()
