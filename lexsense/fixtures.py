@@ -17,11 +17,12 @@ def _s(c) -> Column:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """v_pairs: gold gloss and a model answer per row (DG scoring input)."""
+    """v_pairs: gold gloss and a model answer per row (DG scoring input): the answer to turn t is
+    the whole next turn (upper-cased copy of the gloss for one conversation in ten, empty for one in
+    ten)."""
     a = table(spark, sf, "conversations").alias("a")
     b = table(spark, sf, "conversations").alias("b")
     cid, turn = F.col("a.conv_id"), F.col("a.turn")
-    cut = F.slice(F.split(F.col("b.text"), " "), F.lit(1), (F.lit(1) + (cid * 7 + turn) % 15).cast("int"))
     return (
         a.join(b, (F.col("b.conv_id") == cid) & (F.col("b.turn") == turn + 1))
         .where(turn % 2 == 0)
@@ -32,13 +33,15 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
             F.col("a.text").alias("gloss"),
             F.when(cid % 10 == 0, F.upper(F.col("a.text")))
             .when(cid % 10 == 1, F.lit(""))
-            .otherwise(F.array_join(cut, " ")).alias("answer"),
+            .otherwise(F.col("b.text")).alias("answer"),
         )
     )
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """v_lines: aligned sense / example lines per (dataset, split)."""
+    """v_lines: aligned sense / example lines per (dataset, split): the whole document is the gloss
+    (a numeric or too-short one for two documents in fifty) and, with every " the " turned into the
+    placeholder, the example context."""
     d = table(spark, sf, "documents")
     did = F.col("doc_id")
     return d.select(
@@ -47,8 +50,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(did % 10 == 0, "test").when(did % 10 == 1, "valid").otherwise("train").alias("split"),
         F.concat(F.col("lang"), F.lit("%"), _s(did)).alias("sense"),
         F.when(did % 50 == 0, "12345678").when(did % 50 == 1, "abc")
-        .otherwise(F.substring("text", 1, 60)).alias("gloss"),
-        F.replace(F.substring("text", 61, 200), F.lit(" the "), F.lit(" <TRG> ")).alias("context"),
+        .otherwise(F.col("text")).alias("gloss"),
+        F.replace(F.col("text"), F.lit(" the "), F.lit(" <TRG> ")).alias("context"),
     )
 
 

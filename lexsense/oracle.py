@@ -10,15 +10,15 @@ select a.conv_id * 1000 + a.turn as row_id, 'm' || (a.conv_id % 4) as model, 'd'
        a.text as gloss,
        case when a.conv_id % 10 = 0 then upper(a.text)
             when a.conv_id % 10 = 1 then ''
-            else array_to_string((string_split(b.text, ' '))[1:1 + (a.conv_id * 7 + a.turn) % 15], ' ') end as answer
+            else b.text end as answer
 from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1
 where a.turn % 2 = 0""",
     "v_lines": """
 select doc_id as line_no, source as dataset,
        case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'valid' else 'train' end as split,
        lang || '%' || doc_id as sense,
-       case when doc_id % 50 = 0 then '12345678' when doc_id % 50 = 1 then 'abc' else substring(text, 1, 60) end as gloss,
-       replace(substring(text, 61, 200), ' the ', ' <TRG> ') as context
+       case when doc_id % 50 = 0 then '12345678' when doc_id % 50 = 1 then 'abc' else text end as gloss,
+       replace(text, ' the ', ' <TRG> ') as context
 from documents""",
     "v_uses": """
 select doc_id as identifier, 1 + doc_id % 2 as grouping,
@@ -94,8 +94,9 @@ def sql_rouge_tokens(col: str) -> str:
 
 
 def r6(expr: str) -> str:
-    """Round a double to 6 places and fold -0.0 into 0.0 (same in the Spark queries)."""
-    return f"(round(({expr})::double, 6) + 0.0)"
+    """Round a double to 6 places (after the same 1e-12 nudge as the Spark side) and fold -0.0
+    into 0.0 (same in the Spark queries)."""
+    return f"(round(({expr})::double + 1e-12, 6) + 0.0)"
 
 
 # ------------------------------------------------------------------ definition scoring (M1-M7, A2)

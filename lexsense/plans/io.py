@@ -102,10 +102,10 @@ def s1_dictionary_csv(spark: SparkSession, sf: str) -> DataFrame:
     "select line_no, case when rejected then null else split_part(sense, '%', 1) end as target, "
     "case when rejected then null else gloss end as gloss, rejected from ("
     "select row_number() over (order by doc_id) - 1 as line_no, lang || '%' || doc_id as sense, doc_id % 17 = 0 as rejected, "
-    f"{_NL.format(c='replace(substring(text, 1, 60), chr(9), chr(32))')} as gloss from documents) d"))
+    f"{_NL.format(c='replace(text, chr(9), chr(32))')} as gloss from documents) d"))
 def s2_sense_lines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    g = _flat(F.translate(F.substring("text", 1, 60), "\t", " "))
+    g = _flat(F.translate(F.col("text"), "\t", " "))
     cols = [F.concat(F.col("lang"), F.lit("%"), F.col("doc_id").cast("string")), F.lit("x"), F.lit("y"), g,
             F.lit("z"), F.lit("w")]
     # every 17th physical line carries a stray extra field: pandas skips it with a warning
@@ -121,12 +121,12 @@ def s2_sense_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s12_append_results", with_views(
     "select sbert, model, accuracy from (select 'enc-a' as sbert union all select 'enc-b') s, "
-    "(select b.model, round(ta.accuracy, 3) as accuracy from best b join ta on ta.model = b.model) r",
+    "(select b.model, round(ta.accuracy + 1e-12, 3) as accuracy from best b join ta on ta.model = b.model) r",
     "v_wic", extra=_WIC))
 def s12_append_results(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import pairs as PR
     dev, test = _wic(spark, sf)
-    r = PR.evaluate_wic(dev, test).select("model", F.round("accuracy", 3).alias("accuracy"))
+    r = PR.evaluate_wic(dev, test).select("model", F.round(F.col("accuracy") + F.lit(1e-12), 3).alias("accuracy"))
     path = IO.scratch_dir(spark, "results")
     for enc in ("enc-a", "enc-b"):
         IO.append_results(r.select(F.lit(enc).alias("sbert"), "model", "accuracy"), path)

@@ -375,6 +375,16 @@ def w6_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- P15-P17, P21, W5, F2, P10, P11, E7
 
+# WiC gold lines from the labels table: "T" for quality 1 (padded with a space when toxic, so the
+# strip matters), "F" otherwise.
+_GOLD_LINE_SQL = "case when quality = 1 then case when toxic = 1 then ' T ' else 'T' end else 'F' end"
+
+
+def _gold_line():
+    t = F.when(F.col("toxic") == 1, F.lit(" T ")).otherwise(F.lit("T"))
+    return F.when(F.col("quality") == 1, t).otherwise(F.lit("F"))
+
+
 _E7_CTES = {
     "v": f"select line_no, {HEAD} as target, {q_strip(FILL)} as example from v_lines",
     "ids": f"select *, list_transform({q_split('example')}, lambda w: (ascii(w) + 7 * length(w)) % 500)[1:100] as cut from v",
@@ -410,10 +420,10 @@ def p16_clean_after_inst(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p17_label_decode", with_views(
-    f"select conv_id, turn, ({q_strip('substring(text, 1, 1)')} = 'T')::int as label from conversations"))
+    f"select doc_id, ({q_strip(_GOLD_LINE_SQL)} = 'T')::int as label from labels"))
 def p17_label_decode(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", X.label_true(F.substring("text", 1, 1)).alias("label"))
+    lab = table(spark, sf, "labels")
+    return lab.select("doc_id", X.label_true(_gold_line()).alias("label"))
 
 
 @query("f2_unanswered_filter", with_views(

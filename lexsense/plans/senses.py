@@ -188,14 +188,14 @@ def a4_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a9_centroids", with_views(
-    'select target, "grouping", label, list_transform(c, lambda x: round(x, 6) + 0.0) as centroid from cent', "v_usages",
+    'select target, "grouping", label, list_transform(c, lambda x: round(x + 1e-12, 6) + 0.0) as centroid from cent', "v_usages",
     extra={k: _U[k] for k in ("u", "firsts", "lab", "labelled", "dims", "cent")}))
 def a9_centroids(spark: SparkSession, sf: str) -> DataFrame:
     u, vectors, firsts = _usage_parts(spark, sf)
     lv = SE.attach_vectors(SE.spread_labels(u, _given_labels(firsts), ["target"]), vectors)
     c = V.centroids(lv, ["target", "grouping", "label"])
     return c.select("target", "grouping", "label",
-                    F.transform("centroid", lambda x: F.round(x, 6) + F.lit(0.0)).alias("centroid"))
+                    F.transform("centroid", lambda x: F.round(x + F.lit(1e-12), 6) + F.lit(0.0)).alias("centroid"))
 
 
 @query("a10_apd", with_views(f'select target, {q6(_q("APD"))} as "APD" from apd', "v_usages",
