@@ -22,9 +22,14 @@ def collapse_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), f"(?U){_WS}+", " "))
 
 
+# Every character Python's str.isspace() accepts (derived by rule, not listed by hand).
+_PY_SPACES = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: all whitespace off both ends (Spark ``trim`` only drops spaces)."""
-    return F.regexp_replace(_c(c), f"(?U)^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()``: all whitespace off both ends (Spark ``trim`` only drops spaces).
+    A character-set trim, so long texts are not scanned by a regex."""
+    return F.btrim(_c(c), F.lit(_PY_SPACES))
 
 
 def normalise(c) -> Column:
