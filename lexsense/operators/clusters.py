@@ -62,9 +62,14 @@ def _blocked(points: DataFrame, by, block: int) -> DataFrame:
 
 
 def _packed(points: DataFrame, by, block: int, cols=("id", "v")) -> DataFrame:
-    """Points packed per (group, block): one row holding the block's lists (at most ~block long)."""
+    """Points packed per (group, block): one row holding the block's lists (at most ~block long).
+
+    The point's fields travel as one struct in a single ``collect_list`` and are split into
+    aligned lists afterwards; separate ``collect_list`` calls are not guaranteed to keep the same
+    order, and a misaligned id / vector / core would silently change the clusters."""
     b = _blocked(points, by, block)
-    return b.groupBy(*by, "_blk").agg(*[F.collect_list(c).alias(f"{c}s") for c in cols])
+    packed = b.groupBy(*by, "_blk").agg(F.collect_list(F.struct(*cols)).alias("_pts"))
+    return packed.select(*by, "_blk", *[F.col("_pts")[c].alias(f"{c}s") for c in cols])
 
 
 def _block_pairs(packed: DataFrame, by, cols=("id", "v")) -> DataFrame:
@@ -112,18 +117,42 @@ def _core_distance(tiles: DataFrame, by) -> DataFrame:
     return part.groupBy(*by, "id").agg(F.min("core").alias("core"))
 
 
-def _find(parent: dict, x):
-    root = x
-    while parent[root] != root:
-        root = parent[root]
-    while parent[x] != root:
-        parent[x], x = root, parent[x]
-    return root
+_BIG = np.iinfo(np.int64).max
+
+
+def _tile_roots(ids_i: np.ndarray, ids_j: np.ndarray, ok: np.ndarray, same: bool):
+    """Components of one tile's links by vectorised min-label propagation on its dense adjacency
+    (at most block x block); returns (nodes with a link, smallest id of their tile component)."""
+    if same:
+        # both sides hold the same points, but the two sides of the block self-join are separate
+        # evaluations whose list order may differ: put the columns in the row order first
+        order = np.argsort(ids_j, kind="stable")
+        perm = order[np.searchsorted(ids_j[order], ids_i)]
+        ok = ok[:, perm]
+        ok = ok | ok.T  # links are undirected; a @ a.T need not be bit-symmetric
+        lab = ids_i.copy()
+        while True:
+            new = np.minimum(lab, np.where(ok, lab[None, :], _BIG).min(axis=1))
+            if np.array_equal(new, lab):
+                break
+            lab = new
+        has = ok.any(axis=1)
+        return ids_i[has], lab[has]
+    li, lj = ids_i.copy(), ids_j.copy()
+    while True:
+        ni = np.minimum(li, np.where(ok, lj[None, :], _BIG).min(axis=1))
+        nj = np.minimum(lj, np.where(ok, ni[:, None], _BIG).min(axis=0))
+        if np.array_equal(ni, li) and np.array_equal(nj, lj):
+            break
+        li, lj = ni, nj
+    hi, hj = ok.any(axis=1), ok.any(axis=0)
+    return np.concatenate([ids_i[hi], ids_j[hj]]), np.concatenate([li[hi], lj[hj]])
 
 
 def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
     """Mutual-reachability edges of each tile, resolved into components inside the tile
-    (union-find); emits (by, id, root) with root = smallest id of the node's tile component.
+    (vectorised label propagation); emits (by, id, root) with root = smallest id of the node's
+    tile component.
     Only star edges leave a task, never the pairwise distances."""
     by = list(by)
 
@@ -136,19 +165,9 @@ def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
                 ci, cj = np.asarray(r.cores_i, dtype=np.float64), np.asarray(r.cores_j, dtype=np.float64)
                 ok = np.maximum(d, np.maximum(ci[:, None], cj[None, :])) <= eps
                 ok &= ids_i[:, None] != ids_j[None, :]
-                ii, jj = np.nonzero(ok)
-                if len(ii) == 0:
+                if not ok.any():
                     continue
-                parent: dict = {}
-                for a, b in zip(ids_i[ii].tolist(), ids_j[jj].tolist()):
-                    parent.setdefault(a, a)
-                    parent.setdefault(b, b)
-                    ra, rb = _find(parent, a), _find(parent, b)
-                    if ra != rb:
-                        lo, hi = (ra, rb) if ra < rb else (rb, ra)
-                        parent[hi] = lo
-                nodes = np.fromiter(parent.keys(), dtype=np.int64, count=len(parent))
-                roots = np.fromiter((_find(parent, x) for x in nodes.tolist()), dtype=np.int64, count=len(nodes))
+                nodes, roots = _tile_roots(ids_i, ids_j, ok, r.bi == r.bj)
                 frame = pd.DataFrame({"id": nodes, "root": roots})
                 for k in by:
                     frame[k] = getattr(r, k)
@@ -196,8 +215,8 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK
     the component); points with no link are noise (-1).
 
     Groups are hashed into blocks of ~``block`` points; distances are computed in block-pair
-    tiles inside bounded tasks (first pass: core distances; second pass: links, resolved by
-    union-find inside the tile). Only (node, tile root) star edges leave a task, and the global
+    tiles inside bounded tasks (first pass: core distances; second pass: links, resolved into
+    components inside the tile by vectorised label propagation). Only (node, tile root) star edges leave a task, and the global
     label propagation only has to stitch tiles together.
     """
     by = list(by)

@@ -130,3 +130,16 @@ def test_density_clusters_brute_force(spark, block):
         ref = dbscan_ref([v for _, v in items], 0.3)
         want = {ids[k]: (-1 if l == -1 else ids[l]) for k, l in enumerate(ref)}
         assert {i: got[(t, i)] for i in ids} == want
+
+
+def test_tile_roots_independent_of_side_order():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(2, 25))
+        ids = rng.permutation(500)[:n].astype(np.int64)
+        a = rng.random((n, n)) < 0.1
+        ok = (a | a.T) & ~np.eye(n, dtype=bool)
+        base = C._tile_roots(ids, ids, ok, True)
+        perm = rng.permutation(n)  # the other side of the block self-join in another order
+        got = C._tile_roots(ids, ids[perm], ok[:, perm], True)
+        assert dict(zip(*[x.tolist() for x in base])) == dict(zip(*[x.tolist() for x in got]))
