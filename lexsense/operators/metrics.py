@@ -274,14 +274,17 @@ def soft_match(prep: DataFrame, vectors: DataFrame) -> DataFrame:
     toks = _token_rows(prep).groupBy("row_id", "side", "word").agg(F.count("*").alias("cnt"))
     vec = vectors.select(F.col("token").alias("word"), "embedding")
     j = toks.join(vec, "word")
-    is_g, is_p = F.col("side") == "g", F.col("side") == "p"
+    # one list of (side, count, vector) per row, split afterwards, so vectors and their counts
+    # stay aligned by construction
     per = j.groupBy("row_id").agg(
-        F.flatten(F.collect_list(F.when(is_g, F.col("embedding")))).alias("gv"),
-        F.collect_list(F.when(is_g, F.col("cnt"))).alias("gc"),
-        F.flatten(F.collect_list(F.when(is_p, F.col("embedding")))).alias("pv"),
-        F.collect_list(F.when(is_p, F.col("cnt"))).alias("pc"),
-        F.max(F.size("embedding")).alias("dim"),
-    )
+        F.collect_list(F.struct("side", "cnt", "embedding")).alias("_t"),
+        F.max(F.size("embedding")).alias("dim"))
+    g = F.filter("_t", lambda x: x["side"] == "g")
+    p = F.filter("_t", lambda x: x["side"] == "p")
+    per = per.select(
+        "row_id", "dim",
+        F.flatten(F.transform(g, lambda x: x["embedding"])).alias("gv"), F.transform(g, lambda x: x["cnt"]).alias("gc"),
+        F.flatten(F.transform(p, lambda x: x["embedding"])).alias("pv"), F.transform(p, lambda x: x["cnt"]).alias("pc"))
     out = per.select("row_id", _soft_f1_udf("gv", "gc", "pv", "pc", "dim").alias("bertscore"))
     return prep.select("row_id").join(out, "row_id", "left").select(
         "row_id", F.coalesce("bertscore", F.lit(0.0)).alias("bertscore"))
