@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .vectors import cosine
 
-SCORE_BUCKETS = 1024   # resolution of the score ranges used to split the running sums
+SCORE_BUCKETS = 64   # number of (equal-count) score ranges used to split the running sums
 
 
 def pair_adjacent(df: DataFrame, line: str = "line_no", cols=("embedding",), by=()) -> DataFrame:
@@ -31,14 +31,22 @@ def best_threshold(scored: DataFrame, by=("model",), score: str = "sim", label:
     ties to the highest threshold. One sort instead of the reference's thresholds x rows loop.
 
     Equal scores are pre-aggregated (a hot score is one row). Running sums in descending score
-    order are split by score range: per-range totals are tiny (groups x SCORE_BUCKETS rows) and
-    broadcast as prefix offsets, the running sum inside a range is a window over that range only.
+    order are split by equal-count score ranges (quantiles of the distinct scores): per-range
+    totals are tiny (groups x SCORE_BUCKETS rows) and broadcast as prefix offsets, and the running
+    sum inside a range is a window over that range only.
     """
     by = list(by)
+    if not by:
+        raise ValueError("best_threshold needs the group columns (e.g. the model) to sweep within")
     c = scored.groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    c = c.withColumn("_b", F.floor(F.col(score) * SCORE_BUCKETS))
+    # equal-count score ranges from a quantile sketch of the distinct scores (partial + final
+    # aggregate, one row of boundaries per group): concentrated scores still spread over ranges
+    qs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
+    bounds = c.groupBy(*by).agg(F.percentile_approx(score, qs, 10000).alias("_bounds"))
+    c = c.join(F.broadcast(bounds), by)
+    c = c.withColumn("_b", F.size(F.filter("_bounds", lambda q: q < F.col(score)))).drop("_bounds")
     bt = c.groupBy(*by, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.partitionBy(*by).orderBy(F.col("_b").desc())
     whole = Window.partitionBy(*by)

@@ -70,3 +70,13 @@ def test_no_cross_join_anywhere(spark):
                  "e12_summarise_wic", "a14_e12_summarise_wsi", "a13_spearman"):
         p = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_threshold_with_concentrated_scores(spark):
+    rng = np.random.default_rng(8)
+    rows = [("m", float(0.5 + 1e-4 * rng.random()), int(rng.integers(0, 2))) for _ in range(1500)]
+    rows += [("m", float(rng.uniform(-1, 1)), int(rng.integers(0, 2))) for _ in range(100)]
+    df = spark.createDataFrame(rows, "model string, sim double, label int")
+    r = PR.best_threshold(df).first()
+    t, a = brute_threshold([x[1] for x in rows], [x[2] for x in rows])
+    assert r.threshold == t and r.dev_accuracy == pytest.approx(a)
