@@ -53,12 +53,12 @@ def prefix(letters: np.ndarray) -> np.ndarray:
 
 
 def runs(letters: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, prefix hashes): windows as places in ``letters``."""
+    """(row, first window, last window, anchor place, anchor hash, prefix hashes): places in ``letters``."""
     p = prefix(letters)
     n = len(letters)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64), p
+        return none, none, none, none, np.zeros(0, np.uint64), p
     at = np.arange(n - k + 1)
     h = flat.span_hash(p, at, at + k)
     low = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
@@ -77,7 +77,7 @@ def runs(letters: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
     change = np.r_[True, (place[1:] != place[:-1]) | ~ok[:-1]]
     head = np.flatnonzero(change & ok)
     stop = np.flatnonzero(ok & np.r_[change[1:] | ~ok[1:], True])
-    return np.searchsorted(off, head, "right") - 1, head, stop, h[place[head]], p
+    return np.searchsorted(off, head, "right") - 1, head, stop, place[head], h[place[head]], p
 
 
 def distinct_rows(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +93,13 @@ def candidates(documents: DataFrame, read: Reader, length: int, k: int) -> DataF
         for batch in batches:
             data, off = flat.flat(batch.column(2))
             for a, b in flat.chunks(off):
-                row, _, _, h, _ = runs(*read(data[off[a]:off[b]], off[a:b + 1] - off[a]), length, k)
+                row, _, _, _, h, _ = runs(*read(data[off[a]:off[b]], off[a:b + 1] - off[a]), length, k)
                 row, h = distinct_rows(row, h)
                 take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take),
                                                   pa.array(h.view(np.int64))], ["doc_id", "t", "h"])
 
-    found = documents.select("doc_id", "t", "text").mapInArrow(rows, "doc_id long, t long, h long")
+    found = documents.select("doc_id", "t", "text").mapInArrow(rows, "doc_id long, t int, h long")
     several = (found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                .where("lo < hi").select("h"))
     return found.join(several, "h").groupBy(*KEY).agg(F.collect_list("h").alias("anchors"))
@@ -111,33 +111,74 @@ def with_rows(documents: DataFrame, per_doc: DataFrame) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame, read: Reader, length: int, k: int) -> DataFrame:
-    """(doc_id, t, a, b, h, s, v): the candidate runs with the hashes of their anchor and reading, and an
-    independent hash of the reading. Windows a to b as places in the document's letters."""
+    """(doc_id, t, a, b, o, h, s, v): the candidate runs with the hashes of their anchor and reading, and an
+    independent hash of the reading. Windows a to b as places in the
+    document's letters; o: from a to the anchor."""
     def rows(batches):
         for batch in batches:
             data, off = flat.flat(batch.column(2))
             kept = batch.column(3)
             for a, b in flat.chunks(off):
                 letters, loff = read(data[off[a]:off[b]], off[a:b + 1] - off[a])
-                row, head, stop, h, p = runs(letters, loff, length, k)
+                row, head, stop, place, h, p = runs(letters, loff, length, k)
                 on = np.zeros(len(row), bool)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 for i in range(b - a):
                     x, y = cut[i], cut[i + 1]
                     if y > x:
                         on[x:y] = np.isin(h[x:y].view(np.int64), kept[a + i].values.to_numpy(zero_copy_only=False))
-                row, head, stop, h = row[on], head[on], stop[on], h[on]
+                row, head, stop, place, h = row[on], head[on], stop[on], place[on], h[on]
                 s = flat.span_hash(p, head, stop + length)
                 other = prefix(flat.mix(letters.astype(np.uint64) + np.uint64(0x1234567)))
                 v = flat.span_hash(other, head, stop + length)
                 take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array((head - loff[row]).astype(np.int32)),
-                     pa.array((stop - loff[row]).astype(np.int32)), pa.array(h.view(np.int64)),
-                     pa.array(s.view(np.int64)), pa.array(v.view(np.int64))], ["doc_id", "t", "a", "b", "h", "s", "v"])
+                     pa.array((stop - loff[row]).astype(np.int32)), pa.array((place - head).astype(np.int32)), pa.array(h.view(np.int64)),
+                     pa.array(s.view(np.int64)), pa.array(v.view(np.int64))], ["doc_id", "t", "a", "b", "o", "h", "s", "v"])
 
     return texts.select(*KEY, "text", "anchors").mapInArrow(
-        rows, "doc_id long, t long, a int, b int, h long, s long, v long")
+        rows, "doc_id long, t int, a int, b int, o int, h long, s long, v long")
+
+
+def opened(texts: DataFrame, read: Reader, length: int, width: int) -> DataFrame:
+    """The open paths of each text (column ``paths``) cut into groups of ``width`` windows, as from
+    ``repeated_runs``: the anchor of a group is what the windows of a whole group have in common."""
+    def rows(batches):
+        for batch in batches:
+            data, off = flat.flat(batch.column(2))
+            for x, y in flat.chunks(off):
+                letters, loff = read(data[off[x]:off[y]], off[x:y + 1] - off[x])
+                p, other = prefix(letters), prefix(flat.mix(letters.astype(np.uint64) + np.uint64(0x1234567)))
+                row, first, last, core = [], [], [], []
+                for i in range(x, y):
+                    r = batch.column(3)[i].values
+                    a, b, o = (r.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 2))
+                    # groups by the distance to the anchor, so that they agree wherever the anchor stands
+                    low, high = (a + o - b) // width, o // width
+                    n = high - low + 1
+                    g = np.repeat(high, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    end = np.repeat(a + o, n) - g * width  # the group's last window, were it whole
+                    row.append(np.full(len(g), i))
+                    first.append(np.maximum(end - width + 1, np.repeat(a, n)) + loff[i - x])
+                    last.append(np.minimum(end, np.repeat(b, n)) + loff[i - x])
+                    core.append(end + loff[i - x])
+                row, first, last, core = (np.concatenate(z) for z in (row, first, last, core))
+                take, base = pa.array(row), loff[row - x]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((first - base).astype(np.int32)),
+                     pa.array((last - base).astype(np.int32)), pa.array(np.zeros(len(row), np.int32)),
+                     pa.array(flat.span_hash(p, core, core - width + 1 + length).view(np.int64)),
+                     pa.array(flat.span_hash(p, first, last + length).view(np.int64)),
+                     pa.array(flat.span_hash(other, first, last + length).view(np.int64))],
+                    ["doc_id", "t", "a", "b", "o", "h", "s", "v"])
+
+    return texts.select(*KEY, "text", "paths").mapInArrow(
+        rows, "doc_id long, t int, a int, b int, o int, h long, s long, v long")
+
+
+def listed(still: DataFrame) -> DataFrame:
+    return saved(still.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "o")).alias("paths")))
 
 
 def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,13 +191,13 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     removed = both.where((F.col("doc_id") > F.col("source.doc_id")) & (F.col("v") == F.col("source.v")))
     still = both.where((F.col("readings") > 1) & ((F.col("doc_id") == F.col("source.doc_id")) | (F.col("v") != F.col("source.v"))))
     return (removed.select(*KEY, "a", "b", F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a")),
-            still.select(*KEY, "a", "b"))
+            still.select(*KEY, "a", "b", "o"))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text: parts documents that share an id), text; null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
 
 
 def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str) -> DataFrame:

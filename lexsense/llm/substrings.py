@@ -15,38 +15,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexsense.llm import flat
 from lexsense.llm import repeats as R
 
 
-def _edges(length: int):
-    """mapInArrow: the single edges of a document's open paths."""
-    def rows(batches):
-        for batch in batches:
-            data, off = flat.flat(batch.column(2))
-            for x, y in flat.chunks(off):
-                letters, loff = R.words(data[off[x]:off[y]], off[x:y + 1] - off[x])
-                p, other = R.prefix(letters), R.prefix(flat.mix(letters + np.uint64(0x1234567)))
-                row, place = [], []
-                for i in range(x, y):
-                    r = batch.column(3)[i].values
-                    a, b = (r.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                    at = np.unique(np.concatenate([np.arange(s, e + 1) for s, e in zip(a, b, strict=True)]))
-                    row.append(np.full(len(at), i))
-                    place.append(at + loff[i - x])
-                row, place = np.concatenate(row), np.concatenate(place)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((place - loff[row - x]).astype(np.int32)),
-                     pa.array(flat.span_hash(p, place, place + length).view(np.int64)),
-                     pa.array(flat.span_hash(other, place, place + length).view(np.int64))], ["doc_id", "t", "a", "e", "v"])
-    return rows
-
-
 def repeated_spans(documents: DataFrame, length: int = 50, k: int = 17) -> DataFrame:
     """(doc_id, t, a, b, source_doc, source_a): windows a to b that also start in a smaller document.
     ``documents`` as from ``repeats.keyed``."""
@@ -55,12 +29,9 @@ def repeated_spans(documents: DataFrame, length: int = 50, k: int = 17) -> DataF
     per_doc = R.saved(R.candidates(documents, R.words, length, k))
     found = R.saved(R.repeated_runs(R.with_rows(documents, per_doc), R.words, length, k))
     removed, still = R.resolve(found)
-    still = R.saved(still.groupBy(*R.KEY).agg(F.collect_list(F.struct("a", "b")).alias("paths")))
-    edges = R.saved(R.with_rows(documents, still).select(*R.KEY, "text", "paths").mapInArrow(
-        _edges(length), "doc_id long, t long, a int, e long, v long"))
-    first = edges.groupBy("e", "v").agg(F.min(F.struct("doc_id", "a")).alias("source"))
-    single = (edges.join(first, ["e", "v"]).where(F.col("doc_id") > F.col("source.doc_id"))
-              .select(*R.KEY, "a", F.col("a").alias("b"), F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a")))
+    paths = R.listed(still)
+    edges = R.saved(R.opened(R.with_rows(documents, paths), R.words, length, 1))
+    single, _ = R.resolve(edges)
     return removed.union(single)
 
 
