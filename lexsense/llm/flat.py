@@ -125,3 +125,19 @@ def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: int,
     picked = class_sample(rows, "label", per_class, seed)
     texts = documents.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("text"))
     return texts.join(F.broadcast(picked), "doc_id")  # 2 * per_class rows, see class_sample
+
+
+def passing(documents: DataFrame, good) -> DataFrame:
+    """Rows of ``documents``, all columns, whose text passes ``good()(bytes, offsets) -> booleans``."""
+    prepare(documents.sparkSession)
+    place = documents.columns.index("text")
+
+    def run(batches):
+        judge = good()
+        for batch in batches:
+            data, off = flat(batch.column(place))
+            keep = [judge(data[off[a]:off[b]], off[a:b + 1] - off[a]) for a, b in chunks(off, CHUNK // 2)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

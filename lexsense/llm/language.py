@@ -126,6 +126,21 @@ class Model:
             out[:, k] = np.bincount(row, weights=cut, minlength=len(texts))
         return out, np.bincount(row, weights=run, minlength=len(texts))
 
+    def judge(self, data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Language, score, letters, and phrases per letter of each row."""
+        raw = data.tobytes()
+        names = np.array([*self.languages, "und"], object)
+        count, n = self.phrases([raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], lut)
+        if not self.languages:
+            count = np.zeros((len(off) - 1, 1))
+        win = count.argmin(1)
+        low = count[np.arange(len(win)), win]
+        second = np.partition(count, 1, axis=1)[:, 1] if count.shape[1] > 1 else np.maximum(n, low)
+        known = (n > 0) & bool(self.languages)
+        return (np.where(known, names[np.where(known, win, -1)], "und"),
+                np.where(known, 1 - low / np.maximum(second, 1), 0.0), n.astype(np.int64),
+                np.where(known, low / np.maximum(n, 1), 0.0))
+
 
 def train(documents: DataFrame, rows: int = 64, letters: int = 30_000, row_chars: int = 4_000,
           languages: int = 64) -> Model:
@@ -157,33 +172,34 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded by train()
 
     def parse(batches):
-        m, lut = shared.value, shared.value.classes()
-        names = np.array([*m.languages, "und"], object)
+        lut = shared.value.classes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            size = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            best, score, letters, rate = [], [], [], []
-            for a, b in flat.chunks(size, flat.CHUNK // 2):
-                count, n = m.phrases(texts[a:b], lut)
-                if not m.languages:
-                    count = np.zeros((b - a, 1))
-                win = count.argmin(1)
-                low = count[np.arange(len(win)), win]
-                second = np.partition(count, 1, axis=1)[:, 1] if count.shape[1] > 1 else np.maximum(n, low)
-                known = (n > 0) & bool(m.languages)
-                best.append(np.where(known, names[np.where(known, win, -1)], "und"))
-                score.append(np.where(known, 1 - low / np.maximum(second, 1), 0.0))
-                letters.append(n.astype(np.int64))
-                rate.append(np.where(known, low / np.maximum(n, 1), 0.0))
-            cat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), cat(best, pa.string()), cat(score, pa.float64()),
-                                              cat(letters, pa.int64()), cat(rate, pa.float64())],
-                                             ["doc_id", "lang_pred", "score", "n_letters", "rate"])
+            data, off = flat.flat(batch.column(1))
+            parts = [shared.value.judge(data[off[a]:off[b]], off[a:b + 1] - off[a], lut) for a, b in flat.chunks(off, flat.CHUNK // 2)]
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.float64())
+            columns = [pa.array(np.concatenate(x), k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)] \
+                if parts else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "n_letters", "rate"])
 
     return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .mapInArrow(parse, "doc_id long, lang_pred string, score double, n_letters long, rate double"))
 
 
+def known_language(documents: DataFrame, least: float = 0.02) -> DataFrame:
+    """The rows, all columns, whose text has a language: not ``und``, and a score of ``least`` or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents))
+
+    def good():
+        lut = shared.value.classes()
+
+        def judge(data, off):
+            name, score, _, _ = shared.value.judge(data, off, lut)
+            return (name != "und") & (score >= least)
+        return judge
+
+    return flat.passing(documents, good)
+
+
 def op7_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs).select("doc_id", flat.held_out(F.col("doc_id")).alias("held_out"),

@@ -253,6 +253,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, of one document of each group of near-duplicates (the smallest doc_id)."""
+    out = near_duplicates(documents, shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return documents.join(out, "doc_id", "left_anti").select(*documents.columns)
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
 

@@ -163,6 +163,12 @@ def score(documents: DataFrame, model: Machine) -> DataFrame:
             .mapInArrow(run, "doc_id long, score double"))
 
 
+def good_quality(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose text scores ``least`` or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+    return flat.passing(documents, lambda: lambda data, off: shared.value.score(data, off) >= least)
+
+
 def op10_quality_classifier(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

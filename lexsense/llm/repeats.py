@@ -194,14 +194,14 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             still.select(*KEY, "a", "b", "o"))
 
 
-def keyed(documents: DataFrame) -> DataFrame:
+def keyed(documents: DataFrame, *carry: str) -> DataFrame:
     """doc_id, t (hash of the text: parts documents that share an id), text; null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("t"), text.alias("text"), *carry)
 
 
-def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str) -> DataFrame:
-    """Every document with its removed windows given to ``cut`` (text as bytes, starts, ends -> values of
+def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str, *carry: str) -> DataFrame:
+    """Every document (doc_id and the columns to carry) with its removed windows given to ``cut`` (text as bytes, starts, ends -> values of
     ``schema``). Documents surely without removed windows are cut where they are read, without a shuffle."""
     ranges = removed.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = saved(ranges)
@@ -217,12 +217,13 @@ def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str
                 a, b = (r.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (0, 1)) if r is not None else ((), ())
                 out.append(cut(data[off[i]:off[i + 1]].tobytes(), a, b))
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | dict(zip(names, columns, strict=True)))
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column(0)} | dict(zip(names, columns, strict=True)) | {c: batch.column(c) for c in carry})
 
     kind = "struct<a:int,b:int>"
     flag = F.col("_maybe")
     marked = thin(documents, ranges, "doc_id", mark="_maybe")
-    some = marked.where(flag).join(ranges, list(KEY), "left").select("doc_id", "text", "ranges")
-    rest = marked.where(~flag).select("doc_id", "text", F.lit(None).cast(f"array<{kind}>").alias("ranges"))
-    schema = f"doc_id long, {schema}"
+    some = marked.where(flag).join(ranges, list(KEY), "left").select("doc_id", "text", "ranges", *carry)
+    rest = marked.where(~flag).select("doc_id", "text", F.lit(None).cast(f"array<{kind}>").alias("ranges"), *carry)
+    schema = ", ".join([f"doc_id long, {schema}", *(f"`{c}` {dict(documents.dtypes)[c]}" for c in carry)])
     return some.mapInArrow(rows, schema).union(rest.mapInArrow(rows, schema))

@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexsense.llm import flat
 from lexsense.llm import repeats as R
@@ -59,6 +60,18 @@ def deduplicate(documents: DataFrame, length: int = 50, text: bool = True) -> Da
     return R.applied(docs, repeated_spans(docs, length), _cut(length, text), schema)
 
 
+def without_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
+    """The rows, columns of documents, with repeated spans taken out of their texts. Changed texts are the
+    kept words joined by one space; other texts stay as they are."""
+    docs = R.keyed(documents, "lang", "source")
+
+    def cut(raw: bytes, a, b) -> tuple:
+        return (_cut(length, True)(raw, a, b)[3] if len(a) else raw.decode(),)
+
+    out = R.applied(docs, repeated_spans(docs, length), cut, "text string", "lang", "source")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def op2_substring_dedup(spark, sf_dir):
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), text=False)
 
