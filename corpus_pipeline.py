@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexsense.llm import language, neardup, packing, quality, substrings
-from lexsense.llm.repeats import saved
+from lexsense.llm.scratch import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

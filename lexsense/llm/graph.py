@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexsense.llm.scratch import saved
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: the smallest node reachable.
@@ -14,16 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     repeated edges and null ends are harmless; no edges give no rows.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    both = pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("component")).checkpoint()
+    both = saved(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+        "node", F.least("node", "m").alias("component")))
     while True:
         near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m")))
         new = (labels.join(near, labels["node"] == near["a"])
                .select("node", F.col("component").alias("old"), F.least("component", "m").alias("new")))
         up = labels.select(F.col("node").alias("top"), F.col("component").alias("root"))
-        new = (new.join(up, new["new"] == up["top"], "left")
-               .select("node", "old", F.least("new", "root").alias("component"))).checkpoint()
+        new = saved(new.join(up, new["new"] == up["top"], "left")
+                    .select("node", "old", F.least("new", "root").alias("component")))
         if not new.where("component <> old").limit(1).count():
             return new.select("node", "component")
         labels = new.select("node", "component")

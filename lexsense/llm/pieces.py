@@ -153,7 +153,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", seed: int = 6, power: float = 1.0,
+def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", seed: int = 6, power: float = 0.3,
            ids: bool = True) -> DataFrame:
     """(key, n_bytes, n_pieces, ids_crc32, lossless and, if asked for, ids) of every row. ``lossless``: the
     decoded bytes are those of the text. ``power`` sharpens (above 1) or flattens the weights."""

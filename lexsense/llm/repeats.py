@@ -10,7 +10,6 @@ All counts are exact and cover all documents: no caps, and a hot anchor is pre-a
 """
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,20 +19,13 @@ from pyspark.sql import functions as F
 
 from lexsense.llm import flat
 from lexsense.llm.bloom import thin
+from lexsense.llm.scratch import saved
 
 #: letters of a chunk: (letters as 64-bit numbers, row offsets in letters)
 Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 KEY = ("doc_id", "t")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A table written to the shared checkpoint folder and read again: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, row = flat.word_spans(data, off)
     return flat.span_hash(flat.prefix_hash(data), start, end), np.searchsorted(row, np.arange(len(off)))

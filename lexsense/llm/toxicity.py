@@ -249,7 +249,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200) -> Mod
     n = {r["label"]: r["n"] for r in
          labels.where(F.col("toxic").isin(0, 1) & ~flat.held_out(F.col("doc_id")))
          .groupBy(F.col("toxic").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    model.fit(np.array([k for _, k in got]).reshape(len(got), -1), np.array([y for y, _ in got]), (n.get(0, 0), n.get(1, 0)))
+    model.fit(np.array([k for _, k in got]).reshape(len(got), 2 * len(model.landmarks)), np.array([y for y, _ in got]), (n.get(0, 0), n.get(1, 0)))
     return model
 
 
