@@ -109,13 +109,14 @@ def usages(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").alias("e")
     r = table(spark, sf, "embeddings").alias("r")
     vid = F.col("e.vec_id")
-    return e.join(r, F.col("r.vec_id") == vid % 104).select(
+    gid = F.floor(vid / 24) * 8 + vid % 8  # three usages, of both periods, share a gloss
+    return e.join(r, F.col("r.vec_id") == gid).select(
         vid.alias("line_no"),
         F.concat(F.lit("t"), _s(vid % 8)).alias("target"),
         (1 + F.floor(vid / 8) % 2).alias("grouping"),
         F.concat(F.lit("u"), _s(vid)).alias("identifier"),
         F.when(vid % 37 == 0, F.lit(-1)).otherwise(F.col("e.label")).alias("cluster"),
-        F.concat(F.lit("g"), _s(vid % 104)).alias("gloss"),
+        F.concat(F.lit("g"), _s(gid)).alias("gloss"),
         F.col("r.embedding").alias("embedding"),
     )
 
@@ -179,8 +180,8 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf: str, tokens: DataFrame) -> DataFrame:
-    """Vector per distinct token: token w takes embedding (ascii(w) + 7 * length(w)) % 500."""
+    """Vector per distinct token: by the token's md5 modulo the number of vectors."""
     e = table(spark, sf, "embeddings")
     t = tokens.select("token").where(F.length("token") > 0).distinct()
-    t = t.withColumn("vec_id", ((F.ascii("token") + 7 * F.length("token")) % 500).cast("long"))
+    t = t.withColumn("vec_id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.lit(max(e.count(), 1)))
     return t.join(e.select("vec_id", "embedding"), "vec_id").select("token", "embedding")

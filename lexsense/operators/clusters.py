@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 
 def _pairs(n):
@@ -177,17 +177,14 @@ def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
     return tiles.mapInPandas(run, _schema(tiles, by, "id long, root long"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, by, max_rounds: int = 100,
-                         checkpoint_every: int = 1, init: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, by, init: DataFrame | None = None) -> DataFrame:
     """Min-label propagation with pointer jumping: every node ends with the smallest id of its
     component. ``init`` may give starting labels (by, id, l). The driver loop only counts
-    changed labels; lineage is cut with a reliable checkpoint to ``spark.checkpoint.dir``."""
+    changed labels and ends when there are none; each round is written to ``spark.checkpoint.dir``."""
     by = list(by)
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
     lab = init if init is not None else nodes.select(*by, "id", F.col("id").alias("l"))
-    e = edges.select(*by, "i", "j").checkpoint(eager=True)  # computed once, read every round
-    for rnd in range(max_rounds):
+    e = written(edges.select(*by, "i", "j"))  # computed once, read every round
+    while True:
         # smallest label among the neighbours
         nb = e.join(lab.select(*by, F.col("id").alias("j"), F.col("l").alias("lj")), by + ["j"]) \
             .groupBy(*by, "i").agg(F.min("lj").alias("m"))
@@ -196,13 +193,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame, by, max_rounds: int
         # pointer jumping: take the label of your label
         hop = new.select(*by, F.col("id").alias("l"), F.col("l").alias("ll"))
         jump = new.join(hop, by + ["l"], "left").select(*by, "id", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        if rnd % checkpoint_every == checkpoint_every - 1:
-            jump = jump.checkpoint(eager=True)
+        jump = written(jump)
         changed = jump.join(lab.withColumnRenamed("l", "old"), by + ["id"]).where(F.col("l") != F.col("old")).count()
         lab = jump
         if changed == 0:
-            break
-    return lab
+            return lab
 
 
 def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK,

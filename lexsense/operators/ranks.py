@@ -5,6 +5,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _corr(x, y):
+    """Pearson correlation; null where a side is constant (Spark's own corr divides by zero there)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def average_rank(df: DataFrame, by, col: str, out: str) -> DataFrame:
     """1-based rank of ``col`` within ``by``; ties share the mean of their ranks."""
     by = list(by)
@@ -17,12 +22,12 @@ def spearman(df: DataFrame, by, x: str, y: str, out: str = "spearman") -> DataFr
     """Pearson correlation of the average ranks of ``x`` and ``y`` per group."""
     by = list(by)
     r = average_rank(average_rank(df, by, x, "_rx"), by, y, "_ry")
-    return r.groupBy(*by).agg(F.corr("_rx", "_ry").alias(out))
+    return r.groupBy(*by).agg(_corr("_rx", "_ry").alias(out))
 
 
 def spearman_columns(ranked_x: str, ys_ranked) -> list:
     """Aggregate expressions: Pearson of average ranks, one per (rank column, output name)."""
-    return [F.corr(ranked_x, r).alias(out) for r, out in ys_ranked]
+    return [_corr(ranked_x, r).alias(out) for r, out in ys_ranked]
 
 
 def with_ranks(df: DataFrame, by, cols) -> DataFrame:

@@ -172,7 +172,7 @@ def running_offsets(df: DataFrame, order: str, size: str, out: str = "offset",
 def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "doc_id",
          text: str = "text") -> DataFrame:
     """Texts (whitespace tokens + end mark) laid end to end in ``order`` and cut into blocks of
-    ``n`` tokens; the incomplete last block is dropped. One row per block with its text.
+    ``n`` tokens; the last block may be shorter. One row per block with its text.
 
     Each text emits one slice per block it touches (rows ~ texts + blocks, not tokens); a block
     then concatenates at most ``n`` tokens of slices in text order."""
@@ -182,7 +182,6 @@ def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "do
     first = F.floor(F.col("offset") / n)
     last = F.floor((F.col("offset") + F.col("cnt") - 1) / n)
     ex = off.select(order, "offset", "cnt", "toks", "total", F.explode(F.sequence(first, last)).alias("block"))
-    ex = ex.where(F.col("block") < F.floor(F.col("total") / n))
     lo = F.greatest(F.col("offset"), F.col("block") * n)
     hi = F.least(F.col("offset") + F.col("cnt"), (F.col("block") + 1) * n)
     pieces = ex.select("block", order, F.slice("toks", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))

@@ -46,7 +46,7 @@ def line_summary(df: DataFrame, by, y: str, out: str | None = None) -> DataFrame
     return df.groupBy(*by).agg(F.avg(y).alias(out or y), F.count(F.lit(1)).alias("n"))
 
 
-def _poisson1_cdf(kmax: int = 12) -> list[float]:
+def _poisson1_cdf(kmax: int = 40) -> list[float]:
     """P(K <= k) for K ~ Poisson(1), k = 0..kmax."""
     out, term, acc = [], math.exp(-1.0), 0.0
     for k in range(kmax + 1):

@@ -37,8 +37,8 @@ select user_id as identifier1, event_type as identifier2, value as judgment from
     "v_usages": """
 select e.vec_id as line_no, 't' || (e.vec_id % 8) as target, 1 + (e.vec_id // 8) % 2 as grouping,
        'u' || e.vec_id as identifier, case when e.vec_id % 37 = 0 then -1 else e.label end as cluster,
-       'g' || (e.vec_id % 104) as gloss, r.embedding
-from embeddings e join embeddings r on r.vec_id = e.vec_id % 104""",
+       'g' || (e.vec_id // 24 * 8 + e.vec_id % 8) as gloss, r.embedding
+from embeddings e join embeddings r on r.vec_id = e.vec_id // 24 * 8 + e.vec_id % 8""",
     "v_gold": """
 select 't' || n_nationkey as lemma, cast((n_nationkey * 37 % 11) as double) / 10 as change_graded from nation""",
     "v_wic": """
@@ -168,7 +168,7 @@ from tk left join (select row_id, count(*) as mm, sum(st) as chunks from mt2 gro
   2 * (lcs / lb) * (lcs / la) / ((lcs / lb) + (lcs / la)) end as "rougeL" from rl""",
     "tv": """select distinct word as token from tp where length(word) > 0""",
     "vec": """select tv.token, cast(e.embedding as double[]) as v from tv
-  join embeddings e on e.vec_id = (ascii(tv.token) + 7 * length(tv.token)) % 500""",
+  join embeddings e on e.vec_id = ('0x' || substr(md5(tv.token), 1, 8))::bigint % (select count(*) from embeddings)""",
     "best": """select p.row_id, p.side, p.pos, max(list_cosine_similarity(vp.v, vg.v)) as best
 from tp p join vec vp on vp.token = p.word
 join tp g on g.row_id = p.row_id and g.side <> p.side

@@ -87,14 +87,14 @@ def f1_record_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cut_lines(spark: SparkSession, sf: str):
     v = fx.lines(spark, sf)
-    senses = v.select("dataset", "split", "line_no", "sense", "gloss")
-    examples = v.where(F.col("line_no") % 13 != 0).select("dataset", "split", "line_no", "sense", "context")
+    senses = v.where(F.col("line_no") % 13 != 0).select("dataset", "split", "line_no", "sense", "gloss")
+    examples = v.select("dataset", "split", "line_no", "sense", "context")  # some lines have no gloss
     return senses, examples
 
 
 _SQL_CUT = {
-    "senses": "select dataset, split, line_no, sense, gloss from v_lines",
-    "examples": "select dataset, split, line_no, sense, context from v_lines where line_no % 13 <> 0",
+    "senses": "select dataset, split, line_no, sense, gloss from v_lines where line_no % 13 <> 0",
+    "examples": "select dataset, split, line_no, sense, context from v_lines",
 }
 
 
@@ -362,7 +362,7 @@ def p14_render_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w6_pack", with_views(
     "select cast(gpos // 512 as bigint) as block, count(*) as n_tokens, min(doc_id) as first_doc, max(doc_id) as last_doc, "
-    "string_agg(tok, ' ' order by gpos) as text from x where gpos // 512 < total // 512 group by 1",
+    "string_agg(tok, ' ' order by gpos) as text from x group by 1",
     extra={
         "d": f"select doc_id, list_append({q_split('text')}, '</s>') as toks from documents",
         "o": "select doc_id, toks, sum(len(toks)) over (order by doc_id rows between unbounded preceding and current row) "

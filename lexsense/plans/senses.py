@@ -91,7 +91,7 @@ _U = {
     "u": "select * from v_usages where gloss <> '' and not starts_with(gloss, 'Please provide')",
     "firsts": 'select target, gloss, min(line_no) as line_no, arg_min("grouping", line_no) as "grouping", '
               "arg_min(embedding, line_no) as embedding from u group by target, gloss",
-    "lab": "select target, gloss, line_no % 104 % 5 as label from firsts",
+    "lab": "select target, gloss, line_no // 24 % 5 as label from firsts",
     "labelled": 'select u.target, u.line_no, u."grouping", u.cluster, u.gloss, u.embedding, l.label '
                 "from u join lab l on l.target = u.target and l.gloss = u.gloss",
     "cont": "select target, cluster, label, count(*) as n from labelled group by target, cluster, label",
@@ -136,7 +136,7 @@ _GOLD = {
 
 
 def _given_labels(firsts: DataFrame) -> DataFrame:
-    return firsts.select("target", "gloss", (F.col("line_no") % 104 % 5).alias("label"))
+    return firsts.select("target", "gloss", (F.floor(F.col("line_no") / 24) % 5).alias("label"))
 
 
 def _usage_parts(spark: SparkSession, sf: str):
@@ -221,7 +221,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str, targets: DataFrame) -> DataFrame:
-    g = fx.gold(spark, sf).withColumn("line_no", F.substring("lemma", 2, 100).cast("long"))
+    g = fx.gold(spark, sf).withColumn("line_no", F.expr("substring(lemma, 2)").cast("long"))
     return SE.limit_gold(g, targets)
 
 

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -23,22 +25,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
-    parts = shuffle_partitions or int(os.environ.get("LEXSENSE_SHUFFLE_PARTITIONS", cpus * 2))
-    spark = (
-        builder
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LEXSENSE_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
+    given = SparkConf()  # spark-submit and spark-defaults
+    values = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    if (master or given.get("spark.master", "local")).startswith("local"):  # sizes of one machine
+        values["spark.sql.shuffle.partitions"] = os.environ.get("LEXSENSE_SHUFFLE_PARTITIONS", str((os.cpu_count() or 8) * 2))
+        values["spark.driver.memory"] = os.environ.get("LEXSENSE_DRIVER_MEMORY", "16g")
+    for key, value in values.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -48,12 +54,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system; only when it is unset (local runs,
-    tests) do we make one of our own.
+    A cluster must set it to a shared file system; only a local master gets a folder of our own.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexsense-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
@@ -61,19 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-_READERS: dict[tuple, DataFrame] = {}
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: cuts the lineage, and with it the size
+    estimates that a loop would let grow."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables. The reader (file listing, footer schema) is kept per
-    SparkContext and path: a plan, not data, so repeated queries skip re-listing read-only input."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path)
-    df = _READERS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _READERS[key] = df
-    return df
+    """One of the driver's parquet tables, listed anew each time."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 _SHIPPED: set[str] = set()

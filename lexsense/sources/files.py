@@ -39,13 +39,18 @@ def scratch_dir(spark: SparkSession, name: str = "io") -> str:
 # ---------------------------------------------------------------- S7 text lines with exact line numbers
 
 
+def part_number(col: str) -> Column:
+    """Number of a Spark part file: names are padded to five digits, so they don't sort beyond 99,999."""
+    return F.coalesce(F.regexp_extract(col, r"/part-(\d+)", 1).try_cast("long"), F.lit(-1))
+
+
 def text_lines(spark: SparkSession, path: str, per_file: bool = True, **opts) -> DataFrame:
     """(file, line_no, value) with 0-based physical line numbers.
 
     ``monotonically_increasing_id`` is contiguous within a split, so per (file, split) we take the
     smallest id and the line count; a running sum of counts over the splits of a file (or of the
-    whole folder in file-name order when ``per_file`` is false, for ordered part files) is the
-    split's first line. That table has one row per split, so it is small and broadcast back.
+    whole folder when ``per_file`` is false, for ordered part files: by part number, then name) is the
+    split's first line. That table has one row per split.
     """
     raw = spark.read.options(**opts).text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -53,10 +58,11 @@ def text_lines(spark: SparkSession, path: str, per_file: bool = True, **opts) ->
         F.monotonically_increasing_id().alias("_id"),
         "value")
     splits = raw.groupBy("file", "_blk").agg(F.min("_id").alias("_min"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_part", part_number("file"))
     part = [] if not per_file else ["file"]
-    w = Window.partitionBy(*part).orderBy("file", "_blk") if part else Window.orderBy("file", "_blk")
+    w = Window.partitionBy(*part).orderBy("file", "_blk") if part else Window.orderBy("_part", "file", "_blk")
     splits = splits.withColumn("_off", F.sum("_n").over(w) - F.col("_n"))
-    out = raw.join(F.broadcast(splits.select("file", "_blk", "_min", "_off")), ["file", "_blk"])
+    out = raw.join(splits.select("file", "_blk", "_min", "_off"), ["file", "_blk"])
     return out.select("file", (F.col("_off") + F.col("_id") - F.col("_min")).alias("line_no"), "value")
 
 
