@@ -12,30 +12,29 @@ from pyspark.sql import functions as F
 from .session import table
 
 
+TURNS = 1 << 32  # row numbers: conversation * TURNS + turn
+
+
 def _s(c) -> Column:
     return c.cast("string")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """v_pairs: gold gloss and a model answer per row (DG scoring input): the answer to turn t is
-    the whole next turn (upper-cased copy of the gloss for one conversation in ten, empty for one in
-    ten)."""
+    """v_pairs: gold gloss and a model answer per row (DG scoring input): the answer to an even turn is
+    the whole next turn, empty where there is none. One conversation in ten has each gloss once more,
+    answered by its upper-cased copy."""
     a = table(spark, sf, "conversations").alias("a")
     b = table(spark, sf, "conversations").alias("b")
     cid, turn = F.col("a.conv_id"), F.col("a.turn")
-    return (
-        a.join(b, (F.col("b.conv_id") == cid) & (F.col("b.turn") == turn + 1))
-        .where(turn % 2 == 0)
-        .select(
-            (cid * 1000 + turn).alias("row_id"),
-            F.concat(F.lit("m"), _s(cid % 4)).alias("model"),
-            F.concat(F.lit("d"), _s(cid % 5)).alias("dataset"),
-            F.col("a.text").alias("gloss"),
-            F.when(cid % 10 == 0, F.upper(F.col("a.text")))
-            .when(cid % 10 == 1, F.lit(""))
-            .otherwise(F.col("b.text")).alias("answer"),
-        )
-    )
+
+    def rows(at, answer):
+        return [(cid * TURNS + at).alias("row_id"), F.concat(F.lit("m"), _s(cid % 4)).alias("model"),
+                F.concat(F.lit("d"), _s(cid % 5)).alias("dataset"), F.col("a.text").alias("gloss"), answer.alias("answer")]
+
+    asked = a.where(turn % 2 == 0)
+    answered = asked.join(b, (F.col("b.conv_id") == cid) & (F.col("b.turn") == turn + 1), "left")
+    return answered.select(*rows(turn, F.coalesce("b.text", F.lit("")))).unionByName(
+        asked.where(cid % 10 == 0).select(*rows(turn + 1, F.upper("a.text"))))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,25 +55,37 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def uses(spark: SparkSession, sf: str) -> DataFrame:
-    """v_uses: usages with a target span "s:e" (every 7th lacks its end)."""
+    """v_uses: usages with a target span "s:e" (every 7th lacks its end): each document's second word.
+    Identifiers are unique within a target only."""
     d = table(spark, sf, "documents")
     did = F.col("doc_id")
-    at = F.instr("text", " the ")
-    return d.where(at > 0).select(
-        did.alias("identifier"),
-        (1 + did % 2).alias("grouping"),
-        F.concat(F.col("lang"), F.when(did % 3 == 0, "_nn").otherwise("_vb")).alias("target"),
-        F.col("text").alias("example"),
+    text = F.coalesce("text", F.lit(""))
+    at = F.instr(text, " ")
+    end = at + F.length(F.split_part(text, F.lit(" "), F.lit(2)))
+    return d.select(
+        _half(did).alias("identifier"),
+        (1 + _half(did) % 2).alias("grouping"),
+        _usage_target(did).alias("target"),
+        text.alias("example"),
         F.when(did % 7 == 0, _s(at))
-        .otherwise(F.concat(_s(at), F.lit(":"), _s(at + 3))).alias("indexes_target_token"),
+        .otherwise(F.concat(_s(at), F.lit(":"), _s(end))).alias("indexes_target_token"),
     )
 
 
+def _half(c) -> Column:
+    return F.floor(c / 2)
+
+
+def _usage_target(did) -> Column:
+    return F.concat(F.coalesce("lang", F.lit("und")), F.when(did % 2 == 0, "_nn").otherwise("_vb"))
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """v_clusters: gold cluster per usage, -1 = noise."""
-    lab = table(spark, sf, "labels")
+    """v_clusters: gold cluster per usage (target, identifier), -1 = noise."""
+    lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return lab.select(
-        F.col("doc_id").alias("identifier"),
+        _usage_target(F.col("doc_id")).alias("target"),
+        _half(F.col("doc_id")).alias("identifier"),
         F.when(F.col("toxic") == 1, F.lit(-1)).otherwise(F.col("quality")).alias("cluster"),
     )
 
@@ -85,7 +96,7 @@ def wic_lines(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "conversations").alias("b")
     turn = F.col("a.turn")
     return a.join(b, (F.col("b.conv_id") == F.col("a.conv_id")) & (F.col("b.turn") == turn + 1)).select(
-        (F.col("a.conv_id") * 1000 + turn).alias("line_no"),
+        (F.col("a.conv_id") * TURNS + turn).alias("line_no"),
         F.col("a.role").alias("target"),
         F.lit("N").alias("pos"),
         F.concat(_s(turn % 3), F.lit("-"), _s((turn + 1) % 3)).alias("indexes"),
@@ -95,9 +106,10 @@ def wic_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf: str) -> DataFrame:
-    """v_judgments: annotator judgments of usage pairs."""
+    """v_judgments: annotator judgments of usage pairs; identifiers repeat over targets."""
     e = table(spark, sf, "events")
     return e.select(
+        F.concat(F.lit("t"), _s(F.col("event_id") % 3)).alias("target"),
         F.col("user_id").alias("identifier1"),
         F.col("event_type").alias("identifier2"),
         F.col("value").alias("judgment"),

@@ -58,7 +58,8 @@ def _blocked(points: DataFrame, by, block: int) -> DataFrame:
     group is never numbered in one task)."""
     sizes = points.groupBy(*by).agg(F.count("*").alias("_m"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_m") / block))
-    return points.join(sizes, list(by)).withColumn("_blk", F.pmod(F.xxhash64("id"), nb)).drop("_m")
+    return (points.join(sizes, list(by)).withColumn("_nb", nb.cast("long"))
+            .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb"))).drop("_m"))
 
 
 def _packed(points: DataFrame, by, block: int, cols=("id", "v")) -> DataFrame:
@@ -68,16 +69,19 @@ def _packed(points: DataFrame, by, block: int, cols=("id", "v")) -> DataFrame:
     aligned lists afterwards; separate ``collect_list`` calls are not guaranteed to keep the same
     order, and a misaligned id / vector / core would silently change the clusters."""
     b = _blocked(points, by, block)
-    packed = b.groupBy(*by, "_blk").agg(F.collect_list(F.struct(*cols)).alias("_pts"))
-    return packed.select(*by, "_blk", *[F.col("_pts")[c].alias(f"{c}s") for c in cols])
+    packed = b.groupBy(*by, "_nb", "_blk").agg(F.collect_list(F.struct(*cols)).alias("_pts"))
+    return packed.select(*by, "_nb", "_blk", *[F.col("_pts")[c].alias(f"{c}s") for c in cols])
 
 
 def _block_pairs(packed: DataFrame, by, cols=("id", "v")) -> DataFrame:
-    """Pairs of blocks (i <= j) of the same group. A group of m points becomes
-    (m/B)(m/B+1)/2 block pairs, each a bounded task; a hot group is spread over many tasks."""
-    left = packed.select(*by, F.col("_blk").alias("bi"), *[F.col(f"{c}s").alias(f"{c}s_i") for c in cols])
-    right = packed.select(*by, F.col("_blk").alias("bj"), *[F.col(f"{c}s").alias(f"{c}s_j") for c in cols])
-    return left.join(right, list(by)).where(F.col("bi") <= F.col("bj"))
+    """Pairs of blocks (i <= j) of the same group. A group of m points becomes (m/B)(m/B+1)/2 block
+    pairs. Each block is listed once for each partner number and joined on (group, i, j), so the
+    pairs of a hot group are spread over all tasks."""
+    left = packed.select(*by, F.col("_blk").alias("bi"), F.explode(F.sequence("_blk", F.col("_nb") - 1)).alias("bj"),
+                         *[F.col(f"{c}s").alias(f"{c}s_i") for c in cols])
+    right = packed.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "_blk")).alias("bi"), F.col("_blk").alias("bj"),
+                          *[F.col(f"{c}s").alias(f"{c}s_j") for c in cols])
+    return left.join(right, [*by, "bi", "bj"])
 
 
 def _distance_tile(vi, vj):
@@ -92,10 +96,15 @@ def _schema(df: DataFrame, by, extra: str) -> str:
     return ", ".join([f"{k} {t}" for k, t in df.select(*by).dtypes] + [extra])
 
 
-def _core_distance(tiles: DataFrame, by) -> DataFrame:
-    """(by, id, core): distance to the nearest other point (k = 2 with the point itself counted),
-    as the min over the tiles a point takes part in."""
-    by = list(by)
+def _core_distance(tiles: DataFrame, by, k: int) -> DataFrame:
+    """(by, id, core): distance to the k-th nearest point, the point itself counted as the first.
+
+    Each tile gives its ``k - 1`` smallest distances to other points; the smallest of all of a point's
+    tiles decide. Without ``k - 1`` other points the distance is infinite."""
+    by, m = list(by), k - 1
+
+    def nearest(d):
+        return list(np.sort(np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d, axis=1))
 
     def run(it):
         for pdf in it:
@@ -104,17 +113,18 @@ def _core_distance(tiles: DataFrame, by) -> DataFrame:
                 d = _distance_tile(r.vs_i, r.vs_j)
                 ids_i, ids_j = np.asarray(r.ids_i), np.asarray(r.ids_j)
                 d = np.where(ids_i[:, None] == ids_j[None, :], np.inf, d)
-                parts = [pd.DataFrame({"id": ids_i.astype(np.int64), "core": d.min(axis=1)})]
+                parts = [pd.DataFrame({"id": ids_i.astype(np.int64), "near": nearest(d)})]
                 if r.bi != r.bj:
-                    parts.append(pd.DataFrame({"id": ids_j.astype(np.int64), "core": d.min(axis=0)}))
+                    parts.append(pd.DataFrame({"id": ids_j.astype(np.int64), "near": nearest(d.T)}))
                 frame = pd.concat(parts, ignore_index=True)
                 for k in by:
                     frame[k] = getattr(r, k)
-                out.append(frame[[*by, "id", "core"]])
+                out.append(frame[[*by, "id", "near"]])
             if out:
                 yield pd.concat(out, ignore_index=True)
-    part = tiles.mapInPandas(run, _schema(tiles, by, "id long, core double"))
-    return part.groupBy(*by, "id").agg(F.min("core").alias("core"))
+    part = tiles.mapInPandas(run, _schema(tiles, by, "id long, near array<double>"))
+    near = F.array_sort(F.flatten(F.collect_list("near")))
+    return part.groupBy(*by, "id").agg(F.coalesce(F.try_element_at(near, F.lit(m)), F.lit(float("inf"))).alias("core"))
 
 
 _BIG = np.iinfo(np.int64).max
@@ -165,10 +175,11 @@ def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
                 ci, cj = np.asarray(r.cores_i, dtype=np.float64), np.asarray(r.cores_j, dtype=np.float64)
                 ok = np.maximum(d, np.maximum(ci[:, None], cj[None, :])) <= eps
                 ok &= ids_i[:, None] != ids_j[None, :]
-                if not ok.any():
-                    continue
-                nodes, roots = _tile_roots(ids_i, ids_j, ok, r.bi == r.bj)
-                frame = pd.DataFrame({"id": nodes, "root": roots})
+                nodes, roots = _tile_roots(ids_i, ids_j, ok, r.bi == r.bj) if ok.any() else (ids_i[:0], ids_i[:0])
+                # a dense point without a link in its own block: null root, as it may have one elsewhere
+                lone = ids_i[(ci <= eps) & ~ok.any(axis=1)] if r.bi == r.bj else ids_i[:0]
+                frame = pd.DataFrame({"id": np.concatenate([nodes, lone]),
+                                      "root": pd.array([*roots, *[None] * len(lone)], dtype="Int64")})
                 for k in by:
                     frame[k] = getattr(r, k)
                 out.append(frame[[*by, "id", "root"]])
@@ -200,14 +211,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame, by, init: DataFrame
             return lab
 
 
-def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK,
+def density_clusters(points: DataFrame, by, eps: float = 0.7, k: int = 2, block: int = BLOCK,
                      id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """V3: DBSCAN* over cosine distance per group (the flat cut of the HDBSCAN hierarchy at
-    ``eps`` with min_samples = 2, self counted).
+    ``eps`` with min_samples = ``k`` of at least 2, self counted).
 
-    core(p) = distance to the nearest other point; p and q are linked when
-    max(d(p, q), core(p), core(q)) <= eps; labels are connected components (label = min id of
-    the component); points with no link are noise (-1).
+    core(p) = distance to the k-th nearest point, p the first; p and q are linked when
+    max(d(p, q), core(p), core(q)) <= eps; labels are connected components of the points with
+    core <= eps (label = min id of the component); the other points are noise (-1).
 
     Groups are hashed into blocks of ~``block`` points; distances are computed in block-pair
     tiles inside bounded tasks (first pass: core distances; second pass: links, resolved into
@@ -216,19 +227,20 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, block: int = BLOCK
     """
     by = list(by)
     pts = points.select(*by, F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
-    core = _core_distance(_block_pairs(_packed(pts, by, block), by), by)
+    core = _core_distance(_block_pairs(_packed(pts, by, block), by), by, k)
     with_core = pts.join(core, by + ["id"])
     tiles = _block_pairs(_packed(with_core, by, block, ("id", "v", "core")), by, ("id", "v", "core"))
     stars = _local_stars(tiles, by, eps)
     # Tile components are final unless some node sits in two tile components with different
     # roots; one aggregation decides whether the propagation loop is needed at all.
     stars = stars.checkpoint(eager=True)
-    first = stars.groupBy(*by, "id").agg(F.min("root").alias("l"), F.countDistinct("root").alias("_k"))
+    first = stars.groupBy(*by, "id").agg(
+        F.coalesce(F.min("root"), F.col("id")).alias("l"), F.countDistinct("root").alias("_k"))
     if first.where(F.col("_k") > 1).limit(1).count() == 0:
         comp = first.select(*by, "id", "l")
     else:
         edges = stars.select(*by, F.col("id").alias("i"), F.col("root").alias("j")).unionByName(
-            stars.select(*by, F.col("root").alias("i"), F.col("id").alias("j"))).where(F.col("i") != F.col("j"))
+            stars.select(*by, F.col("root").alias("i"), F.col("id").alias("j"))).where(F.col("i") != F.col("j"))  # null roots fall out
         comp = connected_components(edges, None, by, init=first.select(*by, "id", "l"))
     out = pts.select(*by, "id").join(comp, by + ["id"], "left") \
         .select(*by, F.col("id").alias(id_col), F.coalesce("l", F.lit(-1)).cast("long").alias("label"))

@@ -85,9 +85,10 @@ def build_wic_usages(lines: DataFrame) -> DataFrame:
 WIDTHS = (None, 25, 50, 75, 100)
 
 
-def build_usages(uses: DataFrame, clusters: DataFrame, widths=WIDTHS, on=("identifier",)) -> DataFrame:
+def build_usages(uses: DataFrame, clusters: DataFrame, widths=WIDTHS, on=("target", "identifier")) -> DataFrame:
     """Usages without noise (J4), joined with their cluster (J5), target span quoted and cut
-    to each context width in one pass (``suffix`` '' = whole text)."""
+    to each context width in one pass (``suffix`` '' = whole text). Identifiers need only be unique
+    within a target."""
     on = list(on)
     noise = clusters.where(F.col("cluster") == -1).select(*on)
     u = uses.join(noise, on, "left_anti").join(clusters, on, "inner")
@@ -102,23 +103,29 @@ def build_usages(uses: DataFrame, clusters: DataFrame, widths=WIDTHS, on=("ident
         S.quote_window("example", "start", "end", "width").alias("example"))
 
 
+def mean_judgments(judgments: DataFrame) -> DataFrame:
+    """A1: mean judgment per target and ordered id pair."""
+    return judgments.groupBy("target", F.col("identifier1").cast("string").alias("identifier1"),
+                             F.col("identifier2").cast("string").alias("identifier2")).agg(F.avg("judgment").alias("judgment"))
+
+
 def build_judgments(judgments: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """E5: mean judgment per ordered id pair (A1), kept only when both ids are kept usages."""
-    j = judgments.select(F.col("identifier1").cast("string").alias("identifier1"),
-                         F.col("identifier2").cast("string").alias("identifier2"), "judgment")
-    a = j.groupBy("identifier1", "identifier2").agg(F.avg("judgment").alias("judgment"))
-    ids = kept_ids.select(F.col("identifier").cast("string").alias("identifier")).distinct()
-    a = a.join(ids.withColumnRenamed("identifier", "identifier1"), "identifier1", "left_semi")
-    a = a.join(ids.withColumnRenamed("identifier", "identifier2"), "identifier2", "left_semi")
-    return a.select("identifier1", "identifier2", "judgment")
+    """E5: mean judgment per target and ordered id pair (A1), kept only when both ids are kept usages of
+    that target (J6)."""
+    a = mean_judgments(judgments)
+    ids = kept_ids.select("target", F.col("identifier").cast("string").alias("identifier")).distinct()
+    for side in ("identifier1", "identifier2"):
+        a = a.join(ids.withColumnRenamed("identifier", side), ["target", side], "left_semi")
+    return a.select("target", "identifier1", "identifier2", "judgment")
 
 
 # ---------------------------------------------------------------- E6 training mix and packing
 
 
 def seeded_order(seed: int, *keys) -> Column:
-    """A repeatable shuffle key (hash of seed and row key), independent of partitioning."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
+    """A repeatable shuffle key (60 bits of the md5 of seed and row key), independent of partitioning."""
+    text = F.concat_ws("\x1f", F.lit(str(seed)), *keys)
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def build_training_mix(defs: DataFrame, exclude=("slang", "wiki"), split: str = "train", seed: int = 42,

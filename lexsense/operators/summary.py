@@ -41,9 +41,15 @@ def box_summary(df: DataFrame, by, y: str) -> DataFrame:  # by: at least one col
         F.count(F.lit(1)).alias("n"))
 
 
-def line_summary(df: DataFrame, by, y: str, out: str | None = None) -> DataFrame:
-    """Mean of ``y`` per (x, hue) group."""
-    return df.groupBy(*by).agg(F.avg(y).alias(out or y), F.count(F.lit(1)).alias("n"))
+def line_summary(df: DataFrame, by, y: str, out: str | None = None, replicates: int = 0,
+                 row_key: str | None = None, seed: int = 0) -> DataFrame:
+    """Mean of ``y`` per (x, hue) group; with ``replicates`` also its bootstrap band (A16) as
+    ``ci_lo`` and ``ci_hi``, for rows told apart by ``row_key``."""
+    line = df.groupBy(*by).agg(F.avg(y).alias(out or y), F.count(F.lit(1)).alias("n"))
+    if not replicates:
+        return line
+    band = bootstrap_band(df, by, y, row_key, replicates, seed).drop("mean")
+    return line.join(band, list(by))
 
 
 def _poisson1_cdf(kmax: int = 40) -> list[float]:
@@ -56,14 +62,14 @@ def _poisson1_cdf(kmax: int = 40) -> list[float]:
     return out
 
 
-_POISSON1_CDF = _poisson1_cdf()
+POISSON1_CDF = _poisson1_cdf()
 
 
 def poisson_weight(u) -> "F.Column":
     """Inverse CDF of Poisson(1) at a uniform ``u``."""
-    w = F.lit(len(_POISSON1_CDF))
-    for k in reversed(range(len(_POISSON1_CDF))):
-        w = F.when(u < _POISSON1_CDF[k], F.lit(k)).otherwise(w)
+    w = F.lit(len(POISSON1_CDF))
+    for k in reversed(range(len(POISSON1_CDF))):
+        w = F.when(u < POISSON1_CDF[k], F.lit(k)).otherwise(w)
     return w
 
 
@@ -71,15 +77,15 @@ def bootstrap_band(df: DataFrame, by, y: str, row_key: str, replicates: int = 20
                    level: float = 0.95) -> DataFrame:
     """Mean of ``y`` per group with a seeded Poisson-bootstrap interval.
 
-    Every (row, replicate) gets a Poisson(1) weight from a hash of (seed, row key, replicate), so
+    Every (row, replicate) gets a Poisson(1) weight from an md5 of (seed, row key, replicate), so
     the job is one pass, repeatable and independent of partitioning; the weighted sums are
     combined map-side per (group, replicate) before the shuffle."""
     by = list(by)
     rep = df.select(*by, y, row_key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-    h = F.xxhash64(F.lit(seed), F.col(row_key), F.col("_b"))
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string"), F.col("_b").cast("string")))
+    u = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     rep = rep.withColumn("_w", poisson_weight(u))
-    per = rep.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(y)) / F.sum("_w")).alias("_m"))
+    per = rep.groupBy(*by, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col(y)), F.sum("_w")).alias("_m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     band = per.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(lo), F.lit(hi))).alias("_ci"))
     means = df.groupBy(*by).agg(F.avg(y).alias("mean"))

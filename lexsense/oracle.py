@@ -6,13 +6,13 @@ from __future__ import annotations
 
 VIEWS: dict[str, str] = {
     "v_pairs": """
-select a.conv_id * 1000 + a.turn as row_id, 'm' || (a.conv_id % 4) as model, 'd' || (a.conv_id % 5) as dataset,
-       a.text as gloss,
-       case when a.conv_id % 10 = 0 then upper(a.text)
-            when a.conv_id % 10 = 1 then ''
-            else b.text end as answer
-from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1
-where a.turn % 2 = 0""",
+select a.conv_id * 4294967296 + a.turn as row_id, 'm' || (a.conv_id % 4) as model, 'd' || (a.conv_id % 5) as dataset,
+       a.text as gloss, coalesce(b.text, '') as answer
+from conversations a left join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1
+where a.turn % 2 = 0
+union all
+select conv_id * 4294967296 + turn + 1, 'm' || (conv_id % 4), 'd' || (conv_id % 5), text, upper(text)
+from conversations where turn % 2 = 0 and conv_id % 10 = 0""",
     "v_lines": """
 select doc_id as line_no, source as dataset,
        case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'valid' else 'train' end as split,
@@ -21,19 +21,20 @@ select doc_id as line_no, source as dataset,
        replace(text, ' the ', ' <TRG> ') as context
 from documents""",
     "v_uses": """
-select doc_id as identifier, 1 + doc_id % 2 as grouping,
-       lang || case when doc_id % 3 = 0 then '_nn' else '_vb' end as target, text as example,
-       case when doc_id % 7 = 0 then cast(strpos(text, ' the ') as varchar)
-            else strpos(text, ' the ') || ':' || (strpos(text, ' the ') + 3) end as indexes_target_token
-from documents where strpos(text, ' the ') > 0""",
+select doc_id // 2 as identifier, 1 + doc_id // 2 % 2 as grouping,
+       coalesce(lang, 'und') || case when doc_id % 2 = 0 then '_nn' else '_vb' end as target, x as example,
+       case when doc_id % 7 = 0 then cast(strpos(x, ' ') as varchar)
+            else strpos(x, ' ') || ':' || (strpos(x, ' ') + length(split_part(x, ' ', 2))) end as indexes_target_token
+from (select *, coalesce(text, '') as x from documents) d""",
     "v_clusters": """
-select doc_id as identifier, case when toxic = 1 then -1 else quality end as cluster from labels""",
+select coalesce(lang, 'und') || case when doc_id % 2 = 0 then '_nn' else '_vb' end as target, doc_id // 2 as identifier,
+       case when toxic = 1 then -1 else quality end as cluster from labels join documents using (doc_id)""",
     "v_wic_lines": """
-select a.conv_id * 1000 + a.turn as line_no, a.role as target, 'N' as pos,
+select a.conv_id * 4294967296 + a.turn as line_no, a.role as target, 'N' as pos,
        (a.turn % 3) || '-' || ((a.turn + 1) % 3) as indexes, a.text as example1, b.text as example2
 from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1""",
     "v_judgments": """
-select user_id as identifier1, event_type as identifier2, value as judgment from events""",
+select 't' || (event_id % 3) as target, user_id as identifier1, event_type as identifier2, value as judgment from events""",
     "v_usages": """
 select e.vec_id as line_no, 't' || (e.vec_id % 8) as target, 1 + (e.vec_id // 8) % 2 as grouping,
        'u' || e.vec_id as identifier, case when e.vec_id % 37 = 0 then -1 else e.label end as cluster,

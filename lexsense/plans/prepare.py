@@ -199,8 +199,9 @@ def e3_build_wic_usages(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- P5-P7, P9, J4, J5, E4 (usages)
 
 _E4_CTES = {
-    "j": 'select u.*, c.cluster from v_uses u join v_clusters c on c.identifier = u.identifier '
-         'where u.identifier not in (select identifier from v_clusters where cluster = -1)',
+    "j": 'select u.*, c.cluster from v_uses u join v_clusters c on c.target = u.target and c.identifier = u.identifier '
+         'where not exists (select 1 from v_clusters n where n.cluster = -1 and n.target = u.target '
+         'and n.identifier = u.identifier)',
     "p": "select *, string_split(indexes_target_token, ':') as parts from j",
     "q": "select *, (len(parts) = 2 and try_cast(parts[1] as int) is not null and try_cast(parts[2] as int) is not null) as ok "
          "from p",
@@ -216,7 +217,8 @@ _E4_CTES = {
 def p5_parse_span(spark: SparkSession, sf: str) -> DataFrame:
     u = fx.uses(spark, sf)
     c = fx.clusters(spark, sf)
-    u = u.join(c.where(F.col("cluster") == -1), "identifier", "left_anti").join(c, "identifier")
+    on = ["target", "identifier"]
+    u = u.join(c.where(F.col("cluster") == -1), on, "left_anti").join(c, on)
     s, e = S.parse_span("indexes_target_token", "example")
     return u.select("identifier", s.alias("start"), e.alias("end"))
 
@@ -254,8 +256,9 @@ def p9_strip_pos(spark: SparkSession, sf: str) -> DataFrame:
                                           extra={"j": _E4_CTES["j"]}))
 def j4_j5_usage_clusters(spark: SparkSession, sf: str) -> DataFrame:
     u, c = fx.uses(spark, sf), fx.clusters(spark, sf)
-    noise = c.where(F.col("cluster") == -1).select("identifier")
-    return u.join(noise, "identifier", "left_anti").join(c, "identifier").select("identifier", "grouping", "cluster")
+    on = ["target", "identifier"]
+    noise = c.where(F.col("cluster") == -1).select(*on)
+    return u.join(noise, on, "left_anti").join(c, on).select("identifier", "grouping", "cluster")
 
 
 @query("e4_build_usages", with_views(_E4_BODY, "v_uses", "v_clusters", extra=_E4_CTES))
@@ -266,35 +269,40 @@ def e4_build_usages(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- A1, J6, E5 (judgments)
 
 _E5_CTES = {
-    "kept": "select cast(user_id as varchar) as identifier from events where user_id % 2 = 0 "
-            "union select event_type from events",
-    "a": "select cast(identifier1 as varchar) as identifier1, cast(identifier2 as varchar) as identifier2, "
-         "avg(judgment) as judgment from v_judgments group by 1, 2",
+    "kept": "select 't' || (event_id % 3) as target, cast(user_id as varchar) as identifier from events "
+            "where (user_id + event_id % 3) % 2 = 0 "
+            "union select 't' || (event_id % 3), event_type from events where event_id % 3 < 2",
+    "a": "select target, cast(identifier1 as varchar) as identifier1, cast(identifier2 as varchar) as identifier2, "
+         "avg(judgment) as judgment from v_judgments group by 1, 2, 3",
 }
 
 
 def _kept_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept usages by (target, identifier): an id may be kept for one target and not for another."""
     e = table(spark, sf, "events")
-    return e.where(F.col("user_id") % 2 == 0).select(F.col("user_id").cast("string").alias("identifier")).unionByName(
-        e.select(F.col("event_type").alias("identifier")))
+    part = F.col("event_id") % 3
+    target = F.concat(F.lit("t"), part.cast("string")).alias("target")
+    return e.where((F.col("user_id") + part) % 2 == 0).select(
+        target, F.col("user_id").cast("string").alias("identifier")).unionByName(
+        e.where(part < 2).select(target, F.col("event_type").alias("identifier")))
 
 
-@query("a1_mean_judgment", with_views(f"select identifier1, identifier2, {sql_r6('judgment')} as judgment from a",
+@query("a1_mean_judgment", with_views(f"select target, identifier1, identifier2, {sql_r6('judgment')} as judgment from a",
                                       "v_judgments", extra=_E5_CTES))
 def a1_mean_judgment(spark: SparkSession, sf: str) -> DataFrame:
     j = fx.judgments(spark, sf)
-    a = j.groupBy(F.col("identifier1").cast("string").alias("identifier1"),
-                  F.col("identifier2").cast("string").alias("identifier2")).agg(F.avg("judgment").alias("judgment"))
-    return a.select("identifier1", "identifier2", r6("judgment").alias("judgment"))
+    a = R.mean_judgments(j)
+    return a.select("target", "identifier1", "identifier2", r6("judgment").alias("judgment"))
 
 
 @query("e5_build_judgments", with_views(
-    f"select identifier1, identifier2, {sql_r6('judgment')} as judgment from a "
-    "where identifier1 in (select identifier from kept) and identifier2 in (select identifier from kept)",
+    f"select target, identifier1, identifier2, {sql_r6('judgment')} as judgment from a "
+    "where (target, identifier1) in (select (target, identifier) from kept) "
+    "and (target, identifier2) in (select (target, identifier) from kept)",
     "v_judgments", extra=_E5_CTES))
 def e5_build_judgments(spark: SparkSession, sf: str) -> DataFrame:
     out = R.build_judgments(fx.judgments(spark, sf), _kept_ids(spark, sf))
-    return out.select("identifier1", "identifier2", r6("judgment").alias("judgment"))
+    return out.select("target", "identifier1", "identifier2", r6("judgment").alias("judgment"))
 
 
 # ---------------------------------------------------------------- P12-P14, S6, W6, W7, E6
@@ -322,11 +330,16 @@ def e6_training_mix(spark: SparkSession, sf: str) -> DataFrame:
     return R.build_training_mix(defs, exclude=EXCLUDE).drop("shuffle_key")
 
 
-@query("w7_seeded_shuffle")
+@query("w7_seeded_shuffle", with_views(
+    "select row_number() over (order by shuffle_key, dataset, target, gloss, example) - 1 as position, * from k",
+    "v_lines", extra={**_SQL_CUT, "e1": _E1_BODY, "k":
+        f"select dataset, target, gloss, example, {q_dialog_text('target', 'example', 'gloss')} as text, "
+        "('0x' || substr(md5(concat_ws(chr(31), '42', dataset, target, gloss, example)), 1, 15))::bigint as shuffle_key "
+        f"from e1 where split = 'train' and dataset not in {EXCLUDE}"}))
 def w7_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     senses, examples = _cut_lines(spark, sf)
     mix = R.build_training_mix(R.build_definitions(senses, examples), exclude=EXCLUDE)
-    return mix.orderBy("shuffle_key", "dataset", "target", "gloss", "example")
+    return R.running_offsets(mix.withColumn("_one", F.lit(1)), "shuffle_key", "_one", out="position").drop("_one")
 
 
 @query("s6_path_filter_scan", with_views(

@@ -291,6 +291,13 @@ def v3_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return C.density_clusters(e, ["target"], eps=0.7).select("target", "id", "label")
 
 
+@query("v3_density_clusters_k3", _V3_SQL.replace("where rn = 2", "where rn = 3"))
+def v3_density_clusters_k3(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("t"), (F.col("vec_id") % 8).cast("string")).alias("target"), F.col("vec_id").alias("id"), "embedding")
+    return C.density_clusters(e, ["target"], eps=0.7, k=3).select("target", "id", "label")
+
+
 # ---------------------------------------------------------------- E10 + E11 with clustering (V3 labels)
 
 _CLUSTER_CTES = {

@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..operators import pairs as PR
 from ..operators import runs as RU
 from ..operators import summary as SU
-from ..oracle import r6 as q6, with_views
+from ..oracle import DG_CTES, DG_METRIC_CTES, r6 as q6, with_views
 from .registry import query, r6
 from .scoring import scored as dg_scored
 from .senses import _WIC, _wic
@@ -77,6 +77,7 @@ _RES = {
           "case ft_model_name when 'Brand#1' then 'gen-A' when 'Brand#2' then 'gen-B' else 'gen-C' end "
           "as ft_model_name, model, \"ARI\", \"PUR\", \"RI\", \"APD\", \"APDP\" from v_results",
     "kept": "select * from v_results where ft_model_name in ('Brand#1', 'Brand#2', 'Brand#3') and model = 'STANDARD'",
+    "lsc": "select case when suffix = '' then 150 else cast(suffix as bigint) end as suffix, filter_, \"APD\", \"APDP\" from kept",
     "melted": "select case when suffix = '' then 150 else cast(suffix as bigint) end as suffix, filter_, ft_model_name, "
               "\"Metric\", \"Value\" from kept unpivot (\"Value\" for \"Metric\" in (\"ARI\", \"PUR\", \"RI\"))",
 }
@@ -129,14 +130,14 @@ def a14_e12_summarise_wsi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f4_e12_summarise_lsc", with_views(
     f'select 1 as panel, suffix as x, {q6("avg(" + _q("APD") + ")")} as "APD", '
-    f'{q6("avg(" + _q("APDP") + ")")} as "APDP", count(*) as n from rr where filter_ = 1 group by suffix '
+    f'{q6("avg(" + _q("APDP") + ")")} as "APDP", count(*) as n from lsc where filter_ = 1 group by suffix '
     f'union all select 2, filter_, {q6("avg(" + _q("APD") + ")")}, '
-    f'{q6("avg(" + _q("APDP") + ")")}, count(*) from rr where suffix = 100 group by filter_',
+    f'{q6("avg(" + _q("APDP") + ")")}, count(*) from lsc where suffix = 100 group by filter_',
     "v_results", extra=_RES))
 def f4_e12_summarise_lsc(spark: SparkSession, sf: str) -> DataFrame:
     r = _results(spark, sf)
-    r = r.withColumn("ft_model_name", RU.recode("ft_model_name", MODEL_NAMES, MODEL_OTHER))
-    r = r.select("suffix", "filter_", "ft_model_name", "APD", "APDP")
+    r = r.where(F.col("ft_model_name").isin(*KEPT_MODELS) & (F.col("model") == ENCODER))  # F3
+    r = r.select("suffix", "filter_", "APD", "APDP")
     by_len = r.where(F.col("filter_") == 1).groupBy(F.col("suffix").alias("x")).agg(
         F.avg("APD").alias("APD"), F.avg("APDP").alias("APDP"), F.count(F.lit(1)).alias("n"))
     by_filter = r.where(F.col("suffix") == 100).groupBy(F.col("filter_").alias("x")).agg(
@@ -160,7 +161,23 @@ def e12_summarise_wic(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("model", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"), "n")
 
 
-@query("a16_bootstrap_band")
+_LO, _HI = (1 - 0.95) / 2, 1 - (1 - 0.95) / 2
+_CDF = "[" + ", ".join(f"{c!r}::double" for c in SU.POISSON1_CDF) + "]"
+_BAND = {
+    **{k: DG_CTES[k] for k in ["prep", "tk", *DG_METRIC_CTES["nltk_bleu"][1]]},
+    "sc": "select tk.row_id, tk.model, ngs.nltk_bleu as y from tk join ngs on ngs.row_id = tk.row_id",
+    "u": "select model, y, b, (('0x' || substr(md5('0:' || row_id || ':' || b), 1, 8))::bigint + 0.5::double) / 4294967296 as u "
+         "from sc, range(1, 201) r(b)",
+    "w": f"select model, y, b, len(list_filter({_CDF}, lambda c: c <= u)) as w from u",
+    "m": "select model, b, sum(w * y) / nullif(sum(w), 0) as m from w group by model, b",
+}
+
+
+@query("a16_bootstrap_band", with_views(
+    f"select c.model, {q6('mean')} as mean, {q6('lo')} as ci_lo, {q6('hi')} as ci_hi from "
+    "(select model, avg(y) as mean from sc group by model) c join "
+    f"(select model, quantile_cont(m, {_LO!r}) as lo, quantile_cont(m, {_HI!r}) as hi from m group by model) d on d.model = c.model",
+    "v_pairs", extra=_BAND))
 def a16_bootstrap_band(spark: SparkSession, sf: str) -> DataFrame:
     s = dg_scored(spark, sf, ["nltk_bleu"])
     b = SU.bootstrap_band(s.select("model", "row_id", "nltk_bleu"), ["model"], "nltk_bleu", "row_id", replicates=200)
@@ -169,10 +186,10 @@ def a16_bootstrap_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j12_e13_pending_runs", with_views(
     "select distinct model, dataset from v_pairs except "
-    "select distinct model, dataset from v_pairs where ((row_id // 1000) % 4 + (row_id // 1000) % 5) % 3 = 0",
+    "select distinct model, dataset from v_pairs where ((row_id // 4294967296) % 4 + (row_id // 4294967296) % 5) % 3 = 0",
     "v_pairs"))
 def j12_e13_pending_runs(spark: SparkSession, sf: str) -> DataFrame:
     p = fx.pairs(spark, sf)
-    conv = F.floor(F.col("row_id") / 1000)
+    conv = F.floor(F.col("row_id") / fx.TURNS)
     done = p.where(((conv % 4 + conv % 5) % 3) == 0)
     return RU.pending_runs(p, done)

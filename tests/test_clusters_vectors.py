@@ -132,6 +132,27 @@ def test_density_clusters_brute_force(spark, block):
         assert {i: got[(t, i)] for i in ids} == want
 
 
+@pytest.mark.parametrize("k", [3, 5])
+def test_density_clusters_with_k(spark, k):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([("t", i, x.tolist()) for i, x in enumerate(v)] + [("few", 0, [1.0, 0.0, 0.0])],
+                               "target string, id long, embedding array<double>")
+    got = {(r.target, r.id): r.label for r in C.density_clusters(df, ["target"], eps=0.08, k=k, block=16).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, 0)
+    dense = np.sort(d, axis=1)[:, k - 1] <= 0.08
+    own = np.where(dense, np.arange(60), -1)
+    while True:
+        new = np.array([min(own[j] for j in range(60) if dense[j] and d[i, j] <= 0.08) if dense[i] else -1 for i in range(60)])
+        if (new == own).all():
+            break
+        own = new
+    assert dense.any() and not dense.all()
+    assert [got[("t", i)] for i in range(60)] == own.tolist() and got[("few", 0)] == -1
+
+
 def test_tile_roots_independent_of_side_order():
     rng = np.random.default_rng(3)
     for _ in range(200):

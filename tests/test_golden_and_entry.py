@@ -68,4 +68,4 @@ def test_expression_only_jobs_have_no_python_and_no_cartesian(spark, name):
 
 def test_scan_prunes_columns(spark):
     p = _plan(E.queries()["e5_build_judgments"](spark, SF_SMALL))
-    assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in p
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in p

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from lexsense.operators import clusters as C
 from lexsense.operators import metrics as M
 from lexsense.operators import pairs as PR
+from lexsense.operators import records as R
+from lexsense.operators import summary as SU
 from lexsense.operators.senses import keep_first
 
 from test_clusters_vectors import dbscan_ref
@@ -35,6 +37,41 @@ def test_density_clusters_hot_target(spark):
         assert {i: got[(t, i)] for i in ids} == want
 
 
+def test_hot_target_tiles_spread_over_partitions(spark):
+    rows = [("hot", i, [float(i % 7), 1.0]) for i in range(300)]
+    pts = spark.createDataFrame(rows, "target string, id long, v array<double>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tiles = C._block_pairs(C._packed(pts, ["target"], 16), ["target"])
+        parts = tiles.select(F.spark_partition_id().alias("p"), "bi", "bj").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    blocks = {r.bi for r in parts} | {r.bj for r in parts}
+    assert len(parts) == len({(r.bi, r.bj) for r in parts}) == len(blocks) * (len(blocks) + 1) // 2
+    assert len({r.p for r in parts}) >= 6  # of 8
+
+
+def test_judgments_are_kept_per_target(spark):
+    j = spark.createDataFrame([("a", 1, 2, 1.0), ("a", 1, 2, 3.0), ("b", 1, 2, 9.0), ("b", 2, 2, 5.0)],
+                              "target string, identifier1 long, identifier2 long, judgment double")
+    kept = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], "target string, identifier long")
+    got = sorted(tuple(r) for r in R.build_judgments(j, kept).collect())
+    assert got == [("a", "1", "2", 2.0), ("b", "2", "2", 5.0)]
+
+
+def test_line_summary_band(spark):
+    rows = [(g, i, float(i % 10)) for g in ("x", "y") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id long, y double")
+    out = SU.line_summary(df, ["g"], "y", replicates=100, row_key="id").collect()
+    assert {r.g for r in out} == {"x", "y"}
+    assert all(r.n == 200 and r.y == pytest.approx(4.5) and 3.8 < r.ci_lo < 4.5 < r.ci_hi < 5.2 for r in out)
+    one = SU.bootstrap_band(df.where("id = 0"), ["g"], "y", "id", replicates=50).collect()
+    assert all(r.ci_lo == r.ci_hi == 0 for r in one)  # replicates of weight 0 don't count
+
+
 def test_threshold_with_hot_score(spark):
     rows = [("m", 1.0, i % 2) for i in range(600)] + [("m", 0.1 * k, k % 2) for k in range(10)]
     df = spark.createDataFrame(rows, "model string, sim double, label int")
