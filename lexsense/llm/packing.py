@@ -1,7 +1,7 @@
 """Packing into windows by non-negative least squares over shallow length combinations (operator 8).
 
-Tokenising writes, for each document, its number of tokens and the checksums of its full windows and of
-the rest. Full windows are sequences by themselves. For the rests, the combinations of two or three
+Tokenising writes, for each document, its token ids and their number. Only the numbers are ranked and
+planned; the ids are joined back by row and cut into the pieces. Full windows are sequences by themselves. For the rests, the combinations of two or three
 lengths that fill a window exactly are the columns of A; non-negative least squares fits their repeat
 counts to the histogram of lengths, the counts are rounded down within what is there, and the residual
 histogram is packed greedily, longest first. The plan depends on ``WINDOW`` lengths only, never on the
@@ -94,9 +94,17 @@ class Encoder:
         return out, np.concatenate(([0], np.cumsum(np.bincount(row, size, n).astype(np.int64))))
 
 
+def id_type(name: str) -> str:
+    """Two bytes an id between the steps where the vocabulary allows it, else four."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    return "<u2" if Tokenizer.from_file(public_tokenizers.path(f"{name}.json")).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokens(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, n_tokens with the closing id 0, crcs of the full windows and of the rest) of every row."""
+    """(doc_id, n with the closing id 0, ids as bytes of the width ``id_type`` gives) of every row."""
     flat.prepare(documents.sparkSession)
+    kind = id_type(name)
 
     def run(batches):
         encoder = Encoder(name)
@@ -104,7 +112,7 @@ def tokens(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
                       for i in encoder.exact.get_added_tokens_decoder())
         for batch in batches:
             data, off = flat.flat(batch.column(1))
-            count, crcs = [], []
+            count, lists = [], []
             for a, b in flat.chunks(off):
                 raw = data[off[a]:off[b]]
                 ids, at = encoder.encode(raw, off[a:b + 1] - off[a])
@@ -114,14 +122,14 @@ def tokens(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
                     own = ids[at[i]:at[i + 1]]
                     if held and any(s in text[off[a + i] - off[a]:off[a + i + 1] - off[a]] for s in held):
                         own = encoder.exact.encode(text[off[a + i] - off[a]:off[a + i + 1] - off[a]].decode(), add_special_tokens=False).ids
-                    full = np.append(own, 0).astype("<u4")
+                    full = np.append(own, 0).astype(kind)
                     count.append(len(full))
-                    crcs.append([zlib.crc32(full[k:k + WINDOW].tobytes()) for k in range(0, len(full), WINDOW)])
+                    lists.append(full.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n", "crcs"])
+                [batch.column(0), pa.array(count, pa.int64()), pa.array(lists, pa.binary())], ["doc_id", "n", "ids"])
 
     return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(run, "doc_id long, n long, crcs array<long>"))
+            .mapInArrow(run, "doc_id long, n long, ids binary"))
 
 
 def combinations() -> np.ndarray:
@@ -192,10 +200,11 @@ def plan(h: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def pack(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of every piece."""
     spark = documents.sparkSession
-    table = tokens(documents, name).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
-    table = table.withColumn("rest", F.col("n") % WINDOW).withColumn("full", F.floor(F.col("n") / WINDOW))
+    kind = id_type(name)
+    stored = tokens(documents, name).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
+    table = stored.select("uid", "n").withColumn("rest", F.col("n") % WINDOW).withColumn("full", F.floor(F.col("n") / WINDOW))
     sums = table.groupBy("rest").agg(F.count("*").alias("k"), F.sum("full").alias("full")).orderBy("rest").collect()
     h = np.zeros(WINDOW, np.int64)
     for r in sums:  # WINDOW rows at most
@@ -233,18 +242,24 @@ def pack(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
             else:
                 p = np.ones((len(at), 6), np.int64)
             i = rank - p[:, 1]
-            crcs = batch.column("crcs").flatten() if hasattr(batch.column("crcs"), "flatten") else batch.column("crcs")
+            length = np.where(is_full, WINDOW, rest)
+            ids = np.frombuffer(flat.flat(batch.column("ids"))[0].tobytes(), kind).astype("<u4")
+            end = np.cumsum(length)  # the pieces of a row, and the rows, follow each other without gaps
+            raw = memoryview(ids.tobytes())
+            crcs = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip((end - length).tolist(), end.tolist(), strict=True)], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(at)), pa.array(nth * WINDOW, pa.int64()),
-                pa.array(np.where(is_full, WINDOW, rest), pa.int64()), crcs,
+                pa.array(length, pa.int64()), crcs,
                 pa.array(got["n"][at], pa.int64()),
                 pa.array(np.where(is_full, base + got["seq"][at] + nth, p[:, 3] + i // p[:, 4]), pa.int64()),
-                pa.array(np.where(is_full, 0, p[:, 5] + i % p[:, 4] * rest), pa.int64())],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                pa.array(np.where(is_full, 0, p[:, 5] + i % p[:, 4] * rest), pa.int64()), lists],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return ranked.select("doc_id", "n", "rest", "full", "rank", "seq", "crcs").mapInArrow(
-        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = stored.select("uid", "doc_id", "ids").join(ranked.select("uid", "n", "rest", "full", "rank", "seq"), "uid")
+    return placed.select("doc_id", "n", "rest", "full", "rank", "seq", "ids").mapInArrow(
+        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
 
 
 def op8_packing(spark, sf_dir):
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")  # the digest is that of the ids

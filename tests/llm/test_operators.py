@@ -254,6 +254,19 @@ def test_packing(session, corpus):
     assert packing.pack(frame(session, [])).count() == 0
 
 
+def test_packing_keeps_the_ids(session, corpus):
+    """The sequences can be built from the pieces' ids, and give back the tokenizer's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    rows = [(i, t) for i, t in corpus if i != 1] + [(800, "word and <|endoftext|> more"), (801, "long text " * 3000)]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    back: dict = {}
+    for r in sorted(packing.pack(frame(session, rows)).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        back.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert back == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+
+
 def test_plan_uses_every_piece_once():
     h = np.zeros(1024, np.int64)
     h[1:] = np.random.default_rng(3).integers(0, 40, 1023)
