@@ -46,7 +46,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     cut = np.searchsorted(row, np.arange(n + 1))
     step = np.uint64(0x9E3779B97F4A7C15)
     run = np.zeros(len(w), np.uint64)  # hash of the k words from here (or of all, where a row has fewer)
-    for j in range(k):
+    for j in range(min(k, len(w))):
         run[:len(w) - j] = flat.mix(run[:len(w) - j] + w[j:] * (step + np.uint64(2 * j))) if j else flat.mix(w * step)
     out = []
     for i in range(n):

@@ -127,6 +127,17 @@ def test_near_duplicates(session, corpus, shingle, percent):
     assert sorted(map(tuple, got)) == sorted((i, len(sets[i]), find(i), find(i) == i) for i, _ in corpus)
 
 
+def test_chunk_with_fewer_words_than_a_shingle(session):
+    """A chunk of 1 to 4 words in all: the whole sequences are the shingles."""
+    for texts in (["one two"], ["one two three"], ["one"], ["one two", ""], [None]):
+        rows = [(i, t) for i, t in enumerate(texts)]
+        got = neardup.near_duplicates(frame(session, rows).coalesce(1), 5, 80).collect()
+        assert sorted(map(tuple, got)) == [(i, int(bool(t)), i, True) for i, t in rows]
+    both = frame(session, [(0, "one two"), (1, "one two three"), (2, "One TWO")]).repartition(3, "doc_id")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(both, 5, 80).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_hot_group_is_cut_into_blocks(session, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "SMALL", 8)
