@@ -1,7 +1,9 @@
 """Subword encoding by forward filtering and backward sampling over the piece lattice (operator 6).
 
-A text is cut before every space (and after ``SPAN`` bytes of a longer stretch); in each stretch the
-lattice of all pieces is weighted by a Zipf law over the vocabulary's order. Forward filtering sums the
+A text is cut only between two bytes that no piece of the model holds side by side: before a space behind a
+visible character, and inside stretches of more than ``WHOLE`` bytes wherever that holds. No piece can lie
+across such a cut, so the lattice of the text is the product of those of its stretches, however long. It
+holds all pieces, weighted by a Zipf law over the vocabulary's order. Forward filtering sums the
 weights of all segmentations up to each byte, backward sampling draws one of them: exactly in proportion
 to the product of its pieces' weights. Draws come from a hash of seed, row key and place, so a row's
 segmentation is the same in every run, partition and order. Bytes are edges, too (byte fallback), hence
@@ -13,6 +15,8 @@ and text get equal pieces; a null key counts as 0. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import zlib
 
 import numpy as np
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 
 from lexsense.llm import flat
 
-SPAN = 32
-LONGEST = 16  # bytes of a piece in the lattice
+WHOLE = 16  # stretches up to it are cut before spaces only
+SHORT = 32  # bytes up to which stretches are filtered side by side; longer ones one by one, in logarithms
+BLOCK = 1 << 15  # places of a long stretch at a time
 SLOTS = 1 << 21
 
 
@@ -49,8 +54,7 @@ class Vocabulary:
                 rank += 1
                 self.piece[i] = model.id_to_piece(i).replace("▁", " ").encode()
                 weight[i] = 1 / (rank + 10)
-                if len(self.piece[i]) <= LONGEST:
-                    table.setdefault(self.piece[i], i)
+                table.setdefault(self.piece[i], i)
         self.weight = weight / weight.sum()
         self.length = np.array([len(p) for p in self.piece])
         self.bytes = np.frombuffer(b"".join(self.piece), np.uint8)
@@ -60,6 +64,10 @@ class Vocabulary:
         key = flat.span_hash(flat.prefix_hash(store), np.r_[0, end[:-1]], end)
         ids = np.fromiter(table.values(), np.int64, len(table))
         self.key, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.longest = max(map(len, table), default=1)
+        self.joint = np.zeros((256, 256), bool)  # whether a piece holds the two bytes side by side
+        for p in table:
+            self.joint[list(p[:-1]), list(p[1:])] = True
         self.probes = 1
         for k, i in zip(key.tolist(), ids.tolist(), strict=True):
             at, step = k % SLOTS, 1
@@ -83,19 +91,66 @@ class Vocabulary:
         n = self.length[ids]
         return self.bytes[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+    def edges(self, data: np.ndarray, prefix: np.ndarray, begin: int, n: int, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The lattice of one stretch: for each end the range of its edges; their lengths, pieces and shares
+        of the weight of all segmentations up to their end, as running sums."""
+        end, size, piece = [], [], []
+        for m in range(1, min(n, self.longest) + 1):
+            start = begin + np.arange(n - m + 1)
+            p = self.find(flat.span_hash(prefix, start, start + m))
+            if m == 1:
+                p = np.where(p < 0, self.byte[data[start]], p)
+            on = np.flatnonzero(p >= 0)
+            end.append(on + m)
+            size.append(np.full(len(on), m, np.int32))
+            piece.append(p[on].astype(np.int32))
+        end = np.concatenate(end)
+        order = np.argsort(end, kind="stable")
+        end, size, piece = end[order], np.concatenate(size)[order], np.concatenate(piece)[order]
+        at = np.searchsorted(end, np.arange(n + 2))
+        share, total = np.ones(len(end)), [0.0]
+        for a in range(1, n + 1, BLOCK):  # forward filtering
+            b = min(a + BLOCK, n + 1)
+            m, w = size[at[a]:at[b]].tolist(), np.log(weight[piece[at[a]:at[b]]]).tolist()
+            bound = (at[a:b + 1] - at[a]).tolist()
+            out: list[float] = []
+            for t, i, j in zip(range(a, b), bound[:-1], bound[1:], strict=True):
+                if j - i == 1:
+                    total.append(total[t - m[i]] + w[i])
+                    out.append(1.0)
+                    continue
+                value = [total[t - m[k]] + w[k] for k in range(i, j)]
+                top = max(value)
+                run = list(itertools.accumulate([math.exp(x - top) for x in value]))
+                total.append(top + math.log(run[-1]))
+                out.extend([x / run[-1] for x in run])
+            share[at[a]:at[b]] = out
+        return at, size, piece, share
+
+    def walk(self, edges: tuple[np.ndarray, ...], n: int, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling from the end of a stretch: starts and pieces."""
+        at, size, piece, share = edges
+        where, got, t = [], [], n
+        while t:
+            i, j = at[t], at[t + 1]
+            k = min(i + int(np.searchsorted(share[i:j], draw[t], "right")), j - 1)
+            t -= int(size[k])
+            where.append(t)
+            got.append(piece[k])
+        return np.array(where, np.int64), np.array(got, np.int64)
+
     def encode(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray, power: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """Sampled pieces of all rows in a row, and the offsets of the rows."""
         rows = len(off) - 1
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-        cut = data == 0x20
+        free = np.r_[True, ~self.joint[data[:-1], data[1:]]]
+        free[off[off < len(data)]] = True
+        cut = free & (data == 0x20)
         cut[off[off < len(data)]] = True
-        start = np.flatnonzero(cut)
+        size = np.diff(np.append(np.flatnonzero(cut), len(data)))
+        start = np.flatnonzero(cut | (free & np.repeat(size > WHOLE, size)))
         size = np.diff(np.append(start, len(data)))
-        parts = -(-size // SPAN)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(np.repeat(size, parts) - nth * SPAN, SPAN)
-        start = np.repeat(start, parts) + nth * SPAN
         row = np.searchsorted(off, start, "right") - 1
         prefix = flat.prefix_hash(data)
         _, first, back = np.unique(flat.span_hash(prefix, start, start + size), return_index=True, return_inverse=True)
@@ -103,14 +158,16 @@ class Vocabulary:
         weight = self.weight ** power
         out_at, out_id = [], []
         low = 0
-        for high in (8, 16, SPAN):
+        # a stretch's least product of weights stays a normal number
+        short = int(min(SHORT, 290 // -np.log10(min(weight[weight > 0].min(), 0.1))))
+        for high in sorted({min(8, short), min(16, short), short}):
             unique = np.flatnonzero((size[first] > low) & (size[first] <= high))
             low = high
             for u in np.array_split(unique, len(unique) // 4096 + 1):
                 if not len(u):
                     continue
                 begin, n = start[first[u]], size[first[u]]
-                width = min(LONGEST, high)
+                width = min(self.longest, high)
                 total = np.zeros((len(u), high + 1))
                 total[:, 0] = 1
                 reach = np.zeros((len(u), high + 1, width))  # running sums over piece lengths
@@ -141,6 +198,20 @@ class Vocabulary:
                     out_id.append(piece[who, t + m, m - 1])
                     more = t > 0
                     who, t, base, source, local = who[more], t[more], base[more], source[more], local[more]
+        own = np.full(len(first), -1)
+        own[size[first] > short] = 0
+        which = np.flatnonzero(own[back] >= 0)
+        which = which[np.argsort(back[which], kind="stable")]
+        known = -1
+        for w in which.tolist():
+            base, n = int(start[w]), int(size[w])
+            if back[w] != known:
+                known = back[w]
+                edges = self.edges(data, prefix, base, n, weight)
+            h = flat.mix(seed[row[w]] + flat.mix(np.uint64(base - off[row[w]]) + np.arange(n + 1, dtype=np.uint64)))
+            where, got = self.walk(edges, n, (h >> np.uint64(11)).astype(np.float64) / float(1 << 53))
+            out_at.append(base + where)
+            out_id.append(got)
         at, ids = np.concatenate(out_at), np.concatenate(out_id).astype(np.int64)
         by_place = np.full(len(data), -1, np.int64)
         by_place[at] = ids
@@ -203,4 +274,4 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
 
 
 def op6_sentencepiece(spark, sf_dir):
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

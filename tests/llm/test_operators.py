@@ -238,6 +238,48 @@ def test_piece_sampling_follows_the_lattice():
         assert abs(seen.get(key, 0) / n - p / total) < 0.02
 
 
+@pytest.mark.parametrize("text", [" является", "x" + " " * 9 + "y", "https://www.example.com/internationalization/documentation/",
+                                  "自然言語処理の研究では大きな文章の集まりを使います", " міжнародного співробітництва", "über" * 12])
+def test_piece_lattice_is_whole(text):
+    """Pieces start at each byte as often as in the lattice of the whole text with all pieces."""
+    import public_tokenizers
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    word, n, power = text.encode(), 4000, 0.3
+    weight = v.weight ** power
+    of_byte = set(v.byte.tolist())  # bytes are edges where no other piece is the byte
+    by_bytes = {v.piece[i]: i for i in of_byte} | {p: i for i, p in reversed(list(enumerate(v.piece))) if p and v.weight[i] > 0 and i not in of_byte}
+    edge = lambda a, b: weight[by_bytes[word[a:b]]] if word[a:b] in by_bytes else 0.0
+    size = len(word)
+    ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    for t in range(1, size + 1):
+        ahead[t] = sum(ahead[a] * edge(a, t) for a in range(max(0, t - 32), t))
+    for t in range(size - 1, -1, -1):
+        behind[t] = sum(behind[b] * edge(t, b) for b in range(t + 1, min(size, t + 32) + 1))
+    ids, at = v.encode(np.frombuffer(word * n, np.uint8), np.arange(n + 1) * size, np.arange(n), power)
+    length = v.length[ids]
+    begin = (np.cumsum(length) - length) % size
+    seen = np.bincount(begin, minlength=size) / n
+    assert np.abs(seen - np.array(ahead[:size]) * behind[:size] / ahead[size]).max() < 0.04
+    assert at[-1] == len(ids) and v.decode(ids).tobytes() == word * n
+
+
+def test_long_pieces_and_spaces_are_reached(session):
+    import public_tokenizers
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    wide = [p for p in v.piece if len(p) > 16 or (len(p) > 1 and not p.strip(b" "))]
+    assert len(wide) >= 34
+    for p in wide:
+        n = 3000
+        ids, _ = v.encode(np.frombuffer(p * n, np.uint8), np.arange(n + 1) * len(p), np.arange(n), 1.0)
+        assert p in {v.piece[i] for i in np.unique(ids)}
+
+
+def test_piece_query_returns_the_pieces(session, tmp_path):
+    frame(session, [(1, "some words")]).write.parquet(f"{tmp_path}/documents.parquet")
+    row = pieces.op6_sentencepiece(session, str(tmp_path)).collect()[0]
+    assert zlib.crc32(np.array(row["ids"], "<u4").tobytes()) == row["ids_crc32"]
+
+
 def test_packing(session, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
