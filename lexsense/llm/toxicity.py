@@ -1,9 +1,11 @@
 """Toxicity: a subsequence-kernel support vector machine with Nyström landmarks (operator 3).
 
-The kernel of two words sums, over all common letter triples (gaps allowed, within ``SPAN`` characters),
-DECAY to the power of the spans, and is divided by the words' norms: ``i-d.i*o t`` still matches
-``idiot``, since inserted characters only stretch spans. Landmarks are words of labelled text; a text's kernel value
-with a landmark is that of its best matching unit (a word, or a run of one-character words together),
+The kernel of two words sums, over all common letter triples (gaps allowed, within ``SPAN`` letters), DECAY
+to the power of the spans in letters and GAP to that of the characters inserted between, and is divided by
+the words' norms: ``i--d..i*o t`` still matches ``idiot``, however many characters are inserted. Landmarks
+are words of labelled text; a text's kernel value
+with a landmark is that of its best matching unit (a word, or a run of one-character words together;
+units of more than ``WINDOW`` letters in overlapping windows),
 which makes the text a bag of its sentences' units. The Nyström map of these values feeds a linear
 SVM with squared hinge loss; a sigmoid turns margins into probabilities.
 
@@ -24,10 +26,11 @@ FIRST, LAST = 27 + MARKS, 28 + MARKS  # the unit's two edges count as letters
 LETTERS = 29 + MARKS
 SPAN = 6
 DECAY = 0.7
+GAP = 0.9
 FLOOR = 0.6  # kernel values below it count as no match
 DENSITY = 20.0
 CLEARED = 400_000  # hashes kept by a worker between chunks
-WINDOW = 24  # longer units are read in overlapping windows of so many bytes
+WINDOW = 24  # longer units are read in overlapping windows of so many letters
 
 _CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
@@ -35,10 +38,28 @@ _CLASS[128:192] = 27 + (np.arange(64) & 31) % MARKS
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
-def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each unit: a word, or three or more one-byte words in a row as one."""
+def classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter class of each byte (0: not the last byte of a letter), and the running count of other characters."""
+    cls = _CLASS[data]
+    other = (data < 128) & (cls == 0)
+    after = np.r_[data[1:], np.zeros(min(len(data), 1), np.uint8)]
+    # signs and symbols of two, three and four bytes: U+0080 on, U+2000 on, U+3000 on, U+1F000 on
+    for lead, low, high, size in ((0xC2, 128, 191, 2), (0xE2, 128, 175, 3), (0xE3, 128, 128, 3), (0xF0, 159, 159, 4)):
+        at = np.flatnonzero((data == lead) & (after >= low) & (after <= high))
+        other[at] = True
+        for k in range(1, size):
+            cls[np.minimum(at + k, len(data) - 1)] = 0
+    return cls, np.cumsum(other)
+
+
+def units(data: np.ndarray, off: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each unit: a word, or three or more in a row of one character, or of one letter
+    and up to two signs, as one."""
     start, end, row = flat.word_spans(data, off)
-    single = end - start == 1
+    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # bytes that start a character
+    size = heads[end] - heads[start]
+    sign = np.concatenate(([0], other))
+    single = (size == 1) | ((size <= 3) & (size - (sign[end] - sign[start]) == 1))
     if single.any():
         chain = single & np.r_[False, single[:-1] & (row[1:] == row[:-1])]
         head = np.flatnonzero(single & ~chain)
@@ -50,59 +71,80 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
                 end[h] = end[t]
                 drop[h + 1:t + 1] = True
             start, end, row = start[~drop], end[~drop], row[~drop]
-    if len(start) and (end - start).max() > WINDOW:
+    return start, end, row
+
+
+def windows(place: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units as ranges of ``place``, the letters' places: first, size and row, of WINDOW letters at most."""
+    first = np.searchsorted(place, start)
+    size = np.searchsorted(place, end) - first
+    if len(size) and size.max() > WINDOW:
         step = WINDOW // 2
-        parts = np.maximum(1, -(-(end - start - WINDOW) // step) + 1)
+        parts = np.maximum(1, -(-(size - WINDOW) // step) + 1)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(start, parts) + nth * step
-        start, end, row = first, np.minimum(np.repeat(end, parts), first + WINDOW), np.repeat(row, parts)
-    return start, end, row
+        first, size = np.repeat(first, parts) + nth * step, np.minimum(np.repeat(size, parts) - nth * step, WINDOW)
+        row = np.repeat(row, parts)
+    return first, size, row
 
 
-def triples(chars: np.ndarray):
-    """For each pair of gaps: the triple codes (units x positions; 0 if not three letters) and the weight."""
+def triples(chars: np.ndarray, gaps: np.ndarray | None = None):
+    """For each pair of distances: the triple codes (units x positions; 0 if not three letters) and their weights."""
     width = chars.shape[1]
     for a, b in _GAPS:
         m = width - a - b
         if m > 0:
             x, y, z = chars[:, :m], chars[:, a:a + m], chars[:, a + b:]
-            yield np.where((x > 0) & (y > 0) & (z > 0), (x * LETTERS + y) * LETTERS + z, 0), DECAY ** (a + b + 1)
+            weight = np.full((1, m), DECAY ** (a + b + 1), np.float32)
+            if gaps is not None:
+                weight = weight * np.float32(GAP) ** (gaps[:, a + b:] - gaps[:, :m])
+            yield np.where((x > 0) & (y > 0) & (z > 0), (x * LETTERS + y) * LETTERS + z, 0), weight
+
+
+def matrix(cls: np.ndarray, other: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Letter classes of units of 1 to ``width`` letters, between their edges (units x width + 2), and the
+    other characters before each letter (None if no unit has one inside)."""
+    n = size[:, None]
+    col = np.arange(width + 2)
+    at = place[first[:, None] + np.clip(col - 1, 0, n - 1)]
+    out = np.where((col > 0) & (col <= n), cls[at], 0)
+    out[:, 0] = FIRST
+    out[col == n + 1] = LAST
+    gaps = (other[at] - other[at[:, :1]]).astype(np.float32)
+    return out, gaps if gaps.any() else None
 
 
-def matrix(cls: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
-    """Letter classes of units of at most ``width`` bytes, between their edges (units x width + 2)."""
-    size = (end - start)[:, None]
-    place = np.arange(width + 2)
-    inside = (place > 0) & (place <= size)
-    out = np.where(inside, cls[np.clip(start[:, None] + place - 1, 0, len(cls) - 1)], 0)
-    out[:, 0] = FIRST
-    out[place == size + 1] = LAST
-    return out
+def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+    """``matrix`` of the first WINDOW letters of each word."""
+    end = np.cumsum([len(w.encode()) for w in words])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    cls, other = classes(data)
+    place = np.append(np.flatnonzero(cls), 0)
+    first = np.searchsorted(place[:-1], np.r_[0, end[:-1]])
+    size = np.minimum(np.searchsorted(place[:-1], end) - first, WINDOW)
+    return matrix(cls, other, place, first, size, WINDOW)
 
 
-def kernel(chars: np.ndarray, table: np.ndarray) -> np.ndarray:
+def kernel(chars: np.ndarray, gaps: np.ndarray | None, table: np.ndarray) -> np.ndarray:
     """Kernel values of units against the columns of ``table`` (LETTERS**3 x landmarks)."""
     out, norm = np.zeros((len(chars), table.shape[1]), np.float32), np.full(len(chars), 1e-9)
-    for code, weight in triples(chars):
-        norm += weight * weight * (code > 0).sum(1)
+    for code, weight in triples(chars, gaps):
+        norm += (weight * weight * (code > 0)).sum(1)
+        weight = np.broadcast_to(weight, code.shape)
         for p in range(code.shape[1]):
             on = np.flatnonzero(code[:, p])
-            out[on] += np.float32(weight) * table[code[on, p]]
+            out[on] += weight[on, p][:, None] * table[code[on, p]]
     return out / np.sqrt(norm).astype(np.float32)[:, None]
 
 
 class Model:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        raw = [w.encode()[:WINDOW] for w in landmarks]
-        chars = np.zeros((len(raw), WINDOW + 2), np.int32)
+        raw = landmarks
+        chars, gaps = word_matrix(raw) if raw else (np.zeros((0, WINDOW + 2), np.int32), None)
         self.phi = np.zeros((LETTERS ** 3, len(raw)), np.float32)
-        if raw:
-            end = np.cumsum([len(w) for w in raw])
-            chars = matrix(_CLASS[np.frombuffer(b"".join(raw), np.uint8)], np.r_[0, end[:-1]], end, WINDOW)
         norm = np.full(len(raw), 1e-9)
-        for code, weight in triples(chars):
-            norm += weight * weight * (code > 0).sum(1)
+        for code, weight in triples(chars, gaps):
+            norm += (weight * weight * (code > 0)).sum(1)
             np.add.at(self.phi, (code, np.arange(len(raw))[:, None]), weight)
         self.phi[0] = 0
         self.phi /= np.sqrt(norm).astype(np.float32)
@@ -128,11 +170,15 @@ class Model:
         mean = np.zeros_like(out)
         if not self.landmarks:
             return out
-        start, end, row = units(data, off)
+        cls, other = classes(data)
+        place = np.append(np.flatnonzero(cls), 0)
+        begin, letters, row = windows(place[:-1], *units(data, off, other))
+        start = place[begin]
+        end = np.where(letters > 0, place[begin + np.maximum(letters, 1) - 1] + 1, start)
         h = flat.span_hash(flat.prefix_hash(flat.LOWER[data]), start, end)
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        cls = _CLASS[data]
-        size = end[first] - start[first]
+        size = letters[first]
+        inner = other[end[first] - 1] > other[start[first]] if len(other) else size > 0
         if len(self.cleared):  # units of earlier chunks known to match nothing
             size[self.cleared[np.minimum(np.searchsorted(self.cleared, key), len(self.cleared) - 1)] == key] = 0
         found = np.full(len(first), -1)
@@ -140,19 +186,27 @@ class Model:
         done = 0
         low = 2
         for high in (6, 8, 10, 13, 17, WINDOW):
-            pick = np.flatnonzero((size > low) & (size <= high))
+            fit = (size > low) & (size <= high)
             low = high
-            for part in np.array_split(pick, len(pick) // 8192 + 1):
-                chars = matrix(cls, start[first[part]], end[first[part]], high)
+            picks = [np.flatnonzero(fit & ~inner), np.flatnonzero(fit & inner)]
+            for part in (x for pick in picks for x in np.array_split(pick, len(pick) // 8192 + 1)):
+                if not len(part):
+                    continue
+                chars, gaps = matrix(cls, other, place, begin[first[part]], size[part], high)
                 upper, norm = np.zeros(len(part), np.float32), np.full(len(part), 1e-9, np.float32)
-                for code, weight in triples(chars):
-                    upper += np.float32(weight) * self.top[code].sum(1)
-                    norm += np.float32(weight * weight) * (code > 0).sum(1)
+                for code, weight in triples(chars, gaps):
+                    if gaps is None:
+                        upper += weight[0, 0] * self.top[code].sum(1)
+                        norm += weight[0, 0] ** 2 * (code > 0).sum(1)
+                    else:
+                        upper += (weight * self.top[code]).sum(1)
+                        norm += (weight * weight * (code > 0)).sum(1)
                 keep = np.flatnonzero(upper >= FLOOR * np.sqrt(norm))  # a bound of all kernel values
                 if len(keep):  # a nearer bound
-                    keep = keep[kernel(chars[keep], self.tops).max(1) >= FLOOR]
+                    some = gaps if gaps is None else gaps[keep]
+                    keep = keep[kernel(chars[keep], some, self.tops).max(1) >= FLOOR]
                 if len(keep):
-                    k = kernel(chars[keep], self.phi)
+                    k = kernel(chars[keep], gaps if gaps is None else gaps[keep], self.phi)
                     hit = k.max(1) >= FLOOR
                     found[part[keep[hit]]] = done + np.arange(hit.sum())
                     done += hit.sum()
@@ -208,7 +262,7 @@ def choose_landmarks(sample: DataFrame, toxic: int = 64, clean: int = 12, pool:
     """Words of the labelled sample found clearly more often in documents of label 1; then, of the
     ``pool`` most frequent clean words, those nearest to them by the kernel (look-alikes)."""
     text = F.coalesce(F.lower("text"), F.lit(""))
-    word = (sample.select("doc_id", "label", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}{4,14})"), 1))).alias("word"))
+    word = (sample.select("doc_id", "label", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}{3,})"), 1))).alias("word"))
             .groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).persist())
     total = sample.agg(F.sum("label").alias("t1"), F.sum(1 - F.col("label")).alias("t0")).first()
     t1, t0 = float(total["t1"] or 0), float(total["t0"] or 0)
@@ -221,9 +275,7 @@ def choose_landmarks(sample: DataFrame, toxic: int = 64, clean: int = 12, pool:
     word.unpersist()
     if not best or not usual:
         return best
-    raw = [w.encode()[:WINDOW] for w in usual]
-    end = np.cumsum([len(w) for w in raw])
-    near = kernel(matrix(_CLASS[np.frombuffer(b"".join(raw), np.uint8)], np.r_[0, end[:-1]], end, WINDOW), Model(best).phi).max(1)
+    near = kernel(*word_matrix(usual), Model(best).phi).max(1)
     return best + [usual[i] for i in np.argsort(-near, kind="stable")[:clean] if near[i] >= FLOOR]
 
 

@@ -402,6 +402,22 @@ def test_gaps_and_insertions():
     assert value("a perfectly fine sentence") == 0
 
 
+@pytest.mark.parametrize("word", ["idiot", "crétin", "дурак", "ass", "antidisestablishmentarian"])
+def test_wide_gaps_and_landmarks_of_any_length(word):
+    m = toxicity.Model([word])
+    value = lambda t: m.values(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0, 0]
+    for sign in ("--", " . ", " ", "...", "·", "\u200b", " - - "):
+        assert value("such an " + sign.join(word) + ", really") >= toxicity.FLOOR
+    assert value(f"such an ({word})") > 0.95
+    assert value("a perfectly fine sentence") == 0 and value(" . - . ") == 0
+
+
+def test_landmarks_are_short_and_long_words(session):
+    rows = [(i, f"some plain words {'zob unquestionabletwerpishness' if i % 2 else 'fine'}", i % 2) for i in range(60)]
+    got = toxicity.choose_landmarks(session.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert {"zob", "unquestionabletwerpishness"} <= set(got)
+
+
 def test_language(session):
     texts = {"aa": "rolo mita kolu tami rolo suma", "bb": "zwerg schnapp krumm strumpf knall zwing"}
     rows = [(i, k, " ".join(random.Random(i).choices(v.split(), k=12))) for i in range(200) for k, v in [list(texts.items())[i % 2]]]
