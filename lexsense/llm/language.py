@@ -17,6 +17,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexsense.llm import flat
@@ -142,23 +143,39 @@ class Model:
                 np.where(known, low / np.maximum(n, 1), 0.0))
 
 
+def even(texts: list[str], letters: int) -> str:
+    """``letters`` letters and breaks taken evenly from all texts: what short ones leave goes to the others."""
+    runs = [" ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) for t in texts]
+    out, left = {}, letters
+    for nth, i in enumerate(sorted(range(len(runs)), key=lambda i: len(runs[i]))):
+        out[i] = runs[i][:max(left // (len(runs) - nth) - 1, 0)]
+        left -= len(out[i]) + 1
+    return " ".join(out[i] for i in range(len(runs)) if out[i])
+
+
 def train(documents: DataFrame, rows: int = 64, letters: int = 30_000, row_chars: int = 4_000,
-          languages: int = 64) -> Model:
-    """Automata from a bounded sample: about ``rows`` documents of each ``lang`` outside the held-out
-    quarter, of each up to ``row_chars`` characters, ``letters`` of each language. The ``languages``
-    most frequent values of ``lang`` are learned. The bounds hold whatever the input's size."""
+          total: int = 64 * 30_000) -> Model:
+    """Automata of every ``lang`` outside the held-out quarter, from a bounded sample: ``rows`` different
+    texts of each, chosen by a hash (all, if there are fewer), of each text the first ``row_chars``
+    characters at most, and ``letters`` of each language taken evenly from its texts. With more than
+    ``total`` / ``letters`` languages the letters of each become fewer, but every language is learned."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                            & ~flat.held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    u = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = (known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")
-              .where(u * F.col("count") < 1.5 * rows)
-              .select("lang", u.alias("u"), F.substring("text", 1, row_chars).alias("text"))
-              .dropDuplicates(["lang", "u"]).orderBy("u").limit(2 * rows * languages))
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts.collect()}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["u"], r["text"])):
+                            & ~flat.held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64(F.lit(7), "text").alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).collect()
+    counts.sort(key=lambda r: (-r["count"], r["lang"]))  # one row a language
+    if not counts:
+        return Model({}, letters)
+    letters = max(rows, min(letters, total // len(counts)))
+    u = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = documents.sparkSession.createDataFrame([(r["lang"], r["texts"]) for r in counts], "lang string, texts long")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("u", "h"))  # about 1.5 * rows of each language
+    sample = (known.join(F.broadcast(shares), "lang").where(u * F.col("texts") < 1.5 * rows)
+              .groupBy("lang", "h").agg(F.first(F.substring("text", 1, min(row_chars, 2 * letters))).alias("text"))
+              .withColumn("u", u).withColumn("nth", nth).where(F.col("nth") <= rows))
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["nth"])):
         texts[r["lang"]].append(r["text"])
-    return Model({k: " ".join(v[:rows]) for k, v in texts.items() if v}, letters)
+    return Model({k: even(v, letters) for k, v in texts.items() if v}, letters)
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:

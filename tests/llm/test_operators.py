@@ -430,6 +430,20 @@ def test_language(session):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_every_language_is_learned_from_all_its_texts(session):
+    """More languages than 64, and letters of every sampled text, copies counted once."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghij", k=6)) + f" {chr(0x4E00 + i % 80)}" * 3, f"l{i % 80}") for i in range(800)]
+    model = language.train(session.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {f"l{i}" for i in range(80)}
+    rows = [(i, chr(0x4E00 + i) * 3000, "long") for i in range(40)] + [(1000 + i, "一一 copy", "long") for i in range(300)]
+    model = language.train(session.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = {r["doc_id"] for r in session.range(40).where(language.flat.held_out(F.col("id"))).withColumnRenamed("id", "doc_id").collect()}
+    assert {chr(0x4E00 + i) for i in range(40) if i not in held} | {*"copy一"} == set(model.alphabet)
+    assert len(language.even(["ab " * 50, "c" * 900, "d" * 900], 600)) <= 600
+    assert language.even(["ab", "c" * 900, "d" * 900], 603).count("d") >= 298
+
+
 def test_phrases_are_longest_matches():
     """Phrase counts against a plain search for the longest known substring."""
     m = language.Model({"x": "abab bca cab abc"}, 1000)
