@@ -1,9 +1,9 @@
-"""Substring dedup by de Bruijn compaction (operator 2).
+"""Substring dedup by anchored runs of windows, in place of a de Bruijn graph's paths (operator 2).
 
-Edges are the token ``length``-mers of the documents (windows), nodes the shorter k-mers between them.
-Neighbouring edges at one anchor form a path; where all occurrences of a path read the same, it is
-non-branching and stays one compact row, found by joins on the hashes of anchor and reading (see
-``repeats``). Only branching paths are opened into single edges. Every removed span has a source (the
+Windows are the token ``length``-mers of the documents. Neighbouring windows of a document with the same
+anchor (smallest hashed k-mer) form a run; where all occurrences of a run read the same, it stays one row,
+found by grouping the hashes of anchor and reading (see ``repeats``). Only runs whose readings differ are
+opened into single windows. No nodes or edges are built, and no paths joined. Every removed span has a source (the
 smallest document that holds it, and the place there), and is verified against it by an independent hash.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; equal

@@ -2,17 +2,17 @@
 
 Wanted: every ``length``-byte string that also starts in a smaller document. Text that cannot hold one is
 set aside first, and runs of windows that read the same in a smaller document are collapsed (``repeats``):
-copies need no sorting. The suffixes that stay open, each with ``length`` bytes of context, are sorted
-with the difference cover {1, 2} modulo 3, to the depth that is asked for:
+copies end there. The suffixes that stay open, each with ``length`` bytes of context, are grouped by names
+at the difference cover {1, 2} modulo 3, to the depth that is asked for; no suffix array is built:
 
 1. at every sampled place (offset modulo 3 is 1 or 2) the triple of 8-byte letters is taken; the distinct
-   triples are sorted by range and named by their order;
-2. the recursion: two names, 24 bytes apart, make up the name of the first 48 bytes of a sampled suffix;
+   triples are named (in sorted order, of which only the distinctness is used);
+2. instead of a recursion two names, 24 bytes apart, make up the name of the first 48 bytes of a sampled suffix;
 3. the remaining suffixes are merged in: of any two suffixes, some shift by 0, 1 or 2 takes both to
    sampled places, so each suffix is listed under the two shifts at which it is sampled, with the bytes
    before the sampled place and the bytes that are missing to the depth;
-4. neighbours in the sorted lists are compared: those with an equal prefix of ``length`` bytes share a
-   group, whose smallest document is its source.
+4. the listed suffixes are grouped by shift, names and missing bytes (neighbours aren't compared): those with
+   an equal prefix of ``length`` bytes share a group, whose smallest document is its source.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window lose nothing; equal
 doc_ids never remove each other; documents with null doc_id neither lose nor remove bytes. Extra columns
