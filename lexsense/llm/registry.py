@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 from lexsense.llm import (
-    language, lines, neardup, packing, pieces, quality, substrings, suffixes, toxicity, vectors,
+    collocations, divergence, hosts, language, lines, neardup, packing, pieces, quality, substrings, suffixes, toxicity,
+    vectors,
 )
 
 QUERIES = {
@@ -16,9 +17,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_url_filter": hosts.op13_url_filter,
 }
 ORACLE = {
     "op1_suffix_array_dedup": suffixes.OP1_SQL, "op2_substring_dedup": substrings.OP2_SQL,
     "op4_minhash_near_dedup": neardup.OP4_SQL, "op5_quality_rules": lines.OP5_SQL,
-    "op9_embedding_dedup": vectors.OP9_SQL,
+    "op9_embedding_dedup": vectors.OP9_SQL, "op11_source_divergence": divergence.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL, "op13_url_filter": hosts.OP13_SQL,
 }
