@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -50,81 +50,195 @@ def cluster_counts(labelled: DataFrame, glosses: DataFrame, by, true: str = "clu
 
 # ---------------------------------------------------------------- V3 density clustering
 
-BLOCK = 256
+BLOCK = 256      # points of a block
+SUPER = 64       # blocks of a super-block
+PIVOTS = 64      # vectors that all points measure their distance to
+SLACK = 1e-9     # of distances, against rounding
 
 
-def _blocked(points: DataFrame, by, block: int) -> DataFrame:
-    """Hash each point into one of ceil(group size / block) blocks (no per-group window, so a hot
-    group is never numbered in one task)."""
-    sizes = points.groupBy(*by).agg(F.count("*").alias("_m"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_m") / block))
-    return (points.join(sizes, list(by)).withColumn("_nb", nb.cast("long"))
-            .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb"))).drop("_m"))
+def _unit(v) -> np.ndarray:
+    a = np.asarray(np.stack(v), dtype=np.float64)
+    return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
-def _packed(points: DataFrame, by, block: int, cols=("id", "v")) -> DataFrame:
-    """Points packed per (group, block): one row holding the block's lists (at most ~block long).
+def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors along the chord, ``sqrt(2 * cosine distance)``: a metric, unlike the cosine
+    distance itself, so the triangle inequality can rule blocks out."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
-    The point's fields travel as one struct in a single ``collect_list`` and are split into
-    aligned lists afterwards; separate ``collect_list`` calls are not guaranteed to keep the same
-    order, and a misaligned id / vector / core would silently change the clusters."""
-    b = _blocked(points, by, block)
-    packed = b.groupBy(*by, "_nb", "_blk").agg(F.collect_list(F.struct(*cols)).alias("_pts"))
-    return packed.select(*by, "_nb", "_blk", *[F.col("_pts")[c].alias(f"{c}s") for c in cols])
 
+def _schema(df: DataFrame, by, extra: str) -> str:
+    return ", ".join([f"{k} {t}" for k, t in df.select(*by).dtypes] + [extra])
 
-def _block_pairs(packed: DataFrame, by, cols=("id", "v")) -> DataFrame:
-    """Pairs of blocks (i <= j) of the same group. A group of m points becomes (m/B)(m/B+1)/2 block
-    pairs. Each block is listed once for each partner number and joined on (group, i, j), so the
-    pairs of a hot group are spread over all tasks."""
-    left = packed.select(*by, F.col("_blk").alias("bi"), F.explode(F.sequence("_blk", F.col("_nb") - 1)).alias("bj"),
-                         *[F.col(f"{c}s").alias(f"{c}s_i") for c in cols])
-    right = packed.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "_blk")).alias("bi"), F.col("_blk").alias("bj"),
-                          *[F.col(f"{c}s").alias(f"{c}s_j") for c in cols])
-    return left.join(right, [*by, "bi", "bj"])
 
+def _usable(points: DataFrame) -> DataFrame:
+    """Points with a direction: vectors that are null, zero or not finite are in no cluster."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return points.where(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
-def _distance_tile(vi, vj):
-    a = np.asarray(np.stack(vi), dtype=np.float64)
-    b = np.asarray(np.stack(vj), dtype=np.float64)
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    b = b / np.linalg.norm(b, axis=1, keepdims=True)
-    return 1.0 - a @ b.T
 
+def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOTS, spread: float = 0.5) -> DataFrame:
+    """(by, blk, ids, vs, centre, radius): the points (by, id, v) of each group in blocks of neighbours.
 
-def _schema(df: DataFrame, by, extra: str) -> str:
-    return ", ".join([f"{k} {t}" for k, t in df.select(*by).dtypes] + [extra])
+    Every point gets the numbers of its three nearest pivots (``pivots`` vectors of the whole table) and the
+    distance to the first. Points are range-partitioned and sorted by group and that path, and each stretch
+    is cut into blocks of at most ``block`` points, earlier (but not before an eighth) at a point that is further
+    than ``spread`` from the block's first. So a group of any size spreads over tasks without its size being looked up. ``radius`` is the largest chord distance of the block's points to its centre. The result
+    is a table: block numbers must not change when a task is repeated."""
+    by, least = list(by), max(1, block // 8)
+    spark = points.sparkSession
+    picked = points.select(F.struct(F.xxhash64("id").alias("h"), "v").alias("p")).orderBy("p.h").limit(pivots).collect()
+    if not picked:
+        empty = _schema(points, by, "blk long, ids array<long>, vs array<array<double>>, centre array<double>, radius double")
+        return spark.createDataFrame([], empty)
+    # a shorter vector cannot meet a longer one in a group, but both may be in the table
+    width = len(picked[0]["p"]["v"])
+    held = _unit([r["p"]["v"] for r in picked if len(r["p"]["v"]) == width])
+
+    def path(it):
+        for pdf in it:
+            near = np.zeros((len(pdf), 3), dtype=np.int32)
+            far = np.zeros(len(pdf))
+            fits = np.flatnonzero(pdf["v"].map(len).to_numpy() == width)
+            if len(fits):
+                d = _chord(_unit(pdf["v"].iloc[fits]), held)
+                order = np.argsort(d, axis=1)[:, :3]
+                near[fits, :order.shape[1]] = order
+                far[fits] = d[np.arange(len(fits)), order[:, 0]]
+            yield pdf.assign(p1=near[:, 0], p2=near[:, 1], p3=near[:, 2], d=far)
+
+    keys = [*by, "p1", "p2", "p3", "d", "id"]
+    kind = _schema(points, by, "id long, v array<double>, p1 int, p2 int, p3 int, d double")
+    placed = points.select(*by, "id", F.col("v").cast("array<double>").alias("v")).mapInPandas(path, kind)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+    def cut(it):
+        number, rest = 0, None
+
+        def packed(pdf):
+            nonlocal number
+            u = _unit(pdf["v"])
+            centre = u.mean(axis=0)
+            row = {k: pdf[k].iloc[0] for k in by} | {
+                "blk": int(pdf["_part"].iloc[0]) << 40 | number, "ids": pdf["id"].to_numpy(), "vs": list(u),
+                "centre": centre, "radius": float(np.linalg.norm(u - centre, axis=1).max())}
+            number += 1
+            return row
+
+        def pieces(pdf, last):
+            """Whole blocks of ``pdf``; what may go on in the next batch comes back, too."""
+            u, spans = _unit(pdf["v"]), []
+            new = np.ones(len(pdf), bool)
+            new[1:] = (pdf[by].iloc[1:].to_numpy() != pdf[by].iloc[:-1].to_numpy()).any(axis=1)
+            starts = np.flatnonzero(new)
+            for a, end in zip(starts, [*starts[1:], len(pdf)]):
+                while a < end:
+                    b = min(a + block, end)
+                    far = np.linalg.norm(u[a:b] - u[a], axis=1) > spread
+                    far[:least] = False
+                    b = a + int(far.argmax()) if far.any() else b
+                    spans.append((a, b))
+                    a = b
+            done = spans if last else spans[:-1]
+            return [packed(pdf.iloc[a:b]) for a, b in done], None if last else pdf.iloc[spans[-1][0]:]
 
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if len(pdf):
+                rows, rest = pieces(pdf, False)
+                if rows:
+                    yield pd.DataFrame(rows)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(pieces(rest, True)[0])
+
+    extra = "blk long, ids array<long>, vs array<array<double>>, centre array<double>, radius double"
+    return written(placed.mapInPandas(cut, _schema(points, by, extra)))
+
+
+def near_tiles(blocks: DataFrame, by, eps: float) -> DataFrame:
+    """(by, bi, bj), bi <= bj: pairs of blocks of a group that may hold points within cosine distance ``eps``.
+
+    Blocks are first taken together, ``SUPER`` in a row, with a centre and radius of their own. Pairs of these are
+    dropped when the distance of their centres exceeds both radii and eps, and the blocks of the pairs that
+    stay are tested alike, by numpy. Each super-block is listed once for each partner number and joined on
+    (group, i, j), so the pairs of a hot group spread over all tasks."""
+    by, reach = list(by), float(np.sqrt(2 * eps)) + SLACK
+    # block numbers run on within a partition of ``metric_blocks``, so neighbours share a quotient
+    listed = blocks.select(*by, F.expr(f"blk div {SUPER}").alias("s0"), F.struct("blk", "centre", "radius").alias("x"))
+    packed = listed.groupBy(*by, "s0").agg(F.collect_list("x").alias("b"))
+    packed = packed.select(*by, "s0", F.col("b")["blk"].alias("blks"), F.col("b")["centre"].alias("cs"), F.col("b")["radius"].alias("rs"))
+
+    def summary(it):
+        for pdf in it:
+            rows = []
+            for cs, rs in zip(pdf["cs"], pdf["rs"]):
+                c = np.stack(cs)
+                mid = c.mean(axis=0)
+                rows.append((mid, float((np.linalg.norm(c - mid, axis=1) + np.asarray(rs)).max())))
+            yield pdf.assign(c=[r[0] for r in rows], r=[r[1] for r in rows])
+
+    packed = written(packed.mapInPandas(summary, _schema(packed, by, "s0 long, blks array<long>, cs array<array<double>>, "
+                                                        "rs array<double>, c array<double>, r double")))
+    # numbers from 0 for each group: a window over keys only, one row for SUPER * BLOCK points
+    numbers = packed.select(*by, "s0", (F.row_number().over(Window.partitionBy(*by).orderBy("s0")) - 1).cast("long").alias("s"))
+    packed = packed.join(numbers, [*by, "s0"])
+    many = packed.groupBy(*by).agg(F.max("s").alias("top"))
+    small = packed.select(*by, "s", "c", "r").join(many, by)
+    left = small.select(*by, F.col("s").alias("i"), F.explode(F.sequence("s", "top")).alias("j"), F.col("c").alias("c_i"), F.col("r").alias("r_i"))
+    right = small.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "s")).alias("i"), F.col("s").alias("j"), F.col("c").alias("c_j"), F.col("r").alias("r_j"))
+    gap = F.sqrt(F.aggregate(F.zip_with("c_i", "c_j", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    pairs = left.join(right, [*by, "i", "j"]).where(gap <= F.col("r_i") + F.col("r_j") + F.lit(reach)).select(*by, "i", "j")
+    own = lambda k: packed.select(*by, F.col("s").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("blks", "cs", "rs")])
+    wide = pairs.join(own("i"), [*by, "i"]).join(own("j"), [*by, "j"])
+
+    def test(it):
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                ci, cj = np.stack(r.cs_i), np.stack(r.cs_j)
+                gap = np.sqrt(np.maximum(0.0, (ci * ci).sum(1)[:, None] + (cj * cj).sum(1)[None] - 2 * ci @ cj.T))
+                ok = gap <= np.asarray(r.rs_i)[:, None] + np.asarray(r.rs_j)[None] + reach + 1e-6
+                bi, bj = np.asarray(r.blks_i)[:, None] + 0 * np.asarray(r.blks_j)[None], np.asarray(r.blks_j)[None] + 0 * np.asarray(r.blks_i)[:, None]
+                ok &= bi <= bj
+                if ok.any():
+                    yield pd.DataFrame({**{k: getattr(r, k) for k in by}, "bi": bi[ok], "bj": bj[ok]})
 
-def _core_distance(tiles: DataFrame, by, k: int) -> DataFrame:
-    """(by, id, core): distance to the k-th nearest point, the point itself counted as the first.
+    return wide.mapInPandas(test, _schema(packed, by, "bi long, bj long"))
 
-    Each tile gives its ``k - 1`` smallest distances to other points; the smallest of all of a point's
-    tiles decide. Without ``k - 1`` other points the distance is infinite."""
-    by, m = list(by), k - 1
 
-    def nearest(d):
-        return list(np.sort(np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d, axis=1))
+def _tiles(blocks: DataFrame, pairs: DataFrame, by, cols=("ids", "vs")) -> DataFrame:
+    """The pairs with both blocks' lists."""
+    side = lambda k: blocks.select(*by, F.col("blk").alias(f"b{k}"), *[F.col(c).alias(f"{c}_{k}") for c in cols])
+    return pairs.join(side("i"), [*by, "bi"]).join(side("j"), [*by, "bj"])
+
+
+def _distance_tile(vi, vj):
+    return 1.0 - np.stack(vi) @ np.stack(vj).T
+
+
+def _core_distance(tiles: DataFrame, by, k: int, eps: float) -> DataFrame:
+    """(by, blk, pos, core): distance of a block's point to its k-th nearest point, itself the first, where that is
+    at most ``eps``; other points have no row.
+
+    Each tile gives the at most ``k - 1`` smallest distances up to eps of its points to other points; the smallest of
+    all of a point's tiles decide. Tiles that were ruled out hold none of them."""
+    by, m = list(by), k - 1
 
     def run(it):
         for pdf in it:
-            out = []
             for r in pdf.itertuples(index=False):
                 d = _distance_tile(r.vs_i, r.vs_j)
-                ids_i, ids_j = np.asarray(r.ids_i), np.asarray(r.ids_j)
-                d = np.where(ids_i[:, None] == ids_j[None, :], np.inf, d)
-                parts = [pd.DataFrame({"id": ids_i.astype(np.int64), "near": nearest(d)})]
-                if r.bi != r.bj:
-                    parts.append(pd.DataFrame({"id": ids_j.astype(np.int64), "near": nearest(d.T)}))
-                frame = pd.concat(parts, ignore_index=True)
-                for k in by:
-                    frame[k] = getattr(r, k)
-                out.append(frame[[*by, "id", "near"]])
-            if out:
-                yield pd.concat(out, ignore_index=True)
-    part = tiles.mapInPandas(run, _schema(tiles, by, "id long, near array<double>"))
+                d[np.asarray(r.ids_i)[:, None] == np.asarray(r.ids_j)[None]] = np.inf
+                for blk, x in ((r.bi, d), (r.bj, d.T)) if r.bi != r.bj else ((r.bi, d),):
+                    near = np.sort(np.partition(x, m - 1, axis=1)[:, :m] if m < x.shape[1] else x, axis=1)
+                    pos = np.flatnonzero(near[:, 0] <= eps)
+                    if len(pos):
+                        yield pd.DataFrame({**{c: getattr(r, c) for c in by}, "blk": blk, "pos": pos.astype(np.int32),
+                                            "near": [x[x <= eps] for x in near[pos]]})
+
+    part = tiles.mapInPandas(run, _schema(tiles, by, "blk long, pos int, near array<double>"))
     near = F.array_sort(F.flatten(F.collect_list("near")))
-    return part.groupBy(*by, "id").agg(F.coalesce(F.try_element_at(near, F.lit(m)), F.lit(float("inf"))).alias("core"))
+    return part.groupBy(*by, "blk", "pos").agg(F.try_element_at(near, F.lit(m)).alias("core")).where("core is not null")
 
 
 _BIG = np.iinfo(np.int64).max
@@ -134,11 +248,9 @@ def _tile_roots(ids_i: np.ndarray, ids_j: np.ndarray, ok: np.ndarray, same: bool
     """Components of one tile's links by vectorised min-label propagation on its dense adjacency
     (at most block x block); returns (nodes with a link, smallest id of their tile component)."""
     if same:
-        # both sides hold the same points, but the two sides of the block self-join are separate
-        # evaluations whose list order may differ: put the columns in the row order first
+        # the columns may hold the points in another order than the rows
         order = np.argsort(ids_j, kind="stable")
-        perm = order[np.searchsorted(ids_j[order], ids_i)]
-        ok = ok[:, perm]
+        ok = ok[:, order[np.searchsorted(ids_j[order], ids_i)]]
         ok = ok | ok.T  # links are undirected; a @ a.T need not be bit-symmetric
         lab = ids_i.copy()
         while True:
@@ -162,8 +274,7 @@ def _tile_roots(ids_i: np.ndarray, ids_j: np.ndarray, ok: np.ndarray, same: bool
 def _local_stars(tiles: DataFrame, by, eps: float) -> DataFrame:
     """Mutual-reachability edges of each tile, resolved into components inside the tile
     (vectorised label propagation); emits (by, id, root) with root = smallest id of the node's
-    tile component.
-    Only star edges leave a task, never the pairwise distances."""
+    tile component. Only star edges leave a task, never the pairwise distances."""
     by = list(by)
 
     def run(it):
@@ -218,22 +329,27 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, k: int = 2, block:
 
     core(p) = distance to the k-th nearest point, p the first; p and q are linked when
     max(d(p, q), core(p), core(q)) <= eps; labels are connected components of the points with
-    core <= eps (label = min id of the component); the other points are noise (-1).
+    core <= eps (label = min id of the component); the other points are noise (-1), as are points without
+    a direction (null, zero or non-finite vectors). Vectors of a group have one length.
 
-    Groups are hashed into blocks of ~``block`` points; distances are computed in block-pair
-    tiles inside bounded tasks (first pass: core distances; second pass: links, resolved into
-    components inside the tile by vectorised label propagation). Only (node, tile root) star edges leave a task, and the global
-    label propagation only has to stitch tiles together.
+    The points are put in blocks of neighbours (``metric_blocks``); only the pairs of blocks that may hold points
+    within eps (``near_tiles``) are compared, in two passes of bounded numpy tiles: core distances, then links,
+    resolved into components inside the tile by vectorised label propagation. Only (node, tile root) star
+    edges leave a task, and the global label propagation only has to stitch tiles together.
     """
     by = list(by)
     pts = points.select(*by, F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
-    core = _core_distance(_block_pairs(_packed(pts, by, block), by), by, k)
-    with_core = pts.join(core, by + ["id"])
-    tiles = _block_pairs(_packed(with_core, by, block, ("id", "v", "core")), by, ("id", "v", "core"))
-    stars = _local_stars(tiles, by, eps)
+    blocks = metric_blocks(_usable(pts), by, block, spread=float(np.sqrt(2 * eps)))
+    pairs = written(near_tiles(blocks, by, eps))
+    core = _core_distance(_tiles(blocks, pairs, by), by, k, eps)
+    cores = core.groupBy(*by, "blk").agg(F.map_from_entries(F.collect_list(F.struct("pos", "core"))).alias("m"))
+    # only blocks with a dense point can hold links
+    dense = blocks.join(cores, [*by, "blk"]).select(*by, "blk", "ids", "vs", F.transform("ids", lambda x, i: F.coalesce(
+        F.try_element_at("m", i), F.lit(float("inf")))).alias("cores"))
+    stars = _local_stars(_tiles(written(dense), pairs, by, ("ids", "vs", "cores")), by, eps)
     # Tile components are final unless some node sits in two tile components with different
     # roots; one aggregation decides whether the propagation loop is needed at all.
-    stars = stars.checkpoint(eager=True)
+    stars = written(stars)
     first = stars.groupBy(*by, "id").agg(
         F.coalesce(F.min("root"), F.col("id")).alias("l"), F.countDistinct("root").alias("_k"))
     if first.where(F.col("_k") > 1).limit(1).count() == 0:

@@ -157,19 +157,65 @@ def _align(toks: DataFrame, key: str) -> DataFrame:
     return m.where(F.col("p_pos").isNotNull() & F.col("g_pos").isNotNull()).select("row_id", "p_pos", "g_pos")
 
 
-def meteor(prep: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """M5: METEOR (alpha .9, beta 3, gamma .5) with the exact stage and, given a (word, stem)
-    table, the stem stage on the words left unmatched."""
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _first_come(ps: pd.Series, gs: pd.Series) -> pd.Series:
+    """One-to-one pairs (p_pos, g_pos) of a row, whose synsets hold the positions ``ps[k]`` and ``gs[k]``.
+
+    Prediction tokens choose in order, the last first, each the last free gold token of its synsets. Every
+    synset keeps its gold positions as a stack, so the work follows the number of memberships, not of pairs."""
+    out = []
+    for p_sets, g_sets in zip(ps, gs):
+        stacks, sets_of, taken, found = [sorted(g) for g in g_sets], {}, set(), []
+        for k, positions in enumerate(p_sets):
+            for x in positions:
+                sets_of.setdefault(x, []).append(k)
+        for x in sorted(sets_of, reverse=True):
+            best = -1
+            for k in sets_of[x]:
+                while stacks[k] and stacks[k][-1] in taken:
+                    stacks[k].pop()
+                if stacks[k]:
+                    best = max(best, stacks[k][-1])
+            if best >= 0:
+                taken.add(best)
+                found.append([int(x), int(best)])
+        out.append(found)
+    return pd.Series(out)
+
+
+def _synonym_matches(rest: DataFrame, key: str, synonyms: DataFrame) -> DataFrame:
+    """(row_id, p_pos, g_pos): tokens left of the earlier stages whose words share a synset, one to one.
+
+    Candidates are many to many; they travel as positions per (row, synset), never as pairs, and synsets
+    that only one side of a row has are dropped before the row's lists meet."""
+    member = rest.join(synonyms.select(F.col("word").alias(key), "synset").distinct(), key)
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("pos"))).alias(s)
+    sets = member.groupBy("row_id", "synset").agg(side("p"), side("g")).where((F.size("p") > 0) & (F.size("g") > 0))
+    rows = sets.groupBy("row_id").agg(F.collect_list(F.struct("p", "g")).alias("_s"))
+    pairs = rows.select("row_id", F.explode(_first_come(F.col("_s")["p"], F.col("_s")["g"])).alias("_m"))
+    return pairs.select("row_id", F.col("_m")[0].alias("p_pos"), F.col("_m")[1].alias("g_pos"))
+
+
+def _unmatched(toks: DataFrame, matches: DataFrame) -> DataFrame:
+    """Tokens of either side that no match holds."""
+    sides = [toks.where(F.col("side") == s).join(
+        matches.select("row_id", F.col(f"{s}_pos").alias("pos")), ["row_id", "pos"], "left_anti") for s in ("p", "g")]
+    return sides[0].unionByName(sides[1])
+
+
+def meteor(prep: DataFrame, stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """M5: METEOR (alpha .9, beta 3, gamma .5) with the exact stage and, on the tokens it leaves, the stem
+    stage given a (word, stem) table and the synonym stage given a (word, synset) table. After the stem stage
+    synonyms are looked up by stem, as the usual implementation does."""
     toks = _token_rows(prep)
-    matches = _align(toks, "word")
+    matches, key = _align(toks, "word"), "word"
     if stems is not None:
-        left_p = toks.where(F.col("side") == "p").join(
-            matches.select("row_id", F.col("p_pos").alias("pos")), ["row_id", "pos"], "left_anti")
-        left_g = toks.where(F.col("side") == "g").join(
-            matches.select("row_id", F.col("g_pos").alias("pos")), ["row_id", "pos"], "left_anti")
-        rest = left_p.unionByName(left_g).join(stems.select("word", "stem"), "word", "left")
+        rest = _unmatched(toks, matches).join(stems.select("word", "stem"), "word", "left")
         rest = rest.withColumn("stem", F.coalesce("stem", "word"))
-        matches = matches.unionByName(_align(rest, "stem"))
+        matches, key = matches.unionByName(_align(rest, "stem")), "stem"
+    if synonyms is not None:
+        rest = _unmatched(rest if stems is not None else toks, matches)
+        matches = matches.unionByName(_synonym_matches(rest, key, synonyms))
     w = Window.partitionBy("row_id").orderBy("p_pos")
     chunked = matches.withColumn(
         "starts",
@@ -194,43 +240,43 @@ def rouge_tokens(c) -> Column:
     return tokens(s)
 
 
-def lcs_length(a: list | np.ndarray, b: list | np.ndarray) -> int:
-    """Longest common subsequence of two token sequences; one DP row updated per token of ``a``.
+def lcs_length(a, b) -> int:
+    """Longest common subsequence of two sequences of hashable tokens, by bits (Hyyro 2004).
 
-    With c[j] = prev[j-1] + 1 on a match else prev[j], the new row is the running max of c,
-    so each step is a vectorised numpy update.
-    """
+    Bit j of ``v`` is 0 where the best subsequence grows at token j of ``b``; a token of ``a`` updates all of
+    ``b`` with four operations on one big integer, so a pair costs len(a) * len(b) / 64 machine words."""
     if len(a) == 0 or len(b) == 0:
         return 0
-    vocab: dict[str, int] = {}
-    bi = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    row = np.zeros(len(b) + 1, dtype=np.int64)
+    at: dict = {}
+    for j, t in enumerate(b):
+        at[t] = at.get(t, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
     for t in a:
-        k = vocab.get(t)
-        if k is None:
-            continue
-        c = np.where(bi == k, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(c)
-    return int(row[-1])
+        u = v & at.get(t, 0)
+        if u:
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())
 def _rouge_l_udf(g: pd.Series, p: pd.Series) -> pd.Series:
     out = np.zeros(len(g), dtype=np.float64)
-    for i, (gt, pt) in enumerate(zip(g, p)):
-        lg, lp = len(gt), len(pt)
-        if lg == 0 or lp == 0:
-            continue
-        lcs = lcs_length(pt, gt)
-        if lcs == 0:
-            continue
-        prec, rec = lcs / lp, lcs / lg
-        out[i] = 2 * prec * rec / (prec + rec)
+    if len(g) == 0:
+        return pd.Series(out)
+    sizes = np.array([g.map(len).to_numpy(), p.map(len).to_numpy()])
+    ids, _ = pd.factorize(np.concatenate([*g, *p, np.array(["x"], object)]))  # words as numbers, once a batch
+    ends = np.cumsum(sizes.ravel())
+    for i in np.flatnonzero(sizes.min(axis=0)):
+        lg, lp = sizes[:, i].tolist()
+        gold, pred = (ids[end - n:end].tolist() for end, n in ((ends[i], lg), (ends[len(g) + i], lp)))
+        lcs = lcs_length(pred, gold)
+        if lcs:
+            out[i] = 2 * (lcs / lp) * (lcs / lg) / (lcs / lp + lcs / lg)
     return pd.Series(out)
 
 
 def rouge_l_column(g="g", p="p") -> Column:
-    """M1: ROUGE-L F-measure (no stemmer). The LCS is a per-row numpy helper (Arrow batches)."""
+    """M1: ROUGE-L F-measure (no stemmer). The LCS is a per-row helper on bits (Arrow batches)."""
     return _rouge_l_udf(rouge_tokens(g), rouge_tokens(p))
 
 
@@ -313,7 +359,7 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "nltk_bleu": _ngram_metric("nltk_bleu"),
     "nist": _ngram_metric("nist"),
     "sacrebleu": _ngram_metric("sacrebleu"),
-    "meteor": lambda prep, stems=None, **kw: meteor(prep, stems),
+    "meteor": lambda prep, stems=None, synonyms=None, **kw: meteor(prep, stems, synonyms),
     "bertscore": lambda prep, vectors=None, **kw: soft_match(prep, vectors),
     "exact_match": lambda prep, **kw: prep.select("row_id", exact_match_column().alias("exact_match")),
 }
@@ -330,7 +376,7 @@ NGRAM_METRICS = ("nltk_bleu", "nist", "sacrebleu")
 
 
 def score_rows(prep: DataFrame, metrics=METRICS, vectors: DataFrame | None = None,
-               stems: DataFrame | None = None) -> DataFrame:
+               stems: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """(row_id, g, p, <metric>...) for the chosen metrics over prepared pairs.
 
     Every branch reads the same (row_id, g_tokens, p_tokens) exchange (texts and lengths are
@@ -347,7 +393,7 @@ def score_rows(prep: DataFrame, metrics=METRICS, vectors: DataFrame | None = Non
         out = out.join(ngram_stats(prep), "row_id", "left").select(
             *have, *[cols[m].alias(m) for m in NGRAM_METRICS if m in metrics])
     if "meteor" in metrics:
-        out = out.join(meteor(prep, stems), "row_id", "left")
+        out = out.join(meteor(prep, stems, synonyms), "row_id", "left")
     if "bertscore" in metrics:
         out = out.join(soft_match(prep, vectors), "row_id", "left")
     # narrow columns last: a Python UDF node does not report its input partitioning, so placing

@@ -95,3 +95,46 @@ def m5_meteor_stems(spark: SparkSession, sf: str) -> DataFrame:
     m = M.meteor(prep, stems)
     return prep.select("row_id", F.col("g").alias("gloss"), F.col("p").alias("answer")).join(m, "row_id").select(
         "row_id", "gloss", "answer", r6("meteor").alias("meteor"))
+
+
+# ---------------------------------------------------------------- M5 with the synonym stage
+
+def _edge_synsets(word):
+    """A supplied (word, synset) table for the synonym stage: words of three letters or more belong to the
+    synset of their first two letters and to that of their last two, so that words compete for each other."""
+    return F.array(F.concat(F.lit("a:"), F.substring(word, 1, 2)), F.concat(F.lit("z:"), F.right(word, F.lit(2))))
+
+
+_SYNONYM_CTES = {
+    "free": "select t.row_id, t.side, t.pos, t.word from tp t where not exists (select 1 from mt where mt.row_id = t.row_id "
+            "and ((t.side = 'p' and mt.pp = t.pos) or (t.side = 'g' and mt.gp = t.pos)))",
+    "ss": "select row_id, side, pos, unnest(['a:' || left(word, 2), 'z:' || right(word, 2)]) as synset from free "
+          "where length(word) >= 3",
+    "cand": "select p.row_id, p.pos as pp, list(distinct g.pos) as gs from ss p join ss g on p.row_id = g.row_id "
+            "and p.synset = g.synset where p.side = 'p' and g.side = 'g' group by p.row_id, p.pos",
+    "turn": "select *, row_number() over (partition by row_id order by pp desc) as k from cand",
+    "chosen(row_id, k, pp, gp, used)":
+        "select distinct row_id, 0::bigint, null::bigint, null::bigint, []::bigint[] from turn union all "
+        "select row_id, k, pp, gp, case when gp is null then used else list_append(used, gp) end from ("
+        "select t.row_id, t.k, t.pp, c.used, list_max(list_filter(t.gs, lambda g: not list_contains(c.used, g))) as gp "
+        "from chosen c join turn t on t.row_id = c.row_id and t.k = c.k + 1) x",
+    "allm": "select * from mt union all select row_id, pp, gp from chosen where gp is not null",
+    "mt2": _STEM_SQL["mt2"],
+}
+
+
+def _synonym_sql() -> str:
+    from ..oracle import DG_CTES, r6 as q6, with_views
+    ctes = {k: DG_CTES[k] for k in ("prep", "tk", "sides", "tp", "rk", "mt")} | _SYNONYM_CTES | {"me": DG_CTES["me"]}
+    body = f"select tk.row_id, tk.g as gloss, tk.p as answer, {q6('me.meteor')} as meteor from tk join me on me.row_id = tk.row_id"
+    return with_views(body, "v_pairs", extra=ctes).replace("with ", "with recursive ", 1)
+
+
+@query("m5_meteor_synonyms", _synonym_sql())
+def m5_meteor_synonyms(spark: SparkSession, sf: str) -> DataFrame:
+    prep = M.prepare(fx.pairs(spark, sf))
+    words = M._token_rows(prep).select("word").distinct().where(F.length("word") >= 3)
+    synonyms = words.select("word", F.explode(_edge_synsets(F.col("word"))).alias("synset"))
+    m = M.meteor(prep, synonyms=synonyms)
+    return prep.select("row_id", F.col("g").alias("gloss"), F.col("p").alias("answer")).join(m, "row_id").select(
+        "row_id", "gloss", "answer", r6("meteor").alias("meteor"))

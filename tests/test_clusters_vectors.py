@@ -164,3 +164,46 @@ def test_tile_roots_independent_of_side_order():
         perm = rng.permutation(n)  # the other side of the block self-join in another order
         got = C._tile_roots(ids, ids[perm], ok[:, perm], True)
         assert dict(zip(*[x.tolist() for x in base])) == dict(zip(*[x.tolist() for x in got]))
+
+
+def _clustered(spark, m, per=80, dim=16, seed=4):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(m // per, dim))
+    rows = [("t", i, (centers[i % len(centers)] + 0.02 * rng.normal(size=dim)).tolist()) for i in range(m)]
+    return spark.createDataFrame(rows, "target string, id long, v array<double>")
+
+
+def test_tiles_grow_slowly_on_clustered_vectors(spark):
+    made = {}
+    for m in (1500, 6000):
+        blocks = C.metric_blocks(_clustered(spark, m), ["target"], block=64, spread=0.3)
+        made[m] = C.near_tiles(blocks, ["target"], 0.05).count()
+        n = blocks.count()
+        assert made[m] < n * (n + 1) / 2 / 2  # of all pairs of blocks
+    assert np.log(made[6000] / made[1500]) / np.log(4) < 1.5
+
+
+def test_no_near_pair_is_ruled_out(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(300, 6)), rng.normal(size=(1, 6)) + 0.1 * rng.normal(size=(100, 6))])
+    df = spark.createDataFrame([("ab"[i % 2], i, x.tolist()) for i, x in enumerate(v)], "g string, id long, v array<double>")
+    blocks = C.metric_blocks(df, ["g"], block=8, pivots=10)
+    rows = blocks.collect()
+    assert sorted(i for r in rows for i in r.ids) == list(range(400)) and max(len(r.ids) for r in rows) <= 8
+    home = {i: r.blk for r in rows for i in r.ids}
+    kept = {(r.bi, r.bj) for r in C.near_tiles(blocks, ["g"], 0.1).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    for i in range(400):
+        for j in range(i % 2, 400, 2):
+            if d[i, j] <= 0.1:
+                assert (min(home[i], home[j]), max(home[i], home[j])) in kept
+    assert len(kept) < len(rows) ** 2 / 4
+
+
+def test_points_without_direction_are_noise(spark):
+    rows = [("t", 0, [0.0, 0.0]), ("t", 1, [1.0, 0.0]), ("t", 2, [1.0, 0.01]), ("t", 3, None), ("t", 4, [float("nan"), 1.0]), ("t", 5, [])]
+    df = spark.createDataFrame(rows, "target string, id long, embedding array<double>")
+    got = {r.id: r.label for r in C.density_clusters(df, ["target"], eps=0.1).collect()}
+    assert got == {0: -1, 1: 1, 2: 1, 3: -1, 4: -1, 5: -1}
+    assert C.density_clusters(df.limit(0), ["target"]).count() == 0

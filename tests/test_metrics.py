@@ -134,3 +134,71 @@ def test_registry_matches_joint_scoring(spark):
         assert single == pytest.approx({k: v[name] for k, v in joint.items()})
     with pytest.raises(KeyError):
         M.metric_table(prep, "bleurt")
+
+
+# ---- M1 by bits, M5 synonym stage
+
+def test_lcs_by_bits_equals_the_plain_table():
+    rnd = random.Random(8)
+    for size in (0, 1, 2, 63, 64, 65, 130, 200):
+        for _ in range(12):
+            words = rnd.choices("abcdefgh"[:rnd.randint(1, 8)], k=300)
+            a, b = rnd.choices(words, k=rnd.randint(0, size)), rnd.choices(words, k=size)
+            assert M.lcs_length(a, b) == lcs_ref(a, b)
+
+
+def stages_ref(g, p, stems, synsets):
+    """All three stages by the plain double loops over tokens, the last first."""
+    left_p, left_g, found = list(enumerate(p)), list(enumerate(g)), []
+
+    def stage(same):
+        for x in list(left_p)[::-1]:
+            for y in list(left_g)[::-1]:
+                if same(x[1], y[1]):
+                    found.append((x[0], y[0]))
+                    left_p.remove(x)
+                    left_g.remove(y)
+                    break
+
+    stage(lambda a, b: a == b)
+    if stems is not None:
+        left_p[:] = [(i, stems.get(w, w)) for i, w in left_p]
+        left_g[:] = [(i, stems.get(w, w)) for i, w in left_g]
+        stage(lambda a, b: a == b)
+    stage(lambda a, b: bool(synsets.get(a, set()) & synsets.get(b, set())))
+    m = len(found)
+    if not m:
+        return 0.0
+    found.sort()
+    chunks = 1 + sum(not (a[0] + 1 == b[0] and a[1] + 1 == b[1]) for a, b in zip(found, found[1:]))
+    prec, rec = m / len(p), m / len(g)
+    return (1 - 0.5 * (chunks / m) ** 3) * prec * rec / (0.9 * prec + 0.1 * rec)
+
+
+def _meteor(spark, rows, synsets, stems=None):
+    df = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(rows)], "row_id long, gloss string, answer string")
+    table = [(w, s) for w, sets in synsets.items() for s in sets] * 2  # repeated rows count once
+    syn = spark.createDataFrame(table, "word string, synset string")
+    st = spark.createDataFrame(list(stems.items()), "word string, stem string") if stems is not None else None
+    return [r.meteor for r in M.meteor(M.prepare(df), st, syn).orderBy("row_id").collect()]
+
+
+def test_synonyms_compete_for_one_word(spark):
+    # car and truck both match vehicle: the last of them gets the only one; auto is left for car
+    synsets = {"car": {"1", "2"}, "auto": {"1"}, "truck": {"2"}, "vehicle": {"2"}}
+    rows = [("a vehicle", "car truck"), ("a vehicle", "truck car"), ("auto vehicle", "car truck"), ("vehicle auto", "truck car"),
+            ("auto vehicle", "truck car"), ("car", "car"), ("", "car"), ("vehicle", "x")]
+    got = _meteor(spark, rows, synsets)
+    assert got == pytest.approx([stages_ref(g.split(), p.split(), None, synsets) for g, p in rows])
+    assert got[0] == got[1] > 0 and got[2] > got[4] == got[0]  # in order both match; else car takes vehicle
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_synonym_stage_against_the_double_loop(spark, stemmed):
+    rnd = random.Random(21)
+    words = [f"w{k}" for k in range(14)]
+    synsets = {w: {str(rnd.randint(0, 6)) for _ in range(rnd.randint(0, 3))} for w in words}
+    stems = {w: f"w{k // 2}" for k, w in enumerate(words)} if stemmed else None
+    rows = [(" ".join(rnd.choices(words, k=rnd.randint(0, 25))), " ".join(rnd.choices(words, k=rnd.randint(0, 25)))) for _ in range(60)]
+    got = _meteor(spark, rows, synsets, stems)
+    assert got == pytest.approx([stages_ref(g.split(), p.split(), stems, synsets) for g, p in rows])

@@ -15,12 +15,13 @@ from test_pairs_ranks import brute_threshold
 
 
 def test_hot_group_is_split_into_blocks(spark):
-    df = spark.range(0, 2000).select(F.when(F.col("id") < 1800, "hot").otherwise("cold").alias("target"), "id")
-    b = C._blocked(df, ["target"], 64)
-    n = {r.target: r.n for r in b.groupBy("target").agg(F.countDistinct("_blk").alias("n")).collect()}
+    df = spark.range(0, 2000).select(F.when(F.col("id") < 1800, "hot").otherwise("cold").alias("target"), "id",
+                                     F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("v"))
+    b = C.metric_blocks(df, ["target"], 64).select("target", "blk", F.size("ids").alias("n"))
+    n = {r.target: r.n for r in b.groupBy("target").agg(F.countDistinct("blk").alias("n")).collect()}
     assert n["hot"] >= 20 and n["cold"] >= 3
-    biggest = b.groupBy("target", "_blk").count().agg(F.max("count")).first()[0]
-    assert biggest < 200  # blocks stay near the block size, whatever the group size
+    assert b.agg(F.max("n"), F.sum("n")).first()[:] == (64, 2000)  # no block is larger, whatever the group size
+    assert b.where("target = 'hot'").select(F.expr("blk div 1099511627776")).distinct().count() > 4  # partitions of 8
 
 
 def test_density_clusters_hot_target(spark):
@@ -44,7 +45,8 @@ def test_hot_target_tiles_spread_over_partitions(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        tiles = C._block_pairs(C._packed(pts, ["target"], 16), ["target"])
+        blocks = C.metric_blocks(pts, ["target"], 16)
+        tiles = C._tiles(blocks, C.near_tiles(blocks, ["target"], 2.0), ["target"])
         parts = tiles.select(F.spark_partition_id().alias("p"), "bi", "bj").collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
