@@ -2,14 +2,12 @@
 threshold application (W2) and accuracy (A12)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
 from .vectors import cosine
 
-SCORE_BUCKETS = 64   # number of (equal-count) score ranges used to split the running sums
-
-
 def pair_adjacent(df: DataFrame, line: str = "line_no", cols=("embedding",), by=()) -> DataFrame:
     """R2: rows 2i and 2i+1 (file order) become pair i; an odd tail row is dropped."""
     by = list(by)
@@ -30,10 +28,8 @@ def best_threshold(scored: DataFrame, by=("model",), score: str = "sim", label:
     """For every distinct score (and +inf) the accuracy of ``score >= thr``; the best one,
     ties to the highest threshold. One sort instead of the reference's thresholds x rows loop.
 
-    Equal scores are pre-aggregated (a hot score is one row). Running sums in descending score
-    order are split by equal-count score ranges (quantiles of the distinct scores): per-range
-    totals are tiny (groups x SCORE_BUCKETS rows) and broadcast as prefix offsets, and the running
-    sum inside a range is a window over that range only.
+    Equal scores are pre-aggregated (a hot score is one row); the counts of rows at and above a score
+    are running totals in descending score order (``running_totals``), over ranges of equal row counts.
     """
     by = list(by)
     if not by:
@@ -41,40 +37,22 @@ def best_threshold(scored: DataFrame, by=("model",), score: str = "sim", label:
     c = scored.groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    # equal-count score ranges from a quantile sketch of the distinct scores (partial + final
-    # aggregate, one row of boundaries per group): concentrated scores still spread over ranges
-    qs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    bounds = c.groupBy(*by).agg(F.percentile_approx(score, qs, 10000).alias("_bounds"))
-    c = c.join(F.broadcast(bounds), by)
-    c = c.withColumn("_b", F.size(F.filter("_bounds", lambda q: q < F.col(score)))).drop("_bounds")
-    bt = c.groupBy(*by, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wb = Window.partitionBy(*by).orderBy(F.col("_b").desc())
-    whole = Window.partitionBy(*by)
-    bt = bt.select(*by, "_b",
-                   (F.sum("bp").over(wb) - F.col("bp")).alias("base_p"),
-                   (F.sum("bn").over(wb) - F.col("bn")).alias("base_n"),
-                   F.sum("bp").over(whole).alias("P"), F.sum("bn").over(whole).alias("N"))
-    local = Window.partitionBy(*by, "_b").orderBy(F.col(score).desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.join(F.broadcast(bt), by + ["_b"])
-    tp = F.col("base_p") + F.sum("pos").over(local)
-    fp = F.col("base_n") + F.sum("neg").over(local)
-    cand = c.select(*by, F.col(score).alias("thr"),
-                    ((tp + (F.col("N") - fp)) / (F.col("P") + F.col("N"))).alias("acc"))
-    totals = bt.select(*by, "P", "N").distinct()
-    inf = totals.select(*by, F.lit(float("inf")).alias("thr"), (F.col("N") / (F.col("P") + F.col("N"))).alias("acc"))
-    cand = cand.unionByName(inf)
-    return cand.groupBy(*by).agg(
-        F.max_by("thr", F.struct("acc", "thr")).alias("threshold"),
-        F.max("acc").alias("dev_accuracy"))
+    c = running_totals(c, by, score, {"_tp": "pos", "_fp": "neg"}, {"P": "pos", "N": "neg"}, descending=True)
+    tp, fp = F.col("_tp") + F.col("pos"), F.col("_fp") + F.col("neg")
+    acc = ((tp + (F.col("N") - fp)) / (F.col("P") + F.col("N")))
+    none = F.col("N") / (F.col("P") + F.col("N"))  # accuracy at +inf, which wins its ties
+    best = c.groupBy(*by).agg(F.max_by(F.col(score), F.struct(acc.alias("a"), F.col(score).alias("s"))).alias("_thr"),
+                              F.max(acc).alias("_acc"), F.max(none).alias("_none"))
+    return best.select(*by, F.when(F.col("_none") >= F.col("_acc"), F.lit(float("inf"))).otherwise(F.col("_thr")).alias("threshold"),
+                       F.greatest("_acc", "_none").alias("dev_accuracy"))
 
 
 def apply_threshold(scored: DataFrame, thresholds: DataFrame, by=("model",), score: str = "sim",
                     out: str = "pred") -> DataFrame:
-    """``score >= threshold``. One threshold row per group (groups are run settings, so the
-    table is small and bounded by the sweep size) -> broadcast."""
+    """``score >= threshold``. One threshold row per group: Spark broadcasts the table when its measured
+    size allows, and splits a hot group otherwise."""
     by = list(by)
-    return scored.join(F.broadcast(thresholds.select(*by, "threshold")), by) \
+    return scored.join(thresholds.select(*by, "threshold"), by) \
         .withColumn(out, (F.col(score) >= F.col("threshold")).cast("int"))
 
 

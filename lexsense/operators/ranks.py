@@ -1,9 +1,12 @@
-"""Average ranks (W3) and Spearman correlation (A13), grouped; no global window."""
+"""Average ranks (W3) and Spearman correlation (A13), grouped; no window over all rows of a group."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .prefix import joined, value_ranks
+
 
 def _corr(x, y):
     """Pearson correlation; null where a side is constant (Spark's own corr divides by zero there)."""
@@ -11,18 +14,17 @@ def _corr(x, y):
 
 
 def average_rank(df: DataFrame, by, col: str, out: str) -> DataFrame:
-    """1-based rank of ``col`` within ``by``; ties share the mean of their ranks."""
-    by = list(by)
-    w = Window.partitionBy(*by).orderBy(col)
-    tie = Window.partitionBy(*by, col)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
+    """1-based rank of ``col`` within ``by`` (which may be empty); ties share the mean of their ranks.
+
+    Ranks are found on the counts of the distinct values (``value_ranks``) and joined back by value."""
+    return with_ranks(df, by, [col], out)
 
 
 def spearman(df: DataFrame, by, x: str, y: str, out: str = "spearman") -> DataFrame:
     """Pearson correlation of the average ranks of ``x`` and ``y`` per group."""
     by = list(by)
-    r = average_rank(average_rank(df, by, x, "_rx"), by, y, "_ry")
-    return r.groupBy(*by).agg(_corr("_rx", "_ry").alias(out))
+    r = with_ranks(df, by, dict.fromkeys([x, y]))
+    return r.groupBy(*by).agg(_corr(f"_r_{x}", f"_r_{y}").alias(out))
 
 
 def spearman_columns(ranked_x: str, ys_ranked) -> list:
@@ -30,8 +32,10 @@ def spearman_columns(ranked_x: str, ys_ranked) -> list:
     return [_corr(ranked_x, r).alias(out) for r, out in ys_ranked]
 
 
-def with_ranks(df: DataFrame, by, cols) -> DataFrame:
-    """Average ranks of several columns within ``by`` (one window each)."""
+def with_ranks(df: DataFrame, by, cols, out: str = "_r_{}") -> DataFrame:
+    """Average ranks of several columns within ``by``. The rows are written first: a computed value may differ in
+    its last bits when it is computed anew, and would then miss its own rank."""
+    by, df = list(by), written(df)
     for c in cols:
-        df = average_rank(df, by, c, f"_r_{c}")
+        df = joined(df, value_ranks(df, by, c, out.format(c)), [*by, c])
     return df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
+from .prefix import running_totals
 
 
 # ---------------------------------------------------------------- E1 / E2 definitions
@@ -138,6 +139,15 @@ def build_training_mix(defs: DataFrame, exclude=("slang", "wiki"), split: str =
     return d.withColumn("shuffle_key", seeded_order(seed, "dataset", "target", "gloss", "example"))
 
 
+def shuffled_positions(mix: DataFrame, key: str = "shuffle_key", out: str = "position") -> DataFrame:
+    """Place of every row in the seeded order, from 0. Only the keys are ordered and counted; equal keys, which
+    need equal records, get neighbouring places."""
+    counts = mix.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    first = running_totals(counts, [], key, {"_before": "_n"}).select(key, "_before")
+    within = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) - 1
+    return mix.join(first, key).withColumn(out, F.col("_before") + within).drop("_before")
+
+
 def render_conversations(turns: DataFrame, markers=("<|", "|>")) -> DataFrame:
     """Turns table -> one text per conversation (turns in order, role marker line first)."""
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
@@ -147,48 +157,20 @@ def render_conversations(turns: DataFrame, markers=("<|", "|>")) -> DataFrame:
             F.lit(markers[0]), x["role"], F.lit(markers[1]), F.lit("\n"), x["text"])), "\n").alias("text"))
 
 
-def running_offsets(df: DataFrame, order: str, size: str, out: str = "offset",
-                    total: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``size`` in ``order`` without a global single-task window.
-
-    The order key is cut into equal-width ranges (from its min / max, two numbers); per-range
-    totals are one row per range, so their prefix is tiny and broadcast; a running sum inside each
-    range (a window partitioned by the range) adds the range's base. Dense keys such as line
-    numbers give balanced ranges.
-    """
-    spark = df.sparkSession
-    nb = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return df.withColumn(out, F.lit(0).cast("long")) if not total else \
-            df.withColumn(out, F.lit(0).cast("long")).withColumn(total, F.lit(0).cast("long"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // nb))
-    r = df.withColumn("_b", F.floor((F.col(order) - F.lit(int(lo))) / F.lit(width)))
-    tot = r.groupBy("_b").agg(F.sum(size).alias("_t"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = tot.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"),
-                      F.sum("_t").over(everything).alias("_total"))
-    local = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.join(F.broadcast(base), "_b")
-    r = r.withColumn(out, F.col("_base") + F.sum(size).over(local) - F.col(size))
-    if total:
-        r = r.withColumnRenamed("_total", total)
-    return r.drop("_b", "_base", "_total")
-
-
 def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "doc_id",
          text: str = "text") -> DataFrame:
-    """Texts (whitespace tokens + end mark) laid end to end in ``order`` and cut into blocks of
+    """Texts (whitespace tokens + end mark) laid end to end in ``order`` (unique) and cut into blocks of
     ``n`` tokens; the last block may be shorter. One row per block with its text.
 
-    Each text emits one slice per block it touches (rows ~ texts + blocks, not tokens); a block
-    then concatenates at most ``n`` tokens of slices in text order."""
+    Offsets are running totals of (key, count) rows only (``running_totals``: ranges of equal row counts, however
+    sparse the keys are); the tokens join late. Each text emits one slice per block it touches (rows ~
+    texts + blocks, not tokens); a block then concatenates at most ``n`` tokens of slices in text order."""
     toks = docs.select(order, F.concat(X.py_split(text), F.array(F.lit(end_mark))).alias("toks"))
-    toks = toks.withColumn("cnt", F.size("toks"))
-    off = running_offsets(toks, order, "cnt", total="total")
+    sizes = running_totals(toks.select(order, F.size("toks").cast("long").alias("cnt")), [], order, {"offset": "cnt"})
+    off = toks.join(sizes, order)
     first = F.floor(F.col("offset") / n)
     last = F.floor((F.col("offset") + F.col("cnt") - 1) / n)
-    ex = off.select(order, "offset", "cnt", "toks", "total", F.explode(F.sequence(first, last)).alias("block"))
+    ex = off.select(order, "offset", "cnt", "toks", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("offset"), F.col("block") * n)
     hi = F.least(F.col("offset") + F.col("cnt"), (F.col("block") + 1) * n)
     pieces = ex.select("block", order, F.slice("toks", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))

@@ -6,6 +6,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .prefix import order_statistics
+
 
 def summarise_definitions(scored: DataFrame, by=("model", "dataset"), metrics=None) -> DataFrame:
     """A2: mean of every metric per group. ``metrics`` defaults to all numeric columns after the
@@ -26,11 +29,13 @@ def box_summary(df: DataFrame, by, y: str) -> DataFrame:  # by: at least one col
     """The numbers behind a box plot: linear quartiles, whiskers at the furthest points inside
     1.5 IQR of the box, and the count of points outside them.
 
-    ``percentile`` keeps one counter per distinct value and merges partial counters, so it runs as
-    a partial + final aggregate; it is meant for result tables (one row per run)."""
+    The quartiles are exact order statistics found by distributed selection (``order_statistics``), so a group
+    of any number of distinct values needs bounded buffers only. Null values are left out of the quartiles and
+    count as outside the whiskers."""
     by = list(by)
-    q = df.groupBy(*by).agg(F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    df = written(df.select(*by, y))  # a computed value may differ in its last bits when it is computed anew
+    q = order_statistics(df, by, y, (0.25, 0.5, 0.75)).select(
+        *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     j = df.select(*by, y).join(q, by)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(y) >= F.col("q1") - 1.5 * iqr) & (F.col(y) <= F.col("q3") + 1.5 * iqr)

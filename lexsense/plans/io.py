@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 from .. import fixtures as fx
 from ..operators import records as R
+from ..operators.prefix import running_totals
 from ..oracle import dg_sql, with_views
 from ..session import table
 from ..sources import files as IO
+from ..sources import split_records as SR
 from .prepare import _E1_BODY, _E1_SQL, _E2_CTES, _SQL_CUT, _cut_lines, _dictionary
 from .registry import query, r6
 from .scoring import scored as dg_scored
@@ -93,11 +95,27 @@ def s1_dictionary_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = IO.scratch_dir(spark, "dict")
     ordered = dictionary.repartitionByRange("line_no").sortWithinPartitions("line_no")
     ordered.select("word", "gloss", "example").write.options(header=True, quote='"', escape='"').csv(path)
-    back = IO.read_dictionary_csv(spark, path)
+    back = SR.read_csv_records(spark, path, IO.DICTIONARY)
     look = back.groupBy("gloss").agg(F.max_by(F.struct(F.col("word").alias("target"), "example"), "_order").alias("x"))
     return members.join(look, "gloss").select("split", "gloss", "x.target", "x.example")
 
 
+_MEMBER = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("gloss", T.StringType()),
+                        T.StructField("note", T.StructType([T.StructField("source", T.StringType())]))])
+
+
+@query("s4_json_array", "select row_number() over (order by doc_id) - 1 as place, doc_id as line_no, text as gloss, "
+       "source from documents")
+def s4_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an object of JSON arrays (one a part file), read back over splits in exact order."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("gloss"), F.struct("source").alias("note"))
+    path = IO.scratch_dir(spark, "arrays")
+    SR.write_json_arrays(d.withColumn("_at", F.col("line_no")), path, "_at")
+    back = SR.read_json_records(spark, path, _MEMBER)
+    places = running_totals(back.select("_order", F.lit(1).cast("long").alias("one")), [], "_order", {"place": "one"})
+    return back.join(places, "_order").select("place", "line_no", "gloss", "note.source")
+
+
 @query("s2_sense_lines", with_views(
     "select line_no, case when rejected then null else split_part(sense, '%', 1) end as target, "
     "case when rejected then null else gloss end as gloss, rejected from ("

@@ -339,7 +339,7 @@ def e6_training_mix(spark: SparkSession, sf: str) -> DataFrame:
 def w7_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     senses, examples = _cut_lines(spark, sf)
     mix = R.build_training_mix(R.build_definitions(senses, examples), exclude=EXCLUDE)
-    return R.running_offsets(mix.withColumn("_one", F.lit(1)), "shuffle_key", "_one", out="position").drop("_one")
+    return R.shuffled_positions(mix)
 
 
 @query("s6_path_filter_scan", with_views(

@@ -9,7 +9,7 @@ from ..operators import clusters as C
 from ..operators import pairs as PR
 from ..operators import senses as SE
 from ..operators import vectors as V
-from ..operators.ranks import average_rank, spearman_columns, with_ranks
+from ..operators.ranks import spearman_columns, with_ranks
 from ..oracle import r6 as q6, with_views
 from ..session import table
 from .registry import query, r6
@@ -238,8 +238,8 @@ def w3_average_rank(spark: SparkSession, sf: str) -> DataFrame:
     s = _scores(spark, sf)
     g = _gold(spark, sf, s.select("target"))
     j = s.join(g.withColumnRenamed("lemma", "target"), "target")
-    r = average_rank(average_rank(j, [], "change_graded", "r_gold"), [], "APD", "r_apd")
-    return r.select("target", "r_gold", "r_apd")
+    r = with_ranks(j, [], ["change_graded", "APD"])
+    return r.select("target", F.col("_r_change_graded").alias("r_gold"), F.col("_r_APD").alias("r_apd"))
 
 
 _RUN_BODY = f"""select {q6('avg("ARI")')} as "ARI", {q6('avg("RI")')} as "RI", {q6('avg("PUR")')} as "PUR",

@@ -1,12 +1,15 @@
 """Readers and sinks: exact line numbers over split files, bad-line rules, JSON array, zip check."""
+import csv
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexsense.sources import files as IO
+from lexsense.sources import split_records as SR
 
 
 def test_text_lines_exact_over_splits(spark, tmpdir_path):
@@ -81,3 +84,68 @@ def test_sets_sink_and_pruned_scan(spark, tmpdir_path):
     assert [(r.dataset, r.split) for r in got.collect()] == [("oxford", "train")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
+
+
+# ---- records over splits
+
+TRICKY = ["plain", 'say "hi"', "two\nlines", 'ends"', '"starts', "a,b", ",", '"', '""', '",\n"', "\n\n", "x\n", "\ny", "tab\t", "é\u2028ü",
+          'stray " quote', "back\\slash", 'mix\n"a",\n"b"\n', "{brace}", "}{", "[", "]", 'q"}', '\\"', "}\n]"]
+
+
+def small_splits(spark, size, run):
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_over_splits(spark, tmpdir_path, end):
+    rnd = random.Random(3)
+    files = {}
+    for f in ("part-00000-a.csv", "part-99999-b.csv", "part-100000-c.csv"):
+        files[f] = [(f"w{i}", rnd.choice(TRICKY) + rnd.choice(TRICKY), f"{rnd.choice(TRICKY)}{i}") for i in range(400)]
+        with open(os.path.join(tmpdir_path, f), "w", newline="") as fh:
+            w = csv.writer(fh, lineterminator=end)
+            w.writerow(["word", "gloss", "example"])
+            w.writerows(files[f])
+    got = small_splits(spark, 700, lambda: SR.read_csv_records(spark, tmpdir_path, IO.DICTIONARY).orderBy("_order").collect())
+    want = [r for f in ("part-00000-a.csv", "part-99999-b.csv", "part-100000-c.csv") for r in files[f]]
+    assert [(r.word, r.gloss, r.example) for r in got] == want
+
+
+def test_csv_records_with_stray_quotes_and_blank_lines(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "d.csv")
+    with open(p, "w") as fh:
+        fh.write('word,gloss,example\n\nab"c,5" nail,x\n"q\n""z",b"b,"m\nn"\n\nlast,1,2')
+    got = small_splits(spark, 9, lambda: SR.read_csv_records(spark, p, IO.DICTIONARY).orderBy("_order").collect())
+    assert [(r.word, r.gloss, r.example) for r in got] == [('ab"c', '5" nail', "x"), ('q\n"z', 'b"b', "m\nn"), ("last", "1", "2")]
+
+
+@pytest.mark.parametrize("indent, size", [(None, 300), (1, 300), (None, 11), (2, 10**8)])
+def test_json_arrays_over_splits(spark, tmpdir_path, indent, size):
+    rnd = random.Random(5)
+    items = [{"gloss": rnd.choice(TRICKY) + rnd.choice(TRICKY), "n": i, "deep": {"a": [{"b": rnd.choice(TRICKY)}] * rnd.randint(0, 2)}}
+             for i in range(25 if size == 11 else 300)]
+    p = os.path.join(tmpdir_path, "members.json")
+    with open(p, "w") as fh:
+        json.dump(items, fh, indent=indent, ensure_ascii=False)
+    schema = T.StructType([T.StructField("gloss", T.StringType()), T.StructField("n", T.LongType()),
+                           T.StructField("deep", T._parse_datatype_string("struct<a:array<struct<b:string>>>"))])
+    got = small_splits(spark, size, lambda: SR.read_json_records(spark, p, schema).orderBy("_order").collect())
+    assert [r.asDict(recursive=True) | {} for r in got] == [x | {"_order": g["_order"].asDict()} for x, g in zip(items, got)]
+    assert len(got) == len(items)
+
+
+def test_json_arrays_sink_and_empty_arrays(spark, tmpdir_path):
+    df = spark.createDataFrame([(i, TRICKY[i % len(TRICKY)]) for i in range(200)], "i long, t string")
+    out = os.path.join(tmpdir_path, "arrays")
+    SR.write_json_arrays(df.withColumn("at", -F.col("i")), out, "at", partitions=5)
+    parts = sorted(f for f in os.listdir(out) if f.startswith("part-"))
+    assert len(parts) > 1 and all(isinstance(json.load(open(os.path.join(out, f))), list) for f in parts)
+    with open(os.path.join(out, "part-77777.txt"), "w") as fh:
+        fh.write(" [ ]\n")
+    got = SR.read_json_records(spark, out, T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.StringType())]))
+    assert [(r.i, r.t) for r in got.orderBy("_order").collect()] == [(i, TRICKY[i % len(TRICKY)]) for i in range(199, -1, -1)]
