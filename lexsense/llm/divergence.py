@@ -32,11 +32,11 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexsense.llm.flat import prepare
-from lexsense.llm.hosts import SMALL, UPPER
+from lexsense.llm.flat import LOWER, chunks, flat, prepare, spans
 from lexsense.llm.scratch import saved
 
-OTHER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = np.ones(256, bool)  # bytes of terms: letters, and all of what is not ASCII
+TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 NO_TERM = "\x01"  # keeps the estimator's vocabulary from being empty
 CELLS = 2_000_000  # (term, source) cells of a block
 ROW = "lang string, part string, source string, item string, id long, value long"
@@ -44,11 +44,34 @@ ROW = "lang string, part string, source string, item string, id long, value long
 
 def tagged_terms(documents: DataFrame) -> DataFrame:
     """lang, source and the terms of each row, each term after its lang and a blank."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, SMALL)
-    rows = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-                            F.filter(F.split(text, OTHER), lambda t: t != "").alias("terms"))
-    tag = F.concat("lang", F.lit(" "))
-    return rows.select("lang", "source", F.transform("terms", lambda t: F.concat(tag, t)).alias("terms"))
+    def run(batches):
+        for batch in batches:
+            data, off = flat(batch.column(0))
+            langs = batch.column(1).dictionary_encode()
+            tags = [np.frombuffer(f"{x} ".encode(), np.uint8) for x in langs.dictionary.to_pylist()]
+            width = np.array([len(t) for t in tags] or [0])
+            code = langs.indices.to_numpy(zero_copy_only=False)
+            for a, b in chunks(off):
+                text = LOWER[data[off[a]:off[b]]]
+                solid = TERM[text]
+                start, end, row = spans(solid, off[a:b + 1] - off[a])
+                own = code[a:b][row]
+                stop = np.cumsum(end - start + width[own])
+                put = stop - (end - start)
+                out = np.empty(stop[-1] if len(stop) else 0, np.uint8)
+                out[np.flatnonzero(solid) + np.repeat(put - start, end - start)] = text[solid]
+                for k in np.unique(own):
+                    at = put[own == k] - width[k]
+                    for i, byte in enumerate(tags[k]):
+                        out[at + i] = byte
+                ends = np.concatenate(([0], stop)).astype(np.int32)
+                terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(out))
+                rows = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a),
+                                                  pa.ListArray.from_arrays(pa.array(rows), terms)], ["lang", "source", "terms"])
+
+    rows = documents.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    return rows.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
 def block_of(term, blocks: int):
@@ -181,7 +204,7 @@ def audit(documents: DataFrame, min_df: int = 10, top: int = 10, block_terms: in
     """lang, source, part, item, value, rank: the audit's rows (see the contract of ``op11``)."""
     spark = documents.sparkSession
     prepare(spark)
-    rows = tagged_terms(documents)
+    rows = saved(tagged_terms(documents))
     groups = rows.select("lang", "source").distinct()
     counts, names = group_counts(rows, min_df, block_terms)
     size = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))

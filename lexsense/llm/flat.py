@@ -68,6 +68,15 @@ def chunks(off: np.ndarray, limit: int = CHUNK):
         a = b
 
 
+def spans(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every longest run of ``solid`` bytes; runs never cross rows."""
+    inner = off[(off > 0) & (off < len(solid))]
+    edge = np.diff(solid, prepend=False, append=False)
+    edge[inner] |= solid[inner]
+    start = np.flatnonzero(edge[:-1] & solid)
+    return start, np.flatnonzero(edge[1:] & solid) + 1, np.searchsorted(off, start, "right") - 1
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
     solid = ~SPACE[data]
