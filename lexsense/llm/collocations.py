@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexsense.llm.flat import LOWER, chunks, flat, mix, prefix_hash, prepare, span_hash
+from lexsense.llm.flat import LOWER, chunks, flat, mix, prefix_hash, prepare, span_hash, spans
 from lexsense.llm.scratch import saved
 
 WORDS = 1 << 20  # 64-bit words of the Bloom filter: 8 MB
@@ -180,12 +180,7 @@ def count_phrases(documents: DataFrame, length: int, sieve=None, seed: int = 0,
             for a, b in chunks(off):
                 text, o = LOWER[data[off[a]:off[b]]], off[a:b + 1] - off[a]
                 solid = ~(GAP[text] | STOP[text])
-                edge = np.diff(solid, prepend=False, append=False)
-                inner = o[(o > 0) & (o < len(text))]
-                edge[inner] |= solid[inner]  # rows end words
-                start = np.flatnonzero(edge[:-1] & solid)
-                end = np.flatnonzero(np.concatenate(([False], solid)) & edge)
-                row = np.searchsorted(o, start, "right") - 1
+                start, end, row = spans(solid, o)
                 piece = np.cumsum(STOP[text])[start] if len(start) else start
                 w = mix(span_hash(prefix_hash(text), start, end) + langs[a:b][row])
                 join = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])  # a word and the next one
