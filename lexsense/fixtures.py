@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import py_split
 from .session import table
 
 
@@ -95,11 +96,12 @@ def wic_lines(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "conversations").alias("a")
     b = table(spark, sf, "conversations").alias("b")
     turn = F.col("a.turn")
+    at = lambda side, k: _s(k % F.greatest(F.size(py_split(f"{side}.text")), F.lit(1)))  # noqa: E731  of the text's own tokens
     return a.join(b, (F.col("b.conv_id") == F.col("a.conv_id")) & (F.col("b.turn") == turn + 1)).select(
         (F.col("a.conv_id") * TURNS + turn).alias("line_no"),
         F.col("a.role").alias("target"),
         F.lit("N").alias("pos"),
-        F.concat(_s(turn % 3), F.lit("-"), _s((turn + 1) % 3)).alias("indexes"),
+        F.concat(at("a", turn), F.lit("-"), at("b", turn + 1)).alias("indexes"),
         F.col("a.text").alias("example1"),
         F.col("b.text").alias("example2"),
     )
@@ -116,32 +118,88 @@ def judgments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vector_target(vec_id) -> Column:
+    """Eight targets for every 512 vectors, so that targets grow in number with the table."""
+    return F.concat(F.lit("t"), _s(F.floor(vec_id / 512) * 8 + vec_id % 8))
+
+
 def usages(spark: SparkSession, sf: str) -> DataFrame:
-    """v_usages: usage rows with gloss, gold cluster, period and the gloss vector."""
-    e = table(spark, sf, "embeddings").alias("e")
-    r = table(spark, sf, "embeddings").alias("r")
-    vid = F.col("e.vec_id")
-    gid = F.floor(vid / 24) * 8 + vid % 8  # three usages, of both periods, share a gloss
-    return e.join(r, F.col("r.vec_id") == gid).select(
-        vid.alias("line_no"),
-        F.concat(F.lit("t"), _s(vid % 8)).alias("target"),
-        (1 + F.floor(vid / 8) % 2).alias("grouping"),
-        F.concat(F.lit("u"), _s(vid)).alias("identifier"),
-        F.when(vid % 37 == 0, F.lit(-1)).otherwise(F.col("e.label")).alias("cluster"),
-        F.concat(F.lit("g"), _s(gid)).alias("gloss"),
-        F.col("r.embedding").alias("embedding"),
+    """v_usages: three usages, of both periods, for every vector, which is their gloss's; with gold clusters."""
+    e = table(spark, sf, "embeddings").select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("k"))
+    vid = F.col("vec_id")
+    line = 3 * vid + F.col("k")
+    return e.select(
+        line.alias("line_no"),
+        vector_target(vid).alias("target"),
+        (1 + (F.floor(vid / 8) + F.col("k")) % 2).alias("grouping"),
+        F.concat(F.lit("u"), _s(line)).alias("identifier"),
+        F.when(line % 37 == 0, F.lit(-1)).otherwise(F.col("label")).alias("cluster"),
+        F.concat(F.lit("g"), _s(vid)).alias("gloss"),
+        "embedding",
     )
 
 
+def gloss_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(gloss, embedding) of v_usages, one row a gloss."""
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("g"), _s(F.col("vec_id"))).alias("gloss"), "embedding")
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """v_gold: graded change per lemma."""
-    n = table(spark, sf, "nation")
-    return n.select(
-        F.concat(F.lit("t"), _s(F.col("n_nationkey"))).alias("lemma"),
-        ((F.col("n_nationkey") * 37 % 11) / 10.0).cast("double").alias("change_graded"),
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("t"), _s(k)).alias("lemma"),
+        ((k * 37 % 11) / 10.0).cast("double").alias("change_graded"),
     )
 
 
+def _few(text, first: int, n: int) -> Column:
+    """``n`` words (by single spaces) of a text from its word ``first`` on."""
+    return F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), " ", first + n + 1), first + 1, n), " ")
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """v_answers: what two models (in two folders) answered for every usage at two context lengths; 64 usages a target."""
+    did = F.col("doc_id")
+    runs = F.explode(F.array(*[F.struct(F.lit(x).alias("suffix"), F.lit(f).alias("model_folder"), F.lit(m).alias("ft_model_name"),
+                                        _few(F.col("text"), k, n).alias("answer"))
+                               for x, f, m, k, n in ANSWERS]))
+    return table(spark, sf, "documents").select("*", runs.alias("r")).select(
+        "r.suffix", "r.model_folder", "r.ft_model_name", F.concat(F.lit("t"), _s(F.floor(did / 64))).alias("target"),
+        did.alias("line_no"), (1 + did % 2).alias("grouping"),
+        F.when(did % 37 == 0, F.lit(-1)).otherwise(F.col("n_chars") % 4).alias("cluster"), "r.answer")
+
+
+# (suffix, folder, model, first word, words) of each run of v_answers
+ANSWERS = (("25", "t5-answers", "gen-A", 0, 1), ("25", "lora-answers", "gen-B", 1, 2), ("", "t5-answers", "gen-A", 2, 1),
+           ("", "lora-answers", "gen-B", 3, 2))
+
+
+def wic_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """v_wic_answers: answer lines of two models; lines 2i and 2i + 1 are a pair."""
+    did = F.col("doc_id")
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.concat(_few(F.col("text"), k, 2), F.lit(" . ,; ")).alias("answer"))
+                               for m, k in (("gen-A", 0), ("gen-B", 3))]))
+    return table(spark, sf, "documents").select("*", runs.alias("r")).select(
+        "r.model", F.when(F.floor(did / 2) % 2 == 0, "dev").otherwise("test").alias("part"), did.alias("line_no"), "r.answer")
+
+
+def wic_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """v_wic_gold: the gold line of every pair."""
+    did = F.col("doc_id")
+    return table(spark, sf, "documents").where(did % 2 == 0).select(
+        F.floor(did / 2).alias("pair_id"), F.when(F.col("n_chars") % 2 == 0, " T").otherwise("F ").alias("gold"))
+
+
+def text_vectors(spark: SparkSession, sf: str, texts: DataFrame, column: str) -> DataFrame:
+    """(column, embedding): a vector for each distinct text, by its md5 modulo the number of vectors."""
+    e = table(spark, sf, "embeddings")
+    n = e.agg(F.count("*").alias("_n"))  # one row
+    t = texts.select(column).distinct().join(F.broadcast(n)).withColumn(
+        "vec_id", F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long") % F.greatest("_n", F.lit(1)))
+    return t.join(e.select("vec_id", "embedding"), "vec_id").select(column, "embedding")
+
+
 def wic(spark: SparkSession, sf: str) -> DataFrame:
     """v_wic: one row per WiC pair with both gloss vectors and the gold label."""
     a = table(spark, sf, "embeddings").alias("a")
@@ -192,8 +250,11 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf: str, tokens: DataFrame) -> DataFrame:
-    """Vector per distinct token: by the token's md5 modulo the number of vectors."""
-    e = table(spark, sf, "embeddings")
-    t = tokens.select("token").where(F.length("token") > 0).distinct()
-    t = t.withColumn("vec_id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % F.lit(max(e.count(), 1)))
-    return t.join(e.select("vec_id", "embedding"), "vec_id").select("token", "embedding")
+    """Vector per distinct token: by the token's md5 modulo the number of vectors. One token in eleven has none."""
+    h = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
+    return text_vectors(spark, sf, tokens.where((F.length("token") > 0) & (h % 11 != 0)), "token")
+
+
+def toy_token_ids(text) -> Column:
+    """Token ids by the fixture rule (code point of the first char + 7 x length) mod 500."""
+    return F.transform(py_split(text), lambda w: (F.ascii(w) + 7 * F.length(w)).cast("long") % 500)

@@ -45,11 +45,12 @@ def quote_window(text, start, end, width) -> Column:
 
 
 def token_span(text, index) -> tuple[Column, Column]:
-    """Whitespace token ``index`` of ``text`` -> (start, end) measured on the single-space join."""
+    """Whitespace token ``index`` of ``text`` -> (start, end) measured on the single-space join. An
+    index past the last token gives an empty span at the end."""
     toks = py_split(text)
     i = _c(index)
     before = (F.length(F.array_join(F.slice(toks, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)).cast("long")
-    return before, before + F.length(F.element_at(toks, i + 1)).cast("long")
+    return before, before + F.coalesce(F.length(F.try_element_at(toks, i + 1)), F.lit(0)).cast("long")
 
 
 def dialog(target, example, gloss=None) -> Column:
@@ -74,6 +75,13 @@ def render_turns(turns, open_mark: str = "<|", close_mark: str = "|>") -> Column
         F.lit(open_mark), t["role"], F.lit(close_mark), F.lit("\n"), t["content"])), "\n")
 
 
+def windows(ids, n: int) -> Column:
+    """Consecutive windows of ``n`` ids, one (empty) window for no ids."""
+    size = F.size(_c(ids))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / n).cast("int") - 1, F.lit(0)))
+    return F.transform(starts, lambda k: F.slice(_c(ids), k * n + 1, F.lit(n)))
+
+
 def fixed_length(ids, n: int, pad: int = 0) -> tuple[Column, Column]:
     """Truncate to ``n``, left-pad with ``pad``; returns (ids, attention mask)."""
     cut = F.slice(_c(ids), 1, n)
@@ -81,8 +89,3 @@ def fixed_length(ids, n: int, pad: int = 0) -> tuple[Column, Column]:
     padded = F.concat(F.array_repeat(F.lit(pad).cast("long"), F.lit(n) - k), cut.cast("array<long>"))
     mask = F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(n) - k), F.array_repeat(F.lit(1).cast("long"), k))
     return padded, mask
-
-
-def toy_token_ids(text) -> Column:
-    """Token ids by the fixture rule (code point of the first char + 7 x length) mod 500."""
-    return F.transform(py_split(text), lambda w: (F.ascii(w) + 7 * F.length(w)).cast("long") % 500)

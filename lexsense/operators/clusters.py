@@ -22,21 +22,34 @@ def contingency(df: DataFrame, by, true: str = "cluster", pred: str = "label") -
     return df.groupBy(*by, true, pred).agg(F.count("*").alias("n"))
 
 
-def partition_scores(cont: DataFrame, by, true: str = "cluster", pred: str = "label") -> DataFrame:
-    """Purity, Rand index and adjusted Rand index per group from the contingency table."""
+def margins(cont: DataFrame, by, true: str = "cluster", pred: str = "label") -> DataFrame:
+    """One row per group: n, S (pairs within cells), Sa and Sb (pairs within true and predicted clusters), the sum
+    of each predicted cluster's largest cell (``top``) and the number of clusters of either side.
+
+    Both margins of the contingency table come from one aggregation over grouping sets, which a second one sums up
+    by group: no join, and the cells are read once."""
+    by = list(by)
+    sides = cont.groupingSets([[*by, true], [*by, pred]], *by, true, pred).agg(
+        F.grouping(pred).alias("_true"), F.sum("n").alias("m"), F.max("n").alias("top"), F.sum(_pairs(F.col("n"))).alias("S"))
+    one, two = F.col("_true") == 1, F.col("_true") == 0
+    return sides.groupBy(*by).agg(
+        F.sum(F.when(one, F.col("m"))).alias("n"), F.sum(F.when(one, F.col("S"))).alias("S"),
+        F.sum(F.when(one, _pairs(F.col("m")))).alias("Sa"), F.sum(F.when(two, _pairs(F.col("m")))).alias("Sb"),
+        F.sum(F.when(two, F.col("top"))).alias("top"), F.count(F.when(one, 1)).alias("n_true_cluster"), F.count(F.when(two, 1)).alias("n_cluster"))
+
+
+def partition_scores(cont: DataFrame, by, true: str = "cluster", pred: str = "label", counts: bool = False) -> DataFrame:
+    """Purity, Rand index and adjusted Rand index per group from the contingency table; with ``counts``
+    also the number of predicted and of true clusters (A4)."""
     by = list(by)
-    rows = cont.groupBy(*by, true).agg(F.sum("n").alias("a"))
-    cols = cont.groupBy(*by, pred).agg(F.sum("n").alias("b"), F.max("n").alias("top"))
-    s = cont.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("S"))
-    sa = rows.groupBy(*by).agg(F.sum(_pairs(F.col("a"))).alias("Sa"))
-    sb = cols.groupBy(*by).agg(F.sum(_pairs(F.col("b"))).alias("Sb"), F.sum("top").alias("top"))
-    j = s.join(sa, by).join(sb, by)
+    j = margins(cont, by, true, pred)
     c = _pairs(F.col("n").cast("double"))
     ri = F.when(c == 0, F.lit(1.0)).otherwise((c + 2 * F.col("S") - F.col("Sa") - F.col("Sb")) / c)
     expected = F.col("Sa") * F.col("Sb") / c
     ari = F.when((F.col("Sa") == F.col("S")) & (F.col("Sb") == F.col("S")), F.lit(1.0)).otherwise(
         (F.col("S") - expected) / ((F.col("Sa") + F.col("Sb")) / 2 - expected))
-    return j.select(*by, (F.col("top") / F.col("n")).alias("PUR"), ri.alias("RI"), ari.alias("ARI"))
+    return j.select(*by, (F.col("top") / F.col("n")).alias("PUR"), ri.alias("RI"), ari.alias("ARI"),
+                    *(["n_cluster", "n_true_cluster"] if counts else []))
 
 
 def cluster_counts(labelled: DataFrame, glosses: DataFrame, by, true: str = "cluster",

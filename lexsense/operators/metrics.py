@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.text import normalise, tokens
 from .ngrams import gram_counts
 
+# The metric names of the score files.
 METRICS = ("rougeL", "nltk_bleu", "nist", "sacrebleu", "meteor", "bertscore", "exact_match")
 
 # Fixed values of the metric definitions (library defaults the reference relies on).
@@ -283,55 +284,53 @@ def rouge_l_column(g="g", p="p") -> Column:
 # ---------------------------------------------------------------- soft token match (M7)
 
 
+def _unit_rows(vectors, dim: int) -> np.ndarray:
+    """Unit vectors in rows; a missing (null) or zero vector is a row of zeros, whose cosines are 0."""
+    out = np.zeros((len(vectors), dim))
+    for k, v in enumerate(vectors):
+        if v is not None:
+            out[k] = v
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
 @F.pandas_udf(T.DoubleType())
-def _soft_f1_udf(gv: pd.Series, gc: pd.Series, pv: pd.Series, pc: pd.Series, dim: pd.Series) -> pd.Series:
-    """Per row: flattened gold / prediction token vectors (+ occurrence counts) -> soft F1."""
+def _soft_f1_udf(gv: pd.Series, gc: pd.Series, pv: pd.Series, pc: pd.Series) -> pd.Series:
+    """Per row: the vectors of the distinct gold / prediction tokens (+ occurrence counts) -> soft F1."""
     out = np.zeros(len(gv), dtype=np.float64)
-    for i in range(len(gv)):
-        g, p = gv.iat[i], pv.iat[i]
-        if g is None or p is None or len(g) == 0 or len(p) == 0:
+    for i, (g, wg, p, wp) in enumerate(zip(gv, gc, pv, pc)):
+        dim = next((len(v) for v in (*g, *p) if v is not None), 0)
+        if not len(g) or not len(p) or not dim:
             continue
-        d = int(dim.iat[i])
-        G = np.asarray(g, dtype=np.float64).reshape(-1, d)
-        P = np.asarray(p, dtype=np.float64).reshape(-1, d)
-        G /= np.linalg.norm(G, axis=1, keepdims=True)
-        P /= np.linalg.norm(P, axis=1, keepdims=True)
-        wg = np.asarray(gc.iat[i], dtype=np.float64)
-        wp = np.asarray(pc.iat[i], dtype=np.float64)
-        best_p = np.full(len(P), -np.inf)
+        G, P = _unit_rows(g, dim), _unit_rows(p, dim)
+        best_p = np.empty(len(P))
         best_g = np.full(len(G), -np.inf)
         for s in range(0, len(P), 1024):  # blocks keep the similarity tile bounded
             sim = P[s:s + 1024] @ G.T
             best_p[s:s + 1024] = sim.max(axis=1)
             best_g = np.maximum(best_g, sim.max(axis=0))
-        prec = float((best_p * wp).sum() / wp.sum())
-        rec = float((best_g * wg).sum() / wg.sum())
+        prec, rec = np.average(best_p, weights=wp), np.average(best_g, weights=wg)
         out[i] = 0.0 if prec + rec == 0 else 2 * prec * rec / (prec + rec)
     return pd.Series(out)
 
 
 def soft_match(prep: DataFrame, vectors: DataFrame) -> DataFrame:
-    """M7: P = mean over prediction tokens of the best cosine to a gold token, R the other way, F1.
+    """M7: P = mean over prediction tokens of the best cosine to a gold token, R the other way, F1. A token
+    without a vector stays in the means, with cosine 0 to every token.
 
     Token occurrences are pre-aggregated to (row, side, token, count) inside the row_id partitions,
     then looked up in the (token, embedding) table (AQE broadcasts it when its measured size is
     small and splits skewed tokens otherwise) and regrouped per row -- one row's distinct tokens,
-    flattened to one float array per side -- for a blocked numpy max."""
+    as one list of vectors per side -- for a blocked numpy max."""
     toks = _token_rows(prep).groupBy("row_id", "side", "word").agg(F.count("*").alias("cnt"))
-    vec = vectors.select(F.col("token").alias("word"), "embedding")
-    j = toks.join(vec, "word")
+    j = toks.join(vectors.select(F.col("token").alias("word"), "embedding"), "word", "left")
     # one list of (side, count, vector) per row, split afterwards, so vectors and their counts
     # stay aligned by construction
-    per = j.groupBy("row_id").agg(
-        F.collect_list(F.struct("side", "cnt", "embedding")).alias("_t"),
-        F.max(F.size("embedding")).alias("dim"))
-    g = F.filter("_t", lambda x: x["side"] == "g")
-    p = F.filter("_t", lambda x: x["side"] == "p")
-    per = per.select(
-        "row_id", "dim",
-        F.flatten(F.transform(g, lambda x: x["embedding"])).alias("gv"), F.transform(g, lambda x: x["cnt"]).alias("gc"),
-        F.flatten(F.transform(p, lambda x: x["embedding"])).alias("pv"), F.transform(p, lambda x: x["cnt"]).alias("pc"))
-    out = per.select("row_id", _soft_f1_udf("gv", "gc", "pv", "pc", "dim").alias("bertscore"))
+    per = j.groupBy("row_id").agg(F.collect_list(F.struct("side", "cnt", "embedding")).alias("_t"))
+    side = lambda s: F.filter("_t", lambda x: x["side"] == s)
+    per = per.select("row_id", side("g")["embedding"].alias("gv"), side("g")["cnt"].alias("gc"),
+                     side("p")["embedding"].alias("pv"), side("p")["cnt"].alias("pc"))
+    out = per.select("row_id", _soft_f1_udf("gv", "gc", "pv", "pc").alias("bertscore"))
     return prep.select("row_id").join(out, "row_id", "left").select(
         "row_id", F.coalesce("bertscore", F.lit(0.0)).alias("bertscore"))
 

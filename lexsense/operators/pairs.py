@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_punct_tokens, label_true
+from ..session import written
 from .prefix import running_totals
 from .vectors import cosine
 
@@ -66,3 +68,18 @@ def evaluate_wic(dev: DataFrame, test: DataFrame, by=("model",)) -> DataFrame:
     thr = best_threshold(dev, by)
     acc = accuracy(apply_threshold(test, thr, by), by)
     return thr.join(acc, list(by))
+
+
+def evaluate_wic_answers(answers: DataFrame, gold: DataFrame, vectors, by=("sbert", "model")) -> DataFrame:
+    """E9 as a sweep from the answer lines on, one record per ``by``: answers (by, part dev or test, line_no, answer)
+    lose their punctuation tokens (P11) and get the vector of their text, lines 2i and 2i + 1 are paired (R2) and
+    compared (V1), and the gold line of the pair (pair_id, gold) decides (P17).
+
+    ``vectors``: a (text, embedding) table or a function that makes one from the texts."""
+    by = list(by)
+    a = written(answers.select(*by, "part", "line_no", drop_punct_tokens("answer").alias("text")))
+    table = vectors(a.select("text")) if callable(vectors) else vectors
+    pairs = pair_adjacent(a.join(table, "text"), "line_no", ("embedding",), [*by, "part"])
+    scored = pair_similarity(pairs, "embedding1", "embedding2").join(gold.select("pair_id", label_true("gold").alias("label")), "pair_id")
+    scored = written(scored.select(*by, "part", "pair_id", "sim", "label"))
+    return evaluate_wic(scored.where("part = 'dev'"), scored.where("part = 'test'"), by)

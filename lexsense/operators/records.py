@@ -44,15 +44,21 @@ def last_by_line(df: DataFrame, key: str, order: str = "line_no") -> DataFrame:
     return df.groupBy(key).agg(agg).select(key, "_last.*")
 
 
+def look_up_members(dictionary: DataFrame, members: DataFrame, split_col: str = "split") -> DataFrame:
+    """(split, gloss, target, example): every member's gloss looked up in the dictionary, whose last row
+    (in line order) of a gloss counts. A member whose gloss is missing fails the job, as in the reference;
+    ``missing_members`` lists them beforehand. Null glosses are missing."""
+    look = last_by_line(dictionary.select("line_no", "gloss", F.col("word").alias("target"), "example"), "gloss")
+    found = members.select(split_col, "gloss").join(look.withColumn("_found", F.lit(True)), "gloss", "left")
+    check = F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("gloss not in the dictionary: "), F.coalesce("gloss", F.lit("null")))))
+    return found.where(F.coalesce(check.cast("boolean"), F.lit(True))).select(split_col, "gloss", "target", "example")
+
+
 def build_definitions_lookup(dictionary: DataFrame, members: DataFrame, split_col: str = "split") -> DataFrame:
-    """Split members (by gloss) looked up in the complete dictionary, last row per gloss wins.
+    """Split members (by gloss) looked up in the complete dictionary (``look_up_members``).
 
-    Rows are de-duplicated before capitalising, as the reference does for this source (D1).
-    A member whose gloss is missing is an error in the reference; ``missing_members`` lists them.
-    """
-    look = last_by_line(dictionary.select("line_no", "gloss", F.col("word").alias("target"), "example"), "gloss")
-    rec = members.select(split_col, "gloss").join(look, "gloss", "inner")
-    rec = rec.select(split_col, "target", "gloss", "example").dropDuplicates()
+    Rows are de-duplicated before capitalising, as the reference does for this source (D1)."""
+    rec = look_up_members(dictionary, members, split_col).select(split_col, "target", "gloss", "example").dropDuplicates()
     return rec.select(split_col, "target", X.capitalise_first("gloss").alias("gloss"),
                       X.capitalise_first("example").alias("example"))
 
@@ -96,12 +102,11 @@ def build_usages(uses: DataFrame, clusters: DataFrame, widths=WIDTHS, on=("targe
     start, end = S.parse_span("indexes_target_token", "example")
     u = u.select("grouping", "identifier", "example", "cluster", "indexes_target_token",
                  X.strip_pos("target").alias("target"), start.alias("start"), end.alias("end"))
-    w = F.explode(F.array(*[F.lit(x).cast("int") for x in widths])).alias("width")
-    u = u.select("*", w)
-    return u.select(
-        F.coalesce(F.col("width").cast("string"), F.lit("")).alias("suffix"),
-        "target", "grouping", "identifier", "cluster", "indexes_target_token",
-        S.quote_window("example", "start", "end", "width").alias("example"))
+    # all widths in one projection: only the cut strings are multiplied, not the whole example
+    cut = F.explode(F.array(*[F.struct(F.lit("" if x is None else str(x)).alias("suffix"), S.quote_window(
+        "example", "start", "end", F.lit(x).cast("int")).alias("example")) for x in widths]))
+    return u.select("target", "grouping", "identifier", "cluster", "indexes_target_token", cut.alias("w")).select(
+        "w.suffix", "target", "grouping", "identifier", "cluster", "indexes_target_token", "w.example")
 
 
 def mean_judgments(judgments: DataFrame) -> DataFrame:
@@ -185,12 +190,14 @@ def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "do
 # ---------------------------------------------------------------- E7 generation input and answers
 
 
-def build_generation_input(defs: DataFrame, batch: int = 32, max_len: int = 100, pad: int = 0) -> DataFrame:
+def build_generation_input(defs: DataFrame, tokenise, batch: int = 32, max_len: int = 100, pad: int = 0) -> DataFrame:
     """Prompt dialog (generation prompt, no gloss) rendered, seq2seq question, fixed-length
-    token ids and mask (toy ids), and batch number in file order (W5)."""
-    ids, mask = S.fixed_length(S.toy_token_ids("example"), max_len, pad)
-    return defs.select(
-        "line_no", "target", "example",
+    token ids and mask, and batch number in file order (W5). ``tokenise`` maps a text column to its ids; a text of
+    more than ``max_len`` ids gives several rows, numbered by ``window``, each with the next ids."""
+    ids, mask = S.fixed_length("_ids", max_len, pad)
+    rows = defs.select("line_no", "target", "example", F.posexplode(S.windows(tokenise("example"), max_len)).alias("window", "_ids"))
+    return rows.select(
+        "line_no", F.col("window").cast("long").alias("window"), "target", "example",
         S.render_turns(S.dialog("target", "example")).alias("prompt"),
         S.question("target", "example").alias("question"),
         ids.alias("input_ids"), mask.alias("attention_mask"),

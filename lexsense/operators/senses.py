@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import answered, strip_pos
+from ..functions.text import answered, drop_short_tokens, strip_pos
+from ..session import written
 from . import clusters as C
 from . import vectors as V
 from .ranks import spearman_columns, with_ranks
@@ -49,18 +50,37 @@ def sense_scores(usages: DataFrame, vectors: DataFrame, keys=("target",), labels
     u = clean_usages(usages)
     firsts = attach_vectors(keep_first(u, keys), vectors)
     if labels is None:
+        firsts = written(firsts)  # read by the clustering and twice more
         labels = C.density_clusters(firsts, keys, eps=eps, id_col="line_no").join(
             firsts.select(*keys, "line_no", "gloss"), keys + ["line_no"])
-    labelled = spread_labels(u, labels, keys)
+    labelled = written(spread_labels(u, labels, keys))  # read by the contingency and the centroids
     gl = firsts.join(labels.select(*keys, "gloss", "label"), keys + ["gloss"])
-    part = C.partition_scores(C.contingency(labelled, keys), keys)
-    counts = C.cluster_counts(labelled, gl, keys)
+    part = C.partition_scores(C.contingency(labelled, keys), keys, counts=True)
     apd = V.mean_shift(firsts, keys)
     apdp = V.centroid_shift(attach_vectors(labelled, vectors), keys)
-    scores = part.join(counts, keys, "left").join(apd, keys, "left").join(apdp, keys, "left")
+    scores = part.join(apd, keys, "left").join(apdp, keys, "left")
     return labelled, gl, scores
 
 
+def evaluate_runs(answers: DataFrame, vectors, gold: DataFrame, run_keys, filters=(1, 2, 3, 4), labels=None,
+                  eps: float = 0.7) -> DataFrame:
+    """E10 + E11 over a sweep: one record per run (``run_keys`` and ``filter_``), all runs in one job.
+
+    answers: run keys, target, line_no, grouping, cluster, answer. The gloss of a usage is its answer without the
+    tokens of ``filter_`` characters or fewer (P10), for each of ``filters``. ``vectors``: a (gloss, embedding) table
+    or a function that makes one from the glosses; ``labels``: a function that labels the distinct glosses (run
+    keys, target, gloss, line_no), else they are clustered (V3)."""
+    keys = [*run_keys, "filter_", "target"]
+    length = F.explode(F.array(*[F.lit(k).cast("long") for k in filters]))
+    u = answers.select("*", length.alias("filter_")).withColumn("gloss", drop_short_tokens("answer", F.col("filter_")))
+    u = written(clean_usages(u).select(*keys, "line_no", "grouping", "cluster", "gloss"))
+    table = written(vectors(u.select("gloss").distinct())) if callable(vectors) else vectors
+    given = labels(keep_first(u, keys)) if labels else None
+    _, _, scores = sense_scores(u, table, keys, given, eps)
+    scores = written(scores)
+    return run_record(scores, limit_gold(gold, scores.select("target")), [*run_keys, "filter_"])
+
+
 def limit_gold(gold: DataFrame, targets: DataFrame) -> DataFrame:
     """Gold lemmas, part-of-speech suffixes stripped (P9), limited to known targets."""
     g = gold.withColumn("lemma", strip_pos("lemma"))

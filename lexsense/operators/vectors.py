@@ -5,8 +5,11 @@ Vectors are ``array<float>``; they are cast to double before any arithmetic.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(c) -> Column:
@@ -80,16 +83,48 @@ def mean_shift(usages: DataFrame, by, period: str = "grouping", vec: str = "embe
     return out.select(*by, apd.alias("APD"))
 
 
+TILE = 64  # centroids of a block
+
+
+def centroid_tiles(usages: DataFrame, by, label: str = "label", period: str = "grouping", vec: str = "embedding",
+                   first: int = 1, second: int = 2, tile: int = TILE) -> DataFrame:
+    """(by, i, j, a, b): block i of a group's first-period centroids beside block j of the second period's.
+
+    Labels are hashed into blocks of about ``tile``; each block is listed once for each partner number and
+    joined on (group, i, j), so the tiles of a hot group spread over all tasks and no pair of rows is made."""
+    by = list(by)
+    c = centroids(usages, by + [period, label], vec, "_c").select(
+        *by, F.when(F.col(period) == first, 1).when(F.col(period) == second, 2).alias("_p"), label, "_c").where("_p is not null")
+    blocks = lambda p: F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("_p") == p, 1)) / tile)).cast("long").alias(f"_n{p}")
+    c = c.join(c.groupBy(*by).agg(blocks(1), blocks(2)), by)
+    own = F.when(F.col("_p") == 1, F.col("_n1")).otherwise(F.col("_n2"))
+    packed = c.withColumn("_b", F.pmod(F.xxhash64(label), own)).groupBy(*by, "_p", "_b", "_n1", "_n2").agg(F.collect_list("_c").alias("_cs"))
+    partners = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = packed.where("_p = 1").select(*by, F.col("_b").alias("i"), partners("_n2").alias("j"), F.col("_cs").alias("a"))
+    b = packed.where("_p = 2").select(*by, partners("_n1").alias("i"), F.col("_b").alias("j"), F.col("_cs").alias("b"))
+    return a.join(b, [*by, "i", "j"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())]))
+def _canberra_tile(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Sum and number of the Canberra distances of all pairs of a tile; a 0/0 term counts 0."""
+    total, n = [], []
+    for x, y in zip(a, b):
+        y, s = np.stack(y), 0.0
+        for u in np.stack(x):
+            size = np.abs(u) + np.abs(y)
+            s += float(np.divide(np.abs(u - y), size, out=np.zeros_like(size), where=size > 0).sum())
+        total.append(s)
+        n.append(len(x) * len(y))
+    return pd.DataFrame({"total": total, "n": n})
+
+
 def centroid_shift(usages: DataFrame, by, label: str = "label", period: str = "grouping",
                    vec: str = "embedding", first: int = 1, second: int = 2) -> DataFrame:
     """A11 (APDP): mean Canberra distance between every period-1 and every period-2 cluster
-    centroid of a group (J10). The pairs are of centroids, so their number is bounded by the
-    cluster counts, not by the rows."""
+    centroid of a group (J10). Tiles of centroid blocks give only (sum, count); null if a period is empty."""
     by = list(by)
-    c = centroids(usages, by + [period, label], vec, "_c")
-    a = c.where(F.col(period) == first).select(*by, F.col("_c").alias("_a"))
-    b = c.where(F.col(period) == second).select(*by, F.col("_c").alias("_b"))
-    pairs = a.join(b, by)
-    out = pairs.groupBy(*by).agg(F.avg(canberra("_a", "_b")).alias("APDP"))
+    tiles = centroid_tiles(usages, by, label, period, vec, first, second).select(*by, _canberra_tile("a", "b").alias("t"))
+    out = tiles.groupBy(*by).agg((F.sum("t.total") / F.sum("t.n")).alias("APDP"))
     keys = usages.select(*by).distinct()
     return keys.join(out, by, "left")

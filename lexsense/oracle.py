@@ -4,6 +4,18 @@ The driver registers the base tables only; ``with_views`` prepends the views a q
 """
 from __future__ import annotations
 
+from .fixtures import ANSWERS
+
+# Python's str.isspace() set, written as one regex class valid in Java and RE2 (fixed values).
+WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def _n_tokens(x: str) -> str:
+    return f"greatest(len(list_filter(regexp_split_to_array({x}, '{WS_CLASS}+'), lambda t: t <> '')), 1)"
+
+
+
 VIEWS: dict[str, str] = {
     "v_pairs": """
 select a.conv_id * 4294967296 + a.turn as row_id, 'm' || (a.conv_id % 4) as model, 'd' || (a.conv_id % 5) as dataset,
@@ -29,19 +41,31 @@ from (select *, coalesce(text, '') as x from documents) d""",
     "v_clusters": """
 select coalesce(lang, 'und') || case when doc_id % 2 = 0 then '_nn' else '_vb' end as target, doc_id // 2 as identifier,
        case when toxic = 1 then -1 else quality end as cluster from labels join documents using (doc_id)""",
-    "v_wic_lines": """
+    "v_wic_lines": f"""
 select a.conv_id * 4294967296 + a.turn as line_no, a.role as target, 'N' as pos,
-       (a.turn % 3) || '-' || ((a.turn + 1) % 3) as indexes, a.text as example1, b.text as example2
+       (a.turn % {_n_tokens('a.text')}) || '-' || ((a.turn + 1) % {_n_tokens('b.text')}) as indexes,
+       a.text as example1, b.text as example2
 from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1""",
     "v_judgments": """
 select 't' || (event_id % 3) as target, user_id as identifier1, event_type as identifier2, value as judgment from events""",
     "v_usages": """
-select e.vec_id as line_no, 't' || (e.vec_id % 8) as target, 1 + (e.vec_id // 8) % 2 as grouping,
-       'u' || e.vec_id as identifier, case when e.vec_id % 37 = 0 then -1 else e.label end as cluster,
-       'g' || (e.vec_id // 24 * 8 + e.vec_id % 8) as gloss, r.embedding
-from embeddings e join embeddings r on r.vec_id = e.vec_id // 24 * 8 + e.vec_id % 8""",
+select 3 * vec_id + k as line_no, 't' || (vec_id // 512 * 8 + vec_id % 8) as target, 1 + (vec_id // 8 + k) % 2 as grouping,
+       'u' || (3 * vec_id + k) as identifier, case when (3 * vec_id + k) % 37 = 0 then -1 else label end as cluster,
+       'g' || vec_id as gloss, embedding
+from embeddings, range(3) r(k)""",
     "v_gold": """
-select 't' || n_nationkey as lemma, cast((n_nationkey * 37 % 11) as double) / 10 as change_graded from nation""",
+select 't' || s_suppkey as lemma, cast((s_suppkey * 37 % 11) as double) / 10 as change_graded from supplier""",
+    "v_answers": "\nunion all ".join(
+        f"""select '{x}' as suffix, '{f}' as model_folder, '{m}' as ft_model_name, 't' || (doc_id // 64) as target, doc_id as line_no,
+       1 + doc_id % 2 as grouping, case when doc_id % 37 = 0 then -1 else n_chars % 4 end as cluster,
+       array_to_string(string_split(coalesce(text, ''), ' ')[{k + 1}:{k + n}], ' ') as answer
+from documents""" for x, f, m, k, n in ANSWERS),
+    "v_wic_answers": "\nunion all ".join(
+        f"""select '{m}' as model, case when doc_id // 2 % 2 = 0 then 'dev' else 'test' end as part, doc_id as line_no,
+       array_to_string(string_split(coalesce(text, ''), ' ')[{k + 1}:{k + 2}], ' ') || ' . ,; ' as answer
+from documents""" for m, k in (("gen-A", 0), ("gen-B", 3))),
+    "v_wic_gold": """
+select doc_id // 2 as pair_id, case when n_chars % 2 = 0 then ' T' else 'F ' end as gold from documents where doc_id % 2 = 0""",
     "v_wic": """
 select a.vec_id // 2 as pair_id, 'm' || ((a.vec_id // 2) % 4) as model,
        case when (a.vec_id // 8) % 2 = 0 then 'dev' else 'test' end as part,
@@ -61,9 +85,6 @@ select case when p_partkey % 5 = 0 then '' else cast(25 * (p_partkey % 5) as var
 from part""",
 }
 
-# Python's str.isspace() set, written as one regex class valid in Java and RE2 (fixed values).
-WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 # string.punctuation as a regex class (fixed values: the 32 ASCII punctuation characters).
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 
@@ -167,13 +188,14 @@ from tk left join (select row_id, count(*) as mm, sum(st) as chunks from mt2 gro
     list_transform(range(0, len(a) + 1), lambda x: 0))[-1] end as lcs, len(a) as la, len(b) as lb from rt""",
     "rouge": """select row_id, case when lcs = 0 then 0.0 else
   2 * (lcs / lb) * (lcs / la) / ((lcs / lb) + (lcs / la)) end as "rougeL" from rl""",
-    "tv": """select distinct word as token from tp where length(word) > 0""",
+    "tv": """select distinct word as token from tp where length(word) > 0
+  and ('0x' || substr(md5(word), 1, 8))::bigint % 11 <> 0""",
     "vec": """select tv.token, cast(e.embedding as double[]) as v from tv
   join embeddings e on e.vec_id = ('0x' || substr(md5(tv.token), 1, 8))::bigint % (select count(*) from embeddings)""",
-    "best": """select p.row_id, p.side, p.pos, max(list_cosine_similarity(vp.v, vg.v)) as best
-from tp p join vec vp on vp.token = p.word
+    "best": """select p.row_id, p.side, p.pos, max(coalesce(list_cosine_similarity(vp.v, vg.v), 0)) as best
+from tp p left join vec vp on vp.token = p.word
 join tp g on g.row_id = p.row_id and g.side <> p.side
-join vec vg on vg.token = g.word
+left join vec vg on vg.token = g.word
 group by p.row_id, p.side, p.pos""",
     "soft": """select tk.row_id, case when pr is null or rc is null or pr + rc = 0 then 0.0
   else 2 * pr * rc / (pr + rc) end as bertscore

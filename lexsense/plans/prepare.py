@@ -133,16 +133,16 @@ def _dictionary(spark: SparkSession, sf: str):
     d = table(spark, sf, "documents")
     dictionary = d.select(F.col("doc_id").alias("line_no"), F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("word"),
                           F.col("text").alias("gloss"), F.col("source").alias("example"))
-    members = d.where(F.col("doc_id") % 10 < 2).select(
-        F.when(F.col("doc_id") % 10 == 0, "test").otherwise("valid").alias("split"),
+    members = d.where("text is not null").select(
+        F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "valid").otherwise("train").alias("split"),
         F.col("text").alias("gloss")).distinct()
     return dictionary, members
 
 
 _E2_CTES = {
     "dict": "select doc_id as line_no, 'w' || doc_id as word, text as gloss, source as example from documents",
-    "members": "select distinct case when doc_id % 10 = 0 then 'test' else 'valid' end as split, text as gloss "
-               "from documents where doc_id % 10 < 2",
+    "members": "select distinct case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'valid' else 'train' end "
+               "as split, text as gloss from documents where text is not null",
     "look": "select gloss, arg_max(word, line_no) as target, arg_max(example, line_no) as example from dict group by gloss",
 }
 
@@ -151,8 +151,7 @@ _E2_CTES = {
     "select m.split, m.gloss, l.target, l.example from members m join look l on l.gloss = m.gloss", extra=_E2_CTES))
 def j1_last_wins_lookup(spark: SparkSession, sf: str) -> DataFrame:
     dictionary, members = _dictionary(spark, sf)
-    look = R.last_by_line(dictionary.select("line_no", "gloss", F.col("word").alias("target"), "example"), "gloss")
-    return members.join(look, "gloss").select("split", "gloss", "target", "example")
+    return R.look_up_members(dictionary, members)
 
 
 @query("e2_build_definitions_lookup", with_views(
@@ -168,18 +167,16 @@ def e2_build_definitions_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _wic_lines(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.wic_lines(spark, sf)
-    return v.where((F.size(X.py_split("example1")) >= 3) & (F.size(X.py_split("example2")) >= 3))
+    return fx.wic_lines(spark, sf)
 
 
 _E3_CTES = {
     "w": f"select line_no, target, example1, example2, string_split(indexes, '-') as ix, "
-         f"{q_split('example1')} as t1, {q_split('example2')} as t2 from v_wic_lines "
-         f"where len({q_split('example1')}) >= 3 and len({q_split('example2')}) >= 3",
+         f"{q_split('example1')} as t1, {q_split('example2')} as t2 from v_wic_lines",
     "s": "select line_no * 2 as usage_no, target, example1 as text, t1 as t, cast(ix[1] as int) as i from w "
          "union all select line_no * 2 + 1, target, example2, t2, cast(ix[2] as int) from w",
     "sp": "select usage_no, target, text, length(array_to_string(t[1:i], ' ')) + case when i > 0 then 1 else 0 end as s, "
-          "t[i + 1] as tok from s",
+          "coalesce(t[i + 1], '') as tok from s",
 }
 
 
@@ -400,20 +397,22 @@ def _gold_line():
 
 _E7_CTES = {
     "v": f"select line_no, {HEAD} as target, {q_strip(FILL)} as example from v_lines",
-    "ids": f"select *, list_transform({q_split('example')}, lambda w: (ascii(w) + 7 * length(w)) % 500)[1:100] as cut from v",
+    "ids": f"select *, list_transform({q_split('example')}, lambda w: (ascii(w) + 7 * length(w)) % 500) as ids from v",
+    "cuts": "select * exclude ids, ids[100 * \"window\" + 1:100 * \"window\" + 100] as cut from "
+            "(select *, unnest(range(greatest(1, (len(ids) + 99) // 100))) as \"window\" from ids) x",
 }
 
 
 @query("e7_build_generation_input", with_views(
-    f"select line_no, target, example, {q_dialog_text('target', 'example', None)} as prompt, "
+    f"select line_no, \"window\", target, example, {q_dialog_text('target', 'example', None)} as prompt, "
     "example || ' What is the definition of ' || target || '?' as question, "
     "list_concat(list_transform(range(100 - len(cut)), lambda x: 0::bigint), cut) as input_ids, "
     "list_concat(list_transform(range(100 - len(cut)), lambda x: 0::bigint), list_transform(range(len(cut)), lambda x: 1::bigint)) as attention_mask, "
-    "line_no // 32 as batch from ids", "v_lines", extra=_E7_CTES))
+    "line_no // 32 as batch from cuts", "v_lines", extra=_E7_CTES))
 def e7_build_generation_input(spark: SparkSession, sf: str) -> DataFrame:
     v = fx.lines(spark, sf).select("line_no", X.headword("sense").alias("target"), "context")
     v = v.select("line_no", "target", X.fill_placeholder("context", "target").alias("example"))
-    return R.build_generation_input(v, batch=32, max_len=100)
+    return R.build_generation_input(v, fx.toy_token_ids, batch=32, max_len=100)
 
 
 @query("p15_clean_last_line", with_views(
@@ -424,11 +423,15 @@ def p15_clean_last_line(spark: SparkSession, sf: str) -> DataFrame:
     return R.clean_answers(c, "last_line")
 
 
+# one turn in five repeats the marker, one in five still holds the system prompt
 @query("p16_clean_after_inst", with_views(
     "select conv_id, turn, replace(case when contains(t, 'SYS>>') then '' else t end, chr(10), ' ') as answer from "
-    "(select conv_id, turn, trim((string_split('[/INST]' || text, '[/INST]'))[-1], ' .,;:') as t from conversations) c"))
+    "(select conv_id, turn, trim((string_split('[/INST]' || case (conv_id + turn) % 5 when 0 then 'a[/INST]' || text "
+    "when 1 then '<<SYS>> ' || text else text end, '[/INST]'))[-1], ' .,;:') as t from conversations) c"))
 def p16_clean_after_inst(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("[/INST]"), "text").alias("answer"))
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    text = F.when(k == 0, F.concat(F.lit("a[/INST]"), "text")).when(k == 1, F.concat(F.lit("<<SYS>> "), "text")).otherwise(F.col("text"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("[/INST]"), text).alias("answer"))
     return R.clean_answers(c, "after_inst")
 
 

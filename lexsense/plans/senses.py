@@ -12,6 +12,7 @@ from ..operators import vectors as V
 from ..operators.ranks import spearman_columns, with_ranks
 from ..oracle import r6 as q6, with_views
 from ..session import table
+from .prepare import q_split
 from .registry import query, r6
 
 
@@ -140,10 +141,8 @@ def _given_labels(firsts: DataFrame) -> DataFrame:
 
 
 def _usage_parts(spark: SparkSession, sf: str):
-    u = SE.clean_usages(fx.usages(spark, sf))
-    vectors = u.select("gloss", "embedding").dropDuplicates(["gloss"])
-    firsts = SE.keep_first(u.drop("embedding"), ["target"])
-    return u.drop("embedding"), vectors, firsts
+    u = SE.clean_usages(fx.usages(spark, sf)).drop("embedding")
+    return u, fx.gloss_vectors(spark, sf), SE.keep_first(u, ["target"])
 
 
 @query("d2_keep_first", with_views('select target, gloss, line_no, "grouping" from firsts', "v_usages",
@@ -270,7 +269,7 @@ def a13_spearman(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- V3 density clustering
 
 _V3_SQL = """with recursive
-u as (select 't' || (vec_id % 8) as target, vec_id as id,
+u as (select 't' || (vec_id // 512 * 8 + vec_id % 8) as target, vec_id as id,
              list_transform(embedding, lambda x: x::double) as v from embeddings),
 d as (select a.target, a.id as i, b.id as j,
              case when a.id = b.id then 0 else 1 - list_cosine_similarity(a.v, b.v) end as dist
@@ -287,14 +286,14 @@ select u.target, u.id, coalesce(lab.l, -1) as label from u left join lab on lab.
 @query("v3_density_clusters", _V3_SQL)
 def v3_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(
-        F.concat(F.lit("t"), (F.col("vec_id") % 8).cast("string")).alias("target"), F.col("vec_id").alias("id"), "embedding")
+        fx.vector_target(F.col("vec_id")).alias("target"), F.col("vec_id").alias("id"), "embedding")
     return C.density_clusters(e, ["target"], eps=0.7).select("target", "id", "label")
 
 
 @query("v3_density_clusters_k3", _V3_SQL.replace("where rn = 2", "where rn = 3"))
 def v3_density_clusters_k3(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(
-        F.concat(F.lit("t"), (F.col("vec_id") % 8).cast("string")).alias("target"), F.col("vec_id").alias("id"), "embedding")
+        fx.vector_target(F.col("vec_id")).alias("target"), F.col("vec_id").alias("id"), "embedding")
     return C.density_clusters(e, ["target"], eps=0.7, k=3).select("target", "id", "label")
 
 
@@ -332,3 +331,87 @@ def e10_e11_with_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rec = SE.run_record(scores, _gold(spark, sf, scores.select("target")))
     return rec.select(r6("ARI").alias("ARI"), r6("RI").alias("RI"), r6("PUR").alias("PUR"),
                       "n_cluster", "n_true_cluster", r6("APD").alias("APD"), r6("APDP").alias("APDP"))
+
+
+# ---------------------------------------------------------------- E10 + E11 over a sweep of runs
+
+_KEYS = "suffix, model_folder, ft_model_name, filter_"
+_RK = f"{_KEYS}, target"
+
+
+def _on(a: str, b: str, keys: str = _RK) -> str:
+    return " and ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+
+
+_VEC = "(select count(*) from embeddings)"
+_HASH = "('0x' || substr(md5({x}), 1, 8))::bigint"
+_SWEEP_RUNS = {
+    "g": f"select {_KEYS}, target, line_no, \"grouping\", cluster, array_to_string(list_filter({q_split('answer')}, "
+         "lambda t: length(t) > filter_), ' ') as gloss from v_answers, (values (1::bigint), (2), (3), (4)) f(filter_)",
+    "u": "select * from g where gloss <> '' and not starts_with(gloss, 'Please provide')",
+    "firsts": f"select x.*, cast(e.embedding as double[]) as v from (select {_RK}, gloss, min(line_no) as line_no, "
+              f'arg_min("grouping", line_no) as "grouping" from u group by {_RK}, gloss) x '
+              f"join embeddings e on e.vec_id = {_HASH.format(x='gloss')} % {_VEC}",
+    "labelled": f"select u.*, f.v, {_HASH.format(x='u.gloss')} % 5 as label from u join firsts f on {_on('u', 'f')} and u.gloss = f.gloss",
+    "cont": f"select {_RK}, cluster, label, count(*) as n from labelled group by {_RK}, cluster, label",
+    "s": f"select {_RK}, sum(n) as n, sum(n::double * (n - 1) / 2) as S from cont group by {_RK}",
+    "sa": f"select {_RK}, sum(a::double * (a - 1) / 2) as Sa, count(*) as n_true_cluster from "
+          f"(select {_RK}, cluster, sum(n) as a from cont group by {_RK}, cluster) x group by {_RK}",
+    "sb": f"select {_RK}, sum(b::double * (b - 1) / 2) as Sb, sum(top) as top, count(*) as n_cluster from "
+          f"(select {_RK}, label, sum(n) as b, max(n) as top from cont group by {_RK}, label) x group by {_RK}",
+    "ps": f"""select s.*, n_cluster, n_true_cluster, top / n as "PUR",
+  case when n::double * (n - 1) / 2 = 0 then 1.0 else (n::double * (n - 1) / 2 + 2 * S - Sa - Sb) / (n::double * (n - 1) / 2) end as "RI",
+  case when Sa = S and Sb = S then 1.0 else (S - Sa * Sb / (n::double * (n - 1) / 2))
+       / ((Sa + Sb) / 2 - Sa * Sb / (n::double * (n - 1) / 2)) end as "ARI"
+from s join sa on {_on('s', 'sa')} join sb on {_on('s', 'sb')}""",
+    "apd": f'select {", ".join("a." + k.strip() for k in _RK.split(","))}, avg(1 - list_cosine_similarity(a.v, b.v)) as "APD" from firsts a '
+           f'join firsts b on {_on("a", "b")} and a."grouping" = 1 and b."grouping" = 2 group by all',
+    "dims": f'select {_RK}, "grouping", label, d, avg(x) as m from (select {_RK}, "grouping", label, '
+            f"generate_subscripts(v, 1) as d, unnest(v) as x from labelled) y group by all",
+    "cent": f'select {_RK}, "grouping", label, list(m order by d) as c from dims group by {_RK}, "grouping", label',
+    "apdp": f'select {", ".join("a." + k.strip() for k in _RK.split(","))}, avg(list_sum(list_transform(range(1, len(a.c) + 1), '
+            'lambda i: case when abs(a.c[i]) + abs(b.c[i]) = 0 then 0.0 else abs(a.c[i] - b.c[i]) / (abs(a.c[i]) + abs(b.c[i])) end))) '
+            f'as "APDP" from cent a join cent b on {_on("a", "b")} and a."grouping" = 1 and b."grouping" = 2 group by all',
+    "j": f'select ps.*, apd."APD", apdp."APDP", gold.change_graded, cast(substring(gold.lemma, 2) as bigint) as line_no from ps '
+         f"join v_gold gold on gold.lemma = ps.target left join apd on {_on('ps', 'apd')} left join apdp on {_on('ps', 'apdp')}",
+    "rk": "select *, " + ", ".join(
+        f'rank() over (partition by {_KEYS} order by {c} nulls first) + (count(*) over (partition by {_KEYS}, {c}) - 1) / 2.0 as {r}'
+        for c, r in (("change_graded", "r_gold"), ('"APD"', "r_apd"), ('"APDP"', "r_apdp"))) + " from j",
+}
+
+
+@query("e10_e11_sweep", with_views(
+    f"select {_KEYS}, 'enc-a' as model, " + _RUN_BODY[len("select "):] + f" group by {_KEYS}", "v_answers", "v_gold", extra=_SWEEP_RUNS))
+def e10_e11_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """One record for every context length, folder, model and answer filter, in one job."""
+    keys = ["suffix", "model_folder", "ft_model_name", "model"]
+    a = fx.answers(spark, sf).withColumn("model", F.lit("enc-a"))
+    label = (F.conv(F.substring(F.md5("gloss"), 1, 8), 16, 10).cast("long") % 5).alias("label")
+    g = fx.gold(spark, sf).withColumn("line_no", F.expr("substring(lemma, 2)").cast("long"))
+    rec = SE.evaluate_runs(a, lambda glosses: fx.text_vectors(spark, sf, glosses, "gloss"), g, keys,
+                           labels=lambda firsts: firsts.select(*keys, "filter_", "target", "gloss", label))
+    return rec.select(*keys, "filter_", r6("ARI").alias("ARI"), r6("RI").alias("RI"), r6("PUR").alias("PUR"),
+                      "n_cluster", "n_true_cluster", r6("APD").alias("APD"), r6("APDP").alias("APDP"))
+
+
+# ---------------------------------------------------------------- E9 from answers
+
+_WIC_RUNS = {
+    "a": f"select model, part, line_no, array_to_string(list_filter({q_split('answer')}, lambda t: strpos(';.,()', t) = 0), ' ') as text "
+         "from v_wic_answers",
+    "av": f"select a.*, cast(e.embedding as double[]) as v from a join embeddings e on e.vec_id = {_HASH.format(x='text')} % {_VEC}",
+    "sims": "select a.model, a.part, a.line_no // 2 as pair_id, list_cosine_similarity(a.v, b.v) as sim, "
+            "(trim(g.gold) = 'T')::int as label from av a join av b on b.model = a.model and b.part = a.part and b.line_no = a.line_no + 1 "
+            "join v_wic_gold g on g.pair_id = a.line_no // 2 where a.line_no % 2 = 0",
+}
+
+
+@query("e9_answers_sweep", with_views(
+    f"select 'enc-a' as sbert, b.model, {q6('b.threshold')} as threshold, {q6('b.dev_accuracy')} as dev_accuracy, "
+    f"{q6('ta.accuracy')} as accuracy from best b join ta on ta.model = b.model",
+    "v_wic_answers", "v_wic_gold", extra=_WIC_RUNS | {k: v for k, v in _WIC.items() if k != "sims"}))
+def e9_answers_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """E9 from the answer and gold lines on: one record for every encoder and generator."""
+    a = fx.wic_answers(spark, sf).withColumn("sbert", F.lit("enc-a"))
+    r = PR.evaluate_wic_answers(a, fx.wic_gold(spark, sf), lambda texts: fx.text_vectors(spark, sf, texts, "text"), ["sbert", "model"])
+    return r.select("sbert", "model", r6("threshold").alias("threshold"), r6("dev_accuracy").alias("dev_accuracy"), r6("accuracy").alias("accuracy"))

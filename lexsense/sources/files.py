@@ -16,6 +16,8 @@ from ..session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------- schemas (no inference)
 
+# Column names of the files that are read and written.
+
 DEFINITION = T.StructType([T.StructField(n, T.StringType()) for n in ("target", "gloss", "example")])
 DICTIONARY = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "gloss", "example")])
 SENSE_LINE = ("sense", "ignore1", "ignore2", "gloss", "ignore3", "ignore4")
