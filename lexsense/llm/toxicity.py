@@ -5,10 +5,14 @@ to the power of the spans in letters and GAP to that of the characters inserted
 the words' norms: ``i--d..i*o t`` still matches ``idiot``, however many characters are inserted. Landmarks
 are words of labelled text; a text's kernel value
 with a landmark is that of its best matching unit (a word, or a run of one-character words together;
-units of more than ``WINDOW`` letters in overlapping windows),
+units of more than ``WINDOW`` letters, and landmarks alike, in overlapping windows; units of scripts without
+spaces in short ones, too),
 which makes the text a bag of its sentences' units. The Nyström map of these values feeds a linear
 SVM with squared hinge loss; a sigmoid turns margins into probabilities.
 
+Letters outside ASCII are told by their last two bytes, hashed to ``MARKS`` classes. Equal triples are added before
+they are squared, so a word's kernel with itself is 1. Ties of landmark scores are ordered by the word.
+
 Defined results: null, empty and unmatched texts get the score of a text without any match; without
 labels of both classes every score is the share of label 1. Rows are scored one by one.
 """
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexsense.llm import flat
 
-MARKS = 12  # classes of non-ASCII letters, by their last byte; upper and lower case agree
+MARKS = 37  # classes of non-ASCII letters; the letters of one alphabet of two bytes each fall into different ones
 FIRST, LAST = 27 + MARKS, 28 + MARKS  # the unit's two edges count as letters
 LETTERS = 29 + MARKS
 SPAN = 6
@@ -32,9 +36,9 @@ DENSITY = 20.0
 CLEARED = 400_000  # hashes kept by a worker between chunks
 WINDOW = 24  # longer units are read in overlapping windows of so many letters
 
+WIDE = (6, 8)  # letters of the windows over units of scripts without spaces (a character of three bytes has two)
 _CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
-_CLASS[128:192] = 27 + (np.arange(64) & 31) % MARKS
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
@@ -42,6 +46,8 @@ def classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter class of each byte (0: not the last byte of a letter), and the running count of other characters."""
     cls = _CLASS[data]
     other = (data < 128) & (cls == 0)
+    follows = np.flatnonzero((data & 0xC0) == 0x80)  # a letter is told by its last two bytes
+    cls[follows] = 27 + (data[follows].astype(np.int32) + 27 * data[follows - 1].astype(np.int32)) % MARKS
     after = np.r_[data[1:], np.zeros(min(len(data), 1), np.uint8)]
     # signs and symbols of two, three and four bytes: U+0080 on, U+2000 on, U+3000 on, U+1F000 on
     for lead, low, high, size in ((0xC2, 128, 191, 2), (0xE2, 128, 175, 3), (0xE3, 128, 128, 3), (0xF0, 159, 159, 4)):
@@ -74,17 +80,23 @@ def units(data: np.ndarray, off: np.ndarray, other: np.ndarray) -> tuple[np.ndar
     return start, end, row
 
 
-def windows(place: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units as ranges of ``place``, the letters' places: first, size and row, of WINDOW letters at most."""
-    first = np.searchsorted(place, start)
-    size = np.searchsorted(place, end) - first
-    if len(size) and size.max() > WINDOW:
-        step = WINDOW // 2
-        parts = np.maximum(1, -(-(size - WINDOW) // step) + 1)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, size = np.repeat(first, parts) + nth * step, np.minimum(np.repeat(size, parts) - nth * step, WINDOW)
-        row = np.repeat(row, parts)
-    return first, size, row
+def windows(data: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units as ranges of ``place``, the letters' places: first, size and row, of WINDOW letters at most; units with
+    characters of three bytes, which are not cut at words, also in windows of the sizes in WIDE."""
+    begin = np.searchsorted(place, start)
+    length = np.searchsorted(place, end) - begin
+    wide = np.concatenate(([0], np.cumsum(data >= 0xE3)))
+    wide = wide[end] > wide[start]
+    found = []
+    for width, step, pick in ((WINDOW, WINDOW // 2, np.ones(len(length), bool)), *((w, 2, wide & (length > w)) for w in WIDE)):
+        first, size, own = begin[pick], length[pick], row[pick]
+        if len(size) and size.max() > width:
+            parts = np.maximum(1, -(-(size - width) // step) + 1)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first, size = np.repeat(first, parts) + nth * step, np.minimum(np.repeat(size, parts) - nth * step, width)
+            own = np.repeat(own, parts)
+        found.append((first, size, own))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def triples(chars: np.ndarray, gaps: np.ndarray | None = None):
@@ -114,7 +126,7 @@ def matrix(cls: np.ndarray, other: np.ndarray, place: np.ndarray, first: np.ndar
 
 
 def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
-    """``matrix`` of the first WINDOW letters of each word."""
+    """``matrix`` of words of WINDOW letters at most (see ``parts``)."""
     end = np.cumsum([len(w.encode()) for w in words])
     data = np.frombuffer("".join(words).encode(), np.uint8)
     cls, other = classes(data)
@@ -124,31 +136,46 @@ def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
     return matrix(cls, other, place, first, size, WINDOW)
 
 
-def kernel(chars: np.ndarray, gaps: np.ndarray | None, table: np.ndarray) -> np.ndarray:
-    """Kernel values of units against the columns of ``table`` (LETTERS**3 x landmarks)."""
-    out, norm = np.zeros((len(chars), table.shape[1]), np.float32), np.full(len(chars), 1e-9)
-    for code, weight in triples(chars, gaps):
-        norm += (weight * weight * (code > 0)).sum(1)
-        weight = np.broadcast_to(weight, code.shape)
-        for p in range(code.shape[1]):
-            on = np.flatnonzero(code[:, p])
-            out[on] += weight[on, p][:, None] * table[code[on, p]]
-    return out / np.sqrt(norm).astype(np.float32)[:, None]
+def parts(words: list[str]) -> list[str]:
+    """Words whole, or longer ones in overlapping windows of WINDOW letters, as units are read; each once."""
+    out: dict[str, None] = {}
+    for w in words:
+        n = WINDOW if all(ord(c) < 0x800 for c in w) else WINDOW // 2  # two letters a character of three bytes
+        out.update(dict.fromkeys(w[k:k + n] for k in range(0, max(1, len(w) - n // 2), n // 2)))
+    return list(out)
+
+
+def norms(chars: np.ndarray, gaps: np.ndarray | None) -> np.ndarray:
+    """Length of each unit's vector: the weights of equal triples are added before they are squared."""
+    found = [(code, np.broadcast_to(weight, code.shape)) for code, weight in triples(chars, gaps)]
+    if not found or not len(chars):
+        return np.full(len(chars), 1e-4)
+    code, weight = (np.concatenate(x, 1) for x in zip(*found))
+    order = np.argsort(code, axis=1)
+    code, weight = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1).astype(float)
+    new = np.ones(code.shape, bool)
+    new[:, 1:] = code[:, 1:] != code[:, :-1]
+    at = np.flatnonzero(new.ravel())
+    total = np.add.reduceat(weight.ravel(), at) * (code.ravel()[at] > 0)
+    return np.sqrt(np.bincount(at // code.shape[1], total * total, len(chars)) + 1e-9)
 
 
 class Model:
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        raw = landmarks
+        self.landmarks = raw = parts(landmarks)
         chars, gaps = word_matrix(raw) if raw else (np.zeros((0, WINDOW + 2), np.int32), None)
-        self.phi = np.zeros((LETTERS ** 3, len(raw)), np.float32)
-        norm = np.full(len(raw), 1e-9)
-        for code, weight in triples(chars, gaps):
-            norm += (weight * weight * (code > 0)).sum(1)
-            np.add.at(self.phi, (code, np.arange(len(raw))[:, None]), weight)
+        found = [(code, np.broadcast_to(weight, code.shape)) for code, weight in triples(chars, gaps)]
+        codes = np.unique(np.concatenate([c.ravel() for c, _ in found])) if found else np.zeros(1, int)
+        codes = codes[codes > 0]
+        self.index = np.zeros(LETTERS ** 3, np.int32)  # row of a triple in ``phi``; 0: in no landmark
+        self.index[codes] = np.arange(1, len(codes) + 1)
+        self.phi = np.zeros((len(codes) + 1, len(raw)), np.float32)
+        for code, weight in found:
+            np.add.at(self.phi, (self.index[code], np.arange(len(raw))[:, None]), weight)
         self.phi[0] = 0
-        self.phi /= np.sqrt(norm).astype(np.float32)
-        self.top = self.phi.max(1) if len(raw) else self.phi.sum(1)
+        self.phi /= np.sqrt((self.phi.astype(float) ** 2).sum(0) + 1e-9).astype(np.float32)
+        self.top = np.zeros(LETTERS ** 3, np.float32)
+        self.top[codes] = self.phi[1:].max(1) if len(raw) else 0
         phi = self.phi.T
         gram = (phi @ phi.T).astype(float)
         value, vector = np.linalg.eigh(gram) if len(raw) else (np.zeros(0), np.zeros((0, 0)))
@@ -163,6 +190,16 @@ class Model:
         self.cleared = np.zeros(0, np.uint64)
         self.w, self.b, self.slope, self.shift = np.zeros(2 * len(raw)), 0.0, 0.0, 0.0
 
+    def kernel(self, chars: np.ndarray, gaps: np.ndarray | None, table: np.ndarray) -> np.ndarray:
+        """Kernel values of units against the columns of ``table`` (rows as in ``phi``)."""
+        out = np.zeros((len(chars), table.shape[1]), np.float32)
+        for code, weight in triples(chars, gaps):
+            at, weight = self.index[code], np.broadcast_to(weight, code.shape)
+            for p in range(at.shape[1]):
+                on = np.flatnonzero(at[:, p])
+                out[on] += weight[on, p][:, None] * table[at[on, p]]
+        return out / norms(chars, gaps).astype(np.float32)[:, None]
+
     def values(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Kernel values of each row with each landmark, 0 under FLOOR: that of the row's best unit, and
         the mean over its units (times DENSITY, 1 at most)."""
@@ -172,7 +209,7 @@ class Model:
             return out
         cls, other = classes(data)
         place = np.append(np.flatnonzero(cls), 0)
-        begin, letters, row = windows(place[:-1], *units(data, off, other))
+        begin, letters, row = windows(data, place[:-1], *units(data, off, other))
         start = place[begin]
         end = np.where(letters > 0, place[begin + np.maximum(letters, 1) - 1] + 1, start)
         h = flat.span_hash(flat.prefix_hash(flat.LOWER[data]), start, end)
@@ -201,12 +238,13 @@ class Model:
                     else:
                         upper += (weight * self.top[code]).sum(1)
                         norm += (weight * weight * (code > 0)).sum(1)
-                keep = np.flatnonzero(upper >= FLOOR * np.sqrt(norm))  # a bound of all kernel values
+                # a bound of all kernel values; ``norm`` takes equal triples apart, so it is never too large
+                keep = np.flatnonzero(upper >= FLOOR * np.sqrt(norm))
                 if len(keep):  # a nearer bound
                     some = gaps if gaps is None else gaps[keep]
-                    keep = keep[kernel(chars[keep], some, self.tops).max(1) >= FLOOR]
+                    keep = keep[self.kernel(chars[keep], some, self.tops).max(1) >= FLOOR]
                 if len(keep):
-                    k = kernel(chars[keep], gaps if gaps is None else gaps[keep], self.phi)
+                    k = self.kernel(chars[keep], gaps if gaps is None else gaps[keep], self.phi)
                     hit = k.max(1) >= FLOOR
                     found[part[keep[hit]]] = done + np.arange(hit.sum())
                     done += hit.sum()
@@ -275,7 +313,8 @@ def choose_landmarks(sample: DataFrame, toxic: int = 64, clean: int = 12, pool:
     word.unpersist()
     if not best or not usual:
         return best
-    near = kernel(*word_matrix(usual), Model(best).phi).max(1)
+    model = Model(best)
+    near = model.kernel(*word_matrix(usual), model.phi).max(1)
     return best + [usual[i] for i in np.argsort(-near, kind="stable")[:clean] if near[i] >= FLOOR]
 
 
@@ -297,7 +336,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 1200) -> Mod
     sample = flat.labelled(documents, labels, "toxic", per_class, 3)
     model = Model(choose_landmarks(sample))
     shared = spark.sparkContext.broadcast(model)
-    got = sorted((r["label"], r["k"]) for r in _values(shared, sample.select("label", "text")).collect())
+    got = sorted((r["label"], r["k"]) for r in _values(shared, sample.select("label", F.lower("text").alias("text"))).collect())
     n = {r["label"]: r["n"] for r in
          labels.where(F.col("toxic").isin(0, 1) & ~flat.held_out(F.col("doc_id")))
          .groupBy(F.col("toxic").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
@@ -309,7 +348,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row: the probability of label 1."""
     spark = documents.sparkSession
     flat.prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # LETTERS**3 x landmarks floats
+    shared = spark.sparkContext.broadcast(model)  # the landmarks' triples x landmarks floats
 
     def run(batches):
         for batch in batches:
@@ -318,7 +357,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
 
-    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
             .mapInArrow(run, "doc_id long, score double"))
 
 
