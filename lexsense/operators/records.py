@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
+from ..session import written
 from .prefix import running_totals
 
 
@@ -153,6 +154,16 @@ def shuffled_positions(mix: DataFrame, key: str = "shuffle_key", out: str = "pos
     return mix.join(first, key).withColumn(out, F.col("_before") + within).drop("_before")
 
 
+def pack_training_mix(defs: DataFrame, n: int = 512, exclude=("slang", "wiki"), split: str = "train", seed: int = 42,
+                      end_mark: str = "</s>") -> DataFrame:
+    """E6 in one job: the training mix (S6, D3, P12, P14) in its seeded order (W7), packed into blocks of ``n``
+    tokens (W6). Blocks name the places of their first and last text. The ordered mix is written once, as
+    packing reads it twice."""
+    mix = build_training_mix(defs, exclude, split, seed)
+    ordered = written(shuffled_positions(written(mix)).select("position", "text"))
+    return pack(ordered, n, end_mark, order="position")
+
+
 def render_conversations(turns: DataFrame, markers=("<|", "|>")) -> DataFrame:
     """Turns table -> one text per conversation (turns in order, role marker line first)."""
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))

@@ -383,6 +383,24 @@ def w6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return R.pack(table(spark, sf, "documents"), n=512)
 
 
+@query("e6_pack_training_mix", with_views(
+    "select cast(gpos // 512 as bigint) as block, count(*) as n_tokens, min(position) as first_doc, max(position) as last_doc, "
+    "string_agg(tok, ' ' order by gpos) as text from x group by 1",
+    "v_lines", extra={
+        **_SQL_CUT, "e1": _E1_BODY,
+        "k": f"select {q_dialog_text('target', 'example', 'gloss')} as text, row_number() over (order by "
+             "('0x' || substr(md5(concat_ws(chr(31), '42', dataset, target, gloss, example)), 1, 15))::bigint) - 1 as position "
+             f"from e1 where split = 'train' and dataset not in {EXCLUDE}",
+        "d": f"select position, list_append({q_split('text')}, '</s>') as toks from k",
+        "o": "select position, toks, sum(len(toks)) over (order by position rows between unbounded preceding and current row) "
+             "- len(toks) as off from d",
+        "x": "select position, off + i - 1 as gpos, toks[i] as tok from o, unnest(generate_series(1, len(toks))) u(i)",
+    }))
+def e6_pack_training_mix(spark: SparkSession, sf: str) -> DataFrame:
+    senses, examples = _cut_lines(spark, sf)
+    return R.pack_training_mix(R.build_definitions(senses, examples), exclude=EXCLUDE)
+
+
 # ---------------------------------------------------------------- P15-P17, P21, W5, F2, P10, P11, E7
 
 # WiC gold lines from the labels table: "T" for quality 1 (padded with a space when toxic, so the
