@@ -246,6 +246,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
         ((k % 101) / 100.0).alias("RI"),
         ((k % 89) / 88.0).alias("APD"),
         ((k % 97) / 96.0).alias("APDP"),
+        k.alias("row_key"),
     )
 
 

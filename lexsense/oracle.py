@@ -81,7 +81,7 @@ select case when p_partkey % 5 = 0 then '' else cast(25 * (p_partkey % 5) as var
        1 + p_partkey % 4 as filter_, p_brand as ft_model_name, p_type as model,
        cast(p_size as double) / 50 as "ARI", p_retailprice / 2000 as "PUR",
        cast(p_partkey % 101 as double) / 100 as "RI",
-       cast(p_partkey % 89 as double) / 88 as "APD", cast(p_partkey % 97 as double) / 96 as "APDP"
+       cast(p_partkey % 89 as double) / 88 as "APD", cast(p_partkey % 97 as double) / 96 as "APDP", p_partkey as row_key
 from part""",
 }
 

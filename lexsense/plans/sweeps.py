@@ -184,6 +184,28 @@ def a16_bootstrap_band(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("model", r6("mean").alias("mean"), r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
 
 
+_LINE = {
+    "k": _RES["kept"],
+    "sfx": "select case when suffix = '' then 150 else cast(suffix as bigint) end as x, row_key, \"APD\" as y from k",
+    "u": "select x, y, b, (('0x' || substr(md5('0:' || row_key || ':' || b), 1, 8))::bigint + 0.5::double) / 4294967296 as u "
+         "from sfx, range(1, 101) r(b)",
+    "w": f"select x, y, b, len(list_filter({_CDF}, lambda c: c <= u)) as w from u",
+    "m": "select x, b, sum(w * y) / nullif(sum(w), 0) as m from w group by x, b",
+}
+
+
+@query("a15_line_band", with_views(
+    f"select c.x, {q6('mean')} as \"APD\", n, {q6('lo')} as ci_lo, {q6('hi')} as ci_hi from "
+    "(select x, avg(y) as mean, count(*) as n from sfx group by x) c join "
+    f"(select x, quantile_cont(m, {_LO!r}) as lo, quantile_cont(m, {_HI!r}) as hi from m group by x) d on d.x = c.x",
+    "v_results", extra=_LINE))
+def a15_line_band(spark: SparkSession, sf: str) -> DataFrame:
+    """The line of mean APD over context lengths with its bootstrap band."""
+    r = _results(spark, sf).where(F.col("ft_model_name").isin(*KEPT_MODELS) & (F.col("model") == ENCODER))
+    s = SU.line_summary(r.select(F.col("suffix").alias("x"), "row_key", "APD"), ["x"], "APD", replicates=100, row_key="row_key")
+    return s.select("x", r6("APD").alias("APD"), "n", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+
+
 @query("j12_e13_pending_runs", with_views(
     "select distinct model, dataset from v_pairs except "
     "select distinct model, dataset from v_pairs where ((row_id // 4294967296) % 4 + (row_id // 4294967296) % 5) % 3 = 0",
