@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of an edge table by contraction."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -10,22 +10,31 @@ from lexsense.llm.scratch import saved
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: the smallest node reachable.
 
-    Each round takes the smallest label of the neighbours, then the label's own label; both are
-    partial aggregates and joins on node ids, so a hub's edges may be spread over tasks. Rounds go on
-    until no label changes. Each round's labels are written to the shared checkpoint folder. Loops,
-    repeated edges and null ends are harmless; no edges give no rows.
+    In a round every node goes to the neighbour that comes first in a hashed order, if that is before itself, and
+    on twice to where its target goes; then the edges are rewritten to the ends' targets, loops are dropped and
+    equal edges made one. So each round joins the edges that are left only, and about half of the nodes go, whatever
+    the ids look like. Rounds go on until no edge is left; each one's tables are written to the shared
+    checkpoint folder. Loops, repeated edges and null ends are harmless; no edges give no rows.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    both = saved(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("component")))
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    rest = saved(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a != b).alias("c")).where("c")
+                 .select("a", "b").distinct())
+    order = lambda node: F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("node"))
+    label = None
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m")))
-        new = (labels.join(near, labels["node"] == near["a"])
-               .select("node", F.col("component").alias("old"), F.least("component", "m").alias("new")))
-        up = labels.select(F.col("node").alias("top"), F.col("component").alias("root"))
-        new = saved(new.join(up, new["new"] == up["top"], "left")
-                    .select("node", "old", F.least("new", "root").alias("component")))
-        if not new.where("component <> old").limit(1).count():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        near = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        goes = saved(near.select("node", F.least("first", order("node"))["node"].alias("to")))
+        for _ in range(2):
+            on = goes.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            goes = goes.join(on, "to").select("node", F.col("next").alias("to"))
+        goes = saved(goes)
+        label = goes if label is None else saved(
+            label.join(goes.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            .select("node", F.coalesce("next", "to").alias("to")))
+        for end in ("a", "b"):
+            rest = rest.join(goes.select(F.col("node").alias(end), "to"), end).drop(end).withColumnRenamed("to", end)
+        rest = saved(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        if not rest.limit(1).count():
+            break
+    root = label.groupBy("to").agg(F.min("node").alias("component"))
+    return label.join(root, "to").select("node", "component")

@@ -154,6 +154,9 @@ def test_components(session):
     got = dict(map(tuple, components(edges).collect()))
     assert got == {i: 0 for i in range(64)} | {100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+    path = session.createDataFrame([(i, i + 1) for i in range(700)] + [(5000, 5000 + i) for i in range(300)], "a long, b long")
+    got = dict(map(tuple, components(path).collect()))
+    assert got == {i: 0 for i in range(701)} | {5000 + i: 5000 for i in range(300)}
 
 
 def test_vectors(session):
@@ -402,6 +405,40 @@ def test_gaps_and_insertions():
     assert value("a perfectly fine sentence") == 0
 
 
+def kernel_brute(a, b):
+    """Kernel of two words of ASCII letters, by all letter triples."""
+    def vector(word):
+        x, out = "^" + word + "$", {}
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                    out[x[i], x[j], x[k]] = out.get((x[i], x[j], x[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+    u, v = vector(a), vector(b)
+    dot = lambda p, q: sum(x * q.get(c, 0) for c, x in p.items())
+    return dot(u, v) / (dot(u, u) * dot(v, v)) ** 0.5
+
+
+def test_kernel_against_all_triples():
+    names = ["idiot", "banana", "bananana", "mississippi", "iiddiioott", "ass", "assess"]
+    for a in names:
+        m = toxicity.Model([a])
+        for b in names:
+            got = float(m.kernel(*toxicity.word_matrix([b]), m.phi)[0, 0])
+            assert got == pytest.approx(kernel_brute(a, b), abs=1e-4), (a, b)
+        assert got <= 1.0001
+
+
+def test_letters_scripts_and_long_landmarks():
+    value = lambda m, t: m.values(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0, :len(m.landmarks)]
+    assert value(toxicity.Model(["дурак"]), "шяьфю")[0] == 0 and value(toxicity.Model(["дурак"]), "ты дурак")[0] > 0.95
+    assert value(toxicity.Model(["笨蛋蠢"]), "今天天气很好笨蛋蠢我们去玩吧")[0] > 0.9
+    a, b = "a" * 3 + "bcdefghijklmnopqrstuvwxyz" + "idiot", "a" * 3 + "bcdefghijklmnopqrstuvwxyz" + "honey"
+    m = toxicity.Model([a, b])
+    rows = [value(m, x) for x in (a, b)]
+    assert len(m.landmarks) > 2 and np.abs(rows[0] - rows[1]).max() > 0.3
+
+
 @pytest.mark.parametrize("word", ["idiot", "crétin", "дурак", "ass", "antidisestablishmentarian"])
 def test_wide_gaps_and_landmarks_of_any_length(word):
     m = toxicity.Model([word])
