@@ -33,11 +33,3 @@ def gram_counts(prepared: DataFrame, max_n: int = 5) -> DataFrame:
         F.sum(F.when(F.col("side") == "g", 1).otherwise(0)).cast("long").alias("cg"),
         F.sum(F.when(F.col("side") == "p", 1).otherwise(0)).cast("long").alias("cp"),
     ).withColumn("prefix", F.expr("case when n > 1 then substring_index(gram, ' ', n - 1) end"))
-
-
-def order_stats(counts: DataFrame) -> DataFrame:
-    """Per (row_id, n): clipped matches ``m`` and prediction total ``tp``."""
-    return counts.groupBy("row_id", "n").agg(
-        F.sum(F.least("cg", "cp")).alias("m"),
-        F.sum("cp").alias("tp"),
-    )

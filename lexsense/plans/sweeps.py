@@ -13,7 +13,7 @@ from .registry import query, r6
 from .scoring import scored as dg_scored
 from .senses import _WIC, _wic
 
-# Display names of the three reported datasets (fixed values of the summaries).
+# Display names of the three reported datasets and, below, of the encoder ('SBERT(def.)').
 DATASET_NAMES = {"wordnet_test": "WordNet", "oxford_test": "Oxford"}
 DATASET_OTHER = "CoDWoe"
 SWEEP_DATASETS = ("oxford_test", "en-codwoe_test", "wordnet_test")

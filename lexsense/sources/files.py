@@ -76,13 +76,6 @@ def file_key(pattern: str, group: int = 1, col: str = "file") -> Column:
 # ---------------------------------------------------------------- S1-S6 readers
 
 
-def read_dictionary_csv(spark: SparkSession, path: str, schema: T.StructType = DICTIONARY) -> DataFrame:
-    """Header CSV with doubled-quote escapes and quoted newlines; ``_order`` keeps file row
-    order (multi-line CSV files are never split, so the id increases with the row)."""
-    df = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True).csv(path)
-    return df.select("*", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_order"))
-
-
 def read_tsv_lines(spark: SparkSession, path: str, names, per_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """Headerless TSV, quoting off. Returns (rows, rejected): a line with more fields than
     names is rejected (pandas warns and skips it); a shorter line is null-filled and kept; a
