@@ -194,9 +194,9 @@ def wic_gold(spark: SparkSession, sf: str) -> DataFrame:
 def text_vectors(spark: SparkSession, sf: str, texts: DataFrame, column: str) -> DataFrame:
     """(column, embedding): a vector for each distinct text, by its md5 modulo the number of vectors."""
     e = table(spark, sf, "embeddings")
-    n = e.agg(F.count("*").alias("_n"))  # one row
-    t = texts.select(column).distinct().join(F.broadcast(n)).withColumn(
-        "vec_id", F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long") % F.greatest("_n", F.lit(1)))
+    n = F.greatest(e.agg(F.count("*")).scalar(), F.lit(1))
+    t = texts.select(column).distinct().withColumn(
+        "vec_id", F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long") % n)
     return t.join(e.select("vec_id", "embedding"), "vec_id").select(column, "embedding")
 
 
