@@ -69,8 +69,9 @@ PIVOTS = 64      # vectors that all points measure their distance to
 SLACK = 1e-9     # of distances, against rounding
 
 
-def _unit(v) -> np.ndarray:
+def unit_rows(v) -> np.ndarray:
     a = np.asarray(np.stack(v), dtype=np.float64)
+    a = a / np.abs(a).max(axis=1, keepdims=True)  # squares of very large and small numbers leave the range
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
@@ -90,8 +91,10 @@ def _usable(points: DataFrame) -> DataFrame:
     return points.where(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
-def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOTS, spread: float = 0.5) -> DataFrame:
-    """(by, blk, ids, vs, centre, radius): the points (by, id, v) of each group in blocks of neighbours.
+def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOTS, spread: float = 0.5,
+                  centres: dict | None = None, carry=()) -> DataFrame:
+    """(by, blk, ids, vs, centre, radius): the points (by, id, v) of each group in blocks of neighbours; for each
+    column c of ``carry`` also the list ``cs``. ``centres`` (unit vectors by their length) may replace the pivots.
 
     Every point gets the numbers of its three nearest pivots (``pivots`` vectors of the whole table) and the
     distance to the first. Points are range-partitioned and sorted by group and that path, and each stretch
@@ -100,29 +103,32 @@ def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOT
     is a table: block numbers must not change when a task is repeated."""
     by, least = list(by), max(1, block // 8)
     spark = points.sparkSession
-    picked = points.select(F.struct(F.xxhash64("id").alias("h"), "v").alias("p")).orderBy("p.h").limit(pivots).collect()
-    if not picked:
-        empty = _schema(points, by, "blk long, ids array<long>, vs array<array<double>>, centre array<double>, radius double")
-        return spark.createDataFrame([], empty)
-    # a shorter vector cannot meet a longer one in a group, but both may be in the table
-    width = len(picked[0]["p"]["v"])
-    held = _unit([r["p"]["v"] for r in picked if len(r["p"]["v"]) == width])
+    extra = "".join(f", {c}s array<{t}>" for c, t in points.select(*carry).dtypes)
+    extra = f"blk long, ids array<long>, vs array<array<double>>, centre array<double>, radius double{extra}"
+    if centres is None:
+        picked = points.select(F.struct(F.xxhash64("id").alias("h"), "v").alias("p")).orderBy("p.h").limit(pivots).collect()
+        # a shorter vector cannot meet a longer one in a group, but both may be in the table
+        width = len(picked[0]["p"]["v"]) if picked else 0
+        centres = {width: unit_rows([r["p"]["v"] for r in picked if len(r["p"]["v"]) == width])} if picked else {}
 
     def path(it):
         for pdf in it:
             near = np.zeros((len(pdf), 3), dtype=np.int32)
             far = np.zeros(len(pdf))
-            fits = np.flatnonzero(pdf["v"].map(len).to_numpy() == width)
-            if len(fits):
-                d = _chord(_unit(pdf["v"].iloc[fits]), held)
-                order = np.argsort(d, axis=1)[:, :3]
-                near[fits, :order.shape[1]] = order
-                far[fits] = d[np.arange(len(fits)), order[:, 0]]
+            size = pdf["v"].map(len).to_numpy()
+            for width, held in centres.items():
+                fits = np.flatnonzero(size == width)
+                if len(fits):
+                    d = _chord(unit_rows(pdf["v"].iloc[fits]), held)
+                    order = np.argsort(d, axis=1)[:, :3]
+                    near[fits, :order.shape[1]] = order
+                    far[fits] = d[np.arange(len(fits)), order[:, 0]]
             yield pdf.assign(p1=near[:, 0], p2=near[:, 1], p3=near[:, 2], d=far)
 
     keys = [*by, "p1", "p2", "p3", "d", "id"]
-    kind = _schema(points, by, "id long, v array<double>, p1 int, p2 int, p3 int, d double")
-    placed = points.select(*by, "id", F.col("v").cast("array<double>").alias("v")).mapInPandas(path, kind)
+    kept = "".join(f", {c} {t}" for c, t in points.select(*carry).dtypes)
+    kind = _schema(points, by, f"id long, v array<double>{kept}, p1 int, p2 int, p3 int, d double")
+    placed = points.select(*by, "id", F.col("v").cast("array<double>").alias("v"), *carry).mapInPandas(path, kind)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
 
@@ -131,24 +137,26 @@ def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOT
 
         def packed(pdf):
             nonlocal number
-            u = _unit(pdf["v"])
+            u = unit_rows(pdf["v"])
             centre = u.mean(axis=0)
             row = {k: pdf[k].iloc[0] for k in by} | {
                 "blk": int(pdf["_part"].iloc[0]) << 40 | number, "ids": pdf["id"].to_numpy(), "vs": list(u),
                 "centre": centre, "radius": float(np.linalg.norm(u - centre, axis=1).max())}
+            row |= {f"{c}s": pdf[c].to_numpy() for c in carry}
             number += 1
             return row
 
         def pieces(pdf, last):
             """Whole blocks of ``pdf``; what may go on in the next batch comes back, too."""
-            u, spans = _unit(pdf["v"]), []
+            spans = []
             new = np.ones(len(pdf), bool)
             new[1:] = (pdf[by].iloc[1:].to_numpy() != pdf[by].iloc[:-1].to_numpy()).any(axis=1)
             starts = np.flatnonzero(new)
-            for a, end in zip(starts, [*starts[1:], len(pdf)]):
+            for start, end in zip(starts, [*starts[1:], len(pdf)]):  # vectors of a group have one length
+                u, a = unit_rows(pdf["v"].iloc[start:end]), start
                 while a < end:
                     b = min(a + block, end)
-                    far = np.linalg.norm(u[a:b] - u[a], axis=1) > spread
+                    far = np.linalg.norm(u[a - start:b - start] - u[a - start], axis=1) > spread
                     far[:least] = False
                     b = a + int(far.argmax()) if far.any() else b
                     spans.append((a, b))
@@ -165,7 +173,6 @@ def metric_blocks(points: DataFrame, by, block: int = BLOCK, pivots: int = PIVOT
         if rest is not None and len(rest):
             yield pd.DataFrame(pieces(rest, True)[0])
 
-    extra = "blk long, ids array<long>, vs array<array<double>>, centre array<double>, radius double"
     return written(placed.mapInPandas(cut, _schema(points, by, extra)))
 
 
@@ -219,7 +226,7 @@ def near_tiles(blocks: DataFrame, by, eps: float) -> DataFrame:
     return wide.mapInPandas(test, _schema(packed, by, "bi long, bj long"))
 
 
-def _tiles(blocks: DataFrame, pairs: DataFrame, by, cols=("ids", "vs")) -> DataFrame:
+def tiles(blocks: DataFrame, pairs: DataFrame, by, cols=("ids", "vs")) -> DataFrame:
     """The pairs with both blocks' lists."""
     side = lambda k: blocks.select(*by, F.col("blk").alias(f"b{k}"), *[F.col(c).alias(f"{c}_{k}") for c in cols])
     return pairs.join(side("i"), [*by, "bi"]).join(side("j"), [*by, "bj"])
@@ -354,12 +361,12 @@ def density_clusters(points: DataFrame, by, eps: float = 0.7, k: int = 2, block:
     pts = points.select(*by, F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
     blocks = metric_blocks(_usable(pts), by, block, spread=float(np.sqrt(2 * eps)))
     pairs = written(near_tiles(blocks, by, eps))
-    core = _core_distance(_tiles(blocks, pairs, by), by, k, eps)
+    core = _core_distance(tiles(blocks, pairs, by), by, k, eps)
     cores = core.groupBy(*by, "blk").agg(F.map_from_entries(F.collect_list(F.struct("pos", "core"))).alias("m"))
     # only blocks with a dense point can hold links
     dense = blocks.join(cores, [*by, "blk"]).select(*by, "blk", "ids", "vs", F.transform("ids", lambda x, i: F.coalesce(
         F.try_element_at("m", i), F.lit(float("inf")))).alias("cores"))
-    stars = _local_stars(_tiles(written(dense), pairs, by, ("ids", "vs", "cores")), by, eps)
+    stars = _local_stars(tiles(written(dense), pairs, by, ("ids", "vs", "cores")), by, eps)
     # Tile components are final unless some node sits in two tile components with different
     # roots; one aggregation decides whether the propagation loop is needed at all.
     stars = written(stars)

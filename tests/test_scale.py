@@ -46,7 +46,7 @@ def test_hot_target_tiles_spread_over_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         blocks = C.metric_blocks(pts, ["target"], 16)
-        tiles = C._tiles(blocks, C.near_tiles(blocks, ["target"], 2.0), ["target"])
+        tiles = C.tiles(blocks, C.near_tiles(blocks, ["target"], 2.0), ["target"])
         parts = tiles.select(F.spark_partition_id().alias("p"), "bi", "bj").collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
