@@ -1,14 +1,15 @@
-"""Embedding near-dedup: spherical k-means cells, blocked cosine products within cells (operator 9).
+"""Embedding near-dedup: spherical k-means cells, blocked cosine products (operator 9).
 
 Vectors with equal label and equal components are one class, so copies cost nothing. Each class goes to
-its nearest centroid's cell (home), and visits every cell of a smaller number that may hold a partner:
-for unit vectors with cosine >= t, |x - y| <= sqrt(2 - 2t), so y need only visit cells whose dividing
-plane is no farther than that. Hence no link is lost, whatever the centroids. Cells are cut into blocks;
-a task multiplies two blocks, and returns for each class its links and its root in the tile, never pairs.
+its nearest centroid's cell; a cell's classes are ordered by their distance to the centroid and cut into blocks
+with a centre and a radius. Two blocks of a label, of one cell or of two, are multiplied unless the distance of their
+centres exceeds both radii and that of the threshold: for unit vectors with cosine >= t, |x - y| <= sqrt(2 - 2t).
+Hence no link is lost, whatever the centroids, and no vector is copied to other cells. A task multiplies two
+blocks, and returns for each class its links and its root in the tile, never pairs.
 
 Defined results: a null label, a null or empty vector, null or non-finite components, or only zeros: no
-links, own component. Vectors of different lengths are never compared. Identical rows count once.
-Extra columns are ignored.
+links, own component. Vectors of different lengths are never compared. Identical rows count once. A class as near
+to two centroids goes to the first. Extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexsense.llm.graph import components
+from lexsense.llm.scratch import saved
+from lexsense.operators.clusters import metric_blocks, near_tiles, tiles, unit_rows
 
 BLOCK = 1024
 
@@ -35,12 +38,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def unit(rows) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in rows])
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def links(vectors: DataFrame, threshold: float = 0.93, sample: int = 8192, cell: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector. Centroids are fitted on about ``sample``
     classes (a bound), one for each ``cell`` classes, 256 at most; every vector is indexed."""
@@ -58,68 +55,38 @@ def links(vectors: DataFrame, threshold: float = 0.93, sample: int = 8192, cell:
     for r in sorted(picked, key=lambda r: r["rep"]):
         by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])
     k = int(np.clip(total // cell, 1, 256))
-    centroids = {d: kmeans(unit(v), min(k, len(v))) for d, v in by_dim.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # 256 vectors of each length
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-
-    def assign(batches):
-        for b in batches:
-            out = []
-            for d, g in b.groupby(b["embedding"].map(len)):
-                x = unit(g["embedding"])
-                c = shared.value.get(d, x[:0])
-                if len(c):
-                    near = x @ c.T
-                    home = near.argmax(1)
-                    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
-                    visit = (near[np.arange(len(x)), home][:, None] - near <= apart * reach) & (np.arange(len(c)) < home[:, None])
-                    visit[np.arange(len(x)), home] = True
-                else:
-                    home, visit = np.zeros(len(x), int), np.ones((len(x), 1), bool)
-                i, to = np.nonzero(visit)
-                out.append(pd.DataFrame({"label": g["label"].to_numpy()[i], "dim": d, "cell": to, "home": to == home[i],
-                                         "rep": g["rep"].to_numpy()[i], "n": g["n"].to_numpy()[i],
-                                         "v": [np.asarray(v, np.float64).tobytes() for v in g["embedding"].to_numpy()[i]]}))
-            if out:
-                yield pd.concat(out)
-
-    kind = dict(classes.dtypes)["label"]
-    placed = classes.mapInPandas(assign, f"label {kind}, dim int, cell int, home boolean, rep long, n long, v binary")
-    key = ["label", "dim", "cell"]
-    sizes = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tiles = (placed.join(sizes, key)
-             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-
-    def compare(t):
-        a, b = t[t["block"] == t["i"].iat[0]], t[t["block"] == t["j"].iat[0]]
-        same = t["i"].iat[0] == t["j"].iat[0]
-        x = [unit([np.frombuffer(v) for v in s["v"]]) if len(s) else None for s in (a, b)]
-        if x[0] is None or x[1] is None:
-            return pd.DataFrame({"rep": [], "links": [], "root": []})
-        on = (x[0] @ x[1].T >= threshold) & (a["home"].to_numpy()[:, None] | b["home"].to_numpy()[None])
-        if same:
-            np.fill_diagonal(on, False)
-        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        la, lb = on @ b["n"].to_numpy(), on.T @ a["n"].to_numpy()
-        i, j = np.nonzero(on)
-        ca, cb = ra.copy(), rb.copy()
-        while len(i):  # smallest class reachable within the tile
-            low = np.minimum(ca[i], cb[j])
-            na, nb = ca.copy(), cb.copy()
-            np.minimum.at(na, i, low)
-            np.minimum.at(nb, j, low)
-            if same:
-                na = nb = np.minimum(na, nb)
-            if (na == ca).all() and (nb == cb).all():
-                break
-            ca, cb = na, nb
-        parts = [(ra, la, ca)] if same else [(ra, la, ca), (rb, lb, cb)]
-        out = [pd.DataFrame({"rep": r[n > 0], "links": n[n > 0], "root": c[n > 0]}) for r, n, c in parts]
-        return pd.concat(out)
-
-    found = (tiles.groupBy(*key, "i", "j").applyInPandas(compare, "rep long, links long, root long")).checkpoint()
+    centroids = {d: kmeans(unit_rows(v), min(k, len(v))) for d, v in by_dim.items()}
+    by = ["label", "dim"]
+    points = classes.select("label", F.size("embedding").alias("dim"), F.col("rep").alias("id"), F.col("embedding").alias("v"), "n")
+    blocks = metric_blocks(points, by, BLOCK, spread=2.0, centres=centroids, carry=["n"])
+    pairs = tiles(blocks, near_tiles(blocks, by, 1 - threshold), by, ("ids", "vs", "ns"))
+
+    def compare(batches):
+        for t in batches:
+            for r in t.itertuples(index=False):
+                same = r.bi == r.bj
+                on = np.stack(r.vs_i) @ np.stack(r.vs_j).T >= threshold
+                if same:
+                    on |= on.T
+                    np.fill_diagonal(on, False)
+                ra, rb = np.asarray(r.ids_i), np.asarray(r.ids_j)
+                la, lb = on @ np.asarray(r.ns_j), on.T @ np.asarray(r.ns_i)
+                i, j = np.nonzero(on)
+                ca, cb = ra.copy(), rb.copy()
+                while len(i):  # smallest class reachable within the tile
+                    low = np.minimum(ca[i], cb[j])
+                    na, nb = ca.copy(), cb.copy()
+                    np.minimum.at(na, i, low)
+                    np.minimum.at(nb, j, low)
+                    if same:
+                        na = nb = np.minimum(na, nb)
+                    if (na == ca).all() and (nb == cb).all():
+                        break
+                    ca, cb = na, nb
+                parts = [(ra, la, ca)] if same else [(ra, la, ca), (rb, lb, cb)]
+                yield pd.concat([pd.DataFrame({"rep": x[n > 0], "links": n[n > 0], "root": c[n > 0]}) for x, n, c in parts])
+
+    found = saved(pairs.mapInPandas(compare, "rep long, links long, root long"))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     info = (classes.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
