@@ -24,11 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexsense.llm.flat import LOWER, chunks, flat, mix, prefix_hash, prepare, span_hash, spans
 from lexsense.llm.scratch import saved
+from lexsense.operators.prefix import running_totals
 
 WORDS = 1 << 20  # 64-bit words of the Bloom filter: 8 MB
 LIMIT = 2_000_000  # phrases in a task's trie
@@ -263,10 +264,12 @@ def mine(documents: DataFrame, min_count: int = 10, overlap: int = 50, top: int
     named = lambda k: one.select(F.col("w1").alias(f"w{k}"), F.col("word").alias(f"t{k}"), *["lang"][:k == 1])
     found = found.join(named(1), "w1").join(named(2), "w2").join(named(3), "w3", "left")
     found = found.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", "l", "r", "score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # places by ranges of the candidates, so that no lang's candidates meet in one task
+    place = F.struct((-F.col("score")).alias("s"), (-F.col("a")).alias("a"), "phrase")
+    found = running_totals(found.select("*", place.alias("place"), F.lit(1).cast("long").alias("one")), ["lang"], "place", {"rank": "one"})
+    found = found.where(F.col("rank") < top).withColumn("rank", F.col("rank") + 1)
     return found.join(total.withColumnRenamed("total", "n"), "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
