@@ -30,6 +30,7 @@ WHOLE = 16  # stretches up to it are cut before spaces only
 SHORT = 32  # bytes up to which stretches are filtered side by side; longer ones one by one, in logarithms
 BLOCK = 1 << 15  # places of a long stretch at a time
 SLOTS = 1 << 21
+NONE, PART = -1, -2  # not in the table; the end of a piece, but no piece
 
 
 class Vocabulary:
@@ -59,32 +60,33 @@ class Vocabulary:
         self.length = np.array([len(p) for p in self.piece])
         self.bytes = np.frombuffer(b"".join(self.piece), np.uint8)
         self.start = np.cumsum(self.length) - self.length
-        store = np.frombuffer(b"".join(table), np.uint8)
-        end = np.cumsum([len(p) for p in table])
-        key = flat.span_hash(flat.prefix_hash(store), np.r_[0, end[:-1]], end)
-        ids = np.fromiter(table.values(), np.int64, len(table))
-        self.key, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.longest = max(map(len, table), default=1)
+        entries = {p[k:]: PART for p in table for k in range(1, len(p))} | table  # ends of pieces, too
+        store = np.frombuffer(b"".join(entries), np.uint8)
+        end = np.cumsum([len(p) for p in entries])
+        key = flat.span_hash(flat.prefix_hash(store), np.r_[0, end[:-1]], end)
+        ids = np.fromiter(entries.values(), np.int64, len(entries))
+        self.key, self.id = np.zeros(SLOTS, np.uint64), np.full(SLOTS, NONE, np.int32)
         self.joint = np.zeros((256, 256), bool)  # whether a piece holds the two bytes side by side
         for p in table:
             self.joint[list(p[:-1]), list(p[1:])] = True
         self.probes = 1
         for k, i in zip(key.tolist(), ids.tolist(), strict=True):
             at, step = k % SLOTS, 1
-            while self.id[at] >= 0:
+            while self.id[at] != NONE:
                 at, step = (at + 1) % SLOTS, step + 1
             self.key[at], self.id[at], self.probes = k, i, max(self.probes, step)
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
+        """Piece of each hash, PART if it is only the end of pieces, or NONE."""
         at = (key % np.uint64(SLOTS)).astype(np.int64)
-        out = np.where(self.key[at] == key, self.id[at], -1)
+        out = np.where(self.key[at] == key, self.id[at], NONE)
         for step in range(1, self.probes):
-            rest = np.flatnonzero((out < 0) & (self.id[(at + step - 1) % SLOTS] >= 0))
+            rest = np.flatnonzero((out == NONE) & (self.id[(at + step - 1) % SLOTS] != NONE))
             if not len(rest):
                 break
             slot = (at[rest] + step) % SLOTS
-            out[rest] = np.where(self.key[slot] == key[rest], self.id[slot], -1)
+            out[rest] = np.where(self.key[slot] == key[rest], self.id[slot], NONE)
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -95,15 +97,21 @@ class Vocabulary:
         """The lattice of one stretch: for each end the range of its edges; their lengths, pieces and shares
         of the weight of all segmentations up to their end, as running sums."""
         end, size, piece = [], [], []
+        live = np.arange(1, n + 1)  # places before which the last m bytes may still end a piece
         for m in range(1, min(n, self.longest) + 1):
-            start = begin + np.arange(n - m + 1)
+            live = live[live >= m]
+            if not len(live):
+                break
+            start = begin + live - m
             p = self.find(flat.span_hash(prefix, start, start + m))
+            more = p != NONE
             if m == 1:
                 p = np.where(p < 0, self.byte[data[start]], p)
             on = np.flatnonzero(p >= 0)
-            end.append(on + m)
+            end.append(live[on])
             size.append(np.full(len(on), m, np.int32))
             piece.append(p[on].astype(np.int32))
+            live = live[more]
         end = np.concatenate(end)
         order = np.argsort(end, kind="stable")
         end, size, piece = end[order], np.concatenate(size)[order], np.concatenate(piece)[order]
@@ -173,16 +181,20 @@ class Vocabulary:
                 reach = np.zeros((len(u), high + 1, width))  # running sums over piece lengths
                 piece = np.full((len(u), high + 1, width), -1, np.int32)
                 for t in range(1, high + 1):  # forward filtering
-                    on = np.flatnonzero(n >= t)
+                    on = np.flatnonzero(n >= t)  # while the last m bytes end some piece
                     for m in range(1, min(t, width) + 1):
                         p = self.find(flat.span_hash(prefix, begin[on] + t - m, begin[on] + t))
+                        more = p != NONE
                         if m == 1:
                             p = np.where(p < 0, self.byte[data[begin[on] + t - 1]], p)
-                        piece[on, t, m - 1] = p
-                        total[on, t] += np.where(p >= 0, total[on, t - m] * weight[p], 0)
-                        reach[on, t, m - 1] = total[on, t]
-                    if min(t, width) < width:
-                        reach[on, t, t:] = total[on, t][:, None]
+                        hit = np.flatnonzero(p >= 0)
+                        at, p = on[hit], p[hit]
+                        piece[at, t, m - 1] = p
+                        total[at, t] += total[at, t - m] * weight[p]
+                        reach[on, t, m - 1:] = total[on, t][:, None]
+                        on = on[more]
+                        if not len(on):
+                            break
                 own = np.full(len(first), -1)
                 own[u] = np.arange(len(u))
                 which = np.flatnonzero(own[back] >= 0)  # backward sampling, for each place in the texts
