@@ -50,14 +50,13 @@ def sense_scores(usages: DataFrame, vectors: DataFrame, keys=("target",), labels
     u = clean_usages(usages)
     firsts = attach_vectors(keep_first(u, keys), vectors)
     if labels is None:
-        firsts = written(firsts)  # read by the clustering and twice more
+        firsts = written(firsts)  # read by the clustering and once more
         labels = C.density_clusters(firsts, keys, eps=eps, id_col="line_no").join(
             firsts.select(*keys, "line_no", "gloss"), keys + ["line_no"])
     labelled = written(spread_labels(u, labels, keys))  # read by the contingency and the centroids
     gl = firsts.join(labels.select(*keys, "gloss", "label"), keys + ["gloss"])
     part = C.partition_scores(C.contingency(labelled, keys), keys, counts=True)
-    apd = V.mean_shift(firsts, keys)
-    apdp = V.centroid_shift(attach_vectors(labelled, vectors), keys)
+    apd, apdp = V.shifts(keep_first(u, keys), labelled, vectors, keys)
     scores = part.join(apd, keys, "left").join(apdp, keys, "left")
     return labelled, gl, scores
 

@@ -207,3 +207,40 @@ def test_points_without_direction_are_noise(spark):
     got = {r.id: r.label for r in C.density_clusters(df, ["target"], eps=0.1).collect()}
     assert got == {0: -1, 1: 1, 2: 1, 3: -1, 4: -1, 5: -1}
     assert C.density_clusters(df.limit(0), ["target"]).count() == 0
+
+
+@pytest.mark.parametrize("shift", [V.mean_shift, V.centroids])
+def test_vectors_move_before_they_are_cut_into_components(spark, shift):
+    """Rows of single components are made, and added up, where a group's vectors have already met."""
+    df = spark.createDataFrame([("a", 1, [1.0, 2.0])], "target string, grouping int, embedding array<double>")
+    plan = shift(df, ["target"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    cut = max(i for i, x in enumerate(plan) if "Generate" in x)
+    assert any("rangepartitioning" in x for x in plan[cut:]), plan
+
+
+def test_shifts_brute_force(spark):
+    """Usages of a gloss weigh as often as they occur; null components and vectors; more components than a chunk."""
+    from lexsense.operators import senses as SE
+    dim = 2 * V.CHUNK + 3
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(60, dim))
+    rows = [(f"g{i}", v.tolist()) for i, v in enumerate(vecs)] + [("none", None)]
+    vectors = spark.createDataFrame(rows, "gloss string, embedding array<double>")
+    use = [(f"t{i % 3}", i, 1 + (i // 3) % 2, 0, f"g{i % 60}" if i < 200 else "none") for i in range(210)]
+    u = spark.createDataFrame(use, "target string, line_no long, grouping int, cluster int, gloss string")
+    number = F.expr("cast(substring(gloss, 2) as int)")
+    labels = u.select("target", "gloss", F.when(F.col("gloss") == "none", 9).otherwise(number % 4).alias("label")).distinct()
+    _, _, scores = SE.sense_scores(u, vectors, ["target"], labels)
+    got = {r.target: r for r in scores.collect()}
+    for t in ("t0", "t1", "t2"):
+        mine = [x for x in use if x[0] == t and x[4] != "none"]
+        first, cells = {}, {}
+        for _, _, g, _, gloss in mine:
+            i = int(gloss[1:])
+            first.setdefault(i, g)
+            cells.setdefault((g, i % 4), []).append(vecs[i])
+        unit = {p: [vecs[i] / np.linalg.norm(vecs[i]) for i, g in first.items() if g == p] for p in (1, 2)}
+        assert got[t].APD == pytest.approx(float(np.mean([1 - a @ b for a in unit[1] for b in unit[2]])))
+        mean = {k: np.mean(v, axis=0) for k, v in cells.items()}
+        far = [float((np.abs(a - b) / (np.abs(a) + np.abs(b))).sum()) for p, a in mean.items() for q, b in mean.items() if p[0] == 1 and q[0] == 2]
+        assert got[t].APDP == pytest.approx(float(np.mean(far)))
