@@ -206,11 +206,13 @@ def build_generation_input(defs: DataFrame, tokenise, batch: int = 32, max_len:
     token ids and mask, and batch number in file order (W5). ``tokenise`` maps a text column to its ids; a text of
     more than ``max_len`` ids gives several rows, numbered by ``window``, each with the next ids."""
     ids, mask = S.fixed_length("_ids", max_len, pad)
-    rows = defs.select("line_no", "target", "example", F.posexplode(S.windows(tokenise("example"), max_len)).alias("window", "_ids"))
+    # the ids of a text are found, and its prompts rendered, once: windows are cut from a column, not from an expression
+    texts = defs.select("line_no", "target", "example", tokenise("example").alias("_all"),
+                        S.render_turns(S.dialog("target", "example")).alias("prompt"), S.question("target", "example").alias("question"))
+    rows = texts.select("line_no", "target", "example", "prompt", "question",
+                        F.posexplode(S.windows("_all", max_len)).alias("window", "_ids"))
     return rows.select(
-        "line_no", F.col("window").cast("long").alias("window"), "target", "example",
-        S.render_turns(S.dialog("target", "example")).alias("prompt"),
-        S.question("target", "example").alias("question"),
+        "line_no", F.col("window").cast("long").alias("window"), "target", "example", "prompt", "question",
         ids.alias("input_ids"), mask.alias("attention_mask"),
         F.floor(F.col("line_no") / batch).alias("batch"))
 
