@@ -154,14 +154,34 @@ def shuffled_positions(mix: DataFrame, key: str = "shuffle_key", out: str = "pos
     return mix.join(first, key).withColumn(out, F.col("_before") + within).drop("_before")
 
 
+RANGE_BITS = 14  # leading bits of a seeded key that number its range
+RANGES = 1 << RANGE_BITS
+
+
 def pack_training_mix(defs: DataFrame, n: int = 512, exclude=("slang", "wiki"), split: str = "train", seed: int = 42,
                       end_mark: str = "</s>") -> DataFrame:
     """E6 in one job: the training mix (S6, D3, P12, P14) in its seeded order (W7), packed into blocks of ``n``
-    tokens (W6). Blocks name the places of their first and last text. The ordered mix is written once, as
-    packing reads it twice."""
-    mix = build_training_mix(defs, exclude, split, seed)
-    ordered = written(shuffled_positions(written(mix)).select("position", "text"))
-    return pack(ordered, n, end_mark, order="position")
+    tokens (W6). Blocks name the places of their first and last text.
+
+    Only the key and the text go on from the mix. The seeded keys are spread evenly, so their first bits cut the
+    order into ``RANGES`` ranges without a sample. A range's places and offsets are counted where it is sorted, and
+    the ranges written once; the sums of the ranges before it, one small row each, make them places and offsets of the
+    whole, and the texts move once more only, as pieces of blocks."""
+    mix = build_training_mix(defs, exclude, split, seed).select("shuffle_key", "text")
+    parts = int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mix = mix.withColumn("_range", F.expr(f"shiftright(shuffle_key, {60 - RANGE_BITS})")).repartition(parts, "_range")
+    cnt = (F.size(X.py_split("text")) + 1).cast("long").alias("cnt")
+    here = Window.partitionBy("_range").orderBy("shuffle_key", "text").rowsBetween(Window.unboundedPreceding, -1)
+    local = mix.select("_range", "shuffle_key", "text", cnt).select(
+        "_range", "text", "cnt", F.count(F.lit(1)).over(here).alias("_place"), F.coalesce(F.sum("cnt").over(here), F.lit(0)).alias("_offset"))
+    local = written(local)
+    sums = local.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("cnt").alias("_cnt"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
+    base = sums.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_n", "_cnt")])
+    placed = local.join(F.broadcast(base), "_range").select(
+        (F.col("_place") + F.col("_b_n")).alias("position"), (F.col("_offset") + F.col("_b_cnt")).alias("offset"), "cnt",
+        F.concat(X.py_split("text"), F.array(F.lit(end_mark))).alias("toks"))
+    return _blocks(placed, n, "position")
 
 
 def render_conversations(turns: DataFrame, markers=("<|", "|>")) -> DataFrame:
@@ -183,19 +203,24 @@ def pack(docs: DataFrame, n: int = 512, end_mark: str = "</s>", order: str = "do
     texts + blocks, not tokens); a block then concatenates at most ``n`` tokens of slices in text order."""
     toks = docs.select(order, F.concat(X.py_split(text), F.array(F.lit(end_mark))).alias("toks"))
     sizes = running_totals(toks.select(order, F.size("toks").cast("long").alias("cnt")), [], order, {"offset": "cnt"})
-    off = toks.join(sizes, order)
+    return _blocks(toks.join(sizes, order), n, order)
+
+
+def _blocks(off: DataFrame, n: int, order: str) -> DataFrame:
+    """The blocks of texts (order, offset, cnt, toks) laid end to end."""
     first = F.floor(F.col("offset") / n)
     last = F.floor((F.col("offset") + F.col("cnt") - 1) / n)
     ex = off.select(order, "offset", "cnt", "toks", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("offset"), F.col("block") * n)
     hi = F.least(F.col("offset") + F.col("cnt"), (F.col("block") + 1) * n)
-    pieces = ex.select("block", order, F.slice("toks", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))
-                       .alias("piece"))
+    # a piece travels as text: an array of tokens takes two to three times its room
+    pieces = ex.select("block", order, (hi - lo).cast("long").alias("n"), F.array_join(
+        F.slice("toks", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int")), " ").alias("piece"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"])
     return pieces.groupBy("block").agg(
-        F.sum(F.size("piece")).cast("long").alias("n_tokens"),
+        F.sum("n").alias("n_tokens"),
         F.min(order).alias("first_doc"), F.max(order).alias("last_doc"),
-        F.array_join(F.flatten(ordered), " ").alias("text"))
+        F.array_join(ordered, " ").alias("text"))
 
 
 # ---------------------------------------------------------------- E7 generation input and answers

@@ -114,3 +114,30 @@ def test_mix_in_order_and_packed(spark):
     tokens = [t for r in mix for t in [*r.text.split(), "</s>"]]
     assert len(mix) == 40 and [r.position for r in mix] == list(range(40))
     assert [b.text for b in blocks] == [" ".join(tokens[i:i + 32]) for i in range(0, len(tokens), 32)]
+
+
+def test_packing_the_mix_writes_its_texts_once(spark, monkeypatch):
+    """Nothing but the rendered text goes on, and it is written once."""
+    from lexsense.operators import records as R
+    seen = []
+
+    def written(df):
+        seen.append(df.columns)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(R, "written", written)
+    rows = [("d", "train", f"w{i % 40}", f"gloss {i % 40}", f"an example {'long ' * (i % 40)}") for i in range(80)]
+    defs = spark.createDataFrame(rows, "dataset string, split string, target string, gloss string, example string").dropDuplicates()
+    out = R.pack_training_mix(defs, n=16)
+    blocks = out.orderBy("block").collect()
+    assert sum("text" in c for c in seen) == 1 and not any("gloss" in c or "example" in c for c in seen), seen
+    mix = R.shuffled_positions(R.build_training_mix(defs)).orderBy("position").collect()
+    tokens, places = [], []
+    for r in mix:
+        t = [*r.text.split(), "</s>"]
+        tokens += t
+        places += [r.position] * len(t)
+    assert len(mix) == 40 and [r.block for r in blocks] == list(range(-(-len(tokens) // 16)))
+    for r in blocks:
+        cut = slice(16 * r.block, 16 * r.block + 16)
+        assert (r.text.split(" "), r.n_tokens, r.first_doc, r.last_doc) == (tokens[cut], len(tokens[cut]), places[cut][0], places[cut][-1])
