@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexsense.operators import metrics as M
@@ -202,3 +203,22 @@ def test_synonym_stage_against_the_double_loop(spark, stemmed):
     rows = [(" ".join(rnd.choices(words, k=rnd.randint(0, 25))), " ".join(rnd.choices(words, k=rnd.randint(0, 25)))) for _ in range(60)]
     got = _meteor(spark, rows, synsets, stems)
     assert got == pytest.approx([stages_ref(g.split(), p.split(), stems, synsets) for g, p in rows])
+
+
+def test_grams_and_vectors_of_a_row_go_on_once(spark):
+    """Grams that the prediction lacks end after the count, and a word of both sides looks its vector up once."""
+    pairs = spark.createDataFrame([(1, "a b c d", "a b x d"), (2, "a a b", "a b b"), (3, "p q", "r s")], "row_id long, gloss string, answer string")
+    prep = M.prepare(pairs)
+    plan = M.ngram_stats(prep)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in x and "cp" in x and "> 0" in x for x in plan.splitlines()), plan
+    vectors = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate("abcdx")], "token string, embedding array<double>")
+    soft = M.soft_match(prep, vectors)
+    plan = soft._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "word" in x and "side" in x.split("[")[1] for x in plan.splitlines()), plan
+    got = {r.row_id: r.bertscore for r in soft.collect()}
+    unit = {w: np.array([i, 1.0]) / np.hypot(i, 1.0) for i, w in enumerate("abcdx")}
+    for row, g, p in ((1, "abcd", "abxd"), (2, "aab", "abb")):
+        sim = np.array([[unit[x] @ unit[y] for y in g] for x in p])
+        prec, rec = sim.max(axis=1).mean(), sim.max(axis=0).mean()
+        assert got[row] == pytest.approx(2 * prec * rec / (prec + rec))
+    assert got[3] == 0.0
