@@ -179,11 +179,14 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "a", "v")).alias("source"))
     many = first.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1")
     first = first.join(many, "h", "left")
-    both = found.join(first, ["h", "s"])
-    removed = both.where((F.col("doc_id") > F.col("source.doc_id")) & (F.col("v") == F.col("source.v")))
-    still = both.where((F.col("readings") > 1) & ((F.col("doc_id") == F.col("source.doc_id")) | (F.col("v") != F.col("source.v"))))
-    return (removed.select(*KEY, "a", "b", F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a")),
-            still.select(*KEY, "a", "b", "o"))
+    same = F.col("v") == F.col("source.v")
+    removed = (F.col("doc_id") > F.col("source.doc_id")) & same
+    still = (F.col("readings") > 1) & ((F.col("doc_id") == F.col("source.doc_id")) | ~same)
+    some = lambda c: F.coalesce(c, F.lit(False))
+    both = found.join(first, ["h", "s"]).select(*KEY, "a", "b", "o", F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a"),
+                                                some(removed).alias("removed"), some(still).alias("still"))
+    both = saved(both.where("removed OR still"))  # read for either
+    return both.where("removed").select(*KEY, "a", "b", "source_doc", "source_a"), both.where("still").select(*KEY, "a", "b", "o")
 
 
 def keyed(documents: DataFrame, *carry: str) -> DataFrame:

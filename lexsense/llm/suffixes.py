@@ -85,8 +85,9 @@ def sorted_groups(texts: DataFrame) -> DataFrame:
     names = R.saved(samples.select(*triple, *flip).distinct().repartitionByRange("_x", "_y", "_z")
                     .sortWithinPartitions("_x", "_y", "_z").withColumn("name", F.monotonically_increasing_id()).drop("_x", "_y", "_z"))
     inside = W.partitionBy("doc_id", "t", "seg", F.col("j") % 3).orderBy("j")
-    named = (samples.join(names, triple).select("doc_id", "t", "seg", "j", "room", "side", "name")
-             .withColumn("next", F.lead("name", LETTER).over(inside)))
+    # saved, so that the letters' shuffle files are gone when the names are moved
+    named = R.saved(samples.join(names, triple).select("doc_id", "t", "seg", "j", "room", "side", "name"))
+    named = named.withColumn("next", F.lead("name", LETTER).over(inside))
     # a sampled place serves the suffixes 0, 1 and 2 bytes before it
     lists = named.where("next IS NOT NULL").select(
         "doc_id", "t", "name", "next", (F.col("seg") + F.col("j")).alias("place"), "j", "room",
@@ -112,7 +113,7 @@ def repeated_spans(documents: DataFrame, k: int = 22) -> DataFrame:
     groups = R.saved(R.opened(R.with_rows(documents, paths), R.octets, LENGTH, WIDTH))
     some, still = R.resolve(groups)
     paths = R.listed(still)
-    return runs.union(some).union(sorted_groups(R.with_rows(documents, paths)))
+    return runs.union(some).union(R.saved(sorted_groups(R.with_rows(documents, paths))))
 
 
 def _cut(raw: bytes, a, b) -> tuple:

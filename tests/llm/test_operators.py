@@ -496,3 +496,19 @@ def test_phrases_are_longest_matches():
                 want += 1
         got, _ = m.phrases([text], m.classes())
         assert got[0, 0] == want
+
+
+def test_saved_tables_leave_no_shuffle_files(session):
+    """Shuffle files of a saved table go at its end, and the setting is as before."""
+    import time
+
+    from lexsense.llm import scratch
+    blocks = session.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x for i in range(blocks.getAllFiles().size()) if (x := blocks.getAllFiles().apply(i).getName()).startswith("shuffle_")}
+    before, conf = names(), session.conf.get(scratch.CLEANUP)
+    out = scratch.saved(session.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):
+        if not (left := names() - before):
+            break
+        time.sleep(0.5)
+    assert not left and out.count() == 7 and session.conf.get(scratch.CLEANUP) == conf
