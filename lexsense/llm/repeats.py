@@ -178,7 +178,7 @@ def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     that source; and first readings at anchors with several readings. Both (doc_id, t, a, b, ...)."""
     first = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "a", "v")).alias("source"))
     many = first.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1")
-    first = first.join(many, "h", "left")
+    first = saved(first.join(many, "h", "left"))  # its shuffle files go before the runs are moved again
     same = F.col("v") == F.col("source.v")
     removed = (F.col("doc_id") > F.col("source.doc_id")) & same
     still = (F.col("readings") > 1) & ((F.col("doc_id") == F.col("source.doc_id")) | ~same)
