@@ -6,7 +6,8 @@ place, a path that is read as a whole. Only runs whose anchor comes in several d
 that reads the same in a smaller document is removed whole; where the runs at an anchor differ (the path
 branches), the first document of each reading is left to the caller to resolve window by window.
 
-All counts are exact and cover all documents: no caps, and a hot anchor is pre-aggregated.
+All counts are exact and cover all documents: no caps. Runs of a document that read the same, as in a text
+of one word over and over, are one row with their places.
 """
 from __future__ import annotations
 
@@ -14,7 +15,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexsense.llm import flat
@@ -24,6 +27,10 @@ from lexsense.llm.scratch import saved
 #: letters of a chunk: (letters as 64-bit numbers, row offsets in letters)
 Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 KEY = ("doc_id", "t")
+RUNS = "doc_id long, t int, a int, b int, again array<int>, o int, h long, s long, v long"
+RUN = [c.split()[0] for c in RUNS.split(", ")]
+SPAN = (*KEY, "a", "b", "again", "source_doc", "source_a")
+AGAIN = pa.list_(pa.int32())
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +99,9 @@ def candidates(documents: DataFrame, read: Reader, length: int, k: int) -> DataF
                                                   pa.array(h.view(np.int64))], ["doc_id", "t", "h"])
 
     found = documents.select("doc_id", "t", "text").mapInArrow(rows, "doc_id long, t int, h long")
-    several = (found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-               .where("lo < hi").select("h"))
-    return found.join(several, "h").groupBy(*KEY).agg(F.collect_list("h").alias("anchors"))
+    same = W.partitionBy("h")  # one shuffle serves the counts and the rows
+    several = found.select(*KEY, "h", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi")
+    return several.groupBy(*KEY).agg(F.collect_list("h").alias("anchors"))
 
 
 def with_rows(documents: DataFrame, per_doc: DataFrame) -> DataFrame:
@@ -102,10 +109,47 @@ def with_rows(documents: DataFrame, per_doc: DataFrame) -> DataFrame:
     return thin(documents, per_doc, "doc_id").join(per_doc, list(KEY))
 
 
+def once(row: np.ndarray, h: np.ndarray, s: np.ndarray, v: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(first, again): the first run of each reading in a row, and the starts of its other runs that read the
+    same (null: none). A text of one word over and over has one reading at every place."""
+    key = s ^ flat.mix(row.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    if len(order):
+        x, y = order[1:], order[:-1]
+        new[1:] = (s[x] != s[y]) | (row[x] != row[y]) | (h[x] != h[y]) | (v[x] != v[y])
+    if new.all():
+        return np.arange(len(row)), pa.nulls(len(row), AGAIN)
+    group = np.cumsum(new) - 1
+    first = order[new]
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    more = order[~new]
+    owner = rank[group[~new]]
+    back = np.argsort(owner, kind="stable")
+    count = np.bincount(owner, minlength=len(first))
+    ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(a[more[back]].astype(np.int32)), mask=pa.array(count == 0))
+    return np.sort(first), lists
+
+
+def places(ranges: pa.Array) -> tuple[np.ndarray, ...]:
+    """a, b and the other fields of structs of runs (see ``once``), a row for each place."""
+    fields = {f.name: ranges.field(f.name) for f in ranges.type}
+    again = fields.pop("again", None)
+    out = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in fields.values()]
+    if again is None or again.null_count == len(again):
+        return tuple(out)
+    more = pc.list_parent_indices(again).to_numpy(zero_copy_only=False)
+    start = pc.list_flatten(again).to_numpy(zero_copy_only=False).astype(np.int64)
+    a, b, *rest = out
+    return np.r_[a, start], np.r_[b, start + (b - a)[more]], *(np.r_[x, x[more]] for x in rest)
+
+
 def repeated_runs(texts: DataFrame, read: Reader, length: int, k: int) -> DataFrame:
-    """(doc_id, t, a, b, o, h, s, v): the candidate runs with the hashes of their anchor and reading, and an
-    independent hash of the reading. Windows a to b as places in the
-    document's letters; o: from a to the anchor."""
+    """(doc_id, t, a, b, again, o, h, s, v): the candidate runs with the hashes of their anchor and reading, and an
+    independent hash of the reading, one row for a document's runs that read the same. Windows a to b as places in the
+    document's letters; again: the other places where a may stand; o: from a to the anchor."""
     def rows(batches):
         for batch in batches:
             data, off = flat.flat(batch.column(2))
@@ -123,14 +167,15 @@ def repeated_runs(texts: DataFrame, read: Reader, length: int, k: int) -> DataFr
                 s = flat.span_hash(p, head, stop + length)
                 other = prefix(flat.mix(letters.astype(np.uint64) + np.uint64(0x1234567)))
                 v = flat.span_hash(other, head, stop + length)
+                first, again = once(row, h, s, v, head - loff[row])
+                row, head, stop, place, h, s, v = (x[first] for x in (row, head, stop, place, h, s, v))
                 take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array((head - loff[row]).astype(np.int32)),
-                     pa.array((stop - loff[row]).astype(np.int32)), pa.array((place - head).astype(np.int32)), pa.array(h.view(np.int64)),
-                     pa.array(s.view(np.int64)), pa.array(v.view(np.int64))], ["doc_id", "t", "a", "b", "o", "h", "s", "v"])
+                     pa.array((stop - loff[row]).astype(np.int32)), again, pa.array((place - head).astype(np.int32)), pa.array(h.view(np.int64)),
+                     pa.array(s.view(np.int64)), pa.array(v.view(np.int64))], RUN)
 
-    return texts.select(*KEY, "text", "anchors").mapInArrow(
-        rows, "doc_id long, t int, a int, b int, o int, h long, s long, v long")
+    return texts.select(*KEY, "text", "anchors").mapInArrow(rows, RUNS)
 
 
 def opened(texts: DataFrame, read: Reader, length: int, width: int) -> DataFrame:
@@ -144,8 +189,7 @@ def opened(texts: DataFrame, read: Reader, length: int, width: int) -> DataFrame
                 p, other = prefix(letters), prefix(flat.mix(letters.astype(np.uint64) + np.uint64(0x1234567)))
                 row, first, last, core = [], [], [], []
                 for i in range(x, y):
-                    r = batch.column(3)[i].values
-                    a, b, o = (r.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1, 2))
+                    a, b, o = places(batch.column(3)[i].values)
                     # groups by the distance to the anchor, so that they agree wherever the anchor stands
                     low, high = (a + o - b) // width, o // width
                     n = high - low + 1
@@ -156,37 +200,39 @@ def opened(texts: DataFrame, read: Reader, length: int, width: int) -> DataFrame
                     last.append(np.minimum(end, np.repeat(b, n)) + loff[i - x])
                     core.append(end + loff[i - x])
                 row, first, last, core = (np.concatenate(z) for z in (row, first, last, core))
-                take, base = pa.array(row), loff[row - x]
+                h, s, v = (flat.span_hash(p, core, core - width + 1 + length), flat.span_hash(p, first, last + length),
+                           flat.span_hash(other, first, last + length))
+                base = loff[row - x]
+                kept, again = once(row, h, s, v, first - base)
+                row, first, last, base, h, s, v = (z[kept] for z in (row, first, last, base, h, s, v))
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array((first - base).astype(np.int32)),
-                     pa.array((last - base).astype(np.int32)), pa.array(np.zeros(len(row), np.int32)),
-                     pa.array(flat.span_hash(p, core, core - width + 1 + length).view(np.int64)),
-                     pa.array(flat.span_hash(p, first, last + length).view(np.int64)),
-                     pa.array(flat.span_hash(other, first, last + length).view(np.int64))],
-                    ["doc_id", "t", "a", "b", "o", "h", "s", "v"])
+                     pa.array((last - base).astype(np.int32)), again, pa.array(np.zeros(len(row), np.int32)),
+                     pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(v.view(np.int64))], RUN)
 
-    return texts.select(*KEY, "text", "paths").mapInArrow(
-        rows, "doc_id long, t int, a int, b int, o int, h long, s long, v long")
+    return texts.select(*KEY, "text", "paths").mapInArrow(rows, RUNS)
 
 
 def listed(still: DataFrame) -> DataFrame:
-    return saved(still.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "o")).alias("paths")))
+    return saved(still.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "o", "again")).alias("paths")))
 
 
 def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(removed, open): runs that read the same in a smaller document, verified by the independent hash of
-    that source; and first readings at anchors with several readings. Both (doc_id, t, a, b, ...)."""
-    first = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "a", "v")).alias("source"))
-    many = first.groupBy("h").agg(F.count("*").alias("readings")).where("readings > 1")
-    first = saved(first.join(many, "h", "left"))  # its shuffle files go before the runs are moved again
+    that source; and first readings at anchors with several readings. Both (doc_id, t, a, b, again, ...)."""
+    anchor, reading = W.partitionBy("h"), W.partitionBy("h", "s").orderBy("doc_id", "a", "v")
+    # one shuffle and one sort serve both windows
+    both = (found.repartition("h").sortWithinPartitions("h", "s", "doc_id", "a", "v")
+            .withColumn("several", F.min("s").over(anchor) < F.max("s").over(anchor))
+            .withColumn("source", F.first(F.struct("doc_id", "a", "v")).over(reading)))
     same = F.col("v") == F.col("source.v")
     removed = (F.col("doc_id") > F.col("source.doc_id")) & same
-    still = (F.col("readings") > 1) & ((F.col("doc_id") == F.col("source.doc_id")) | ~same)
-    some = lambda c: F.coalesce(c, F.lit(False))
-    both = found.join(first, ["h", "s"]).select(*KEY, "a", "b", "o", F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a"),
-                                                some(removed).alias("removed"), some(still).alias("still"))
+    still = F.col("several") & ((F.col("doc_id") == F.col("source.doc_id")) | ~same)
+    both = both.select(*KEY, "a", "b", "again", "o", F.col("source.doc_id").alias("source_doc"), F.col("source.a").alias("source_a"),
+                       removed.alias("removed"), still.alias("still"))
     both = saved(both.where("removed OR still"))  # read for either
-    return both.where("removed").select(*KEY, "a", "b", "source_doc", "source_a"), both.where("still").select(*KEY, "a", "b", "o")
+    return both.where("removed").select(*SPAN), both.where("still").select(*KEY, "a", "b", "again", "o")
 
 
 def keyed(documents: DataFrame, *carry: str) -> DataFrame:
@@ -198,7 +244,7 @@ def keyed(documents: DataFrame, *carry: str) -> DataFrame:
 def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str, *carry: str) -> DataFrame:
     """Every document (doc_id and the columns to carry) with its removed windows given to ``cut`` (text as bytes, starts, ends -> values of
     ``schema``). Documents surely without removed windows are cut where they are read, without a shuffle."""
-    ranges = removed.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = removed.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "again")).alias("ranges"))
     ranges = saved(ranges)
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -208,14 +254,13 @@ def applied(documents: DataFrame, removed: DataFrame, cut: Callable, schema: str
             out = []
             for i in range(len(off) - 1):
                 r = batch.column(2)[i]
-                r = r.values if r.is_valid else None
-                a, b = (r.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (0, 1)) if r is not None else ((), ())
+                a, b = places(r.values) if r.is_valid else ((), ())
                 out.append(cut(data[off[i]:off[i + 1]].tobytes(), a, b))
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0)} | dict(zip(names, columns, strict=True)) | {c: batch.column(c) for c in carry})
 
-    kind = "struct<a:int,b:int>"
+    kind = "struct<a:int,b:int,again:array<int>>"
     flag = F.col("_maybe")
     marked = thin(documents, ranges, "doc_id", mark="_maybe")
     some = marked.where(flag).join(ranges, list(KEY), "left").select("doc_id", "text", "ranges", *carry)

@@ -23,16 +23,14 @@ from lexsense.llm import repeats as R
 
 
 def repeated_spans(documents: DataFrame, length: int = 50, k: int = 17) -> DataFrame:
-    """(doc_id, t, a, b, source_doc, source_a): windows a to b that also start in a smaller document.
-    ``documents`` as from ``repeats.keyed``."""
+    """(doc_id, t, a, b, again, source_doc, source_a): windows a to b that also start in a smaller document;
+    again: the other places where a may stand. ``documents`` as from ``repeats.keyed``."""
     documents = documents.where("doc_id IS NOT NULL")
     flat.prepare(documents.sparkSession)
     per_doc = R.saved(R.candidates(documents, R.words, length, k))
-    found = R.saved(R.repeated_runs(R.with_rows(documents, per_doc), R.words, length, k))
-    removed, still = R.resolve(found)
+    removed, still = R.resolve(R.repeated_runs(R.with_rows(documents, per_doc), R.words, length, k))
     paths = R.listed(still)
-    edges = R.saved(R.opened(R.with_rows(documents, paths), R.words, length, 1))
-    single, _ = R.resolve(edges)
+    single, _ = R.resolve(R.opened(R.with_rows(documents, paths), R.words, length, 1))
     return removed.union(single)
 
 

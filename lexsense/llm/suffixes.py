@@ -45,8 +45,7 @@ def _samples(batches):
         data, off = flat.flat(batch.column(2))
         row, seg, at, room = [], [], [], []
         for i in range(len(off) - 1):
-            r = batch.column(3)[i].values
-            a, b = (r.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            a, b = R.places(batch.column(3)[i].values)[:2]
             order = np.argsort(a, kind="stable")
             a, b = a[order], np.maximum.accumulate(b[order])
             head = np.r_[True, a[1:] > b[:-1] + 1]  # neighbouring windows make one segment
@@ -77,7 +76,7 @@ def _samples(batches):
 
 
 def sorted_groups(texts: DataFrame) -> DataFrame:
-    """(doc_id, t, a, b): the windows of the open paths of ``texts`` that start in a smaller document."""
+    """(doc_id, t, a, b, ...): the windows of the open paths of ``texts`` that start in a smaller document."""
     samples = R.saved(texts.select("doc_id", "t", "text", "paths").mapInArrow(
         _samples, "doc_id long, t int, seg int, j int, room int, x long, y long, z long, side int"))
     triple = ["x", "y", "z"]
@@ -99,19 +98,19 @@ def sorted_groups(texts: DataFrame) -> DataFrame:
     key = ["shift", "name", "next", "part"]
     groups = lists.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     return (lists.join(groups, key).where("doc_id > low")
-            .select("doc_id", "t", "a", F.col("a").alias("b"), F.col("low").alias("source_doc"), F.lit(None).cast("int").alias("source_a")))
+            .select("doc_id", "t", "a", F.col("a").alias("b"), F.lit(None).cast("array<int>").alias("again"),
+                    F.col("low").alias("source_doc"), F.lit(None).cast("int").alias("source_a")))
 
 
 def repeated_spans(documents: DataFrame, k: int = 22) -> DataFrame:
-    """(doc_id, t, a, b, source_doc, source_a): byte windows a to b that also start in a smaller document."""
+    """(doc_id, t, a, b, again, source_doc, source_a): byte windows a to b that also start in a smaller document;
+    again: the other places where a may stand."""
     documents = documents.where("doc_id IS NOT NULL")
     flat.prepare(documents.sparkSession)
     per_doc = R.saved(R.candidates(documents, R.octets, LENGTH, k))
-    found = R.saved(R.repeated_runs(R.with_rows(documents, per_doc), R.octets, LENGTH, k))
-    runs, still = R.resolve(found)
+    runs, still = R.resolve(R.repeated_runs(R.with_rows(documents, per_doc), R.octets, LENGTH, k))
     paths = R.listed(still)
-    groups = R.saved(R.opened(R.with_rows(documents, paths), R.octets, LENGTH, WIDTH))
-    some, still = R.resolve(groups)
+    some, still = R.resolve(R.opened(R.with_rows(documents, paths), R.octets, LENGTH, WIDTH))
     paths = R.listed(still)
     return runs.union(some).union(R.saved(sorted_groups(R.with_rows(documents, paths))))
 

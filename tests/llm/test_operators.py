@@ -109,6 +109,33 @@ def test_difference_cover_alone(session, corpus):
         assert got.get(i, set()) == g
 
 
+def test_equal_runs_of_a_document_are_one_row(session):
+    """A text of one word over and over has a reading at hundreds of places: a row each would grow with the places."""
+    from lexsense.llm import repeats as R
+    rows = [(i, f"x{i} " * (i % 3) + "the " * (200 + 7 * i) + "".join(f"e{i}{j} " for j in range(i % 2 * 30)) + "the " * 120) for i in range(9)]
+    docs = R.keyed(frame(session, rows))
+    for read, length, k in ((R.words, 50, 17), (R.octets, 50, 22)):
+        per_doc = R.candidates(docs, read, length, k)
+        found = R.repeated_runs(R.with_rows(docs, per_doc), read, length, k)
+        n, places = found.agg(F.count("*"), F.sum(1 + F.coalesce(F.size("again"), F.lit(0)))).first()
+        assert n < 9 * 120 and places > 1500
+        assert found.groupBy("doc_id", "h", "s").count().where("count > 1").isEmpty()
+    want = windows_brute(rows, words, 50)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.deduplicate(frame(session, rows), text=False).collect()}
+    for (i, _), (x, g) in want.items():
+        assert got[i] == (len(g), hashlib.sha256(" ".join(w for k, w in enumerate(x) if k not in g).encode()).hexdigest())
+    want = windows_brute(rows, lambda t: list(t.encode()), 50)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffixes.deduplicate(frame(session, rows)).collect()}
+    for (i, _), (x, g) in want.items():
+        assert got[i] == (len(g), hashlib.sha256(bytes(b for k, b in enumerate(x) if k not in g)).hexdigest())
+
+
+def test_candidate_anchors_are_shuffled_once(session, corpus):
+    from lexsense.llm import repeats as R
+    plan = R.candidates(R.keyed(frame(session, corpus)), R.octets, 50, 22)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h") == 1 and plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(session, corpus, shingle, percent):
     sets = {}
