@@ -8,8 +8,8 @@ Terms are ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. Spar
 its lang and gives each document its exact sparse vector. The terms carry their lang, so that one fit has a
 vocabulary and a document frequency for each lang. The vocabulary goes through the driver and a broadcast, as
 this estimator's always does; its size is bounded: terms are dealt by hash over as many fits as keep about
-``block_terms`` different terms (kept or not) in each. Vectors are summed over each group in a task first
-and then by Spark; pairs of sources are evaluated in blocks of terms, where only the terms that one of the two
+``block_terms`` different terms (kept or not) in each. Vectors are summed over each group in a task first,
+then the sums of all tasks by parts of the vocabulary; pairs of sources are evaluated in blocks of terms, where only the terms that one of the two
 has are looked at and all others add the same amount each.
 
 ``p = 1 + floor(10**9 * (count + 2) / (N + 2 * V))`` and ``f = floor((p - q)**2 / (p + q))`` are whole
@@ -39,6 +39,7 @@ TERM = np.ones(256, bool)  # bytes of terms: letters, and all of what is not ASC
 TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 NO_TERM = "\x01"  # keeps the estimator's vocabulary from being empty
 CELLS = 2_000_000  # (term, source) cells of a block
+PART = 4096  # ids of a part of a group's sums
 ROW = "lang string, part string, source string, item string, id long, value long"
 
 
@@ -94,20 +95,22 @@ def group_counts(rows: DataFrame, min_df: int, block_terms: int) -> tuple[DataFr
         names = spark.createDataFrame(pa.table({"id": pa.array(place.values(), pa.int64()), "t": pa.array(place.keys(), pa.string())}))
         terms.append(names.select(F.regexp_extract("t", "(?s)^(.*) ", 1).alias("lang"), (F.col("id") * blocks + k).alias("id"),
                                   F.substring_index("t", " ", -1).alias("term")))
-        sums = summed(model.transform(mine).select("lang", "source", "vector")).where(F.col("id") != none)
-        counts.append(sums.withColumn("id", F.col("id") * blocks + k))
+        counts.append(summed(model.transform(mine).select("lang", "source", "vector"), none, blocks, k))
     total = counts[0]
     for more in counts[1:]:
         total = total.unionByName(more)
-    total = total.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))
+    total = added(total)
     names = terms[0]
     for more in terms[1:]:
         names = names.unionByName(more)
     return saved(total), saved(names)
 
 
-def summed(vectors: DataFrame) -> DataFrame:
-    """(lang, source, id, n): sums of the sparse vectors over each group within a task, for Spark to add up."""
+def summed(vectors: DataFrame, none: int, blocks: int, k: int) -> DataFrame:
+    """(lang, source, part, ids, n): sums of the sparse vectors over each group within a task, a row for each part of
+    the ids (``i * blocks + k`` for place i; place ``none`` is left out). ``ids`` are places in the part."""
+    size_of_part = PART
+
     def run(batches):
         held: dict = {}
         size = 0
@@ -115,11 +118,14 @@ def summed(vectors: DataFrame) -> DataFrame:
         def out():
             for (lang, source), runs in held.items():
                 ids, n = joined(runs)
-                for a in range(0, len(ids), 1 << 16):
-                    part = ids[a:a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
-                        pa.array(part.astype(np.int64)), pa.array(n[a:a + (1 << 16)])], ["lang", "source", "id", "n"])
+                ids, n = ids[ids != none].astype(np.int64) * blocks + k, n[ids != none]
+                part, at = np.divmod(ids, size_of_part)
+                cut = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(part)].astype(np.int32)
+                many = len(cut) - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * many, pa.string()), pa.array([source] * many, pa.string()), pa.array(part[cut[:-1]]),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array(at.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array(n))], ["lang", "source", "part", "ids", "n"])
 
         def joined(runs):
             ids, n = (np.concatenate(x) for x in zip(*runs))
@@ -153,7 +159,40 @@ def summed(vectors: DataFrame) -> DataFrame:
                 held, size = {}, 0
         yield from out()
 
-    return vectors.mapInArrow(run, "lang string, source string, id long, n long")
+    return vectors.mapInArrow(run, "lang string, source string, part long, ids array<int>, n array<long>")
+
+
+def added(sums: DataFrame) -> DataFrame:
+    """(lang, source, id, n): the rows of ``summed`` added up, in the memory of one part."""
+    size_of_part = PART
+
+    def run(batches):
+        total, held = np.zeros(size_of_part, np.int64), None
+
+        def out():
+            lang, source, part = held
+            at = np.flatnonzero(total)
+            n = total[at]
+            total[at] = 0
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()),
+                                               pa.array(part * size_of_part + at), pa.array(n)], ["lang", "source", "id", "n"])
+
+        for batch in batches:
+            ids, n = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in (3, 4))
+            end = np.cumsum(pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
+            start = 0
+            for *key, stop in zip(*(batch.column(c).to_pylist() for c in range(3)), end, strict=True):
+                if key != held:
+                    if held:
+                        yield out()
+                    held = key
+                total[ids[start:stop]] += n[start:stop]  # ids of a row differ
+                start = stop
+        if held:
+            yield out()
+
+    key = ["lang", "source", "part"]
+    return sums.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "lang string, source string, id long, n long")
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexsense.llm import collocations, divergence, hosts
 from lexsense.session import ensure_checkpoint_dir, ship_package
@@ -73,6 +74,18 @@ def test_divergence(session, rows, monkeypatch, block_terms, cells):
     assert sorted(map(tuple, got)) == audit_brute(rows, 4, 3)
 
 
+def test_divergence_sums_are_moved_by_parts(session, rows, monkeypatch):
+    """A task gives a row for each part of a group's vocabulary, not one for each term."""
+    seen = []
+    add = divergence.added
+    monkeypatch.setattr(divergence, "added", lambda x: seen.append(x) or add(x))
+    monkeypatch.setattr(divergence, "PART", 8)
+    got = divergence.audit(documents(session, rows), min_df=4, top=3, block_terms=50)
+    assert sorted(map(tuple, got.select("lang", "source", "part", "item", "value", "rank").collect())) == audit_brute(rows, 4, 3)
+    n, cells, most = seen[0].agg(F.count("*"), F.sum(F.size("ids")), F.max(F.array_max("ids"))).first()
+    assert n < cells / 2 and most < 8
+
+
 def test_divergence_without_terms(session):
     empty = documents(session, [])
     assert divergence.audit(empty).count() == 0
