@@ -220,11 +220,12 @@ def listed(still: DataFrame) -> DataFrame:
 
 def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(removed, open): runs that read the same in a smaller document, verified by the independent hash of
-    that source; and first readings at anchors with several readings. Both (doc_id, t, a, b, again, ...)."""
+    that source; and first readings at anchors with several readings in several documents. Both (doc_id, t, a, b, again, ...)."""
     anchor, reading = W.partitionBy("h"), W.partitionBy("h", "s").orderBy("doc_id", "a", "v")
     # one shuffle and one sort serve both windows
     both = (found.repartition("h").sortWithinPartitions("h", "s", "doc_id", "a", "v")
-            .withColumn("several", F.min("s").over(anchor) < F.max("s").over(anchor))
+            .withColumn("several", (F.min("s").over(anchor) < F.max("s").over(anchor))
+                        & (F.min("doc_id").over(anchor) < F.max("doc_id").over(anchor)))
             .withColumn("source", F.first(F.struct("doc_id", "a", "v")).over(reading)))
     same = F.col("v") == F.col("source.v")
     removed = (F.col("doc_id") > F.col("source.doc_id")) & same

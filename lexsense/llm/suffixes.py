@@ -2,17 +2,17 @@
 
 Wanted: every ``length``-byte string that also starts in a smaller document. Text that cannot hold one is
 set aside first, and runs of windows that read the same in a smaller document are collapsed (``repeats``):
-copies end there. The suffixes that stay open, each with ``length`` bytes of context, are grouped by names
-at the difference cover {1, 2} modulo 3, to the depth that is asked for; no suffix array is built:
-
-1. at every sampled place (offset modulo 3 is 1 or 2) the triple of 8-byte letters is taken; the distinct
-   triples are named (in sorted order, of which only the distinctness is used);
-2. instead of a recursion two names, 24 bytes apart, make up the name of the first 48 bytes of a sampled suffix;
-3. the remaining suffixes are merged in: of any two suffixes, some shift by 0, 1 or 2 takes both to
-   sampled places, so each suffix is listed under the two shifts at which it is sampled, with the bytes
-   before the sampled place and the bytes that are missing to the depth;
-4. the listed suffixes are grouped by shift, names and missing bytes (neighbours aren't compared): those with
-   an equal prefix of ``length`` bytes share a group, whose smallest document is its source.
+copies end there. The suffixes that stay open, each to the depth of ``length`` bytes, are sorted by the difference
+cover {1, 2} modulo 3; no suffix array of the whole text is built:
+
+1. a sampled place (offset modulo 3 is 1 or 2) has a rank key of two triples of 8-byte letters, 48 bytes in all;
+2. of any two suffixes, some shift by 0, 1 or 2 takes both to sampled places, so each suffix is listed under the two
+   shifts at which it is sampled: with the triples of that place, the bytes before it and those missing to the depth.
+   Only places that a listed suffix needs are read;
+3. one shuffle deals the lists by their whole key and sorts them; suffixes with an equal prefix of ``length``
+   bytes are neighbours there, and the smallest document comes first: it is their source.
+
+As the depth is that of the key, triples need no names and ties no recursion.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window lose nothing; equal
 doc_ids never remove each other; documents with null doc_id neither lose nor remove bytes. Extra columns
@@ -34,70 +34,49 @@ from lexsense.llm.substrings import covered
 
 LENGTH = 50
 LETTER = 8
-TRIPLE = 3 * LETTER
+SPAN = 6 * LETTER  # two triples
 WIDTH = 4  # windows of a group when a path is opened
+LETTERS = [f"x{i}" for i in range(6)]
 
 
-def _samples(batches):
-    """The sampled places of the open segments: 24 bytes as three letters, the two bytes before them and
-    the two that end the depth behind the second triple; room: the segment's last window."""
+def _lists(batches):
+    """Each open suffix under the two shifts that take it to a sampled place: the letters of the two triples there; rest:
+    the shift, and the bytes of the suffix that the triples leave out."""
     for batch in batches:
         data, off = flat.flat(batch.column(2))
-        row, seg, at, room = [], [], [], []
-        for i in range(len(off) - 1):
-            a, b = R.places(batch.column(3)[i].values)[:2]
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], np.maximum.accumulate(b[order])
-            head = np.r_[True, a[1:] > b[:-1] + 1]  # neighbouring windows make one segment
-            start, stop = a[head], b[np.r_[head[1:], True]] + LENGTH
-            size = stop - start - TRIPLE + 1
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            sampled = place % 3 > 0
-            seg.append(np.repeat(start, size)[sampled])
-            room.append(np.repeat(stop - start - LENGTH, size)[sampled])
-            at.append(place[sampled])
-            row.append(np.full(sampled.sum(), i))
-        row, seg, at, room = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, seg, at, room))
-        for part in np.array_split(np.arange(len(row)), len(row) // 200_000 + 1):
-            r, s, j = row[part], seg[part], at[part]
-            begin = off[r] + s + j
-            raw = data[begin[:, None] + np.arange(TRIPLE)]
-            letters = raw.reshape(-1, 3, LETTER).astype(np.uint64) << (np.arange(LETTER - 1, -1, -1, dtype=np.uint64) * np.uint64(8))
-            letters = letters.sum(2, dtype=np.uint64).view(np.int64)
-            last = len(data) - 1
-            side = [data[np.clip(begin + d, 0, last)].astype(np.int32) for d in (-2, -1, 2 * TRIPLE, 2 * TRIPLE + 1)]
-            side = (side[0] << 24) | (side[1] << 16) | (side[2] << 8) | side[3]
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(j.astype(np.int32)),
-                 pa.array(room[part].astype(np.int32)),
-                 pa.array(letters[:, 0]), pa.array(letters[:, 1]), pa.array(letters[:, 2]), pa.array(side)],
-                ["doc_id", "t", "seg", "j", "room", "x", "y", "z", "side"])
+        for x, y in flat.chunks(off):
+            row, start = [], []
+            for i in range(x, y):
+                a, b = R.places(batch.column(3)[i].values)[:2]
+                n = b - a + 1
+                start.append(np.unique(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+                row.append(np.full(len(start[-1]), i))
+            row, start = np.concatenate(row), np.concatenate(start)
+            if not len(row):
+                continue
+            spans = np.lib.stride_tricks.sliding_window_view(data, SPAN)
+            for part in np.array_split(np.arange(len(row)), len(row) // 100_000 + 1):
+                for shift in range(3):
+                    on = part[(start[part] + shift) % 3 > 0]
+                    begin = off[row[on]] + start[on]
+                    letters = spans[begin + shift].view(">u8").astype(np.int64)
+                    left = [d if d < shift else d + SPAN for d in range(LENGTH - SPAN)]
+                    rest = (shift << 16) | (data[begin + left[0]].astype(np.int32) << 8) | data[begin + left[1]]
+                    take = pa.array(row[on])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), batch.column(1).take(take), pa.array(start[on].astype(np.int32)),
+                         *(pa.array(np.ascontiguousarray(z)) for z in letters.T), pa.array(rest)],
+                        ["doc_id", "t", "a", *LETTERS, "rest"])
 
 
 def sorted_groups(texts: DataFrame) -> DataFrame:
     """(doc_id, t, a, b, ...): the windows of the open paths of ``texts`` that start in a smaller document."""
-    samples = R.saved(texts.select("doc_id", "t", "text", "paths").mapInArrow(
-        _samples, "doc_id long, t int, seg int, j int, room int, x long, y long, z long, side int"))
-    triple = ["x", "y", "z"]
-    flip = [(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))).alias(f"_{c}") for c in triple]  # byte order
-    names = R.saved(samples.select(*triple, *flip).distinct().repartitionByRange("_x", "_y", "_z")
-                    .sortWithinPartitions("_x", "_y", "_z").withColumn("name", F.monotonically_increasing_id()).drop("_x", "_y", "_z"))
-    inside = W.partitionBy("doc_id", "t", "seg", F.col("j") % 3).orderBy("j")
-    # saved, so that the letters' shuffle files are gone when the names are moved
-    named = R.saved(samples.join(names, triple).select("doc_id", "t", "seg", "j", "room", "side", "name"))
-    named = named.withColumn("next", F.lead("name", LETTER).over(inside))
-    # a sampled place serves the suffixes 0, 1 and 2 bytes before it
-    lists = named.where("next IS NOT NULL").select(
-        "doc_id", "t", "name", "next", (F.col("seg") + F.col("j")).alias("place"), "j", "room",
-        F.explode(F.array(*[F.struct(F.lit(d).alias("shift"), part.alias("part")) for d, part in (
-            (0, F.col("side").bitwiseAND(F.lit(0x0000FFFF))), (1, F.col("side").bitwiseAND(F.lit(0x00FFFF00))),
-            (2, F.shiftrightunsigned("side", 16)))])).alias("k"))
-    lists = R.saved(lists.where("j >= k.shift AND j - k.shift <= room").select(
-        "doc_id", "t", (F.col("place") - F.col("k.shift")).alias("a"), "k.shift", "k.part", "name", "next"))
-    key = ["shift", "name", "next", "part"]
-    groups = lists.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    return (lists.join(groups, key).where("doc_id > low")
+    lists = texts.select("doc_id", "t", "text", "paths").mapInArrow(
+        _lists, f"doc_id long, t int, a int, {', '.join(f'{c} long' for c in LETTERS)}, rest int")
+    key = [*LETTERS, "rest"]
+    # the one shuffle and sort of the lists; of equal suffixes the first has the smallest document
+    low = F.first("doc_id").over(W.partitionBy(*key).orderBy("doc_id"))
+    return (lists.withColumn("low", low).where("doc_id > low")
             .select("doc_id", "t", "a", F.col("a").alias("b"), F.lit(None).cast("array<int>").alias("again"),
                     F.col("low").alias("source_doc"), F.lit(None).cast("int").alias("source_a")))
 

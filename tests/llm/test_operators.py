@@ -109,6 +109,49 @@ def test_difference_cover_alone(session, corpus):
         assert got.get(i, set()) == g
 
 
+def test_sorted_groups_shuffle_once(session):
+    """No table of samples or names beside the lists, and only the places that an open suffix needs: two rows each."""
+    from lexsense.llm import repeats as R
+    rng = random.Random(5)
+    core = "".join(rng.choice("abcdefg ") for _ in range(400))
+    rows = [(i, f"{i}é{core[i * 7:]}") for i in range(6)] + [(3, "again " + core)]
+    docs = R.keyed(frame(session, rows))
+    paths = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(0).alias("o")) for a, b in ((3, 6), (5, 9), (40, 43), (100, 100))))
+    open_ = docs.select("doc_id", "t", "text", paths.alias("paths"))
+    schema = "doc_id long, t int, a int, " + ", ".join(f"{c} long" for c in suffixes.LETTERS) + ", rest int"
+    assert open_.mapInArrow(suffixes._lists, schema).count() == len(rows) * 2 * 12
+    found = suffixes.sorted_groups(open_)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+    starts = [*range(3, 10), *range(40, 44), 100]
+    x = {(i, k): t.encode() for k, (i, t) in enumerate(rows)}
+    low = {}
+    for (i, _), t in sorted(x.items()):
+        for a in starts:
+            low.setdefault(t[a:a + 50], i)
+    want = {(i, a, low[t[a:a + 50]]) for (i, _), t in x.items() for a in starts if low[t[a:a + 50]] < i}
+    assert set(map(tuple, found.select("doc_id", "a", "source_doc").collect())) == want and len(want) > 5
+
+
+def test_sorted_groups_with_rows_that_come_twice(session):
+    from lexsense.llm import repeats as R
+    rng = random.Random(6)
+    t = "".join(rng.choice("abcdefg ") for _ in range(300))
+    docs = R.keyed(frame(session, [(1, "x" + t), (2, t[:200]), (2, t[:200]), (3, t[100:])]))
+    path = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("text") - 50).alias("b"), F.lit(0).alias("o")))
+    found = suffixes.sorted_groups(docs.select("doc_id", "t", "text", path.alias("paths")))
+    want = {(2, a) for a in range(151)} | {(3, a) for a in range(151)}
+    assert set(map(tuple, found.select("doc_id", "a").collect())) == want
+
+
+def test_anchor_of_one_document_does_not_stay_open(session):
+    from lexsense.llm import repeats as R
+    rows = [(1, 0, a, a, None, 0, 7, a, a) for a in range(3)] + [(1, 0, 9, 9, None, 0, 8, 1, 1), (2, 0, 9, 9, None, 0, 8, 2, 2)]
+    removed, still = R.resolve(session.createDataFrame(rows, R.RUNS))
+    assert removed.isEmpty()
+    assert sorted((r["doc_id"], r["a"]) for r in still.collect()) == [(1, 9), (2, 9)]
+
+
 def test_equal_runs_of_a_document_are_one_row(session):
     """A text of one word over and over has a reading at hundreds of places: a row each would grow with the places."""
     from lexsense.llm import repeats as R
