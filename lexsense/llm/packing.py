@@ -94,20 +94,18 @@ class Encoder:
         return out, np.concatenate(([0], np.cumsum(np.bincount(row, size, n).astype(np.int64))))
 
 
-def id_type(name: str) -> str:
-    """Two bytes an id between the steps where the vocabulary allows it, else four."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
-    return "<u2" if Tokenizer.from_file(public_tokenizers.path(f"{name}.json")).get_vocab_size() <= 1 << 16 else "<u4"
+def id_type(vocabulary: int) -> str:
+    """Two bytes an id between the steps where the vocabulary's size allows it, else four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def tokens(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, n with the closing id 0, ids as bytes of the width ``id_type`` gives) of every row."""
     flat.prepare(documents.sparkSession)
-    kind = id_type(name)
 
     def run(batches):
         encoder = Encoder(name)
+        kind = id_type(encoder.exact.get_vocab_size())  # here, as the driver needs no tokenizer
         special = set(encoder.exact.get_added_tokens_decoder()[i].content.encode()
                       for i in encoder.exact.get_added_tokens_decoder())
         for batch in batches:
@@ -202,7 +200,6 @@ def plan(h: np.ndarray) -> tuple[np.ndarray, int]:
 def pack(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of every piece."""
     spark = documents.sparkSession
-    kind = id_type(name)
     stored = tokens(documents, name).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
     table = stored.select("uid", "n").withColumn("rest", F.col("n") % WINDOW).withColumn("full", F.floor(F.col("n") / WINDOW))
     sums = table.groupBy("rest").agg(F.count("*").alias("k"), F.sum("full").alias("full")).orderBy("rest").collect()
@@ -243,7 +240,8 @@ def pack(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
                 p = np.ones((len(at), 6), np.int64)
             i = rank - p[:, 1]
             length = np.where(is_full, WINDOW, rest)
-            ids = np.frombuffer(flat.flat(batch.column("ids"))[0].tobytes(), kind).astype("<u4")
+            raw = flat.flat(batch.column("ids"))[0].tobytes()
+            ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * got["n"].sum() else "<u4").astype("<u4")
             end = np.cumsum(length)  # the pieces of a row, and the rows, follow each other without gaps
             raw = memoryview(ids.tobytes())
             crcs = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip((end - length).tolist(), end.tolist(), strict=True)], pa.int64())

@@ -11,6 +11,8 @@ scored one by one.
 """
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,8 +122,8 @@ def fit(rows: list, prior: tuple[float, float], factors: int = 6, steps: int = 1
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 1500) -> Machine:
-    """Fit on about ``per_class`` labelled documents of each class (the bound of the sample); their
-    features, never their texts, come to the driver."""
+    """Fit on about ``per_class`` labelled documents of each class (the bound of the sample), in one task: neither
+    their texts nor their features come to the driver, only the fitted machine."""
     flat.prepare(documents.sparkSession)
 
     def rows(batches):
@@ -139,11 +141,17 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 1500) -> Mac
 
     sample = (flat.labelled(documents, labels, "quality", per_class, 10)
               .select("label", "text").mapInArrow(rows, "label int, word array<int>, x array<float>, stats array<double>"))
-    got = sorted((r["label"], r["word"], r["x"], r["stats"]) for r in sample.collect())
     n = {r["label"]: r["n"] for r in
          labels.where(F.col("quality").isin(0, 1) & ~flat.held_out(F.col("doc_id")))
          .groupBy(F.col("quality").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    return fit(got, (n.get(0, 0), n.get(1, 0)))
+    prior = n.get(0, 0), n.get(1, 0)
+
+    def fitted(batches):
+        got = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_pydict({"machine": [pickle.dumps(fit(got, prior))]})
+
+    machine = sample.repartition(1).mapInArrow(fitted, "machine binary").collect()
+    return pickle.loads(machine[0]["machine"]) if machine else fit([], prior)
 
 
 def score(documents: DataFrame, model: Machine) -> DataFrame:

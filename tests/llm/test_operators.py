@@ -380,6 +380,16 @@ def test_packing(session, corpus):
     assert packing.pack(frame(session, [])).count() == 0
 
 
+def test_packing_needs_no_tokenizer_in_the_driver(session, corpus, monkeypatch):
+    import tokenizers
+
+    def loaded(path):
+        raise AssertionError("tokenizer loaded in the driver")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(loaded)}))
+    assert packing.pack(frame(session, corpus[:20])).select("doc_id").distinct().count() == 20
+
+
 def test_packing_keeps_the_ids(session, corpus):
     """The sequences can be built from the pieces' ids, and give back the tokenizer's ids."""
     import public_tokenizers
@@ -442,6 +452,21 @@ def test_quality_classifier(labelled):
     assert accuracy(got, truth, 1) > 0.95
 
 
+def test_quality_is_fitted_away_from_the_driver(labelled):
+    """The driver gets the machine, not the sample that it is fitted on."""
+    import tracemalloc
+    docs, labels, _ = labelled
+    quality.train(docs.limit(1), labels)  # imports
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.v.any()
+    assert most < 3 << 20  # one dense copy of the 300 labelled rows takes 5 MB
+
+
 def test_factorisation_identity():
     """The linear-time score equals the sum over all pairs."""
     rng = np.random.default_rng(1)
