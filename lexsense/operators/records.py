@@ -5,6 +5,8 @@ Every function takes and returns DataFrames; positional files carry an explicit
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,13 +228,32 @@ def _blocks(off: DataFrame, n: int, order: str) -> DataFrame:
 # ---------------------------------------------------------------- E7 generation input and answers
 
 
+REPEATS = 1 << 20  # bytes of texts whose repeats a file's writer keeps as one (parquet: what a column's dictionary may hold)
+MAX_WRITERS = 1 << 17  # tasks of one stage that a driver keeps track of
+
+
+def _by_size(defs: DataFrame, max_len: int) -> DataFrame:
+    """The texts dealt to tasks of ``REPEATS`` bytes, the longest first in each.
+
+    Every window's row holds its whole text, so the rows of a text grow with the square of its length. Parquet writes
+    equal values of a column once while the different ones of a file fit its dictionary, which those of a large task
+    don't. Texts too short for a second window count little. Dealt by hash, a task gets total / n bytes with a deviation
+    of sqrt(squares / n); n is such that the bytes and twice the deviation make ``REPEATS``."""
+    size = F.least(F.octet_length(F.concat_ws("", "target", "example")) + 256, F.lit(REPEATS))  # with the words of a prompt
+    weight = F.when(F.length("example") > max_len, size).otherwise(size / 64)
+    total, squares = (x or 0 for x in defs.agg(F.sum(weight), F.sum(weight * weight)).first())
+    n = math.ceil(((math.sqrt(squares + total * REPEATS) + math.sqrt(squares)) / REPEATS) ** 2)
+    n = min(max(n, 1), MAX_WRITERS)
+    return defs.repartition(n, "line_no", "example").sortWithinPartitions(F.octet_length("example").desc())
+
+
 def build_generation_input(defs: DataFrame, tokenise, batch: int = 32, max_len: int = 100, pad: int = 0) -> DataFrame:
     """Prompt dialog (generation prompt, no gloss) rendered, seq2seq question, fixed-length
     token ids and mask, and batch number in file order (W5). ``tokenise`` maps a text column to its ids; a text of
     more than ``max_len`` ids gives several rows, numbered by ``window``, each with the next ids."""
     ids, mask = S.fixed_length("_ids", max_len, pad)
     # the ids of a text are found, and its prompts rendered, once: windows are cut from a column, not from an expression
-    texts = defs.select("line_no", "target", "example", tokenise("example").alias("_all"),
+    texts = _by_size(defs.select("line_no", "target", "example"), max_len).select("line_no", "target", "example", tokenise("example").alias("_all"),
                         S.render_turns(S.dialog("target", "example")).alias("prompt"), S.question("target", "example").alias("question"))
     rows = texts.select("line_no", "target", "example", "prompt", "question",
                         F.posexplode(S.windows("_all", max_len)).alias("window", "_ids"))
